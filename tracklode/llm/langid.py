@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-PER_LANG = 1000
+PER_LANG = 500
 MAX_CHARS = 100_000
 ROUNDS = 4
 #: Added to the expected count of every piece.
@@ -43,8 +43,8 @@ LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*").findall
 
 
 @lru_cache(maxsize=2)
-def pieces(path: str) -> tuple[dict[str, int], int]:
-    """Pieces of letters with their numbers, and the length of the longest.
+def pieces(path: str) -> Pieces:
+    """Pieces of letters, numbered in order.
 
     The last number, one past the pieces, stands for a character without a piece.
     """
@@ -57,35 +57,70 @@ def pieces(path: str) -> tuple[dict[str, int], int]:
         if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))
     ]
     found = {p: i for i, p in enumerate(sorted({p for p in plain if p.strip("▁").isalpha() or p == "▁"}))}
-    return found, max(map(len, found))
+    return Pieces(found, max(map(len, found)))
+
+
+class Pieces:
+    """The vocabulary as sorted hashes of all prefixes of pieces, by length."""
+
+    BASE = np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, ids: dict[str, int], longest: int) -> None:
+        self.size, self.tables = len(ids), []
+        for n in range(1, longest + 1):
+            at: dict[str, int] = {}
+            for p, i in ids.items():
+                if len(p) >= n:
+                    at[p[:n]] = max(i if len(p) == n else -1, at.get(p[:n], -1))
+            codes = np.frombuffer("".join(at).encode("utf-32-le"), np.uint32).reshape(-1, n)
+            h = np.zeros(len(codes), np.uint64)
+            for k in range(n):
+                h = h * self.BASE + codes[:, k] + np.uint64(1)
+            order = np.argsort(h)
+            self.tables.append((h[order], np.array(list(at.values()), np.int64)[order]))
+
+    def edges(self, codes: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place, length, piece) of every piece in ``codes``; room: characters left in the word."""
+        places, lengths, pieces_ = [], [], []
+        left, h = np.arange(len(codes)), np.zeros(len(codes), np.uint64)
+        lone = np.ones(len(codes), bool)  # characters that are no piece
+        for n, (hashes, ids) in enumerate(self.tables, 1):
+            fits = room[left] >= n
+            left, h = left[fits], h[fits]
+            if not len(left):
+                break
+            h = h * self.BASE + codes[left + n - 1] + np.uint64(1)
+            slot = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+            alive = hashes[slot] == h
+            left, h, slot = left[alive], h[alive], slot[alive]
+            piece = ids[slot]
+            whole = piece >= 0
+            places.append(left[whole]), pieces_.append(piece[whole])
+            lengths.append(np.full(int(whole.sum()), n))
+            if n == 1:
+                lone[left[whole]] = False
+        rest = np.flatnonzero(lone)  # every position stays reachable
+        places.append(rest), pieces_.append(np.full(len(rest), self.size)), lengths.append(np.ones(len(rest), np.int64))
+        return np.concatenate(places), np.concatenate(lengths), np.concatenate(pieces_)
 
 
 class Lattice:
     """All segmentations of a batch of words, as edges between character positions."""
 
-    def __init__(self, words: list[str], vocabulary: tuple[dict[str, int], int]) -> None:
-        ids, longest = vocabulary
-        get, unknown = ids.get, len(ids)
-        who: list[int] = []
-        start: list[int] = []
-        stop: list[int] = []
-        piece: list[int] = []
-        for w, word in enumerate(words):
-            text = "▁" + word
-            for j in range(1, len(text) + 1):
-                single = False
-                for i in range(max(0, j - longest), j):
-                    if (p := get(text[i:j])) is not None:
-                        who.append(w), start.append(i), stop.append(j), piece.append(p)
-                        single = single or i == j - 1
-                if not single:  # every position stays reachable
-                    who.append(w), start.append(j - 1), stop.append(j), piece.append(unknown)
+    def __init__(self, words: list[str], vocabulary: Pieces) -> None:
+        codes = np.frombuffer("".join("▁" + w for w in words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        chars = np.array([len(w) + 1 for w in words], np.int64)
+        begin = np.concatenate(([0], np.cumsum(chars)))
+        owner = np.repeat(np.arange(len(words)), chars)
+        place, length, piece = vocabulary.edges(codes, begin[owner + 1] - np.arange(len(codes)))
+        who = owner[place]
+        start = place - begin[who]
+        stop = start + length
         self.sizes = np.array([len(w) + 2 for w in words], np.int64)  # nodes: before "▁", after it, after each character
         self.base = np.concatenate(([0], np.cumsum(self.sizes)))
-        who_, start_, stop_ = np.array(who, np.int64), np.array(start, np.int64), np.array(stop, np.int64)
-        order = np.lexsort((who_, stop_))
-        self.who, self.piece = who_[order], np.array(piece, np.int64)[order]
-        self.start, self.stop = start_[order], stop_[order]
+        order = np.lexsort((who, stop))
+        self.who, self.piece = who[order], piece[order]
+        self.start, self.stop = start[order], stop[order]
         self.head, self.tail = self.base[self.who] + self.start, self.base[self.who] + self.stop
         self.first, self.last = self.base[:-1], self.base[1:] - 1
 
@@ -134,7 +169,7 @@ def fit(texts: list[tuple[str, str]], path: str, rounds: int = ROUNDS) -> tuple[
     """(lang, text) pairs -> languages and log probabilities, pieces by languages."""
     langs = sorted({lang for lang, _ in texts})
     vocabulary = pieces(path)
-    size = len(vocabulary[0]) + 1
+    size = vocabulary.size + 1
     if not langs:
         return [], np.zeros((size, 0))
     counts = [Counter() for _ in langs]
@@ -159,6 +194,8 @@ class Scorer:
         self.langs, self.logp, self.vocabulary = langs, logp, pieces(path)
         self.rows: dict[str, int] = {}
         self.table = np.zeros((0, len(langs) + 1), np.float32)
+        self.words: dict[str, int] = {}
+        self.values = np.zeros((0, len(langs)), np.float32)
 
     def learn(self, chunks: set[str]) -> None:
         """Rows of new chunks: log probability by language, and the number of words."""
@@ -166,13 +203,17 @@ class Scorer:
             self.rows, self.table = {}, self.table[:0]
         new = [c for c in chunks if c not in self.rows]
         parts = [words_of(c) for c in new]
+        if len(self.words) > MEMO:
+            self.words, self.values = {}, self.values[:0]
+        unseen = list({w for p in parts for w in p} - self.words.keys())
+        totals = [self.values]
+        for at in range(0, len(unseen), 20_000):
+            totals.append(Lattice(unseen[at : at + 20_000], self.vocabulary).totals(self.logp).astype(np.float32))
+        self.words.update(zip(unseen, range(len(self.values), len(self.values) + len(unseen))))
+        self.values = np.vstack(totals)
         owner = np.repeat(np.arange(len(new)), [len(p) for p in parts])
-        words = [w for p in parts for w in p]
-        rows = np.zeros((len(new), len(self.langs) + 1))
-        for at in range(0, len(words), 20_000):
-            held = slice(at, at + 20_000)
-            totals = Lattice(words[held], self.vocabulary).totals(self.logp)
-            np.add.at(rows, owner[held], np.hstack([totals, np.ones((len(totals), 1))]))
+        used = np.fromiter((self.words[w] for p in parts for w in p), np.int64, len(owner))
+        rows = np.stack([np.bincount(owner, self.values[used, k], minlength=len(new)) for k in range(len(self.langs))] + [np.bincount(owner, minlength=len(new))], axis=1)
         start = len(self.table)
         self.table = np.vstack([self.table, rows.astype(np.float32)])
         self.rows.update(zip(new, range(start, start + len(new))))
@@ -181,8 +222,8 @@ class Scorer:
         langs, scores = [], []
         if not self.langs:
             return [UNDEFINED] * len(texts), [0.0] * len(texts)
-        for at in range(0, len(texts), 64):
-            chunks = [(t or "").split() for t in texts[at : at + 64]]
+        for at in range(0, len(texts), 256):
+            chunks = [(t or "").split() for t in texts[at : at + 256]]
             fresh = set().union(*map(set, chunks)) - self.rows.keys()
             if fresh:
                 if len(self.rows) + len(fresh) > MEMO:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tracklode.llm import bpe, decontaminate, exact_dedup, langid, line_dedup, quality
+from tracklode.llm import bpe, decontaminate, exact_dedup, html_text, langid, line_dedup, quality, simhash
 
-MODULES = (exact_dedup, bpe, langid, decontaminate, quality, line_dedup)
+MODULES = (exact_dedup, simhash, bpe, langid, decontaminate, quality, html_text, line_dedup)
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE = {name: sql for module in MODULES for name, sql in module.ORACLE.items()}
