@@ -1 +1,71 @@
-STAGES = []
+"""Corpus pipeline: quality, exact copies, near copies, benchmark leaks, tokens.
+
+Every stage takes (spark, docs, sf_dir) and returns the documents it keeps, with the
+columns of ``documents``; the last adds what the tokeniser found.  ``run`` writes each
+stage as Parquet to the shared folder and reads it back for the next one, so a lost
+executor never costs more than the stage at hand.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tracklode.llm.bpe import default_vocabulary, encode_column
+from tracklode.llm.decontaminate import contamination
+from tracklode.llm.exact_dedup import exact_dedup
+from tracklode.llm.quality import quality_scores
+from tracklode.llm.shared import staged
+from tracklode.llm.simhash import near_dedup
+
+
+def keep_rows(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of docs whose doc_id is among ``ids``, null ids included."""
+    held = ids.select(F.col("doc_id").alias("held"))
+    return docs.join(held, F.col("doc_id").eqNullSafe(F.col("held")), "left_semi")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that the classifier rejects."""
+    scored = quality_scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return scored.where("predicted = 1").select(*docs.columns)
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts keep the longest original, then the smallest id."""
+    return keep_rows(docs, exact_dedup(docs).where("kept"))
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of every group of near copies keep the smallest id."""
+    return keep_rows(docs, near_dedup(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents with a passage of the benchmark."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
+    return keep_rows(docs, contamination(docs, items).where("not contaminated"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Add n_tokens, ids_sha256 and decoded_sha256."""
+    return encode_column(docs, default_vocabulary(), with_ids=False)
+
+
+STAGES = [
+    ("quality", quality),
+    ("exact", exact),
+    ("near", near),
+    ("decontaminate", decontaminate),
+    ("tokens", tokens),
+]
+
+#: Classifier, fingerprints and tokeniser can't be written in SQL; tests/llm holds the brute-force version.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return docs
