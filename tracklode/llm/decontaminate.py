@@ -2,16 +2,14 @@
 
 A window is a run of ``width`` consecutive words of a benchmark item (an item
 with fewer words, but not none, is one window).  The index is made of postings
-(term, doc_id, pos) of the corpus.  For every window the ``lists`` rarest terms
-are found from corpus counts; only postings of those anchor terms are stored.
+(term, doc_id, pos) of the corpus.  For every window up to ``lists`` of its rarest
+terms are found from corpus counts; only postings of those anchor terms are stored.
 Starting from the rarest list, the postings, moved back by the term's place in
 the window, are intersected list by list; what is left is checked word by word
 against the document.
 
-Only the benchmark side is ever joined by a small table: its anchor terms are
-broadcast by Spark where their measured size is below the session's broadcast
-threshold, and joined by a shuffle beyond it.  No join is on a key that gathers
-a document or a term in one task: postings are dealt by (term, doc_id, pos).
+The words of the corpus meet the benchmark's terms by a broadcast where those
+terms, measured first, take at most ``TERM_BYTES``, and by a shuffle beyond that.
 
 Words: A-Z are lower-cased, then maximal runs of ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]``.
 Cases: a null or empty text has no words; items without words have no window;
@@ -26,10 +24,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracklode.llm.shared import staged
+from tracklode.llm.shared import checked_broadcast, staged
 
 WIDTH = 10
 LISTS = 3
+#: The most that the benchmark's terms may take to be broadcast.
+TERM_BYTES = 16 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What parts words, before A-Z are lower-cased.
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -76,7 +76,7 @@ def rarest_terms(docs: DataFrame, wins: DataFrame, lists: int = LISTS) -> DataFr
     places = wins.select("win", F.posexplode("terms").alias("place", "term"))
     vocabulary = places.select("term").distinct()
     # lower() agrees with A-Z folding as a first sieve, and costs less.
-    sieve = vocabulary.select(F.lower("term").alias("low")).distinct()
+    sieve = checked_broadcast(vocabulary.select(F.lower("term").alias("low")).distinct(), TERM_BYTES)
     counts = (
         term_rows(docs)
         .select("raw", F.lower("raw").alias("low"))
@@ -97,11 +97,10 @@ def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
     The END row's pos is the document's number of words.
     """
-    sieve = terms.select(F.lower("term").alias("low")).distinct()
+    marked = terms.union(terms.sparkSession.createDataFrame([(END,)], "term string"))
+    sieve = checked_broadcast(marked.select(F.lower("term").alias("low")).distinct(), TERM_BYTES)
     held = docs.select("doc_id", F.posexplode(F.concat(words(F.col("text")), F.array(F.lit(END)))).alias("pos", "raw"))
-    found = held.withColumn("low", F.lower("raw")).join(
-        sieve.union(docs.sparkSession.createDataFrame([(END,)], "low string")), "low", "left_semi"
-    )
+    found = held.withColumn("low", F.lower("raw")).join(sieve, "low", "left_semi")
     return found.select("doc_id", "pos", folded(F.col("raw")).alias("term"))
 
 

@@ -48,3 +48,15 @@ def strip_ascii_space(text: F.Column) -> F.Column:
     for c in ASCII_SPACE:
         out = F.replace(out, F.lit(c), F.lit(""))
     return out
+
+
+def checked_broadcast(df: DataFrame, max_bytes: int) -> DataFrame:
+    """``df`` marked for broadcast if its rows, counted now, take at most ``max_bytes``.
+
+    Counts 16 bytes a row besides the text of its string columns.  Beyond the
+    bound the frame comes back as it is, and joins shuffle.
+    """
+    texts = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in df.dtypes if kind == "string"]
+    size = sum(texts, F.lit(0)) + 16 + 8 * len(df.columns)
+    total = df.agg(F.sum(size.cast("long"))).first()[0] or 0
+    return F.broadcast(df) if total <= max_bytes else df
