@@ -247,15 +247,18 @@ def routed_hits(docs: DataFrame, index: DataFrame, bits: int, min_docs: int, min
             shards = np.asarray(batch.column(0))
             rows, data = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             found: list[int] = []
-            edges = [0, *(np.flatnonzero(np.diff(shards)) + 1).tolist(), len(shards)]
+            leads = np.asarray(batch.column(1)) == -1  # copies of a shard, one before each salt's keys
+            turns = np.flatnonzero((np.diff(shards) != 0) | leads[1:] | leads[:-1]) + 1
+            edges = [0, *turns.tolist(), len(shards)]
             for lo, hi in zip(edges, edges[1:]):
                 if lo == hi:
                     continue
+                if leads[lo]:
+                    part, at = PerfectHash.load(data[lo]), shards[lo]
+                    continue
                 if shards[lo] != at:
                     part, at = None, shards[lo]
-                while lo < hi and rows[lo] == -1:
-                    part, lo = PerfectHash.load(data[lo]), lo + 1
-                if part is not None and lo < hi:
+                if part is not None:
                     h1, h2 = split_hashes(data[lo:hi])
                     found += (lo + np.flatnonzero(part.count(h1, h2) >= min_docs)).tolist()
             yield pa.RecordBatch.from_arrays(
