@@ -12,20 +12,38 @@ KIB = 1024
 BYTE_SIZE = re.compile(r"\s*(\d+(?:\.\d+)?)\s*([kmgtpe]?)(?:i?b)?\s*", re.I)
 
 
+def nearest_even(down: Column, eighths: Column, value: Column, tie: Column) -> Column:
+    """``down`` or one more, as printing a double rounds.
+
+    Eighths say how far past ``down`` the decimal value lies; at four the double itself
+    decides, compared exactly with the tie (in two hundredths), and an exact tie goes to
+    the even number.
+    """
+    exact = (value * float(1 << 49)).cast("long").cast("decimal(38,0)") * 200
+    middle = tie.cast("decimal(38,0)") * (1 << 49)
+    up = F.when(eighths > 4, 1).when(eighths < 4, 0).when(exact > middle, 1).when(exact < middle, 0).otherwise(down % 2)
+    return down + up
+
+
 def readable_size(size: Column) -> Column:
     """Bytes with a binary unit and three figures: ``512 B``, ``1.50 KiB``, ``100 MiB``.
 
-    Cut, not rounded, so 9.99 never becomes 10.0.
+    Cut to 160ths or 16ths before it is rounded, so 9.99 never becomes 10.0.
     """
-    n = F.abs(size)
+    n = F.abs(size).cast("long")
     out = F.format_string("%d B", n)
     for e, unit in enumerate("KMGTPE", 1):
-        part = n / float(KIB**e)
-        whole = F.floor(part)
-        rest = (part - whole) * 160
-        fine = F.format_string(f"%.2f {unit}iB", whole + F.floor(rest) / 160)
-        mid = F.format_string(f"%.1f {unit}iB", whole + F.floor(rest / 10) / 16)
-        out = F.when(n < KIB**e, out).otherwise(F.when(part >= 100, F.format_string(f"%d {unit}iB", whole)).when(part >= 10, mid).otherwise(fine))
+        whole = F.shiftrightunsigned(n, 10 * e)
+        rest = F.shiftrightunsigned(n - F.shiftleft(whole, 10 * e), 10 * (e - 1))  # of 1024
+        fine, coarse = F.floor(rest * 160 / 1024), F.floor(rest * 16 / 1024)
+        cents = F.floor(fine * 5 / 8)
+        tie = whole * 200 + cents * 2 + 1
+        hundredths = nearest_even(whole * 100 + cents, fine * 5 % 8, whole + fine / 160, tie)
+        tenths = F.floor(coarse * 5 / 8)
+        tenths = tenths + F.when(coarse * 5 % 8 > 4, 1).when(coarse * 5 % 8 < 4, 0).otherwise(tenths % 2)
+        two = F.format_string(f"%d.%02d {unit}iB", F.floor(hundredths / 100), hundredths % 100)
+        one = F.format_string(f"%d.%d {unit}iB", whole + F.floor(tenths / 10), tenths % 10)
+        out = F.when(n < (1 << 10 * e), out).otherwise(F.when(whole >= 100, F.format_string(f"%d {unit}iB", whole)).when(whole >= 10, one).otherwise(two))
     return F.when(size < 0, F.concat(F.lit("-"), out)).otherwise(out)
 
 
