@@ -19,8 +19,8 @@ def nearest_even(down: Column, eighths: Column, value: Column, tie: Column) -> C
     decides, compared exactly with the tie (in two hundredths), and an exact tie goes to
     the even number.
     """
-    exact = (value * float(1 << 49)).cast("long").cast("decimal(38,0)") * 200
-    middle = tie.cast("decimal(38,0)") * (1 << 49)
+    exact = (value * float(1 << 52)).cast("long").cast("decimal(38,0)") * 200
+    middle = tie.cast("decimal(38,0)") * (1 << 52)
     up = F.when(eighths > 4, 1).when(eighths < 4, 0).when(exact > middle, 1).when(exact < middle, 0).otherwise(down % 2)
     return down + up
 
@@ -31,20 +31,23 @@ def readable_size(size: Column) -> Column:
     Cut to 160ths or 16ths before it is rounded, so 9.99 never becomes 10.0.
     """
     n = F.abs(size).cast("long")
-    out = F.format_string("%d B", n)
-    for e, unit in enumerate("KMGTPE", 1):
-        whole = F.shiftrightunsigned(n, 10 * e)
-        rest = F.shiftrightunsigned(n - F.shiftleft(whole, 10 * e), 10 * (e - 1))  # of 1024
-        fine, coarse = F.floor(rest * 160 / 1024), F.floor(rest * 16 / 1024)
-        cents = F.floor(fine * 5 / 8)
-        tie = whole * 200 + cents * 2 + 1
-        hundredths = nearest_even(whole * 100 + cents, fine * 5 % 8, whole + fine / 160, tie)
-        tenths = F.floor(coarse * 5 / 8)
-        tenths = tenths + F.when(coarse * 5 % 8 > 4, 1).when(coarse * 5 % 8 < 4, 0).otherwise(tenths % 2)
-        two = F.format_string(f"%d.%02d {unit}iB", F.floor(hundredths / 100), hundredths % 100)
-        one = F.format_string(f"%d.%d {unit}iB", whole + F.floor(tenths / 10), tenths % 10)
-        out = F.when(n < (1 << 10 * e), out).otherwise(F.when(whole >= 100, F.format_string(f"%d {unit}iB", whole)).when(whole >= 10, one).otherwise(two))
-    return F.when(size < 0, F.concat(F.lit("-"), out)).otherwise(out)
+    e = F.lit(0)
+    for k in range(1, 7):
+        e = F.when(n >= 1 << 10 * k, k).otherwise(e)
+    unit = F.get(F.array(*(F.lit(u) for u in ("B", "KiB", "MiB", "GiB", "TiB", "PiB", "EiB"))), e)
+    whole = F.call_function("shiftright", n, e * 10)
+    below = n - F.call_function("shiftleft", whole, e * 10)
+    rest = F.call_function("shiftright", below, F.greatest(e - 1, F.lit(0)) * 10)  # of 1024
+    fine, coarse = F.floor(rest * 160 / 1024), F.floor(rest * 16 / 1024)
+    cents = F.floor(fine * 5 / 8)
+    hundredths = nearest_even(whole * 100 + cents, fine * 5 % 8, whole + fine / 160, whole * 200 + cents * 2 + 1)
+    tenths = F.floor(coarse * 5 / 8)
+    tenths = tenths + F.when(coarse * 5 % 8 > 4, 1).when(coarse * 5 % 8 < 4, 0).otherwise(tenths % 2)
+    two = F.format_string("%d.%02d", F.floor(hundredths / 100), hundredths % 100)
+    one = F.format_string("%d.%d", whole + F.floor(tenths / 10), tenths % 10)
+    plain = F.format_string("%d", whole)
+    number = F.when((e == 0) | (whole >= 100), plain).when(whole >= 10, one).otherwise(two)
+    return F.concat(F.when(size < 0, "-").otherwise(""), number, F.lit(" "), unit)
 
 
 def readable_time(seconds: Column, digits: int = 3) -> Column:
