@@ -260,3 +260,27 @@ def test_entry_and_oracles(spark):
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries()) and e.entry(spark).count() > 0
+
+
+def test_streams_and_edits(spark, tmp_path):
+    from tracklode.operators import edit, streams, video
+    from tracklode.sources import cache, export
+
+    s = spark.createDataFrame([(0, 200, 1, "a"), (0, 200, 4, "b"), (0, 201, 1, "a")], "file_id int, type_id int, instance_id int, flavor string")
+    assert streams.stream_by_name(s, "200-4").first()["instance_id"] == 4 and streams.stream_by_name(s, "200+2").first()["instance_id"] == 4
+    assert streams.stream_by_name(s, "camera").count() == 0 and streams.nth_stream(s, 200, 0, "b").first()["instance_id"] == 4
+    r = records(spark, [(0, 200, 1, "data", 1, 1, "abc"), (0, 201, 1, "data", 2, 2, "de"), (0, 200, 1, "data", 3, 3, "f")])
+    assert [bytes(x["payload"]) for x in edit.zeroed(r, [200]).orderBy("ts_us").collect()] == [b"\0\0\0", b"de", b"\0"]
+    assert [x["ts_us"] for x in video.frame_set(r, 1).orderBy("ts_us").collect()] == [1, 2]
+    o = edit.overridden(spark.createDataFrame([({"a": "1", "b": "2"},)], "user_tags map<string,string>"), {"a": "3"}).first()
+    assert o["user_tags"] == {"a": "3", "b": "2"}
+    assert len(streams.serial_number({}, {"a": "b"}, {}, StreamId(200, 1))) == 16
+    path = recording.write_recordings(r.withColumn("file_id", F.lit("c")), str(tmp_path)).first()["path"]
+    cache.save_catalog(spark, path, str(tmp_path / "catalog"))
+    assert {k: v.count() for k, v in cache.catalog(spark, str(tmp_path / "catalog")).items()} == {"files": 1, "streams": 2, "index": 3}
+    assert export.file_checksums(spark.createDataFrame([(path,)], "path string")).first()["size"] > 200
+    blocks = spark.createDataFrame([("200-1", 0, t, "int16le", 1, 8000, b"\1\2\3\4") for t in range(3)], "stream_id string, segment int, ts_us long, sample string, channels int, rate int, payload binary")
+    assert export.export_audio(blocks, str(tmp_path / "wav")).first()["n"] == 3
+    frames = spark.createDataFrame([("200-1", 1, 0.5, "grey8", 2, 2, 0, b"\1\2\3\4")], "stream_id string, number int, timestamp double, pixel string, width int, height int, stride int, payload binary")
+    png = export.export_images(frames, str(tmp_path / "png")).first()["path"]
+    assert media.png_pixels(open(png, "rb").read()).tolist() == [[1, 2], [3, 4]]

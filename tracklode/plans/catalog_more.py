@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracklode.functions import formats, media, text
 from tracklode.model import parsed_stream
-from tracklode.operators import video
+from tracklode.operators import edit, streams, video
 from tracklode.plans.catalog import DAY_US, KEY, STREAM, K, S, known, query
 from tracklode.sources import export
 from tracklode.sources.events import event_records
@@ -161,3 +161,49 @@ def metadata_lines(spark, d):
 @query("compression_benchmark")
 def compression_benchmark(spark, d):
     return export.compression_benchmark(event_records(spark, d)).select("preset", "n", "before")
+
+
+TAGGED = f"""st AS (SELECT DISTINCT {S}, 'f' || (instance_id % 3) AS flavor, CASE WHEN instance_id % 4 = 0 THEN 'left' ELSE 'right' END AS side FROM rec)"""
+
+
+def tagged_streams(spark: SparkSession, d: str) -> DataFrame:
+    s = event_records(spark, d).select(*STREAM).distinct()
+    side = F.when(F.col("instance_id") % 4 == 0, "left").otherwise("right")
+    formats_ = F.when(F.col("type_id") == 200, "data_layout/size=8+image/raw/10x10/pixel=grey8").otherwise("data_layout/size=8")
+    return s.select(
+        *STREAM,
+        F.concat(F.lit("f"), F.col("instance_id") % 3).alias("flavor"),
+        F.concat(F.lit("SN"), "instance_id").alias("serial_number"),
+        F.create_map(F.lit("side"), side).alias("user_tags"),
+        F.create_map(F.lit("RF:Data:1"), formats_, F.lit("other"), F.lit("x")).alias("private_tags"),
+    )
+
+
+@query("stream_by_flavor", f", {TAGGED} SELECT {S} FROM st WHERE type_id = 201 AND flavor = 'f2' QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY instance_id) = 2")
+def stream_by_flavor(spark, d):
+    return streams.nth_stream(tagged_streams(spark, d), 201, 1, "f2").select(*STREAM)
+
+
+@query("stream_by_tag", f", {TAGGED} SELECT {S} FROM st WHERE side = 'left' QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY type_id, instance_id) = 1")
+def stream_by_tag(spark, d):
+    return streams.stream_by_tag(tagged_streams(spark, d), "side", "left").select(*STREAM)
+
+
+@query("might_contain_images", f"SELECT DISTINCT {S} FROM rec WHERE type_id = 200 AND record_type = 'data'")
+def might_contain_images(spark, d):
+    return streams.might_contain(tagged_streams(spark, d), event_records(spark, d), "image")
+
+
+@query("first_configurations", f"SELECT {K} FROM rec WHERE record_type = 'configuration' QUALIFY row_number() OVER (PARTITION BY {S} ORDER BY ts_us, file_offset) = 1")
+def first_configurations(spark, d):
+    return streams.first_configurations(event_records(spark, d)).select(*KEY)
+
+
+@query("zero_payloads", f"SELECT {K}, CASE WHEN type_id IN (200, 202) THEN repeat('00', length(payload)) ELSE hex(payload) END AS payload FROM rec")
+def zero_payloads(spark, d):
+    return edit.zeroed(event_records(spark, d), (200, 202)).select(*KEY, F.hex("payload").alias("payload"))
+
+
+@query("new_instances", f"SELECT {S}, CAST(row_number() OVER (PARTITION BY type_id ORDER BY file_id, instance_id) AS INT) AS new_instance FROM (SELECT DISTINCT {S} FROM rec)")
+def new_instances(spark, d):
+    return streams.new_instances(event_records(spark, d).select(*STREAM).distinct())
