@@ -65,11 +65,12 @@ MAJORITY = 0.6
 class Element:
     __slots__ = ("tag", "parent", "apart", "path", "linked", "depth")
 
-    def __init__(self, tag: str, marks: str, parent: "Element | None", apart: bool) -> None:
+    def __init__(self, tag: str, marks: str, parent: "Element | None", apart: bool, paths: dict) -> None:
         self.tag, self.parent = tag, parent
         self.apart = apart or (parent.apart if parent else False)
         self.linked = tag == "a" or (parent.linked if parent else False)
-        self.path = (parent.path if parent else "") + "/" + tag + marks
+        # A path is its parent's number and its own last step, so deep pages stay small.
+        self.path = paths.setdefault((parent.path if parent else -1, tag + marks), len(paths))
         self.depth = parent.depth + 1 if parent else 0
 
 
@@ -86,8 +87,10 @@ def named_apart(tag: str, attributes: str) -> tuple[bool, str]:
 
 def blocks(page: str) -> list[tuple[Element, str, int]]:
     """(element, text, length of its link text) of each block, in page order."""
-    root = Element("", "", None, False)
+    paths: dict[tuple[int, str], int] = {}
+    root = Element("", "", None, False, paths)
     here, out = root, []
+    open_: dict[str, int] = defaultdict(int)
     parts: list[str] = []
     owner, linked = root, 0
 
@@ -110,13 +113,21 @@ def blocks(page: str) -> list[tuple[Element, str, int]]:
                     linked += len(text.strip())
             parts.append(text)
 
+    def leave(e: Element) -> None:
+        """Close ``e`` and all that is open inside it."""
+        nonlocal here
+        while here is not e.parent:
+            open_[here.tag] -= 1
+            here = here.parent
+
     def close(tag: str) -> None:
         nonlocal here
+        if not open_[tag]:
+            return  # a stray end
         e = here
-        while e.parent is not None and e.tag != tag:
+        while e.tag != tag:
             e = e.parent
-        if e.parent is not None:
-            here = e.parent
+        leave(e)
 
     at, size = 0, len(page)
     while at < size:
@@ -140,7 +151,7 @@ def blocks(page: str) -> list[tuple[Element, str, int]]:
             e = here  # implied ends
             while e.parent is not None and e.tag not in ("article", "body", "td", "table", "ul", "ol", "dl", "div", "section", "main"):
                 if (e.tag == "p" and tag in ENDS_P) or (e.tag == tag and tag in ("li", "td", "th", "tr", "option")) or ({e.tag, tag} <= {"dd", "dt"}):
-                    here = e.parent
+                    leave(e)
                     break
                 e = e.parent
         if tag in VOID:
@@ -151,7 +162,8 @@ def blocks(page: str) -> list[tuple[Element, str, int]]:
             continue
         if not m[2].rstrip().endswith("/"):
             apart, marks = named_apart(tag, m[2])
-            here = Element(tag, marks, here, apart)
+            here = Element(tag, marks, here, apart, paths)
+            open_[tag] += 1
     flush()
     return out
 
