@@ -28,6 +28,10 @@ from tracklode.llm.shared import checked_broadcast, staged
 
 WIDTH = 10
 LISTS = 3
+#: A list this many times longer than a window's rarest isn't worth intersecting.
+RATIO = 8
+#: The most that the documents to be checked may take to be broadcast.
+DOC_BYTES = 4 << 20
 #: The most that the benchmark's terms may take to be broadcast.
 TERM_BYTES = 16 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -71,7 +75,8 @@ def rarest_terms(docs: DataFrame, wins: DataFrame, lists: int = LISTS) -> DataFr
     """The ``lists`` rarest terms of each window: win, place, term, rank from 1.
 
     Counts are over the whole corpus.  A window with a term that the corpus
-    lacks can't occur, and goes.
+    lacks can't occur, and goes.  Terms with a list over ``RATIO`` times the
+    rarest's are left to the check of the whole phrase.
     """
     places = wins.select("win", F.posexplode("terms").alias("place", "term"))
     vocabulary = places.select("term").distinct()
@@ -89,7 +94,8 @@ def rarest_terms(docs: DataFrame, wins: DataFrame, lists: int = LISTS) -> DataFr
     seen = places.join(counts, "term", "left").withColumn("tf", F.coalesce("tf", F.lit(0)))
     ranked = seen.withColumn("rank", F.row_number().over(Window.partitionBy("win").orderBy("tf", "term", "place")))
     alive = ranked.withColumn("least", F.min("tf").over(Window.partitionBy("win")))
-    return alive.where((F.col("least") > 0) & (F.col("rank") <= lists)).select("win", "place", "term", "rank")
+    short = (F.col("rank") <= lists) & (F.col("tf") <= F.col("least") * RATIO)
+    return alive.where((F.col("least") > 0) & short).select("win", "place", "term", "rank")
 
 
 def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -115,7 +121,7 @@ def candidates(index: DataFrame, rare: DataFrame, lists: int = LISTS) -> DataFra
             )
             out = out.where("start >= 0")
             continue
-        # Windows with fewer terms than lists have no anchor of this rank and stay.
+        # Windows without an anchor of this rank stay as they are.
         asked = out.join(anchors, "win", "left").withColumn("pos", F.col("start") + F.col("place"))
         short = asked.where(F.col("term").isNull()).select("doc_id", "start", "win")
         met = asked.where(F.col("term").isNotNull()).alias("a").join(
@@ -137,7 +143,7 @@ def phrase_matches(docs: DataFrame, items: DataFrame, width: int = WIDTH, lists:
         maybe.join(wins.select("win", "terms", "n", "items"), "win").select("doc_id", "start", "n", "terms", "items"),
         "phrase-candidates",
     )
-    held = asked.select("doc_id").distinct().alias("h")
+    held = checked_broadcast(asked.select("doc_id").distinct(), DOC_BYTES).alias("h")
     texts = (
         docs.select("doc_id", "text").alias("d")
         .join(held, F.col("d.doc_id").eqNullSafe(F.col("h.doc_id")), "left_semi")
