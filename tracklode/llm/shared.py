@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: The six ASCII white-space characters, [\x20\x09-\x0D].
 ASCII_SPACE = " \t\n\x0b\x0c\r"
+#: Tables that this session has staged and not yet cleared.
+STAGED: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,9 +41,18 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    STAGED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Delete the staged tables, once the results that read them are written."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    while STAGED:
+        path = jvm.org.apache.hadoop.fs.Path(STAGED.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def strip_ascii_space(text: F.Column) -> F.Column:
     """``text`` without any character of [\x20\x09-\x0D]; null counts as empty."""
     out = F.coalesce(text, F.lit(""))

@@ -292,13 +292,16 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, most: int = MOST) -> D
     """keyed docs -> doc_id, k, spans: array of (lo, hi), bytes to remove, may overlap."""
     found = staged(run_rows(docs, length), "window-runs")
     grams = found.groupBy("g").agg(F.count("*").alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("n > 1")
+    # A table of its own: the join then reads two shuffles, and a gram that a third of
+    # the corpus shares is split over tasks.
+    grams = staged(grams, "repeated-grams")
     met = found.join(grams.select("g", (F.col("c0") != F.col("c1")).alias("mixed")), "g")
     met = staged(met, "repeated-runs")
     same = met.where(~F.col("mixed")).select("doc_id", "k", F.col("first").alias("lo"), (F.col("last") + length).alias("hi"))
     mixed = met.where("mixed")
     place = F.min(F.struct("doc_id", "k", "first", "last"))
     kinds = staged(mixed.groupBy("g", "c").agg(F.count("*").alias("n"), place.alias("at")), "context-kinds")
-    hot = kinds.groupBy("g").agg((F.count("*") > most).alias("hot"))
+    hot = staged(kinds.groupBy("g").agg((F.count("*") > most).alias("hot")), "hot-grams")
     wanted = kinds.join(hot, "g").select("g", "c", "hot", "at.doc_id", "at.k", "at.first", "at.last")
     contexts = staged(contexts_of(docs, wanted, length), "contexts")
     marks = indexed_repeats(contexts.where(~F.col("hot")), length)
