@@ -250,6 +250,29 @@ def test_html(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+def paragraphs(*sizes):
+    """Paragraphs of so many sentences, as blocks and as marked up."""
+    texts = [" ".join(f"Part {i} has, in its sentence {k}, some words to read." for k in range(n)) for i, n in enumerate(sizes)]
+    return texts, [f"<p>{t}</p>" for t in texts]
+
+
+def blocks_of(page):
+    return [line for line in html_text.main_text(page).split("\n") if line]
+
+
+def test_html_keeps_nested_and_sibling_containers():
+    (lead, a, b, c), (lead_p, a_p, b_p, c_p) = paragraphs(7, 5, 5, 3)
+    nav, end = "<html><body><nav><a href=x>Home</a></nav>", "<footer>me</footer></body></html>"
+    page = f"{nav}<article><h1>A title</h1><div class=lead>{lead_p}</div><div class=text>{a_p}{b_p}{c_p}</div></article>{end}"
+    assert blocks_of(page) == ["A title", lead, a, b, c]
+    page = f"{nav}<div id=page><h1>A title</h1><section><h2>One</h2>{a_p}{b_p}{c_p}</section><section><h2>Two</h2>{lead_p}</section></div>{end}"
+    assert blocks_of(page) == ["A title", "One", a, b, c, "Two", lead]
+    page = f"{nav}<h1>A title</h1><table><tr><td>{a_p}{b_p}{c_p}</td></tr><tr><td>{lead_p}</td></tr></table>{end}"
+    assert blocks_of(page) == ["A title", a, b, c, lead]
+    page = f"{nav}<h1><b>A title</b></h1><div>{a_p}{b_p}</div><div class=ad>{c_p}</div>{end}"
+    assert blocks_of(page) == ["A title", a, b]
+
+
 @pytest.mark.parametrize("bound", [1 << 20, 0])
 def test_line_dedup(spark, bound):
     want = sorted(brute.lines(DOCS, 3), key=repr)

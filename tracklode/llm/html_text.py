@@ -5,9 +5,9 @@ classes).  Per path, text length and punctuation are summed and divided by the
 number of blocks on it: the path's two ratios.  Link text doesn't count.  Both
 ratios are smoothed over neighbouring blocks in page order, fused by
 multiplication, and compared with a threshold from the page's own spread.  Blocks
-over the threshold are content nodes; they vote, with their text length, for the
-elements that hold them, and the innermost element with most of the vote is the
-article.  Every block of the article is returned, short ones too, but for parts
+over the threshold are content nodes; the innermost element that holds all of them,
+or the <article> or <main> around it, is the article.  Every block of the article is
+returned, short ones too, and a level-one heading outside it, but for parts
 that are no text of it (navigation, adverts, forms, comments and the like, told by
 tag, role or class), which have ratio zero and are left out.
 
@@ -58,8 +58,8 @@ MARK = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？¿¡]")
 SPACE = re.compile(r"[ \t\n\r\f\v\x85\xa0  -     　]+")
-#: Share of the vote that an element keeps to be the article.
-MAJORITY = 0.6
+#: Elements that can be the article.
+HOLDERS = frozenset(("article", "main", "section", "div", "td", "body", "html", ""))
 
 
 class Element:
@@ -188,6 +188,41 @@ def path_scores(found: list[tuple[Element, str, int]]) -> np.ndarray:
     return np.where(apart, 0.0, smoothed(text_ratio) * (1 + smoothed(point_ratio)))
 
 
+def lineage(e: Element) -> list[Element]:
+    """``e`` and its ancestors, innermost first."""
+    out = []
+    while e is not None:
+        out.append(e)
+        e = e.parent
+    return out
+
+
+def held_by(nodes: list[Element]) -> Element:
+    """The innermost holder of all nodes; the <article> or <main> around it, if there is one."""
+    common = nodes[0]
+    for e in nodes[1:]:
+        while e is not common:
+            if e.depth >= common.depth:
+                e = e.parent
+            else:
+                common = common.parent
+    up = lineage(common)
+    return next((e for e in up if e.tag in ("article", "main")), None) or next(e for e in up if e.tag in HOLDERS)
+
+
+def within(e: Element, holder: Element) -> bool:
+    while e.depth > holder.depth:
+        e = e.parent
+    return e is holder
+
+
+def headed(e: Element) -> bool:
+    """Whether a block is a level-one heading."""
+    while e.tag not in BLOCK and e.parent is not None:
+        e = e.parent
+    return e.tag == "h1"
+
+
 def main_text(page: str | None) -> str:
     found = blocks(page or "")
     if not found:
@@ -197,27 +232,8 @@ def main_text(page: str | None) -> str:
     if most <= 0:
         return ""
     threshold = min(scores.std(), most / 2)
-    votes: dict[int, float] = defaultdict(float)
-    known: dict[int, Element] = {}
-    total = 0.0
-    for (e, text, linked), score in zip(found, scores):
-        if score >= threshold and not e.apart:
-            weight = max(0, len(text) - linked) + 1
-            total += weight
-            while e is not None:
-                votes[id(e)] += weight
-                known[id(e)] = e
-                e = e.parent
-    held = [known[k] for k, v in votes.items() if v >= MAJORITY * total and known[k].tag in ("article", "main", "section", "div", "td", "body", "html", "")]
-    article = max(held, key=lambda e: e.depth)
-    kept = []
-    for e, text, _ in found:
-        up = e
-        while up is not None and up is not article:
-            up = up.parent
-        if up is not None and not e.apart:
-            kept.append(text)
-    return "\n".join(kept)
+    article = held_by([e for (e, _, _), score in zip(found, scores) if score >= threshold and not e.apart])
+    return "\n".join(text for e, text, _ in found if not e.apart and (within(e, article) or headed(e)))
 
 
 def extract(pages: DataFrame) -> DataFrame:
