@@ -273,6 +273,19 @@ def test_html_keeps_nested_and_sibling_containers():
     assert blocks_of(page) == ["A title", a, b]
 
 
+@pytest.mark.parametrize(
+    "mark", ["id=page class='with-sidebar'", "class='post no-comments'", "class='content social-on'", "class=notice", "id=search class='page'", "role=search"]
+)
+def test_html_names_do_not_veto_the_page(mark):
+    (a, b, c), (a_p, b_p, c_p) = paragraphs(3, 5, 4)
+    page = f"<html><body><nav>x</nav><div {mark}><div class='entry-header'><h1>A title</h1></div>{a_p}<p><span class=notice>Note:</span> {b}</p>{c_p}<div class=comments><p>I liked this.</p></div></div></body></html>"
+    assert blocks_of(page) == ["A title", a, "Note: " + b, c]
+    page = f"<html><body><div class=notice>{a_p}{b_p}</div><div class=search>{b_p}{a_p}</div></body></html>"
+    assert blocks_of(page) == [a, b, b, a]
+    page = f"<html><body><article><h1>A title</h1>{c_p}</article><div id=comments>{b_p}{a_p}{b_p}</div></body></html>"
+    assert blocks_of(page) == ["A title", c]
+
+
 @pytest.mark.parametrize("bound", [1 << 20, 0])
 def test_line_dedup(spark, bound):
     want = sorted(brute.lines(DOCS, 3), key=repr)

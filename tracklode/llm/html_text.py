@@ -9,7 +9,9 @@ over the threshold are content nodes; the innermost element that holds all of th
 or the <article> or <main> around it, is the article.  Every block of the article is
 returned, short ones too, and a level-one heading outside it, but for parts
 that are no text of it (navigation, adverts, forms, comments and the like, told by
-tag, role or class), which have ratio zero and are left out.
+tag, or by a whole word of role, class or id), which have ratio zero and are left
+out.  Names don't tell where they stand on what holds the bulk of the page's text and
+no <article> or <main> of some length is outside it, nor on a page with no other text.
 
 Pages are read one by one in a map: no shuffle, one page in memory.
 
@@ -55,51 +57,72 @@ APART_WORDS = frozenset(
 CONTENT = frozenset("article main body html".split())
 TAG = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
 MARK = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
-WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？¿¡]")
 SPACE = re.compile(r"[ \t\n\r\f\v\x85\xa0  -     　]+")
+#: An element with more than BULK of the page's text has no name that sets it apart, unless <article> or <main> elements outside it hold REST of that text.
+BULK, REST = 1 / 2, 1 / 4
 #: Elements that can be the article.
 HOLDERS = frozenset(("article", "main", "section", "div", "td", "body", "html", ""))
 
 
 class Element:
-    __slots__ = ("tag", "parent", "apart", "path", "linked", "depth")
+    __slots__ = ("tag", "parent", "apart", "named", "path", "linked", "depth", "main", "chars", "main_chars")
 
-    def __init__(self, tag: str, marks: str, parent: "Element | None", apart: bool, paths: dict) -> None:
+    def __init__(self, tag: str, marks: str, parent: "Element | None", apart: bool, named: bool, paths: dict) -> None:
         self.tag, self.parent = tag, parent
         self.apart = apart or (parent.apart if parent else False)
+        self.named = named
         self.linked = tag == "a" or (parent.linked if parent else False)
         # A path is its parent's number and its own last step, so deep pages stay small.
         self.path = paths.setdefault((parent.path if parent else -1, tag + marks), len(paths))
         self.depth = parent.depth + 1 if parent else 0
+        self.main = tag in ("article", "main") or (parent.main if parent else False)
+        # Characters without links and parts apart; those in an <article> or <main>.
+        self.chars = self.main_chars = 0
+
+
+def set_apart(elements: list[Element]) -> None:
+    """Sets apart what names tell, inherited; elements come after their parents."""
+    for e in reversed(elements[1:]):
+        e.parent.chars += e.chars
+        e.parent.main_chars += e.main_chars
+    page = elements[0]
+    for e in elements[1:]:
+        bulk = e.chars > BULK * page.chars and page.main_chars - e.main_chars < REST * e.chars
+        e.apart = e.apart or e.parent.apart or (e.named and not bulk)
 
 
 def named_apart(tag: str, attributes: str) -> tuple[bool, str]:
-    """Whether an element's tag, class, id or role sets it apart; its class for the path."""
+    """Whether a word of an element's class, id or role may set it apart; its class for the path."""
     marks, words = "", set()
     for kind, value in MARK.findall(attributes):
         value = value.strip("\"'")
-        words.update(w.lower() for w in WORD.findall(value))
+        words.update(value.lower().split())
         if kind.lower() == "class":
             marks = "." + ".".join(value.split())
-    return (tag in APART or (tag not in CONTENT and not words.isdisjoint(APART_WORDS))), marks
+    return tag not in CONTENT and not words.isdisjoint(APART_WORDS), marks
+
 
+def blocks(page: str, names: bool = True) -> list[tuple[Element, str, int, bool]]:
+    """(element, text, length of its link text, set apart) of each block, in page order.
 
-def blocks(page: str) -> list[tuple[Element, str, int]]:
-    """(element, text, length of its link text) of each block, in page order."""
+    A block is set apart if all of its text is.  Without ``names`` only tags tell.
+    """
     paths: dict[tuple[int, str], int] = {}
-    root = Element("", "", None, False, paths)
+    root = Element("", "", None, False, False, paths)
     here, out = root, []
+    elements = [root]
+    spoken: list[Element] = []
     open_: dict[str, int] = defaultdict(int)
     parts: list[str] = []
     owner, linked = root, 0
 
     def flush() -> None:
-        nonlocal parts, linked
+        nonlocal parts, linked, spoken
         text = SPACE.sub(" ", "".join(parts)).strip(" ")
         if text:
-            out.append((owner, text, linked))
-        parts, linked = [], 0
+            out.append((owner, text, linked, spoken))
+        parts, linked, spoken = [], 0, []
 
     def say(raw: str) -> None:
         nonlocal owner, linked
@@ -109,8 +132,14 @@ def blocks(page: str) -> list[tuple[Element, str, int]]:
                 # A block belongs to the innermost block element around its first text.
                 if not any(p.strip() for p in parts):
                     owner = here
+                n = len(text.strip())
                 if here.linked:
-                    linked += len(text.strip())
+                    linked += n
+                elif not here.apart:
+                    here.chars += n
+                    here.main_chars += n if here.main else 0
+                if n:
+                    spoken.append(here)
             parts.append(text)
 
     def leave(e: Element) -> None:
@@ -161,11 +190,13 @@ def blocks(page: str) -> list[tuple[Element, str, int]]:
             at = end.end() if end else size
             continue
         if not m[2].rstrip().endswith("/"):
-            apart, marks = named_apart(tag, m[2])
-            here = Element(tag, marks, here, apart, paths)
+            named, marks = named_apart(tag, m[2])
+            here = Element(tag, marks, here, tag in APART, named and names, paths)
+            elements.append(here)
             open_[tag] += 1
     flush()
-    return out
+    set_apart(elements)
+    return [(e, text, linked, all(x.apart for x in spoken)) for e, text, linked, spoken in out]
 
 
 def smoothed(x: np.ndarray) -> np.ndarray:
@@ -174,16 +205,16 @@ def smoothed(x: np.ndarray) -> np.ndarray:
     return np.convolve(np.pad(x, 2), weights, "valid") / np.convolve(np.pad(np.ones(len(x)), 2), weights, "valid")
 
 
-def path_scores(found: list[tuple[Element, str, int]]) -> np.ndarray:
+def path_scores(found: list[tuple[Element, str, int, bool]]) -> np.ndarray:
     """The fused ratio of each block's path."""
     length, points, number = defaultdict(float), defaultdict(float), defaultdict(int)
-    for e, text, linked in found:
+    for e, text, linked, _ in found:
         length[e.path] += max(0, len(text) - linked)
         points[e.path] += len(PUNCTUATION.findall(text)) if linked < len(text) else 0
         number[e.path] += 1
-    apart = np.array([e.apart for e, _, _ in found])
-    text_ratio = np.array([length[e.path] / number[e.path] for e, _, _ in found])
-    point_ratio = np.array([points[e.path] / number[e.path] for e, _, _ in found])
+    apart = np.array([x for _, _, _, x in found])
+    text_ratio = np.array([length[e.path] / number[e.path] for e, _, _, _ in found])
+    point_ratio = np.array([points[e.path] / number[e.path] for e, _, _, _ in found])
     text_ratio[apart], point_ratio[apart] = 0.0, 0.0
     return np.where(apart, 0.0, smoothed(text_ratio) * (1 + smoothed(point_ratio)))
 
@@ -223,17 +254,17 @@ def headed(e: Element) -> bool:
     return e.tag == "h1"
 
 
-def main_text(page: str | None) -> str:
-    found = blocks(page or "")
+def main_text(page: str | None, names: bool = True) -> str:
+    found = blocks(page or "", names)
     if not found:
         return ""
     scores = path_scores(found)
     most = scores.max()
     if most <= 0:
-        return ""
+        return main_text(page, names=False) if names else ""
     threshold = min(scores.std(), most / 2)
-    article = held_by([e for (e, _, _), score in zip(found, scores) if score >= threshold and not e.apart])
-    return "\n".join(text for e, text, _ in found if not e.apart and (within(e, article) or headed(e)))
+    article = held_by([e for (e, _, _, apart), score in zip(found, scores) if score >= threshold and not apart])
+    return "\n".join(text for e, text, _, apart in found if not apart and (within(e, article) or headed(e)))
 
 
 def extract(pages: DataFrame) -> DataFrame:
