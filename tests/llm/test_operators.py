@@ -286,6 +286,19 @@ def test_html_names_do_not_veto_the_page(mark):
     assert blocks_of(page) == ["A title", c]
 
 
+@pytest.mark.parametrize(
+    ("inner", "said"),
+    [
+        ("<svg class=x />", ""), ("<svg>", ""), ("<svg><path d='M0'></svg>", ""), ("<svg><text>T</text></svg>", ""), ("<math/>", ""), ("<noscript>", ""), ("<object data=x>", ""), ("<template>", ""),
+        ("<math><mi>x</mi><mo>=</mo><mn>2</mn></math>", "x=2"), ("<math><mi>y</mi>", "y"), ("<script>var a = '<p>';</script>", ""), ("<style>p{}</style>", ""),
+    ],
+)
+def test_html_reads_on_after_raw_elements(inner, said):
+    (a, b, c), (a_p, b_p, c_p) = paragraphs(3, 5, 4)
+    page = f"<html><body><article><h1>A title</h1>{a_p}<p>Here {inner} {b}</p>{c_p}</article></body></html>"
+    assert blocks_of(page) == ["A title", a, " ".join(filter(None, ("Here", said, b))), c]
+
+
 @pytest.mark.parametrize("bound", [1 << 20, 0])
 def test_line_dedup(spark, bound):
     want = sorted(brute.lines(DOCS, 3), key=repr)

@@ -16,7 +16,8 @@ no <article> or <main> of some length is outside it, nor on a page with no other
 Pages are read one by one in a map: no shuffle, one page in memory.
 
 Cases: a null or empty page, or one without text, gives an empty text; unclosed and
-stray tags, and a page cut off in a tag, are read as far as they go; character
+stray tags, and a page cut off in a tag, are read as far as they go; formulas in
+<math> are text; an <svg> without an end is passed over by its tags alone; character
 references without a semicolon are decoded as browsers do; repeated rows are read
 each; an empty table gives an empty result; other columns are ignored.
 """
@@ -36,8 +37,10 @@ from pyspark.sql import types as T
 
 #: Elements without content.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose content is no markup.
-RAW = frozenset("script style noscript template iframe textarea title xmp noframes svg math object".split())
+#: Elements whose content is passed over.
+RAW = frozenset("script style noscript template iframe textarea title xmp noframes svg object".split())
+#: Those whose content is no markup, so that it goes on to the end of the page without an end tag.
+ENDLESS = frozenset("script style iframe textarea title xmp noframes".split())
 #: Elements that part blocks.
 BLOCK = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header"
@@ -159,6 +162,7 @@ def blocks(page: str, names: bool = True) -> list[tuple[Element, str, int, bool]
         leave(e)
 
     at, size = 0, len(page)
+    unended: set[str] = set()
     while at < size:
         m = TAG.search(page, at)
         if m is None:
@@ -185,10 +189,12 @@ def blocks(page: str, names: bool = True) -> list[tuple[Element, str, int, bool]
                 e = e.parent
         if tag in VOID:
             continue
-        if tag in RAW:
+        if tag in RAW and tag not in unended and not (tag == "svg" and m[2].rstrip().endswith("/")):
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|$)", re.I).search(page, at)
-            at = end.end() if end else size
-            continue
+            if end or tag in ENDLESS:
+                at = end.end() if end else size
+                continue
+            unended.add(tag)  # read on as markup
         if not m[2].rstrip().endswith("/"):
             named, marks = named_apart(tag, m[2])
             here = Element(tag, marks, here, tag in APART, named and names, paths)
