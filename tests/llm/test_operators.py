@@ -139,6 +139,33 @@ def test_pii(spark):
     assert pii.pseudonymise(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "value"),
+    [
+        ("pay 4111 1111 1111 1111 12/25", "card", "4111 1111 1111 1111"),
+        ("pay 4111 1111 1111 1111 123 now", "card", "4111 1111 1111 1111"),
+        ("order 12 4111 1111 1111 1111.", "card", "4111 1111 1111 1111"),
+        ("4111111111111111 2024-01-31", "card", "4111111111111111"),
+        ("on 2020-02-29 3782 822463 10005 12 34", "card", "3782 822463 10005"),
+        ("12 34 56 78 90 12 5555-5555-5555-4444 99 88 77", "card", "5555-5555-5555-4444"),
+        ("AT61 1904 3002 3457 3201 EUR", "iban", "AT61 1904 3002 3457 3201"),
+        ("AT611904300234573201 BIC BKAUATWW", "iban", "AT611904300234573201"),
+        ("AB12 AT61 1904 3002 3457 3201 EUR 50", "iban", "AT61 1904 3002 3457 3201"),
+        ("NO93 8601 1117 947 NOK", "iban", "NO93 8601 1117 947"),
+    ],
+)
+def test_pii_finds_validated_numbers_among_others(text, kind, value):
+    f = pii.Feistel(b"key")
+    out, found = pii.pseudonymised(text, f)
+    assert found[kind] == 1 and value not in out and pii.MAKERS[kind](value, f) in out
+
+
+def test_pii_leaves_numbers_that_fail():
+    f = pii.Feistel(b"key")
+    for text in ("4111 1111 1111 1112 12", "AT61 1904 3002 3457 3202 EUR", "0000 0000 0000 0000 1", "x-4111111111111111", "4111111111111111.5", "41111111111111111111111"):
+        assert pii.pseudonymised(text, f) == (text, {})
+
+
 def test_feistel_is_a_permutation():
     f = pii.Feistel(b"key")
     for size in (1, 2, 7, 100, 1000):

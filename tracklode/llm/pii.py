@@ -4,10 +4,11 @@ Each find is permuted by a keyed Feistel network within its own format, so a val
 gets the same pseudonym in every document and stays linked, and different values of
 one format get different pseudonyms:
 
-* payment cards: 13 to 19 digits, parted as written, that pass the Luhn check; all
-  digits but the last are permuted and the last is made to pass again;
-* IBANs with valid check digits: the rest is permuted letter by letter class, and
-  the check digits are made valid again;
+* payment cards: 13 to 19 digits, parted as written, that pass the Luhn check, also
+  among other digits that only a space or hyphen parts from them; all digits but the
+  last are permuted and the last is made to pass again;
+* IBANs with valid check digits, also next to other capitals and digits: the rest is
+  permuted letter by letter class, and the check digits are made valid again;
 * US social security numbers and NANP telephone numbers (with or without +1), and
   other international numbers led by + : digits are permuted;
 * dates (year-month-day, day.month.year, month/day/year) that exist between 1900
@@ -51,14 +52,25 @@ LETTERS = "abcdefghijklmnopqrstuvwxyz"
 NUMBERS = {
     "ipv4": re.compile(r"(?<![\d.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\d|\.\d)"),
     "date": re.compile(r"(?<![\d./-])[0-9](?:[0-9]{3}-[0-9]{2}-[0-9]{2}|[0-9]?\.[0-9]{1,2}\.[0-9]{4}|[0-9]?/[0-9]{1,2}/[0-9]{4})(?![\d/-]|\.\d)"),
-    "card": re.compile(r"(?<![\d.-])[0-9](?:[ -]?[0-9]){12,18}(?!\d|[.-]\d)"),
     "ssn": re.compile(r"(?<![\d-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?!\d|-\d)"),
     "phone": re.compile(
         r"(?<![\d+])[0-9(+](?:(?<=\+)1[ .-]?|(?<=1)[ .-]?)?(?:(?<=\()|\()?[0-9]{2,3}\)?[ .-]?[0-9]{3}[ .-][0-9]{4}(?!\d|-\d)"
         r"|(?<![\d+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?!\d|-\d)"
     ),
 }
-IBAN = re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?\b")
+#: Digits that at most a space or hyphen parts, long enough to hold a card.
+RUN = re.compile(r"(?<!\d)[0-9](?:[ -]?[0-9]){12,}")
+GROUP = re.compile("[0-9]+")
+#: How cards are parted mostly; of several numbers that pass, these go first.
+USUAL = frozenset({(4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 4, 4, 4, 1), (4, 4, 4, 4, 2), (4, 4, 4, 4, 3), (6, 13), *((n,) for n in range(13, 20))})
+#: From each place where an IBAN may start, the most that can be one.
+IBAN = re.compile(r"\b(?=([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?\b))")
+#: IBAN lengths by country.
+IBAN_LENGTH = {c[:2]: int(c[2:]) for c in (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 GL18"
+    " GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15"
+    " OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30"
+).split()}
 DIGIT = re.compile("[0-9]")
 DOMAIN = re.compile(r"@[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{2,}")
 LOCAL = re.compile(r"[\w.+%-]+\Z")
@@ -141,9 +153,42 @@ def placed(form: str, digits: str) -> str:
     return "".join(next(it) if c.isdigit() else c for c in form)
 
 
+def is_card(digits: str) -> bool:
+    return luhn(digits) and len(set(digits)) > 1
+
+
+def cards(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of the numbers that can be cards; none overlap.
+
+    In a run of groups every number of 13 to 19 digits made of whole groups is
+    tried.  Of those that pass, the usual forms go first, then the longest, then
+    the first.
+    """
+    for m in RUN.finditer(text):
+        groups = [g.span() for g in GROUP.finditer(text, *m.span())]
+        if m.start() and text[m.start() - 1] in ".-":
+            groups = groups[1:]
+        if text[m.end() : m.end() + 1] in (".", "-") and text[m.end() + 1 : m.end() + 2].isdigit():
+            groups = groups[:-1]
+        valid = []
+        for i in range(len(groups)):
+            digits, form = "", ()
+            for a, b in groups[i:]:
+                digits, form = digits + text[a:b], (*form, b - a)
+                if len(digits) > 19:
+                    break
+                if len(digits) >= 13 and is_card(digits):
+                    valid.append((form not in USUAL, -len(digits), i, len(form)))
+        taken: set[int] = set()
+        for _, _, i, n in sorted(valid):
+            if taken.isdisjoint(range(i, i + n)):
+                taken.update(range(i, i + n))
+                yield groups[i][0], groups[i + n - 1][1]
+
+
 def card(text: str, f: Feistel) -> str | None:
     digits = "".join(c for c in text if c.isdigit())
-    if not luhn(digits) or len(set(digits)) == 1:
+    if not is_card(digits):
         return None
     body = str(f.number("card", int(digits[:-1]), 10 ** (len(digits) - 1))).zfill(len(digits) - 1)
     return placed(text, next(body + d for d in "0123456789" if luhn(body + d)))
@@ -153,9 +198,25 @@ def iban_rest(code: str) -> int:
     return int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97
 
 
+def is_iban(code: str) -> bool:
+    return 15 <= len(code) <= 34 and iban_rest(code) == 1
+
+
+def ibans(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of the valid IBANs: by the country's length if that is valid, else the longest."""
+    for m in IBAN.finditer(text):
+        start, most = m.start(), m[1]
+        ends = [i for i, c in enumerate(most) if c == " "] + [len(most)]
+        wanted = IBAN_LENGTH.get(most[:2])
+        for end in sorted(ends, key=lambda e: (len(most[:e].replace(" ", "")) != wanted, -e)):
+            if is_iban(most[:end].replace(" ", "")):
+                yield start, start + end
+                break
+
+
 def iban(text: str, f: Feistel) -> str | None:
     code = text.replace(" ", "")
-    if not 15 <= len(code) <= 34 or iban_rest(code) != 1:
+    if not is_iban(code):
         return None
     body = f.symbols("iban|" + code[:2], code[4:])
     new = code[:2] + f"{98 - iban_rest(code[:2] + '00' + body):02d}" + body
@@ -239,8 +300,10 @@ def finds(text: str) -> Iterator[tuple[int, int, str]]:
     if DIGIT.search(text):
         for m in HEX.finditer(text):
             yield m.start(), m.end(), "secret"
-        for m in IBAN.finditer(text):
-            yield m.start(), m.end(), "iban"
+        for start, end in ibans(text):
+            yield start, end, "iban"
+        for start, end in cards(text):
+            yield start, end, "card"
         for kind, pattern in NUMBERS.items():
             for m in pattern.finditer(text):
                 yield m.start(), m.end(), kind
