@@ -244,6 +244,54 @@ def test_decontaminate(spark):
     assert {r["doc_id"] for r in loose.collect()} <= {1}
 
 
+def near_places(docs, items, slop, width):
+    """{(doc_id, words of the window, pos)} and {doc_id: (windows, items)}, by trying all pairs of places."""
+    words = [(i, brute.WORD.findall((t or "").translate(brute.AZ))) for i, t in docs]
+    tf, whose = {}, {}
+    for _, w in words:
+        for x in w:
+            tf[x] = tf.get(x, 0) + 1
+    for item, t in items:
+        w = brute.WORD.findall((t or "").translate(brute.AZ))
+        for s in range(max(1, len(w) - width + 1) if w else 0):
+            whose.setdefault(tuple(w[s : s + width]), set()).add(item)
+    places = set()
+    for win in whose:
+        rare = sorted((tf[x], x, k) for k, x in enumerate(win) if x in tf)[:2]
+        for i, w in words:
+            for p, x in enumerate(w):
+                if rare and x == rare[0][1] and (
+                    len(win) == 1
+                    or len(rare) == 2
+                    and any(y == rare[1][1] and q != p and abs(q - p - rare[1][2] + rare[0][2]) <= slop for q, y in enumerate(w))
+                ):
+                    places.add((i, " ".join(win), p))
+    near = {}
+    for i, win, _ in places:
+        near.setdefault(i, (set(), set()))
+        near[i][0].add(win)
+        near[i][1].update(whose[tuple(win.split(" "))])
+    return places, {i: (len(a), len(b)) for i, (a, b) in near.items()}
+
+
+@pytest.mark.parametrize("slop", [0, 1, 3])
+def test_proximity_equals_all_pairs(spark, slop):
+    rng = np.random.default_rng(slop)
+    often = [f"w{k}" for k in range(8)]
+    # A rare term next to ones far over RATIO times as frequent, absent terms, a word twice, one word.
+    docs = [(i, " ".join(rng.choice([*often, "rare", "seldom"], 60, p=[0.12] * 8 + [0.01, 0.03]))) for i in range(30)]
+    docs += [(None, "w1 rare w2"), (40, None), (41, "Seldom W3"), (42, "w0 w0"), (43, "w0")]
+    items = [(1, "rare w1 w2"), (2, "absent w3 seldom missing w4"), (3, "seldom"), (4, "nowhere"), (5, "w0 x w0"), (6, " ".join([*often, "rare", *often])), (7, "rare w1 w2"), (8, None), (9, "gone w5")]
+    want, per_doc = near_places(docs, items, slop, 4)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    out = decontaminate.proximity_matches(frame(spark, docs), bench, slop, 4).collect()
+    wins = {r["win"]: " ".join(r["terms"]) for r in decontaminate.windows(bench, 4).collect()}
+    assert {(r["doc_id"], wins[r["win"]], r["pos"]) for r in out} == want and len(out) == len(want) > 100
+    rows = got(decontaminate.proximity(frame(spark, docs), bench, slop, 4), "doc_id", "n_near", "n_near_items", "near")
+    assert rows == sorted(((i, *per_doc.get(i, (0, 0)), i in per_doc) for i, _ in docs), key=repr)
+    assert decontaminate.proximity(frame(spark, []), bench).count() == 0 and not decontaminate.proximity(frame(spark, docs), bench.limit(0)).where("near").count()
+
+
 def test_decontaminate_is_native(spark):
     bench = spark.createDataFrame([(1, PROSE)], "item_id long, text string")
     plan = decontaminate.contamination(frame(spark), bench)._jdf.queryExecution().toString()

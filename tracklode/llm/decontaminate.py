@@ -71,13 +71,8 @@ def term_rows(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(words(F.col("text"))).alias("pos", "raw"))
 
 
-def rarest_terms(docs: DataFrame, wins: DataFrame, lists: int = LISTS) -> DataFrame:
-    """The ``lists`` rarest terms of each window: win, place, term, rank from 1.
-
-    Counts are over the whole corpus.  A window with a term that the corpus
-    lacks can't occur, and goes.  Terms with a list over ``RATIO`` times the
-    rarest's are left to the check of the whole phrase.
-    """
+def counted_terms(docs: DataFrame, wins: DataFrame) -> DataFrame:
+    """The terms of each window with their counts in the whole corpus: win, place, term, tf."""
     places = wins.select("win", F.posexplode("terms").alias("place", "term"))
     vocabulary = places.select("term").distinct()
     # lower() agrees with A-Z folding as a first sieve, and costs less.
@@ -91,7 +86,17 @@ def rarest_terms(docs: DataFrame, wins: DataFrame, lists: int = LISTS) -> DataFr
         .groupBy(folded(F.col("raw")).alias("term"))
         .agg(F.sum("count").alias("tf"))
     )
-    seen = places.join(counts, "term", "left").withColumn("tf", F.coalesce("tf", F.lit(0)))
+    return places.join(counts, "term", "left").withColumn("tf", F.coalesce("tf", F.lit(0)))
+
+
+def rarest_terms(docs: DataFrame, wins: DataFrame, lists: int = LISTS) -> DataFrame:
+    """The ``lists`` rarest terms of each window: win, place, term, rank from 1.
+
+    Counts are over the whole corpus.  A window with a term that the corpus
+    lacks can't occur, and goes.  Terms with a list over ``RATIO`` times the
+    rarest's are left to the check of the whole phrase.
+    """
+    seen = counted_terms(docs, wins)
     ranked = seen.withColumn("rank", F.row_number().over(Window.partitionBy("win").orderBy("tf", "term", "place")))
     alive = ranked.withColumn("least", F.min("tf").over(Window.partitionBy("win")))
     short = (F.col("rank") <= lists) & (F.col("tf") <= F.col("least") * RATIO)
@@ -156,29 +161,64 @@ def phrase_matches(docs: DataFrame, items: DataFrame, width: int = WIDTH, lists:
     return found.select("a.doc_id", "a.start", "a.n", "a.items"), lengths
 
 
+def rarest_pairs(docs: DataFrame, wins: DataFrame) -> DataFrame:
+    """Each window's two rarest terms that the corpus has: win, term, place, term2, place2.
+
+    Other terms may be missing there.  A window of one word has no second term; a
+    longer one with fewer than two present terms has no proximity, and goes.
+    """
+    present = counted_terms(docs, wins).where("tf > 0")
+    two = present.groupBy("win").agg(F.slice(F.array_sort(F.collect_list(F.struct("tf", "term", "place"))), 1, 2).alias("t"))
+    held = two.join(wins.select("win", "n"), "win").where((F.size("t") == 2) | (F.col("n") == 1))
+    one, other = F.col("t")[0], F.get("t", F.lit(1))
+    return held.select("win", one["term"].alias("term"), one["place"].alias("place"), other["term"].alias("term2"), other["place"].alias("place2"))
+
+
 def proximity_matches(docs: DataFrame, items: DataFrame, slop: int = 3, width: int = WIDTH) -> DataFrame:
-    """Places where a window's two rarest terms stand within ``slop`` of their distance.
+    """Places where a window's two rarest present terms stand within ``slop`` of their distance.
 
-    Returns doc_id, win, pos (of the rarest term).  Looser than a phrase: words
-    between may differ.  Each posting meets the other list through blocks of
-    ``slop + 1`` positions, so no all-pairs join arises.
+    Returns doc_id, win, pos (of the rarest term), items.  Looser than a phrase: other
+    words may differ.  A window of one word matches where the word stands.  Each posting
+    meets the other list through blocks of ``2 * slop + 1`` positions, of which it
+    reaches two at most, so no all-pairs join arises.
     """
     wins = staged(windows(items, width), "bench-windows")
-    rare = staged(rarest_terms(docs, wins, 2), "rarest-terms")
-    index = staged(postings(docs, rare.select("term")), "postings").where(F.col("term") != END)
-    one, two = (rare.where(F.col("rank") == r).select("win", "place", "term") for r in (1, 2))
-    want = index.join(one, "term").select("doc_id", "win", "pos", F.col("place").alias("place1"))
-    want = want.join(two.select("win", "term", "place"), "win")
-    due = want.withColumn("due", F.col("pos") + F.col("place") - F.col("place1"))
-    block = F.floor(F.col("due") / (slop + 1))
-    due = due.withColumn("block", F.explode(F.array(block - 1, block, block + 1)))
-    other = index.select(F.col("doc_id").alias("doc2"), F.col("term").alias("term2"), F.col("pos").alias("pos2"))
-    other = other.withColumn("block2", F.floor(F.col("pos2") / (slop + 1)))
+    pairs = staged(rarest_pairs(docs, wins), "rarest-pairs")
+    terms = pairs.select("term").union(pairs.where("term2 IS NOT NULL").select("term2")).distinct()
+    index = staged(postings(docs, terms), "proximity-postings").where(F.col("term") != END)
+    want = index.join(checked_broadcast(pairs, TERM_BYTES), "term")
+    single = want.where("term2 IS NULL").select("doc_id", "win", "pos")
+    due = want.where("term2 IS NOT NULL").select("doc_id", "win", "pos", "term2", (F.col("pos") + F.col("place2") - F.col("place")).alias("due"))
+    wide = 2 * slop + 1
+    ends = F.array_distinct(F.array(F.floor((F.col("due") - slop) / wide), F.floor((F.col("due") + slop) / wide)))
+    due = due.withColumn("block", F.explode(ends)).alias("d")
+    other = index.select("doc_id", "term", "pos", F.floor(F.col("pos") / wide).alias("block")).alias("o")
     met = due.join(
         other,
-        (F.col("term") == F.col("term2")) & (F.col("block") == F.col("block2")) & F.col("doc_id").eqNullSafe(F.col("doc2")),
-    ).where(F.abs(F.col("pos2") - F.col("due")) <= slop)
-    return met.select("doc_id", "win", "pos").distinct()
+        (F.col("d.term2") == F.col("o.term"))
+        & (F.col("d.block") == F.col("o.block"))
+        & F.col("d.doc_id").eqNullSafe(F.col("o.doc_id"))
+        & (F.abs(F.col("o.pos") - F.col("d.due")) <= slop)
+        & (F.col("o.pos") != F.col("d.pos")),  # a word isn't its own neighbour
+        "left_semi",
+    )
+    found = met.select("doc_id", "win", "pos").union(single).distinct()
+    return found.join(wins.select("win", "items"), "win").select("doc_id", "win", "pos", "items")
+
+
+def proximity(docs: DataFrame, items: DataFrame, slop: int = 3, width: int = WIDTH) -> DataFrame:
+    """docs(doc_id, text), items(item_id, text) -> one row per document: doc_id, n_near (windows near some place), n_near_items, near."""
+    docs = docs.select("doc_id", "text")
+    # One row a document and window, so that items aren't repeated for every place.
+    near = proximity_matches(docs, items, slop, width).groupBy("doc_id", "win").agg(F.first("items").alias("items"))
+    near = staged(near, "proximity-windows")
+    n_windows = near.groupBy("doc_id").agg(F.count("*").alias("n_near"))
+    n_items = near.select("doc_id", F.explode("items").alias("item")).distinct().groupBy("doc_id").agg(F.count("*").alias("n_near_items"))
+    out = docs.select("doc_id").alias("d")
+    for name, held in (("w", n_windows), ("i", n_items)):
+        out = out.join(held.alias(name), F.col("d.doc_id").eqNullSafe(F.col(f"{name}.doc_id")), "left")
+    n = F.coalesce("w.n_near", F.lit(0))
+    return out.select("d.doc_id", n.alias("n_near"), F.coalesce("i.n_near_items", F.lit(0)).alias("n_near_items"), (n > 0).alias("near"))
 
 
 def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH, lists: int = LISTS) -> DataFrame:
@@ -223,6 +263,11 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(docs, items.select("item_id", "text"))
 
 
+def op7_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    return proximity(docs, items.select("item_id", "text"))
+
+
 OP7_SQL = r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -251,5 +296,5 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN ids USING (doc_id)
 """
 
-QUERIES = {"op7_decontaminate": op7_decontaminate}
+QUERIES = {"op7_decontaminate": op7_decontaminate, "op7_proximity": op7_proximity}
 ORACLE = {"op7_decontaminate": OP7_SQL}
