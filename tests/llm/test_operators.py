@@ -97,6 +97,31 @@ def test_simhash_links_clusters(spark, limit):
     assert all(pairs.setdefault(least[x], label[x]) == label[x] for x in out) and len(pairs) == len(set(label.values()))
 
 
+@pytest.mark.parametrize("batch", [1, 2, 3])
+def test_simhash_links_across_batches(spark, batch):
+    # Pairs whose difference leaves one triple equal: bits 0, 11, 22 and 33 of the blocks 0 to 3.
+    pairs = [(x := int(v), x ^ (1 | 1 << 11 | 1 << 22 | 1 << 33)) for v in np.random.default_rng(3).integers(0, 2**62, 25)]
+    df = spark.createDataFrame([(x,) for p in pairs for x in p], "fp long")
+    held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        stars = {r["a"]: r["b"] for r in simhash.components(simhash.links(df)).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
+    assert all(stars.get(a, a) == stars.get(b, b) for a, b in pairs)
+
+
+@pytest.mark.parametrize("cut", [1, 2])
+def test_simhash_group_cut_by_a_batch(cut):
+    # [home A, replica A | replica B] and [home A, replica B | replica A]: the carried home meets the rest.
+    a, b = 5, 7
+    fps = np.array([[a, a, b], [a, b, a]][cut - 1], np.uint64)
+    home = np.array([True, False, False])
+    first = simhash.compared(np.zeros(2, np.int64), fps[:2], home[:2], 4)
+    rest = simhash.compared(np.zeros(2, np.int64), fps[[0, 2]], home[[0, 2]], 4)
+    assert [(int(x), int(y)) for out in (first, rest) for x, y in zip(*out)] == [(b, a)]
+
+
 def test_bpe_equals_the_library(spark):
     from tokenizers import Tokenizer
 

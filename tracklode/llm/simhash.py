@@ -148,7 +148,8 @@ def compared(key: np.ndarray, fp: np.ndarray, home: np.ndarray, threshold: int)
     size = np.diff(np.concatenate((start, [len(key)])))
     n_homes = np.add.reduceat(home.astype(np.int64), start)
     left, right = [], []
-    live = (n_homes > 0) & (size > 2)  # more than one home and its own replica
+    # Some row differs from the first, which is a home; a batch may end before that home's own replica.
+    live = (n_homes > 0) & np.logical_or.reduceat(fp != np.repeat(fp[start], size), start)
     first, count = np.repeat(start, size), np.repeat(np.where(live & (n_homes <= FEW), n_homes, 0), size)
     member = np.flatnonzero((count > 0) & ~home)
     for k in range(FEW):
