@@ -44,3 +44,12 @@ def test_oracle(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE)))
 def test_rows(spark, name):
     assert catalog.QUERIES[name](spark, SF).count() > 0
+
+
+def test_readable_sizes_keep_large_ids(spark, tmp_path):
+    keys = [1, 99_999_999, 100_000_000, 1_100_000_000, 1_200_000_000, 1_000_000_000_000]
+    spark.createDataFrame([(k,) for k in keys], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    got = {r["c_custkey"]: r["size"] for r in catalog.QUERIES["readable_sizes"](spark, str(tmp_path)).collect()}
+    assert sorted(got) == keys
+    assert got[1] == "7 B" and got[1_000_000_000_000] == f"{7 * 10**24 // 2**60} EiB"
+    assert got[1_100_000_000].startswith("7.3") and got[1_200_000_000].startswith("8.7") and got[1_200_000_000].endswith(" EiB")

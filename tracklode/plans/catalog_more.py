@@ -130,8 +130,15 @@ def stream_id_parse(spark, d):
     base="unused AS (SELECT 1)",
 )
 def readable_sizes(spark, d):
-    c = spark.read.parquet(f"{d}/customer.parquet").where("c_custkey < 100000000")
-    return c.select("c_custkey", text.readable_size(F.col("c_custkey") * F.col("c_custkey") * 7).alias("size"))
+    key = F.col("c_custkey").cast("decimal(19,0)")
+    c = spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", (key * key * 7).cast("decimal(38,0)").alias("n"))
+    # From 8 EiB on a size is no long; it is cut to PiB, or to whole EiB where it has no decimals.
+    big, huge, eib = F.col("n") >= F.lit(str(1 << 63)).cast("decimal(38,0)"), F.col("n") >= F.lit(str(100 << 60)).cast("decimal(38,0)"), F.lit(1 << 60)
+    small = text.readable_size(F.when(~big, F.col("n")).otherwise(0).cast("long"))
+    some = F.when(big & ~huge, F.col("n")).otherwise(0).cast("decimal(38,0)")
+    cut = F.replace(text.readable_size(((some - some % (1 << 50)) / (1 << 50)).cast("long")), F.lit("KiB"), F.lit("EiB"))
+    whole = F.concat(((F.col("n") - F.col("n") % eib) / eib).cast("decimal(38,0)").cast("string"), F.lit(" EiB"))
+    return c.select("c_custkey", F.when(huge, whole).when(big, cut).otherwise(small).alias("size"))
 
 
 @query(
