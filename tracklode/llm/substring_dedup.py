@@ -8,31 +8,39 @@ anywhere else in the corpus (in the same document too; overlaps count).
    alone, so equal windows have equal anchors at equal distance.  Windows that share
    an anchor place are a run, with one context: the bytes from the run's first window
    to its last one's end.  One row per run goes on: gram hash, context hash, place.
-2. Runs whose gram hash occurs once hold no repeat.  Where all contexts of a gram
-   hash are the same (128 bits of hash agree) every window is a repeat.
-3. Where contexts differ, one copy of each distinct context is read, and the contexts
-   of a gram form a repetitive text with a run-length index: its Burrows-Wheeler
-   transform is cut into runs, the suffix order is sampled at run heads and run ends,
-   and only there are lengths of common prefixes computed; the matching statistics of
-   all other places follow while streaming over the text (each is one less than that
-   of the place before).  Windows with a statistic of ``length`` or more are repeats.
-   Windows of one run never see themselves: a run's windows lie in its own context
-   only.
-4. A gram with more than ``most`` distinct contexts is too much for one task.  Its
-   windows are hashed (128 bits), dealt by hash and counted instead.
+   Runs that follow each other with one gram and one context (text with a period)
+   are one row with a number of copies.
+2. Runs whose gram hash occurs once hold no repeat.  Of every other gram each distinct
+   context is read from the text, and from a second place too if it has copies.
+3. A gram with more than ``group`` distinct contexts is split: windows are told apart
+   by whether their anchor lies in their first or second half, and each half's
+   contexts meet under a longer key, the bytes that all of that half's windows hold.
+   Halves are halved again while they stay too large; at the end a key is a whole
+   window and has one context, so this ends for any input, and every level is a
+   shuffle by key.
+4. The contexts of some grams form a repetitive text with a run-length index: the runs
+   of its Burrows-Wheeler transform, and for both ends of each run a sample of how far
+   the suffix before agrees with its neighbour.  Contexts are streamed through the
+   index from their last byte to their first, a step to the byte before at a time.
+   Inside a run the match with a neighbour grows by one byte; at a run's head or end
+   the sample says what it is.  The longer of both is the matching statistic of the
+   place: how long a string from there also starts elsewhere.  Windows with a statistic
+   of ``length`` or more are repeats.  Windows of one run never see themselves: a run's
+   windows lie in its own context only.
 
 Documents get their spans by id and text hash; the text is joined once to read
 contexts and once to cut.
 
 Cases: a null text counts as empty; texts shorter than ``length`` keep all bytes;
 very long texts are read in overlapping pieces of ``PIECE`` windows; repeated rows are
-copies of each other and lose their repeats; an empty table gives an empty result;
-other columns are ignored.
+copies of each other and lose their repeats; ties between grams go to the leftmost; an
+empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,12 +55,12 @@ from tracklode.llm.shared import staged
 LENGTH = 400
 GRAM = 48
 PIECE = 1 << 19
-#: Distinct contexts of a gram that one index takes.
-MOST = 2000
+#: Distinct contexts that meet under one key.
+GROUP = 128
 #: Bytes of context indexed at a time.
 BATCH = 1 << 20
-#: Bytes that the first sort looks at.
-FIRST = 6
+#: Bytes that the first sort looks at; with them, a number of groups up to MOST_GROUPS fits 64 bits.
+FIRST, MOST_GROUPS = 6, 30_000
 BROADCAST_BYTES = 4 << 20
 MIX = 0x9E3779B97F4A7C15
 
@@ -91,8 +99,15 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - span)], x[width - span :]) if width > span else x
 
 
-def runs(text: bytes, length: int, grams: Grams) -> Iterator[tuple[int, int, int, int]]:
-    """(gram hash, context hash, first window, last window) of each run, as signed numbers."""
+def signed(h: int) -> int:
+    return h - (1 << 64) if h >> 63 else h
+
+
+def runs(text: bytes, length: int, grams: Grams) -> Iterator[tuple[int, int, int, int, int, int]]:
+    """(gram hash, context hash, first window, last window, anchor's distance, copies) of each run.
+
+    Copies beyond the first follow it, as wide as it is.
+    """
     width = length - grams.gram + 1
     for base in range(0, max(0, len(text) - length + 1), PIECE):
         piece = text[base : base + PIECE + length - 1]
@@ -102,10 +117,17 @@ def runs(text: bytes, length: int, grams: Grams) -> Iterator[tuple[int, int, int
         low = sliding_min((h & np.uint64(2**64 - 2**20)) | place, width)
         heads = np.concatenate(([0], np.flatnonzero(low[1:] != low[:-1]) + 1))
         ends = np.concatenate((heads[1:], [len(low)])) - 1
-        anchors = h[(low[heads] & np.uint64(2**20 - 1)).astype(np.int64)].view(np.int64)
-        for g, first, last in zip(anchors.tolist(), heads.tolist(), ends.tolist()):
-            c = xxhash.xxh3_64_intdigest(piece[first : last + length])
-            yield g, c - (1 << 64) if c >> 63 else c, base + first, base + last
+        at = (low[heads] & np.uint64(2**20 - 1)).astype(np.int64)
+        held = None
+        for g, first, last, away in zip(h[at].view(np.int64).tolist(), heads.tolist(), ends.tolist(), (at - heads).tolist()):
+            c = signed(xxhash.xxh3_64_intdigest(piece[first : last + length]))
+            if held is not None and held[:2] == (g, c):
+                held = (*held[:5], held[5] + 1)
+                continue
+            if held is not None:
+                yield held
+            held = (g, c, base + first, base + last, away, 1)
+        yield held
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -114,10 +136,9 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def run_rows(docs: DataFrame, length: int) -> DataFrame:
-    """docs -> g, c, doc_id, k, first, last."""
-    schema = T.StructType(
-        [T.StructField("g", T.LongType()), T.StructField("c", T.LongType()), docs.schema["doc_id"], T.StructField("k", T.LongType()), T.StructField("first", T.LongType()), T.StructField("last", T.LongType())]
-    )
+    """keyed docs -> g, c, first, last, away, copies, doc_id, k."""
+    names = ["g", "c", "first", "last", "away", "copies"]
+    schema = T.StructType([*(T.StructField(n, T.LongType()) for n in names), docs.schema["doc_id"], T.StructField("k", T.LongType())])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = Grams(GRAM if length > 2 * GRAM else max(1, length // 2))
@@ -127,42 +148,59 @@ def run_rows(docs: DataFrame, length: int) -> DataFrame:
                 own = list(runs(text.as_py(), length, grams))
                 whose += [i] * len(own)
                 found += own
-            g, c, first, last = (pa.array(x, pa.int64()) for x in (zip(*found) if found else ([], [], [], [])))
+            columns = [pa.array(x, pa.int64()) for x in (zip(*found) if found else [()] * len(names))]
             at = pa.array(whose, pa.int64())
-            yield pa.RecordBatch.from_arrays([g, c, batch.column(0).take(at), batch.column(1).take(at), first, last], schema.names)
+            yield pa.RecordBatch.from_arrays([*columns, batch.column(0).take(at), batch.column(1).take(at)], schema.names)
 
     return docs.mapInArrow(emit, schema)
 
 
-def suffix_order(data: np.ndarray, left: np.ndarray, group: np.ndarray, longest: int) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
-    """Order of all suffixes within groups, and ranks by their first 6, 12, 24 ... bytes.
+def suffix_order(data: np.ndarray, left: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
+    """Order of all suffixes within groups, and ranks by their first 6, 12, 24 ... symbols.
 
-    left: bytes from each place to its context's end.
+    left: symbols from each place to its context's end mark.  Equal suffixes stay in
+    the order of the text.
     """
     n = len(data)
-    digits = np.concatenate((data.astype(np.int64) + 1, np.zeros(FIRST, np.int64)))
+    digits = np.concatenate((data.astype(np.int64), np.zeros(FIRST, np.int64)))
     key = group.astype(np.int64)
     for i in range(FIRST):
-        key = key * 257 + np.where(left > i, digits[i : n + i], 0)
-    ranks: list[tuple[int, np.ndarray]] = []
-    span = FIRST
-    while True:
-        order = np.argsort(key, kind="stable")
-        fresh = np.concatenate(([1], (np.diff(key[order]) != 0).astype(np.int64)))
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(fresh)
-        ranks.append((span, rank))
-        if span >= longest or fresh.all():
-            return order, ranks
-        ahead = np.zeros(n, np.int64)
-        more = np.flatnonzero(left > span)
-        ahead[more] = rank[more + span]
-        key = rank * (n + 1) + ahead
+        key = key * 257 + np.where(left >= i, digits[i : n + i], 0)
+
+    def numbered(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Order of the keys, the first place of each place's equals in it, and whether a place has equals."""
+        order = np.argsort(key)
+        fresh = np.concatenate(([True], key[order[1:]] != key[order[:-1]]))
+        first = np.maximum.accumulate(np.where(fresh, np.arange(len(key)), 0))
+        tied = ~(fresh & np.concatenate((fresh[1:], [True])))
+        return order, first, tied
+
+    order, first, tied = numbered(key)
+    rank = np.empty(n, np.int32)
+    rank[order] = first
+    ranks, span, open_ = [(FIRST, rank)], FIRST, order[tied]
+    longest = int(left.max())
+    while len(open_) and span <= longest:
+        # Only places with equals are sorted again: by what they are equal in, then by what follows.
+        ahead = np.zeros(len(open_), np.int64)
+        more = np.flatnonzero(left[open_] >= span)
+        ahead[more] = rank[open_[more] + span] + 1
+        sub, first, tied = numbered(rank[open_].astype(np.int64) * (n + 1) + ahead)
+        open_ = open_[sub]
+        # Equals of the span before start at the rank they share.
+        shared = rank[open_].astype(np.int64)
+        head = np.concatenate(([True], shared[1:] != shared[:-1]))
+        start = np.maximum.accumulate(np.where(head, np.arange(len(open_)), 0))
+        rank = rank.copy()
+        rank[open_] = shared + first - start
+        open_ = open_[tied]
         span *= 2
+        ranks.append((span, rank))
+    return np.argsort(rank.astype(np.int64) * n + np.arange(n)), ranks
 
 
 def common_prefix(a: np.ndarray, b: np.ndarray, data: np.ndarray, ranks: list[tuple[int, np.ndarray]], left: np.ndarray) -> np.ndarray:
-    """Lengths of the common prefixes of the suffixes at a and b."""
+    """Lengths of the common prefixes of the suffixes at a and b, end marks not counted."""
     room = np.minimum(left[a], left[b])
     done = np.zeros(len(a), np.int64)
     for span, rank in reversed(ranks):
@@ -178,61 +216,90 @@ def common_prefix(a: np.ndarray, b: np.ndarray, data: np.ndarray, ranks: list[tu
 
 
 class RunIndex:
-    """Run-length index of grouped contexts; gives matching statistics against all others."""
+    """Run-length index of grouped contexts, with samples at both ends of every run.
+
+    Holds, by run of the transform: its first row, the row that its first row steps to,
+    and how far the suffixes that its ends step to agree with the suffix before (at the
+    head) and after (at the end).  Nothing as long as the text stays.
+    """
 
     def __init__(self, contexts: list[bytes], groups: list[int]) -> None:
-        sizes = np.array([len(c) for c in contexts], np.int64)
-        ends = np.cumsum(sizes)
-        self.data = np.frombuffer(b"".join(contexts), np.uint8)
-        owner = np.repeat(np.arange(len(contexts)), sizes)
-        self.left = ends[owner] - np.arange(len(self.data))
+        self.sizes = np.array([len(c) for c in contexts], np.int64)
+        ends = np.cumsum(self.sizes + 1)  # an end mark after each context
+        data = np.zeros(ends[-1], np.int16)
+        owner = np.repeat(np.arange(len(contexts)), self.sizes + 1)
+        left = ends[owner] - 1 - np.arange(len(data))
+        data[left > 0] = np.frombuffer(b"".join(contexts), np.uint8) + np.int16(1)
         group = np.array(groups, np.int64)[owner]
-        order, self.ranks = suffix_order(self.data, self.left, group, int(sizes.max()))
-        # The transform: the byte before each suffix, and a mark of its own at a context's start.
-        before = np.where(self.left[order] == sizes[owner[order]], 256 + owner[order], self.data[order - 1].astype(np.int64))
+        order, ranks = suffix_order(data, left, group)
+        row = np.empty(len(order), np.int64)
+        row[order] = np.arange(len(order))
+        # The transform: the byte before each suffix; a context's start has a symbol of its own.
+        start = left[order] == self.sizes[owner[order]]
+        before = np.where(start, 257 + owner[order], data[order - 1])
         turn = np.concatenate(([True], (before[1:] != before[:-1]) | (group[order[1:]] != group[order[:-1]])))
-        self.heads = np.flatnonzero(turn)  # run heads; run ends come just before the next head
-        self.head_suffix = order[self.heads]
-        ends_ = np.concatenate((self.heads[1:], [len(order)])) - 1
-        self.end_suffix = order[ends_]
-        prior, after = order[self.heads - 1], order[np.minimum(ends_ + 1, len(order) - 1)]
-        self.head_match = np.where(group[prior] == group[self.head_suffix], common_prefix(prior, self.head_suffix, self.data, self.ranks, self.left), 0)
-        self.end_match = np.where(group[after] == group[self.end_suffix], common_prefix(after, self.end_suffix, self.data, self.ranks, self.left), 0)
-        self.head_match[0], self.end_match[-1] = 0, 0
-
-    def streamed(self, places: np.ndarray, values: np.ndarray) -> np.ndarray:
-        """Values at all places: the last sample's, less the steps since."""
-        at = np.full(len(self.data), -1, np.int64)
-        at[places] = places
-        at = np.maximum.accumulate(at)
-        full = np.zeros(len(self.data), np.int64)
-        full[places] = values
-        return np.where(at >= 0, np.maximum(full[at] - (np.arange(len(at)) - at), 0), 0)
-
-    def statistics(self) -> np.ndarray:
-        """At each place, the longest match that starts elsewhere in its group."""
-        return np.maximum(self.streamed(self.head_suffix, self.head_match), self.streamed(self.end_suffix, self.end_match))
-
-
-def marked(contexts: list[bytes], groups: list[int], length: int) -> list[tuple[int, int, int]]:
-    """(context, first, last) of each run of repeated windows."""
-    hit = RunIndex(contexts, groups).statistics() >= length
-    out, base = [], 0
-    for i, c in enumerate(contexts):
-        edge = np.flatnonzero(np.diff(np.concatenate(([0], hit[base : base + len(c) - length + 1].astype(np.int8), [0]))))
+        self.head = np.flatnonzero(turn)
+        tail = np.concatenate((self.head[1:], [len(order)])) - 1
+        self.start_row = row[ends - 1]  # the rows of the end marks, where contexts enter
+        # The head and the tail of a run step to neighbours of other runs: sample how far they agree.
+        live = ~start[self.head]
+        self.target, self.above, self.below = (np.zeros(len(self.head), np.int64) for _ in range(3))
+        for rows, out, way in ((self.head, self.above, -1), (tail, self.below, 1)):
+            to = row[order[rows[live]] - 1]
+            near = to + way
+            near_ok = (near >= 0) & (near < len(order))
+            near = np.clip(near, 0, len(order) - 1)
+            near_ok &= group[order[near]] == group[order[to]]
+            value = np.zeros(len(to), np.int64)
+            value[near_ok] = common_prefix(order[near[near_ok]], order[to[near_ok]], data, ranks, left)
+            out[live] = value
+            if way < 0:
+                self.target[live] = to
+        self.tail = tail
+
+    def statistics(self, which: np.ndarray) -> list[np.ndarray]:
+        """Of each context in ``which``, at each place, the longest match that starts elsewhere in its group."""
+        order = np.argsort(-self.sizes[which], kind="stable")
+        sizes = self.sizes[which[order]]
+        table = np.zeros((int(sizes.max(initial=0)), len(order)), np.int32)
+        at, above, below = self.start_row[which[order]], np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
+        active = np.searchsorted(-sizes, -np.arange(1, len(table) + 1), side="right")
+        for step, n in enumerate(active.tolist()):
+            at, above, below = at[:n], above[:n], below[:n]
+            run = np.searchsorted(self.head, at, side="right") - 1
+            above = np.where(at == self.head[run], self.above[run], above + 1)
+            below = np.where(at == self.tail[run], self.below[run], below + 1)
+            at = self.target[run] + at - self.head[run]
+            table[step, :n] = np.maximum(above, below)
+        out = [table[:0, 0]] * len(order)
+        for i, (whose, n) in enumerate(zip(order.tolist(), sizes.tolist())):
+            out[whose] = table[:n, i][::-1]
+        return out
+
+
+def marked(contexts: list[bytes], groups: list[int], which: list[int], length: int) -> list[tuple[int, int, int]]:
+    """(context, first, last) of each run of repeated windows in the contexts of ``which``."""
+    out = []
+    for i, found in zip(which, RunIndex(contexts, groups).statistics(np.array(which, np.int64))):
+        hit = found[: len(found) - length + 1] >= length
+        edge = np.flatnonzero(np.diff(np.concatenate(([0], hit.astype(np.int8), [0]))))
         out += [(i, int(a), int(b) - 1) for a, b in zip(edge[::2], edge[1::2])]
-        base += len(c)
     return out
 
 
-def contexts_of(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """wanted(g, c, hot, doc_id, k, first, last) -> g, c, hot, context."""
-    asked = wanted.groupBy("doc_id", "k").agg(F.collect_list(F.struct("g", "c", "hot", "first", "last")).alias("asked"))
-    held = docs.alias("d").join(asked.alias("a"), F.col("d.doc_id").eqNullSafe(F.col("a.doc_id")) & (F.col("d.k") == F.col("a.k")))
+def contexts_of(docs: DataFrame, kinds: DataFrame, length: int) -> DataFrame:
+    """kinds(g, c, n, m, size, away, a, b) -> g, c, n, m, away, copy, context; copy 1 where n > 1."""
+    places = F.array(F.struct(F.lit(0).alias("copy"), F.col("a").alias("at")), F.struct(F.lit(1).alias("copy"), F.col("b").alias("at")))
+    wanted = kinds.select("g", "c", "n", "m", "size", "away", F.explode(F.slice(places, 1, F.when(F.col("n") > 1, 2).otherwise(1))).alias("p"))
+    asked = wanted.groupBy(F.col("p.at.doc_id").alias("doc_id"), F.col("p.at.k").alias("k")).agg(
+        F.collect_list(F.struct("g", "c", "n", "m", "away", "size", F.col("p.copy").alias("copy"), F.col("p.at.first").alias("first"))).alias("asked")
+    )
+    # Repeated rows are read once.
+    held = docs.dropDuplicates(["doc_id", "k"]).alias("d").join(asked.alias("a"), F.col("d.doc_id").eqNullSafe(F.col("a.doc_id")) & (F.col("d.k") == F.col("a.k")))
 
     def cut(r: Column) -> Column:
-        context = F.substring(F.col("text"), (r["first"] + 1).cast("int"), (r["last"] - r["first"] + length).cast("int"))
-        return F.struct(r["g"].alias("g"), r["c"].alias("c"), r["hot"].alias("hot"), context.alias("context"))
+        context = F.substring(F.col("text"), (r["first"] + 1).cast("int"), (r["size"] + length - 1).cast("int"))
+        return F.struct(*(r[x].alias(x) for x in ("g", "c", "n", "m", "away", "copy")), context.alias("context"))
 
     return held.select(F.explode(F.transform("a.asked", cut)).alias("r")).select("r.*")
 
@@ -242,78 +309,102 @@ def indexed_repeats(contexts: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, int, bytes]] = []
-        seen: set[int] = set()  # contexts of the gram at hand; repeated rows bring one twice
         size = 0
 
         def solve() -> pa.RecordBatch:
             number = {g: i for i, g in enumerate(dict.fromkeys(g for g, _, _ in held))}
-            hits = marked([t for _, _, t in held], [number[g] for g, _, _ in held], length)
+            once = [i for i, x in enumerate(held) if i == 0 or held[i - 1][:2] != x[:2]]  # copies agree
+            hits = marked([t for _, _, t in held], [number[g] for g, _, _ in held], once, length)
             columns = [[held[i][0] for i, _, _ in hits], [held[i][1] for i, _, _ in hits], [a for _, a, _ in hits], [b for _, _, b in hits]]
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["g", "c", "lo", "hi"])
 
         for batch in batches:
             for g, c, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if held and held[-1][0] != g:
-                    seen.clear()
-                    if size > BATCH:
-                        yield solve()
-                        held.clear()
-                        size = 0
-                if c not in seen:
-                    seen.add(c)
-                    held.append((g, c, text))
-                    size += len(text)
+                if (size > BATCH or len(held) > MOST_GROUPS) and held[-1][0] != g:
+                    yield solve()
+                    held.clear()
+                    size = 0
+                held.append((g, c, text))
+                size += len(text)
         if held:
             yield solve()
 
-    return contexts.select("g", "c", "context").repartition("g").sortWithinPartitions("g").mapInArrow(run, "g long, c long, lo long, hi long")
-
+    return contexts.select("g", "c", "context").repartition("g").sortWithinPartitions("g", "c").mapInArrow(run, "g long, c long, lo long, hi long")
 
-def counted_repeats(contexts: DataFrame, length: int) -> DataFrame:
-    """contexts(g, c, context) -> g, c, lo, hi by counting hashed windows."""
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(batch.num_rows):
-                g, c, text = (batch.column(i)[at].as_py() for i in range(3))
-                n = len(text) - length + 1
-                hashes = [xxhash.xxh3_128_digest(text[i : i + length]) for i in range(n)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(hashes, pa.binary()), pa.array([g] * n, pa.int64()), pa.array([c] * n, pa.int64()), pa.array(range(n), pa.int64())], ["w", "g", "c", "i"]
-                )
-
-    windows = staged(contexts.select("g", "c", "context").mapInArrow(emit, "w binary, g long, c long, i long"), "hot-windows")
-    place = F.struct("g", "c", "i")
-    often = windows.groupBy("w").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a != b").select("w")
-    return windows.join(often, "w", "left_semi").select("g", "c", F.col("i").alias("lo"), F.col("i").alias("hi"))
+def halves(contexts: DataFrame, length: int) -> DataFrame:
+    """Contexts of split grams -> their halves.
 
+    contexts(g, c, n, away, copy, context, root_g, root_c, shift, lo, hi): windows whose
+    anchor is at a distance in [lo, hi).  The half's key is what all its windows hold.
+    """
+    schema = contexts.select("g", "c", "n", "away", "copy", "context", "root_g", "root_c", "shift", "lo", "hi").schema
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, most: int = MOST) -> DataFrame:
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for g, _, n, away, copy, context, root_g, root_c, shift, lo, hi in zip(*(c.to_pylist() for c in batch.columns)):
+                mid, least = (lo + hi) // 2, away - (len(context) - length)
+                for lo_, hi_ in ((lo, mid), (mid, hi)):
+                    top, low = min(away, hi_ - 1), max(least, lo_)
+                    if top < low:
+                        continue  # no window of this context
+                    at = away - top
+                    part = context[at : at + (top - low) + length]
+                    key = struct.pack("<qqq", g, lo_, hi_) + context[away - lo_ : away - hi_ + 1 + length]
+                    out.append((signed(xxhash.xxh3_64_intdigest(key)), signed(xxhash.xxh3_64_intdigest(part)), n, top, copy, part, root_g, root_c, shift + at, lo_, hi_))
+            columns = list(zip(*out)) if out else [()] * len(schema)
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, batch.schema)], schema.names)
+
+    return contexts.select(*schema.names).mapInArrow(split, schema)
+
+
+def repeated_spans(docs: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFrame:
     """keyed docs -> doc_id, k, spans: array of (lo, hi), bytes to remove, may overlap."""
     found = staged(run_rows(docs, length), "window-runs")
-    grams = found.groupBy("g").agg(F.count("*").alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("n > 1")
+    grams = found.groupBy("g").agg(F.sum("copies").alias("n")).where("n > 1").select("g")
     # A table of its own: the join then reads two shuffles, and a gram that a third of
     # the corpus shares is split over tasks.
-    grams = staged(grams, "repeated-grams")
-    met = found.join(grams.select("g", (F.col("c0") != F.col("c1")).alias("mixed")), "g")
-    met = staged(met, "repeated-runs")
-    same = met.where(~F.col("mixed")).select("doc_id", "k", F.col("first").alias("lo"), (F.col("last") + length).alias("hi"))
-    mixed = met.where("mixed")
-    place = F.min(F.struct("doc_id", "k", "first", "last"))
-    kinds = staged(mixed.groupBy("g", "c").agg(F.count("*").alias("n"), place.alias("at")), "context-kinds")
-    hot = staged(kinds.groupBy("g").agg((F.count("*") > most).alias("hot")), "hot-grams")
-    wanted = kinds.join(hot, "g").select("g", "c", "hot", "at.doc_id", "at.k", "at.first", "at.last")
-    contexts = staged(contexts_of(docs, wanted, length), "contexts")
-    marks = indexed_repeats(contexts.where(~F.col("hot")), length)
-    if not contexts.where("hot").isEmpty():
-        marks = marks.unionByName(counted_repeats(contexts.where("hot"), length))
-    whole = kinds.where("n > 1").select("g", "c", F.lit(0).cast("long").alias("lo"), F.lit(None).cast("long").alias("hi"))
-    single = kinds.where("n = 1").select("g", "c")
-    marks = marks.join(single, ["g", "c"], "left_semi").unionByName(whole)
-    partly = mixed.join(marks, ["g", "c"]).select(
-        "doc_id", "k", (F.col("first") + F.col("lo")).alias("lo"), (F.coalesce(F.col("first") + F.col("hi"), F.col("last")) + length).alias("hi")
+    met = staged(found.join(staged(grams, "repeated-grams"), "g"), "repeated-runs")
+    size = F.col("last") - F.col("first") + 1
+    ends = F.col("first") + (F.col("copies") - 1) * size
+    kinds = met.groupBy("g", "c").agg(
+        F.sum("copies").alias("n"),
+        F.max(size).alias("size"),
+        F.max("away").alias("away"),
+        F.min(F.struct("doc_id", "k", "first")).alias("a"),
+        F.max(F.struct("doc_id", "k", ends.alias("first"))).alias("b"),
+    )
+    kinds = staged(kinds, "context-kinds")
+    kinds = kinds.join(kinds.groupBy("g").agg(F.count("*").alias("m")), "g")
+    contexts = staged(contexts_of(docs, kinds, length), "contexts")
+    marks = [indexed_repeats(contexts.where(F.col("m") <= group), length)]
+    reach = length - (GRAM if length > 2 * GRAM else max(1, length // 2)) + 1
+    level, large = 0, contexts.where(F.col("m") > group)
+    large = large.select(
+        "g", "c", "n", "away", "copy", "context", F.col("g").alias("root_g"), F.col("c").alias("root_c"), F.lit(0).cast("long").alias("shift"), F.lit(0).cast("long").alias("lo"), F.lit(reach).cast("long").alias("hi")
     )
-    return same.unionByName(partly).groupBy("doc_id", "k").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    while not large.isEmpty():
+        level += 1
+        parts = staged(halves(large, length), f"halves-{level}")
+        # Each kind once, with a second copy where it has one; keys met once hold no repeat.
+        own = F.when(F.col("copy") == 0, F.col("n")).otherwise(0)
+        kinds = parts.groupBy("g", "c").agg(F.sum(own).alias("n"), F.min("context").alias("x"), F.max("context").alias("y"))
+        sizes = parts.where("copy = 0").groupBy("g").agg(F.sum("n").alias("met"), F.count_distinct("c").alias("m")).where("met > 1")
+        kinds = staged(kinds.join(sizes, "g"), f"half-kinds-{level}")
+        pair = F.slice(F.array("x", "y"), 1, F.when(F.col("n") > 1, 2).otherwise(1))
+        few = kinds.where(F.col("m") <= group).select("g", "c", F.explode(pair).alias("context"))
+        roots = parts.where("copy = 0").select("g", "c", "root_g", "root_c", "shift")
+        hits = staged(indexed_repeats(few, length), f"half-marks-{level}")
+        marks.append(hits.join(roots, ["g", "c"]).select(F.col("root_g").alias("g"), F.col("root_c").alias("c"), (F.col("lo") + F.col("shift")).alias("lo"), (F.col("hi") + F.col("shift")).alias("hi")))
+        large = parts.join(kinds.where(F.col("m") > group).select("g").distinct(), "g", "left_semi")
+    every = marks[0]
+    for more in marks[1:]:
+        every = every.unionByName(more)
+    # All copies of a row that stands for several are repeats of each other.
+    last = F.when(F.col("copies") > 1, ends + size - 1).otherwise(F.col("first") + F.col("hi"))
+    spans = met.join(every, ["g", "c"]).select("doc_id", "k", (F.col("first") + F.col("lo")).alias("lo"), (last + length).alias("hi"))
+    return spans.groupBy("doc_id", "k").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
 
 
 def cut_text(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
@@ -333,10 +424,10 @@ def cut_text(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int
     return b"".join(kept), removed, n
 
 
-def substring_dedup(docs: DataFrame, length: int = LENGTH, most: int = MOST) -> DataFrame:
+def substring_dedup(docs: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (binary)."""
     rows = keyed(docs.select("doc_id", "text"))
-    spans = checked_broadcast_spans(staged(repeated_spans(rows, length, most), "spans"))
+    spans = checked_broadcast_spans(staged(repeated_spans(rows, length, group), "spans"))
     joined = rows.alias("d").join(spans.alias("s"), F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("d.k") == F.col("s.k")), "left")
     schema = T.StructType(
         [docs.schema["doc_id"], *(T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept_sha256", T.StringType()), T.StructField("kept", T.BinaryType())]
@@ -369,7 +460,9 @@ def checked_broadcast_spans(spans: DataFrame) -> DataFrame:
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return substring_dedup(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    found = substring_dedup(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
+    # What is left as text; where a cut parts a character, its bytes show as U+FFFD.
+    return found.withColumn("text", F.make_valid_utf8(F.col("kept").cast("string"))).drop("kept")
 
 
 QUERIES = {"op5_substring_dedup": op5_substring_dedup}
