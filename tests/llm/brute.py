@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 import numpy as np
 import xxhash
@@ -102,3 +103,39 @@ def lines(rows, min_docs: int):
         kept = "\n".join(x for x, d in zip((t or "").split("\n"), drop) if not d)
         out.append((i, len(ks), sum(drop), sha(kept)))
     return out
+
+
+class Article(HTMLParser):
+    """The blocks inside <article>, as a browser parts them; for pages that mark their text so."""
+
+    PARTS = frozenset("article p div h1 h2 h3 h4 ul ol li br table tr td section blockquote".split())
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.parts, self.blocks = 0, [], []
+
+    def flush(self):
+        text = " ".join("".join(self.parts).split())
+        self.blocks += [text] if text and self.inside else []
+        self.parts = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in self.PARTS:
+            self.flush()
+        self.inside += tag == "article"
+
+    def handle_endtag(self, tag):
+        if tag in self.PARTS:
+            self.flush()
+        self.inside -= tag == "article"
+
+    def handle_data(self, data):
+        self.parts.append(data)
+
+
+def article(page) -> str:
+    reader = Article()
+    reader.feed(page or "")
+    reader.close()
+    reader.flush()
+    return "\n\n".join(reader.blocks)

@@ -9,44 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import brute
-from tracklode.llm import bpe, decontaminate, exact_dedup, html_text, langid, line_dedup, pii, quality, simhash, substring_dedup
-
-PROSE = "the quick brown fox jumps over the lazy dog and runs through the green forest to meet its old friends by the river"
-LONG = " ".join(f"word{i % 977} of{i % 13}" for i in range(30_000))
-DOCS = [
-    (1, PROSE),
-    (2, PROSE.replace(" ", "  ")),
-    (3, PROSE + "\n"),
-    (3, PROSE + "\n"),
-    (4, None),
-    (5, ""),
-    (6, " \t\n\x0b\x0c\r "),
-    (7, PROSE.upper()),
-    (8, PROSE.replace("quick", "quiet")),
-    (9, "Ünïcode Σας ΟΔΟΣ naïve\nshared line \n\n  SHARED LINE"),
-    (10, "shared line\nshared line\nother"),
-    (11, "one two three"),
-    (12, LONG),
-    (13, LONG + " and an end"),
-    (14, "a" * 900),
-    (15, "x\nshared LINE\ty"),
-    (None, "no id at all, but words enough for a shingle or two"),
-    (16, "<|endoftext|> it's 12345 $$ \U0001f600 <|startoftext|>"),
-]
-CLASH = ["digest", "content", "salt", "fp", "key", "n", "start", "k", "row", "win", "kept", "g", "c", "score", "n_tokens", "shard", "n_words", "held_out", "terms", "hits"]
-
-
-def frame(spark, rows=DOCS, lang=False):
-    schema = "doc_id long, text string"
-    df = spark.createDataFrame(rows, schema).repartition(3)
-    for c in CLASH:
-        df = df.withColumn(c, F.lit("clash"))
-    return df.withColumn("lang", F.lit("en")) if lang else df
-
-
-def got(df, *columns):
-    return sorted((tuple(r[c] for c in columns) for r in df.collect()), key=repr)
-
+from tests.llm.cases import DOCS, LONG, PROSE, frame, got
+from tracklode.llm import bpe, decontaminate, exact_dedup, html_text, langid, line_dedup, pii, quality, simhash
 
 def test_exact_dedup(spark):
     want = sorted(brute.exact(DOCS), key=repr)
@@ -201,52 +165,6 @@ def test_feistel_is_a_permutation():
     assert pii.iban_rest(pii.iban("DE89370400440532013000", f)) == 1
 
 
-@pytest.mark.parametrize(("length", "group"), [(400, 128), (24, 2), (7, 3)])
-def test_substring_dedup(spark, length, group):
-    rng = np.random.default_rng(1)
-    base = "".join(map(chr, rng.integers(97, 101, 1500)))
-    rows = [r for r in DOCS if length == 400 or r[0] not in (12, 13)]
-    for i in range(40):
-        cut = [base[(a := rng.integers(0, 1400)) : a + rng.integers(1, 120)] for _ in range(4)]
-        rows.append((100 + i, "".join(cut)))
-    # Text with a period, whole and cut; two rows that are one; a passage among changing neighbours.
-    rows += [(200, "xyz" * 400), (201, "yz" + "xyz" * 150 + "!"), (202, "ä" * 500), (None, "xyz" * 150), (None, "xyz" * 150), (203, base[:500]), (203, base[:500])]
-    rows += [(300 + i, "".join(map(chr, rng.integers(97, 123, 400))) + base[:390] + "".join(map(chr, rng.integers(97, 99, 30)))) for i in range(12)]
-    want = brute.repeats([(t or "").encode() for _, t in rows], length)
-    out = substring_dedup.substring_dedup(frame(spark, rows), length, group)
-    assert got(out, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(((i, *w) for (i, _), w in zip(rows, want)), key=repr)
-    assert substring_dedup.substring_dedup(frame(spark, []), length).count() == 0
-
-
-def common(a, b):
-    n = 0
-    while n < min(len(a), len(b)) and a[n] == b[n]:
-        n += 1
-    return n
-
-
-def test_run_index_statistics():
-    rng = np.random.default_rng(2)
-    texts = [b"abracadabra", b"cadabrac", b"xxxxxx", b"abracadabra", *(bytes(rng.integers(97, 99, n).astype(np.uint8)) for n in (40, 1, 77, 40, 5))]
-    groups = [0, 0, 0, 0, 1, 1, 1, 2, 2]
-    all_ = [(i, p) for i, t in enumerate(texts) for p in range(len(t))]
-    want = [[max((common(t[p:], texts[j][q:]) for j, q in all_ if (j, q) != (i, p) and groups[i] == groups[j])) for p in range(len(t))] for i, t in enumerate(texts)]
-    index = substring_dedup.RunIndex(texts, groups)
-    assert [x.tolist() for x in index.statistics(np.arange(9))] == want
-    assert [x.tolist() for x in index.statistics(np.array([1, 6]))] == [want[1], want[6]]
-
-
-def test_run_index_is_run_compressed():
-    unit = bytes(np.random.default_rng(4).integers(97, 123, 500).astype(np.uint8))
-    assert len(substring_dedup.RunIndex([unit] * 200, [0] * 200).head) < 2 * len(unit)
-
-
-def test_periodic_text_is_a_few_rows():
-    grams = substring_dedup.Grams(48)
-    assert len(list(substring_dedup.runs(b"a" * 50_000, 400, grams))) <= 3
-    assert len(list(substring_dedup.runs(b"abcdefghij" * 5000, 400, grams))) <= 4
-
-
 def test_language_id(spark):
     texts = {"en": "the house and the garden with the old tree near the water", "de": "das haus und der garten mit dem alten baum nahe dem wasser"}
     rows = [(i, texts[k] + f" {w}", k) for i, (k, w) in enumerate([(k, w) for k in texts for w in "abcdefghij"])]
@@ -359,7 +277,7 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 
 
 def test_html(spark):
-    want = "A title\nFirst & longest paragraph, with words; and more of them.\nOpen\nLast."
+    want = "A title\n\nFirst & longest paragraph, with words; and more of them.\n\nOpen\n\nLast."
     assert html_text.main_text(PAGE) == want
     rows = [(1, "u", PAGE), (2, None, None), (3, "u", ""), (4, "u", "<p"), (5, "u", "<html><body><p>Just text, alone.</p>"), (1, "u", PAGE), (None, "u", "<nav>x</nav>"), (6, "u", PAGE[:-60] * 3), (7, "u", "plain text without tags")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
@@ -375,7 +293,7 @@ def paragraphs(*sizes):
 
 
 def blocks_of(page):
-    return [line for line in html_text.main_text(page).split("\n") if line]
+    return html_text.main_text(page).split("\n\n")
 
 
 def test_html_keeps_nested_and_sibling_containers():
@@ -407,7 +325,7 @@ def test_html_names_do_not_veto_the_page(mark):
 @pytest.mark.parametrize(
     ("inner", "said"),
     [
-        ("<svg class=x />", ""), ("<svg>", ""), ("<svg><path d='M0'></svg>", ""), ("<svg><text>T</text></svg>", ""), ("<math/>", ""), ("<noscript>", ""), ("<object data=x>", ""), ("<template>", ""),
+        ("<svg class=x />", ""), ("<svg>", ""), ("<svg><path d='M0'></svg>", ""), ("<svg><text>T</text></svg>", ""), ("<math/>", ""), ("<noscript>", ""), ("<object data=x>", ""), ("<template>", ""), ("<noscript>N</noscript>", "N"), ("<object data=x>O</object>", "O"), ("<textarea>T</textarea>", ""),
         ("<math><mi>x</mi><mo>=</mo><mn>2</mn></math>", "x=2"), ("<math><mi>y</mi>", "y"), ("<script>var a = '<p>';</script>", ""), ("<style>p{}</style>", ""),
     ],
 )
@@ -417,6 +335,28 @@ def test_html_reads_on_after_raw_elements(inner, said):
     assert blocks_of(page) == ["A title", a, " ".join(filter(None, ("Here", said, b))), c]
 
 
+def test_html_is_linear_in_depth():
+    import time
+
+    def seconds(n):
+        start = time.perf_counter()
+        assert html_text.main_text("<div>" * n + "<p>Some words, to read.</p>" + "</div>" * n) == "Some words, to read."
+        return time.perf_counter() - start
+
+    seconds(500)
+    assert seconds(16_000) < 40 * min(seconds(2000) for _ in range(3))
+
+
+def test_html_equals_a_plain_reader_on_the_table(spark):
+    """Pages of the table hold their text in one <article>; the library's parser reads it."""
+    import pandas as pd
+
+    pages = pd.read_parquet("/root/testdata/sf0.01/pages.parquet")
+    r = {x["page_id"]: (x["text"], x["n_chars"]) for x in html_text.extract(spark.read.parquet("/root/testdata/sf0.01/pages.parquet")).collect()}
+    want = {i: brute.article(h) for i, h in zip(pages.page_id, pages.html)}
+    assert {i: t for i, (t, _) in r.items()} == want and all(n == len(t) for t, n in r.values())
+
+
 @pytest.mark.parametrize("bound", [1 << 20, 0])
 def test_line_dedup(spark, bound):
     want = sorted(brute.lines(DOCS, 3), key=repr)

@@ -15,9 +15,12 @@ no <article> or <main> of some length is outside it, nor on a page with no other
 
 Pages are read one by one in a map: no shuffle, one page in memory.
 
-Cases: a null or empty page, or one without text, gives an empty text; unclosed and
-stray tags, and a page cut off in a tag, are read as far as they go; formulas in
-<math> are text; an <svg> without an end is passed over by its tags alone; character
+Blocks are joined by two line feeds.
+
+Cases: a null or empty page, or one without text, gives an empty text; very long and
+very deep pages take time in proportion; ties in the ratios leave all their blocks on one
+side of the threshold; unclosed and stray tags, and a page cut off in a tag, are read as far as they go; formulas in
+<math> and what <noscript> and <object> hold are text; an <svg> without an end is passed over by its tags alone; character
 references without a semicolon are decoded as browsers do; repeated rows are read
 each; an empty table gives an empty result; other columns are ignored.
 """
@@ -38,9 +41,9 @@ from pyspark.sql import types as T
 #: Elements without content.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is passed over.
-RAW = frozenset("script style noscript template iframe textarea title xmp noframes svg object".split())
+RAW = frozenset("script style template iframe textarea title noframes svg".split())
 #: Those whose content is no markup, so that it goes on to the end of the page without an end tag.
-ENDLESS = frozenset("script style iframe textarea title xmp noframes".split())
+ENDLESS = frozenset("script style iframe textarea title noframes".split())
 #: Elements that part blocks.
 BLOCK = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header"
@@ -270,7 +273,7 @@ def main_text(page: str | None, names: bool = True) -> str:
         return main_text(page, names=False) if names else ""
     threshold = min(scores.std(), most / 2)
     article = held_by([e for (e, _, _, apart), score in zip(found, scores) if score >= threshold and not apart])
-    return "\n".join(text for e, text, _, apart in found if not apart and (within(e, article) or headed(e)))
+    return "\n\n".join(text for e, text, _, apart in found if not apart and (within(e, article) or headed(e)))
 
 
 def extract(pages: DataFrame) -> DataFrame:
