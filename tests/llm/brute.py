@@ -78,19 +78,19 @@ def repeats(texts: list[bytes], length: int):
 
 
 def leaks(docs, items, width: int = 10):
-    """{doc_id: (n_words, n_hit, n_items, ids sha, contaminated)}."""
-    words = {i: WORD.findall((t or "").translate(AZ)) for i, t in docs}
-    hit, ids = defaultdict(set), defaultdict(set)
+    """[(doc_id, n_words, n_hit, n_items, ids sha, contaminated)] in the order of docs."""
+    words = [WORD.findall((t or "").translate(AZ)) for _, t in docs]
+    hit, ids = [set() for _ in docs], [set() for _ in docs]
     for item, t in items:
         w = WORD.findall((t or "").translate(AZ))
         n = min(width, len(w))
         for s in range(max(0, len(w) - n + 1) if n else 0):
-            for i, d in words.items():
+            for i, d in enumerate(words):
                 for at in range(len(d) - n + 1):
-                    if d[at : at + n] == w[s : s + n]:
+                    if d[at] == w[s] and d[at : at + n] == w[s : s + n]:
                         hit[i].update(range(at, at + n))
                         ids[i].add(str(item))
-    return {i: (len(w), len(hit[i]), len(ids[i]), sha(",".join(sorted(ids[i]))), bool(hit[i])) for i, w in words.items()}
+    return [(doc, len(w), len(h), len(k), sha(",".join(sorted(k))), bool(h)) for (doc, _), w, h, k in zip(docs, words, hit, ids)]
 
 
 def lines(rows, min_docs: int):

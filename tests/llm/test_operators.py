@@ -189,20 +189,32 @@ def test_forward_sums_all_segmentations():
     assert np.isclose(lattice.expected(np.log(p), np.ones((3, 1))).sum() > 3, True)
 
 
-def test_decontaminate(spark):
-    items = [(1, PROSE), (2, "old FRIENDS by"), (3, None), (4, "--"), (5, "words that never occur in any of these documents at all"), (6, "old friends by")]
+NAMES7 = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+@pytest.mark.parametrize("bound", [decontaminate.TERM_BYTES, 0])
+def test_decontaminate(spark, monkeypatch, bound):
+    monkeypatch.setattr(decontaminate, "TERM_BYTES", bound)
+    items = [(1, PROSE), (2, "old FRIENDS by"), (3, None), (4, "--"), (5, "words that never occur in any of these documents at all"), (6, "old friends by"), (7, "word5 OF5 word6 of6"), (8, "Lazy"), (9, "of of of")]
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("terms", F.lit("clash"))
-    docs = [d for d in DOCS if d[0] not in (None, 12, 13)]
-    want = brute.leaks(docs, items)
-    names = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
-    assert got(decontaminate.contamination(frame(spark, docs), bench), *names) == sorted(((i, *want[i]) for i, _ in docs), key=repr)
-    whole = {r["doc_id"]: r for r in decontaminate.contamination(frame(spark), bench).collect()}
-    assert whole[None]["n_hit"] == 0 and whole[12]["n_words"] == 60_000
+    # Rows of one id keep their own results.
+    docs = [*DOCS, (3, "nothing here"), (1, "old friends by old friends by the lazy dog"), (21, "of of of of old lazy"), (None, PROSE)]
+    got7 = got(decontaminate.contamination(frame(spark, docs), bench), *NAMES7)
+    assert got7 == sorted(brute.leaks(docs, items), key=repr) and any(r[0] is None and r[2] for r in got7)
+    few = bench.where("item_id IN (1, 5)")  # no item of one word
+    assert got(decontaminate.contamination(frame(spark), few), *NAMES7) == sorted(brute.leaks(DOCS, [items[0], items[4]]), key=repr)
     clean = decontaminate.contamination(frame(spark), bench.limit(0))
     assert clean.where("contaminated").count() == 0 and clean.count() == len(DOCS)
     assert decontaminate.contamination(frame(spark, []), bench).count() == 0
-    loose = decontaminate.proximity_matches(frame(spark, [(1, "the quick brown fox sleeps and jumps"), (2, "nothing")]), spark.createDataFrame([(1, "brown fox jumps")], "item_id long, text string"), slop=3)
-    assert {r["doc_id"] for r in loose.collect()} <= {1}
+
+
+def test_decontaminate_of_frequent_words(spark):
+    # A benchmark of a few words that stand everywhere: many windows share their rarest term.
+    rng = np.random.default_rng(6)
+    text = [" ".join(rng.choice(["a", "b", "c"], n)) for n in (80, 200, 3, 12, 40)]
+    docs, items = [(i, t) for i, t in enumerate(text)], [(7, text[0][10:60]), (8, "a b a"), (9, "c")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert got(decontaminate.contamination(frame(spark, docs), bench, 4), *NAMES7) == sorted(brute.leaks(docs, items, 4), key=repr)
 
 
 def near_places(docs, items, slop, width):
@@ -245,8 +257,9 @@ def test_proximity_equals_all_pairs(spark, slop):
     items = [(1, "rare w1 w2"), (2, "absent w3 seldom missing w4"), (3, "seldom"), (4, "nowhere"), (5, "w0 x w0"), (6, " ".join([*often, "rare", *often])), (7, "rare w1 w2"), (8, None), (9, "gone w5")]
     want, per_doc = near_places(docs, items, slop, 4)
     bench = spark.createDataFrame(items, "item_id long, text string")
-    out = decontaminate.proximity_matches(frame(spark, docs), bench, slop, 4).collect()
-    wins = {r["win"]: " ".join(r["terms"]) for r in decontaminate.windows(bench, 4).collect()}
+    found, rows = decontaminate.proximity_matches(frame(spark, docs), bench, slop, 4)
+    out = found.join(rows, "row").collect()
+    wins = {r["win"]: " ".join(r["words"]) for r in decontaminate.windows(bench, 4).collect()}
     assert {(r["doc_id"], wins[r["win"]], r["pos"]) for r in out} == want and len(out) == len(want) > 100
     rows = got(decontaminate.proximity(frame(spark, docs), bench, slop, 4), "doc_id", "n_near", "n_near_items", "near")
     assert rows == sorted(((i, *per_doc.get(i, (0, 0)), i in per_doc) for i, _ in docs), key=repr)

@@ -25,7 +25,7 @@ def test_pipeline(spark):
     least = brute.near(fps)
     ids = {i for i, f in fps if least[f] == i}
     leaks = brute.leaks([(i, t) for i, t in pairs if i in ids], list(zip(items.item_id, items.text)))
-    ids = {i for i in ids if not leaks[i][4]}
+    ids = {i for i, *_, leak in leaks if not leak}
     assert set(out.doc_id) == ids and len(out) == len(ids)
     codec = bpe.codec(bpe.default_vocabulary())
     text = dict(pairs)

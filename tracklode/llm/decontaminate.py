@@ -2,21 +2,30 @@
 
 A window is a run of ``width`` consecutive words of a benchmark item (an item
 with fewer words, but not none, is one window).  The index is made of postings
-(term, doc_id, pos) of the corpus.  For every window up to ``lists`` of its rarest
-terms are found from corpus counts; only postings of those anchor terms are stored.
-Starting from the rarest list, the postings, moved back by the term's place in
-the window, are intersected list by list; what is left is checked word by word
-against the document.
+(term, row, pos) of the corpus.
 
-The words of the corpus meet the benchmark's terms by a broadcast where those
-terms, measured first, take at most ``TERM_BYTES``, and by a shuffle beyond that.
+Phrases: a term is a word with the word after it, so that the lists of frequent words
+are cut to where they stand as in the benchmark; an item of one word has that word as
+its term.  The text is read once, and postings of all the benchmark's terms are stored.
+Each window starts from the list of its rarest term, moved back by the term's place in
+the window; the second rarest list is intersected with it, then all others at once.  A
+window occurs where every one of its terms has a posting at its place: nothing but the
+index is asked.
+
+Proximity: terms are words; the lists of a window's two rarest words that the corpus
+has are intersected with slack.
+
+Postings carry a row number of their own, fixed by being written, so rows of one
+doc_id keep their own results.  Benchmark tables (terms, rarest terms) are broadcast
+where they, measured first, take at most ``TERM_BYTES``; beyond that the postings are
+dealt by term and by ``SALTS`` salts of the row, so a frequent term is work for many tasks.
 
 Words: A-Z are lower-cased, then maximal runs of ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]``.
 Cases: a null or empty text has no words; items without words have no window;
-equal windows of several items count for each of them; repeated rows of one
-doc_id are documents with the same words (their hits are pooled); an empty
-benchmark leaves every document clean; an empty corpus gives an empty result;
-other columns are ignored.
+equal windows of several items count for each of them; very long texts are postings
+like any other; ties between equally rare terms go to the term that sorts first, then to
+the first place; repeated rows get a result each, null ids too; an empty benchmark leaves
+every document clean; an empty corpus gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,20 +33,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracklode.llm.shared import checked_broadcast, staged
+from tracklode.llm.shared import fits, staged
 
 WIDTH = 10
-LISTS = 3
-#: A list this many times longer than a window's rarest isn't worth intersecting.
-RATIO = 8
-#: The most that the documents to be checked may take to be broadcast.
-DOC_BYTES = 4 << 20
-#: The most that the benchmark's terms may take to be broadcast.
+#: The most that a table of the benchmark may take to be broadcast.
 TERM_BYTES = 16 << 20
+#: Ways that the postings of a term are dealt beyond that.
+SALTS = 16
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What parts words, before A-Z are lower-cased.
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Stands after the last word of every document; no word is empty.
+#: Stands once in every row, for its id and length; no word is empty.
 END = ""
 
 
@@ -51,7 +57,7 @@ def folded(word: Column) -> Column:
 
 
 def windows(items: DataFrame, width: int = WIDTH) -> DataFrame:
-    """items(item_id, text) -> win, terms, n, items: each distinct window once."""
+    """items(item_id, text) -> win, words, n, items: each distinct window once."""
     held = items.select("item_id", words(folded(F.col("text"))).alias("w")).where(F.size("w") > 0)
     starts = held.select(
         "item_id",
@@ -59,201 +65,195 @@ def windows(items: DataFrame, width: int = WIDTH) -> DataFrame:
         F.explode(F.sequence(F.lit(1), F.greatest(F.size("w") - width + 1, F.lit(1)))).alias("start"),
     )
     return (
-        starts.select("item_id", F.slice("w", F.col("start"), F.lit(width)).alias("terms"))
-        .groupBy("terms")
+        starts.select("item_id", F.slice("w", F.col("start"), F.lit(width)).alias("words"))
+        .groupBy("words")
         .agg(F.collect_set("item_id").alias("items"))
-        .select(F.sha2(F.array_join("terms", " "), 256).alias("win"), "terms", F.size("terms").alias("n"), "items")
+        .select(F.sha2(F.array_join("words", " "), 256).alias("win"), "words", F.size("words").alias("n"), "items")
     )
 
 
-def term_rows(docs: DataFrame) -> DataFrame:
-    """One row per word of the corpus: doc_id, pos from 0, term as written."""
-    return docs.select("doc_id", F.posexplode(words(F.col("text"))).alias("pos", "raw"))
+def pair_places(wins: DataFrame) -> DataFrame:
+    """win, place, first, second: the words of each window with the next; a lone word has no second."""
+    w = F.col("words")
+    pairs = F.arrays_zip(w.alias("first"), F.slice(w, F.lit(2), F.size(w)).alias("second"))
+    rows = wins.select("win", "n", F.posexplode(pairs).alias("place", "p"))
+    return rows.select("win", "n", "place", F.col("p")["first"].alias("first"), F.col("p")["second"].alias("second")).where("second IS NOT NULL OR n = 1")
 
 
-def counted_terms(docs: DataFrame, wins: DataFrame) -> DataFrame:
-    """The terms of each window with their counts in the whole corpus: win, place, term, tf."""
-    places = wins.select("win", F.posexplode("terms").alias("place", "term"))
-    vocabulary = places.select("term").distinct()
-    # lower() agrees with A-Z folding as a first sieve, and costs less.
-    sieve = checked_broadcast(vocabulary.select(F.lower("term").alias("low")).distinct(), TERM_BYTES)
-    counts = (
-        term_rows(docs)
-        .select("raw", F.lower("raw").alias("low"))
-        .join(sieve, "low", "left_semi")
-        .groupBy("raw")
-        .count()
-        .groupBy(folded(F.col("raw")).alias("term"))
-        .agg(F.sum("count").alias("tf"))
-    )
-    return places.join(counts, "term", "left").withColumn("tf", F.coalesce("tf", F.lit(0)))
+def term_of(first: Column, second: Column) -> Column:
+    return F.concat_ws(" ", first, second)
+
 
+def met(postings: DataFrame, table: DataFrame, on: list[str], how: str, salt_by: str) -> DataFrame:
+    """Postings joined with a table of the benchmark: broadcast if that fits, else dealt by salt too."""
+    if fits(table, TERM_BYTES):
+        return postings.join(F.broadcast(table), on, how)
+    copies = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return postings.withColumn("salt", F.pmod(F.xxhash64(salt_by), F.lit(SALTS)).cast("int")).join(copies, [*on, "salt"], how).drop("salt")
 
-def rarest_terms(docs: DataFrame, wins: DataFrame, lists: int = LISTS) -> DataFrame:
-    """The ``lists`` rarest terms of each window: win, place, term, rank from 1.
 
-    Counts are over the whole corpus.  A window with a term that the corpus
-    lacks can't occur, and goes.  Terms with a list over ``RATIO`` times the
-    rarest's are left to the check of the whole phrase.
+def pair_postings(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """The index of the benchmark's terms: row, pos, term, doc_id; the END row's pos is the row's number of words.
+
+    doc_id stands in END rows only.
     """
-    seen = counted_terms(docs, wins)
+    low = places.select(F.lower("first").alias("la"), F.coalesce(F.lower("second"), F.lit(END)).alias("lb"))
+    sieve = staged(low.union(docs.sparkSession.createDataFrame([(END, END)], "la string, lb string")).distinct(), "bench-terms")
+    lone = not places.where("second IS NULL").isEmpty()
+    held = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", words(F.col("text")).alias("w"))
+    w = F.col("w")
+    pairs = F.transform(F.arrays_zip(w.alias("a"), F.slice(w, F.lit(2), F.greatest(F.size(w), F.lit(1))).alias("b")), lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b")))
+    rows = held.select("row", "doc_id", F.size("w").alias("n"), F.posexplode(F.concat(pairs, F.array(F.struct(F.lit(END).alias("a"), F.lit(END).alias("b"))))).alias("pos", "p"))
+    rows = rows.select("row", "doc_id", "n", "pos", F.col("p")["a"].alias("a"), F.col("p")["b"].alias("b"))
+    if lone:  # words by themselves are terms too
+        alone = F.when(F.col("a") != END, F.array("b", F.lit(END))).otherwise(F.array("b"))
+        rows = rows.withColumn("b", F.explode(alone))
+    # lower() agrees with A-Z folding as a first sieve, and costs less.
+    found = met(rows.withColumn("la", F.lower("a")).withColumn("lb", F.lower("b")), sieve, ["la", "lb"], "left_semi", "row")
+    last = F.col("a") == END
+    term = F.when(last, F.lit(END)).otherwise(term_of(folded(F.col("a")), F.when(F.col("b") != END, folded(F.col("b")))))
+    return found.select("row", F.when(last, F.col("n")).otherwise(F.col("pos")).alias("pos"), term.alias("term"), F.when(last, F.col("doc_id")).alias("doc_id"))
+
+
+def ranked_terms(index: DataFrame, places: DataFrame) -> DataFrame:
+    """win, n, place, term, rank from the rarest; a window with a term that the corpus lacks can't occur, and goes."""
+    terms = places.select("win", "n", "place", term_of(F.col("first"), F.col("second")).alias("term"))
+    counts = index.where(F.col("term") != END).groupBy("term").agg(F.count("*").alias("tf"))
+    seen = terms.join(counts, "term", "left").withColumn("tf", F.coalesce("tf", F.lit(0)))
     ranked = seen.withColumn("rank", F.row_number().over(Window.partitionBy("win").orderBy("tf", "term", "place")))
-    alive = ranked.withColumn("least", F.min("tf").over(Window.partitionBy("win")))
-    short = (F.col("rank") <= lists) & (F.col("tf") <= F.col("least") * RATIO)
-    return alive.where((F.col("least") > 0) & short).select("win", "place", "term", "rank")
+    return ranked.withColumn("least", F.min("tf").over(Window.partitionBy("win"))).where("least > 0").select("win", "n", "place", "term", "rank")
 
 
-def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """The index of ``terms``(term): doc_id, pos, term, and one END row per document.
+def phrase_matches(index: DataFrame, ranked: DataFrame) -> DataFrame:
+    """Where windows occur, by the index alone: row, start, win, n."""
+    postings = index.where(F.col("term") != END).select("row", "pos", "term")
 
-    The END row's pos is the document's number of words.
-    """
-    marked = terms.union(terms.sparkSession.createDataFrame([(END,)], "term string"))
-    sieve = checked_broadcast(marked.select(F.lower("term").alias("low")).distinct(), TERM_BYTES)
-    held = docs.select("doc_id", F.posexplode(F.concat(words(F.col("text")), F.array(F.lit(END)))).alias("pos", "raw"))
-    found = held.withColumn("low", F.lower("raw")).join(sieve, "low", "left_semi")
-    return found.select("doc_id", "pos", folded(F.col("raw")).alias("term"))
-
-
-def candidates(index: DataFrame, rare: DataFrame, lists: int = LISTS) -> DataFrame:
-    """Starts at which all anchor terms of a window stand: doc_id, start, win."""
-    out = None
-    for rank in range(1, lists + 1):
-        anchors = rare.where(F.col("rank") == rank).select("win", "place", "term")
-        if out is None:
-            out = index.join(anchors, "term").select(
-                "doc_id", (F.col("pos") - F.col("place")).alias("start"), "win"
-            )
-            out = out.where("start >= 0")
-            continue
-        # Windows without an anchor of this rank stay as they are.
-        asked = out.join(anchors, "win", "left").withColumn("pos", F.col("start") + F.col("place"))
-        short = asked.where(F.col("term").isNull()).select("doc_id", "start", "win")
-        met = asked.where(F.col("term").isNotNull()).alias("a").join(
-            index.alias("i"),
-            (F.col("a.term") == F.col("i.term")) & (F.col("a.pos") == F.col("i.pos")) & F.col("a.doc_id").eqNullSafe(F.col("i.doc_id")),
-            "left_semi",
-        )
-        out = met.select("doc_id", "start", "win").unionByName(short)
-    return out.distinct()
-
-
-def phrase_matches(docs: DataFrame, items: DataFrame, width: int = WIDTH, lists: int = LISTS) -> tuple[DataFrame, DataFrame]:
-    """Exact matches (doc_id, start, n, items) and document lengths (doc_id, n_words)."""
-    wins = staged(windows(items, width), "bench-windows")
-    rare = staged(rarest_terms(docs, wins, lists), "rarest-terms")
-    index = staged(postings(docs, rare.select("term")), "postings")
-    maybe = candidates(index.where(F.col("term") != END), rare, lists)
-    asked = staged(
-        maybe.join(wins.select("win", "terms", "n", "items"), "win").select("doc_id", "start", "n", "terms", "items"),
-        "phrase-candidates",
-    )
-    held = checked_broadcast(asked.select("doc_id").distinct(), DOC_BYTES).alias("h")
-    texts = (
-        docs.select("doc_id", "text").alias("d")
-        .join(held, F.col("d.doc_id").eqNullSafe(F.col("h.doc_id")), "left_semi")
-        .select("doc_id", words(folded(F.col("text"))).alias("w"))
-    )
-    found = asked.alias("a").join(texts.alias("t"), F.col("a.doc_id").eqNullSafe(F.col("t.doc_id"))).where(
-        F.slice("t.w", F.col("a.start") + 1, F.col("a.n")) == F.col("a.terms")
-    )
-    lengths = index.where(F.col("term") == END).select("doc_id", F.col("pos").cast("long").alias("n_words"))
-    return found.select("a.doc_id", "a.start", "a.n", "a.items"), lengths
+    def places(low: int, high: int) -> DataFrame:
+        asked = ranked.where(F.col("rank").between(low, high)).groupBy("win").agg(F.collect_list(F.struct("place", "term")).alias("asked"))
+        return asked
 
+    rarest = ranked.where("rank = 1").select("win", "n", "place", "term")
+    out = met(postings, rarest, ["term"], "inner", "row").select("row", (F.col("pos") - F.col("place")).alias("start"), "win", "n").where("start >= 0")
+    for low, high in ((2, 2), (3, 1 << 30)):
+        # Each start asks for the postings that these terms need; those without more terms are through.
+        due = met(out, places(low, high), ["win"], "left", "row")
+        done = due.where("asked IS NULL").select("row", "start", "win", "n")
+        need = due.where("asked IS NOT NULL").select("row", "start", "win", "n", F.size("asked").alias("due"), F.explode("asked").alias("t"))
+        need = need.select("row", "start", "win", "n", "due", F.col("t")["term"].alias("term"), (F.col("start") + F.col("t")["place"]).alias("pos"))
+        got = need.join(postings, ["row", "pos", "term"]).groupBy("row", "start", "win", "n", "due").agg(F.count("*").alias("got"))
+        out = staged(got.where("got = due").select("row", "start", "win", "n").unionByName(done), f"intersected-{low}")
+    return out
 
-def rarest_pairs(docs: DataFrame, wins: DataFrame) -> DataFrame:
-    """Each window's two rarest terms that the corpus has: win, term, place, term2, place2.
 
-    Other terms may be missing there.  A window of one word has no second term; a
-    longer one with fewer than two present terms has no proximity, and goes.
+def word_postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """The index of ``terms``(term), words: row, pos, term, doc_id, with END rows as above."""
+    marked = terms.union(docs.sparkSession.createDataFrame([(END,)], "term string"))
+    sieve = staged(marked.select(F.lower("term").alias("low")).distinct(), "bench-words")
+    held = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.concat(words(F.col("text")), F.array(F.lit(END))).alias("w"))
+    held = held.select("row", "doc_id", F.posexplode("w").alias("pos", "raw"))
+    found = met(held.withColumn("low", F.lower("raw")), sieve, ["low"], "left_semi", "row")
+    return found.select("row", "pos", folded(F.col("raw")).alias("term"), F.when(F.col("raw") == END, F.col("doc_id")).alias("doc_id"))
+
+
+def rarest_pairs(index: DataFrame, wins: DataFrame) -> DataFrame:
+    """Each window's two rarest words that the corpus has: win, term, place, term2, place2.
+
+    Other words may be missing there.  A window of one word has no second; a
+    longer one with fewer than two present words has no proximity, and goes.
     """
-    present = counted_terms(docs, wins).where("tf > 0")
+    counts = index.where(F.col("term") != END).groupBy("term").agg(F.count("*").alias("tf"))
+    present = wins.select("win", F.posexplode("words").alias("place", "term")).join(counts, "term")
     two = present.groupBy("win").agg(F.slice(F.array_sort(F.collect_list(F.struct("tf", "term", "place"))), 1, 2).alias("t"))
     held = two.join(wins.select("win", "n"), "win").where((F.size("t") == 2) | (F.col("n") == 1))
     one, other = F.col("t")[0], F.get("t", F.lit(1))
     return held.select("win", one["term"].alias("term"), one["place"].alias("place"), other["term"].alias("term2"), other["place"].alias("place2"))
 
 
-def proximity_matches(docs: DataFrame, items: DataFrame, slop: int = 3, width: int = WIDTH) -> DataFrame:
-    """Places where a window's two rarest present terms stand within ``slop`` of their distance.
+def near_places(index: DataFrame, pairs: DataFrame, slop: int) -> DataFrame:
+    """Places where a window's two rarest words stand within ``slop`` of their distance: row, win, pos (of the rarest).
 
-    Returns doc_id, win, pos (of the rarest term), items.  Looser than a phrase: other
-    words may differ.  A window of one word matches where the word stands.  Each posting
-    meets the other list through blocks of ``2 * slop + 1`` positions, of which it
-    reaches two at most, so no all-pairs join arises.
+    Looser than a phrase: other words may differ.  A window of one word matches where
+    the word stands.  Each posting meets the other list through blocks of
+    ``2 * slop + 1`` positions, of which it reaches two at most, so no all-pairs join arises.
     """
-    wins = staged(windows(items, width), "bench-windows")
-    pairs = staged(rarest_pairs(docs, wins), "rarest-pairs")
-    terms = pairs.select("term").union(pairs.where("term2 IS NOT NULL").select("term2")).distinct()
-    index = staged(postings(docs, terms), "proximity-postings").where(F.col("term") != END)
-    want = index.join(checked_broadcast(pairs, TERM_BYTES), "term")
-    single = want.where("term2 IS NULL").select("doc_id", "win", "pos")
-    due = want.where("term2 IS NOT NULL").select("doc_id", "win", "pos", "term2", (F.col("pos") + F.col("place2") - F.col("place")).alias("due"))
+    postings = index.where(F.col("term") != END).select("row", "pos", "term")
+    want = met(postings, pairs, ["term"], "inner", "row")
+    single = want.where("term2 IS NULL").select("row", "win", "pos")
+    due = want.where("term2 IS NOT NULL").select("row", "win", "pos", "term2", (F.col("pos") + F.col("place2") - F.col("place")).alias("due"))
     wide = 2 * slop + 1
     ends = F.array_distinct(F.array(F.floor((F.col("due") - slop) / wide), F.floor((F.col("due") + slop) / wide)))
     due = due.withColumn("block", F.explode(ends)).alias("d")
-    other = index.select("doc_id", "term", "pos", F.floor(F.col("pos") / wide).alias("block")).alias("o")
-    met = due.join(
+    other = postings.withColumn("block", F.floor(F.col("pos") / wide)).alias("o")
+    hits = due.join(
         other,
         (F.col("d.term2") == F.col("o.term"))
         & (F.col("d.block") == F.col("o.block"))
-        & F.col("d.doc_id").eqNullSafe(F.col("o.doc_id"))
+        & (F.col("d.row") == F.col("o.row"))
         & (F.abs(F.col("o.pos") - F.col("d.due")) <= slop)
         & (F.col("o.pos") != F.col("d.pos")),  # a word isn't its own neighbour
         "left_semi",
     )
-    found = met.select("doc_id", "win", "pos").union(single).distinct()
-    return found.join(wins.select("win", "items"), "win").select("doc_id", "win", "pos", "items")
+    return hits.select("row", "win", "pos").union(single).distinct()
+
+
+def proximity_matches(docs: DataFrame, items: DataFrame, slop: int = 3, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
+    """Near places (row, win, pos, items) and rows (row, doc_id)."""
+    wins = staged(windows(items, width), "bench-windows")
+    vocabulary = wins.select(F.explode("words").alias("term")).distinct()
+    index = staged(word_postings(docs, vocabulary), "word-postings")
+    pairs = staged(rarest_pairs(index, wins), "rarest-pairs")
+    found = near_places(index, pairs, slop).join(wins.select("win", "items"), "win")
+    return found.select("row", "win", "pos", "items"), index.where(F.col("term") == END).select("row", "doc_id")
 
 
 def proximity(docs: DataFrame, items: DataFrame, slop: int = 3, width: int = WIDTH) -> DataFrame:
     """docs(doc_id, text), items(item_id, text) -> one row per document: doc_id, n_near (windows near some place), n_near_items, near."""
-    docs = docs.select("doc_id", "text")
+    places, rows = proximity_matches(docs.select("doc_id", "text"), items, slop, width)
     # One row a document and window, so that items aren't repeated for every place.
-    near = proximity_matches(docs, items, slop, width).groupBy("doc_id", "win").agg(F.first("items").alias("items"))
-    near = staged(near, "proximity-windows")
-    n_windows = near.groupBy("doc_id").agg(F.count("*").alias("n_near"))
-    n_items = near.select("doc_id", F.explode("items").alias("item")).distinct().groupBy("doc_id").agg(F.count("*").alias("n_near_items"))
-    out = docs.select("doc_id").alias("d")
-    for name, held in (("w", n_windows), ("i", n_items)):
-        out = out.join(held.alias(name), F.col("d.doc_id").eqNullSafe(F.col(f"{name}.doc_id")), "left")
-    n = F.coalesce("w.n_near", F.lit(0))
-    return out.select("d.doc_id", n.alias("n_near"), F.coalesce("i.n_near_items", F.lit(0)).alias("n_near_items"), (n > 0).alias("near"))
-
-
-def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH, lists: int = LISTS) -> DataFrame:
+    near = staged(places.groupBy("row", "win").agg(F.first("items").alias("items")), "proximity-windows")
+    n_windows = near.groupBy("row").agg(F.count("*").alias("n_near"))
+    n_items = near.select("row", F.explode("items").alias("item")).distinct().groupBy("row").agg(F.count("*").alias("n_near_items"))
+    n = F.coalesce("n_near", F.lit(0))
+    out = rows.join(n_windows, "row", "left").join(n_items, "row", "left")
+    return out.select("doc_id", n.alias("n_near"), F.coalesce("n_near_items", F.lit(0)).alias("n_near_items"), (n > 0).alias("near"))
+
+
+def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
     """docs(doc_id, text), items(item_id, text) -> one row per document.
 
     doc_id, n_words, n_hit (words inside an occurrence), n_items, items_sha256,
     contaminated.
     """
-    docs = docs.select("doc_id", "text")
-    found, lengths = phrase_matches(docs, items, width, lists)
-    found = staged(found, "phrase-matches")
+    wins = staged(windows(items, width), "bench-windows")
+    places = pair_places(wins)
+    index = staged(pair_postings(docs.select("doc_id", "text"), places), "postings")
+    ranked = staged(ranked_terms(index, places), "ranked-terms")
+    found = phrase_matches(index, ranked)
     # Words covered: each run adds what lies beyond the furthest end so far.
-    runs = found.groupBy("doc_id", "start").agg(F.max("n").alias("n"))
-    before = Window.partitionBy("doc_id").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    runs = found.groupBy("row", "start").agg(F.max("n").alias("n"))
+    before = Window.partitionBy("row").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     end = F.col("start") + F.col("n")
     reach = F.coalesce(F.max(end).over(before), F.lit(0))
     fresh = runs.withColumn("fresh", F.greatest(end - F.greatest("start", reach), F.lit(0)))
-    hits = fresh.groupBy("doc_id").agg(F.sum("fresh").alias("n_hit"))
+    hits = fresh.groupBy("row").agg(F.sum("fresh").alias("n_hit"))
     ids = (
-        found.select("doc_id", F.explode("items").alias("item"))
+        found.select("row", "win")
+        .distinct()
+        .join(wins.select("win", "items"), "win")
+        .select("row", F.explode("items").alias("item"))
         .distinct()
-        .groupBy("doc_id")
+        .groupBy("row")
         .agg(F.array_sort(F.collect_list(F.col("item").cast("string"))).alias("ids"))
     )
     none = F.sha2(F.lit(""), 256)
-    out = lengths.alias("l").join(hits.alias("h"), F.col("l.doc_id").eqNullSafe(F.col("h.doc_id")), "left").join(
-        ids.alias("i"), F.col("l.doc_id").eqNullSafe(F.col("i.doc_id")), "left"
-    )
-    n_hit = F.coalesce("h.n_hit", F.lit(0)).cast("long")
-    return out.select(
-        "l.doc_id",
-        "l.n_words",
+    rows = index.where(F.col("term") == END).select("row", "doc_id", F.col("pos").cast("long").alias("n_words"))
+    n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
+    return rows.join(hits, "row", "left").join(ids, "row", "left").select(
+        "doc_id",
+        "n_words",
         n_hit.alias("n_hit"),
-        F.coalesce(F.size("i.ids"), F.lit(0)).cast("long").alias("n_items"),
-        F.coalesce(F.sha2(F.array_join("i.ids", ","), 256), none).alias("items_sha256"),
+        F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_items"),
+        F.coalesce(F.sha2(F.array_join("ids", ","), 256), none).alias("items_sha256"),
         (n_hit > 0).alias("contaminated"),
     )
 
@@ -296,5 +296,34 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN ids USING (doc_id)
 """
 
+PROXIMITY_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), win AS (
+  SELECT item_id, w[s:s + 9] AS terms
+  FROM (SELECT item_id, w, unnest(generate_series(1, greatest(len(w) - 9, 1))) AS s FROM b WHERE len(w) > 0)
+), tok AS (SELECT doc_id, unnest(w) AS term, generate_subscripts(w, 1) AS pos FROM d),
+tf AS (SELECT term, count(*) AS tf FROM tok GROUP BY term),
+ranked AS (
+  SELECT terms, term, place, row_number() OVER (PARTITION BY terms ORDER BY tf, term, place) AS r
+  FROM (SELECT terms, unnest(terms) AS term, generate_subscripts(terms, 1) AS place FROM (SELECT DISTINCT terms FROM win)) JOIN tf USING (term)
+), pair AS (
+  SELECT x.terms, x.term AS t1, y.term AS t2, y.place - x.place AS away
+  FROM ranked x LEFT JOIN ranked y ON x.terms = y.terms AND y.r = 2 WHERE x.r = 1 AND (y.r = 2 OR len(x.terms) = 1)
+), near AS (
+  SELECT a.doc_id, p.terms FROM tok a JOIN pair p ON a.term = p.t1 WHERE p.t2 IS NULL
+  UNION
+  SELECT a.doc_id, p.terms FROM pair p JOIN tok a ON a.term = p.t1 JOIN tok b ON b.doc_id = a.doc_id AND b.term = p.t2
+  WHERE a.pos <> b.pos AND abs(b.pos - a.pos - p.away) <= 3
+), n AS (SELECT doc_id, count(DISTINCT terms) AS n_near FROM near GROUP BY doc_id),
+i AS (SELECT doc_id, count(DISTINCT item_id) AS n_near_items FROM near JOIN win USING (terms) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_near, 0) AS n_near, coalesce(n_near_items, 0) AS n_near_items, coalesce(n_near, 0) > 0 AS near
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN i USING (doc_id)
+"""
+
 QUERIES = {"op7_decontaminate": op7_decontaminate, "op7_proximity": op7_proximity}
-ORACLE = {"op7_decontaminate": OP7_SQL}
+ORACLE = {"op7_decontaminate": OP7_SQL, "op7_proximity": PROXIMITY_SQL}

@@ -61,13 +61,13 @@ def strip_ascii_space(text: F.Column) -> F.Column:
     return out
 
 
-def checked_broadcast(df: DataFrame, max_bytes: int) -> DataFrame:
-    """``df`` marked for broadcast if its rows, counted now, take at most ``max_bytes``.
+def fits(df: DataFrame, max_bytes: int) -> bool:
+    """Whether the rows of ``df``, counted now, take at most ``max_bytes``.
 
-    Counts 16 bytes a row besides the text of its string columns.  Beyond the
-    bound the frame comes back as it is, and joins shuffle.
+    Counts 16 bytes a row and 8 a column besides the text of string columns; an array
+    counts 48 bytes an element.
     """
     texts = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in df.dtypes if kind == "string"]
+    texts += [F.greatest(F.size(c), F.lit(0)) * 48 for c, kind in df.dtypes if kind.startswith("array")]
     size = sum(texts, F.lit(0)) + 16 + 8 * len(df.columns)
-    total = df.agg(F.sum(size.cast("long"))).first()[0] or 0
-    return F.broadcast(df) if total <= max_bytes else df
+    return (df.agg(F.sum(size.cast("long"))).first()[0] or 0) <= max_bytes
