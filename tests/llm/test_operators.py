@@ -370,19 +370,23 @@ def test_html_equals_a_plain_reader_on_the_table(spark):
     assert {i: t for i, (t, _) in r.items()} == want and all(n == len(t) for t, n in r.values())
 
 
-@pytest.mark.parametrize("bound", [1 << 20, 0])
-def test_line_dedup(spark, bound):
-    want = sorted(brute.lines(DOCS, 3), key=repr)
-    out = line_dedup.line_dedup(frame(spark), min_docs=3, shard_keys=2, broadcast_bytes=bound, salts=3)
+@pytest.mark.parametrize(("hot", "bound"), [(1 << 17, 1 << 20), (1, 0), (30, 0)])
+def test_line_dedup(spark, monkeypatch, hot, bound):
+    monkeypatch.setattr(line_dedup, "HIT_BYTES", bound)
+    rows = [*DOCS, *((100 + i, f"line {i // 4}\nLINE {i % 3} \n\n own {i}") for i in range(40)), (None, None), (None, "line 1\nline 1")]
+    want = sorted(brute.lines(rows, 3), key=repr)
+    out = line_dedup.line_dedup(frame(spark, rows), min_docs=3, shard_keys=2, hot_keys=hot)
     assert got(out, "doc_id", "n_lines", "n_dropped", "kept_sha256") == want
-    assert sum(w[2] for w in want) > 3
-    assert line_dedup.line_dedup(frame(spark, []), broadcast_bytes=bound).count() == 0
+    assert sum(w[2] for w in want) > 40
+    assert line_dedup.line_dedup(frame(spark, []), hot_keys=hot).count() == 0
 
 
 def test_perfect_hash_is_minimal():
     rng = np.random.default_rng(0)
     h1, h2 = rng.integers(0, 2**63, (2, 5000)).astype(np.uint64)
     counts = np.arange(5000)
-    p = line_dedup.PerfectHash.load(line_dedup.PerfectHash.build(h1, h2, counts).dump())
+    p = line_dedup.PerfectHash.load(line_dedup.PerfectHash.build(h1, h2, counts, np.uint64, 5000).dump())
     assert (p.count(h1, h2) == counts).all() and len(p.counts) == 5000
     assert p.count(h1 ^ np.uint64(1), h2 ^ np.uint64(5)).sum() == 0
+    small = line_dedup.PerfectHash.build(h1, h2, counts)
+    assert (small.count(h1, h2) == np.minimum(counts, 255)).all() and len(small.dump()) < 4 * 5000

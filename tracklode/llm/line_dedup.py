@@ -7,19 +7,22 @@ documents lose all their lines in every document.
 1. Each task emits the distinct keys of its documents as 128-bit hashes with a
    count; Spark adds the counts up (partial sums first, so a key in a third of
    all documents is a handful of rows).
-2. The hashes that reach ``min_docs`` are dealt to shards of about
-   ``shard_keys`` by their leading bits.  Each shard becomes a minimal perfect
-   hash: bit arrays, level by level, with a fingerprint array and a count array
-   in the order of the hash.  Rarer keys can't be dropped, so they need no slot;
-   the 64-bit fingerprint turns them away.
-3. Documents probe the arrays.  If all shards together are measured to be below
-   ``broadcast_bytes`` they are broadcast, and no document is shuffled.  Beyond
-   that, hashes are routed to the shards, salted by document, next to a copy of
-   the shard for each salt; only hits travel back.
+2. All distinct hashes are dealt to shards of about ``shard_keys`` by their leading
+   bits.  Each shard becomes a minimal perfect hash: bit arrays, level by level, with
+   a fingerprint array and a count array in the order of the hash.  Every line that
+   can be asked for has its slot, so 16 bits of fingerprint and a count that stops at
+   what its type holds are enough, and the count says whether a line goes.
+3. Documents probe the arrays.  The at most ``hot_keys`` most frequent keys have a
+   shard of their own, small by construction, which is broadcast and probed where
+   the document is.  The document's other hashes travel to their shards; none of
+   them stands in more than one ``hot_keys``-th of all (document, line) pairs, so no shard is
+   a hot spot.  Only hits travel back to the document.
 
 Cases: a null or empty text is one empty line (never a key where
 ``min_points`` >= 1); a key counts once per row, so repeated rows count each;
-an empty table gives an empty result; other columns are ignored.
+very long texts have many lines or long ones, and are read one at a time; keys with
+equal counts are on one side of ``min_docs`` together; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,13 +39,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracklode.llm.shared import staged
+from tracklode.llm.shared import fits, staged
 
 MIN_DOCS = 10
 MIN_POINTS = 1
-SHARD_KEYS = 1 << 19
-BROADCAST_BYTES = 32 << 20
-SALTS = 32
+SHARD_KEYS = 1 << 16
+HOT_KEYS = 1 << 17
+#: The most that all hits of the shards may take to be broadcast to the documents.
+HIT_BYTES = 4 << 20
 #: Slots per key in a level of the perfect hash.
 GAMMA = 2.0
 
@@ -75,65 +79,73 @@ def mixed(h1: np.ndarray, h2: np.ndarray, level: int) -> np.ndarray:
 class PerfectHash:
     """Minimal perfect hash of distinct (h1, h2) with fingerprints and counts by slot."""
 
-    def __init__(self, levels: list[np.ndarray], prints: np.ndarray, counts: np.ndarray) -> None:
-        self.levels, self.prints, self.counts = levels, prints, counts
-        sums = [np.concatenate(([0], np.cumsum(bits, dtype=np.int64))) for bits in levels]
-        base, self.ranks = 0, []
-        for s in sums:
-            self.ranks.append(s + base)
-            base += int(s[-1])
+    def __init__(self, levels: list[np.ndarray], sizes: list[int], prints: np.ndarray, counts: np.ndarray) -> None:
+        self.levels, self.sizes, self.prints, self.counts = levels, sizes, prints, counts  # levels: bits as 64-bit words
+        base, self.ranks = 0, []  # ones before each word
+        for words in levels:
+            ones = np.bitwise_count(words).astype(np.uint32)
+            sums = np.cumsum(ones, dtype=np.uint32)
+            self.ranks.append(sums - ones + np.uint32(base))
+            base += int(ones.sum())
+
+    def slot(self, level: int, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether the bit at each place is one, and the ones before it."""
+        word, bit = place >> 6, (place & 63).astype(np.uint64)
+        held = self.levels[level][word]
+        return (held >> bit) & np.uint64(1) == 1, self.ranks[level][word] + np.bitwise_count(held & ((np.uint64(1) << bit) - np.uint64(1)))
 
     @classmethod
-    def build(cls, h1: np.ndarray, h2: np.ndarray, counts: np.ndarray) -> PerfectHash:
-        levels, left = [], np.arange(len(h1))
+    def build(cls, h1: np.ndarray, h2: np.ndarray, counts: np.ndarray, prints: type = np.uint16, most: int = 255) -> PerfectHash:
+        """``prints``: type of the fingerprints; ``most``: counts beyond it needn't be told apart."""
+        levels, sizes, left = [], [], np.arange(len(h1))
         slot_level = np.zeros(len(h1), np.int32)
         slot_place = np.zeros(len(h1), np.int64)
         while len(left):
             size = max(64, int(GAMMA * len(left)))
             place = (mixed(h1[left], h2[left], len(levels)) % np.uint64(size)).astype(np.int64)
-            load = np.bincount(place, minlength=size)
+            load = np.bincount(place, minlength=-(-size // 64) * 64)
             alone = load[place] == 1
-            levels.append(load == 1)
+            levels.append(np.packbits(load == 1, bitorder="little").view(np.uint64)), sizes.append(size)
             slot_level[left[alone]], slot_place[left[alone]] = len(levels) - 1, place[alone]
             left = left[~alone]
             if len(levels) > 200:
                 raise ValueError("keys of a shard aren't distinct")
-        out = cls(levels, np.zeros(len(h1), np.uint64), np.zeros(len(h1), np.uint32))
+        kind = np.min_scalar_type(most)
+        out = cls(levels, sizes, np.zeros(len(h1), prints), np.zeros(len(h1), kind))
         for level in range(len(levels)):
             own = np.flatnonzero(slot_level == level)
-            slot = out.ranks[level][slot_place[own]]
-            out.prints[slot] = h2[own]
-            out.counts[slot] = np.minimum(counts[own], 2**32 - 1)
+            slot = out.slot(level, slot_place[own])[1]
+            out.prints[slot] = h2[own].astype(prints)
+            out.counts[slot] = np.minimum(counts[own], np.iinfo(kind).max)
         return out
 
     def count(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
         """The count of each key, 0 for keys that aren't in the index."""
         out, left = np.zeros(len(h1), np.int64), np.arange(len(h1))
-        for level, bits in enumerate(self.levels):
+        for level, size in enumerate(self.sizes):
             if not len(left):
                 break
-            place = (mixed(h1[left], h2[left], level) % np.uint64(len(bits))).astype(np.int64)
-            set_ = bits[place]
-            at, slot = left[set_], self.ranks[level][place[set_]]
-            out[at] = np.where(self.prints[slot] == h2[at], self.counts[slot], 0)
+            place = (mixed(h1[left], h2[left], level) % np.uint64(size)).astype(np.int64)
+            set_, slot = self.slot(level, place)
+            at, slot = left[set_], slot[set_]
+            out[at] = np.where(self.prints[slot] == h2[at].astype(self.prints.dtype), self.counts[slot], 0)
             left = left[~set_]
         return out
 
     def dump(self) -> bytes:
-        head = np.array([len(self.levels), len(self.prints), *(len(x) for x in self.levels)], np.int64)
-        return b"".join([head.tobytes(), *(np.packbits(x).tobytes() for x in self.levels), self.prints.tobytes(), self.counts.tobytes()])
+        head = np.array([len(self.levels), len(self.prints), self.prints.itemsize, self.counts.itemsize, *self.sizes], np.int64)
+        return b"".join([head.tobytes(), *(x.tobytes() for x in self.levels), self.prints.tobytes(), self.counts.tobytes()])
 
     @classmethod
     def load(cls, blob: bytes) -> PerfectHash:
-        n_levels, n = np.frombuffer(blob, np.int64, 2)
-        sizes = np.frombuffer(blob, np.int64, n_levels, 16)
-        at, levels = 16 + 8 * int(n_levels), []
+        n_levels, n, print_bytes, count_bytes = np.frombuffer(blob, np.int64, 4).tolist()
+        sizes = np.frombuffer(blob, np.int64, n_levels, 32).tolist()
+        at, levels = 32 + 8 * n_levels, []
         for size in sizes:
-            n_bytes = (int(size) + 7) // 8
-            levels.append(np.unpackbits(np.frombuffer(blob, np.uint8, n_bytes, at), count=int(size)).astype(bool))
-            at += n_bytes
-        prints = np.frombuffer(blob[at : at + 8 * n], np.uint64)
-        return cls(levels, prints, np.frombuffer(blob[at + 8 * n : at + 12 * n], np.uint32))
+            levels.append(np.frombuffer(blob, np.uint64, -(-size // 64), at))
+            at += 8 * len(levels[-1])
+        prints = np.frombuffer(blob, f"u{print_bytes}", n, at)
+        return cls(levels, sizes, prints, np.frombuffer(blob[at + print_bytes * n :], f"u{count_bytes}", n))
 
 
 def split_hashes(hashes: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -162,7 +174,7 @@ def key_counts(docs: DataFrame, min_points: int) -> DataFrame:
     return rows.groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def build_index(counts: DataFrame, bits: int) -> DataFrame:
+def build_index(counts: DataFrame, bits: int, min_docs: int, prints: type = np.uint16) -> DataFrame:
     """counts(key, n) -> shard, blob."""
 
     def number(keys: pd.Series) -> pd.Series:
@@ -170,47 +182,39 @@ def build_index(counts: DataFrame, bits: int) -> DataFrame:
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         h1, h2 = split_hashes(list(pdf["key"]))
-        blob = PerfectHash.build(h1, h2, pdf["n"].to_numpy()).dump()
+        blob = PerfectHash.build(h1, h2, pdf["n"].to_numpy(), prints, min_docs).dump()
         return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "blob": [blob]})
 
     shard = F.pandas_udf(number, "int")
     return counts.withColumn("shard", shard("key")).groupBy("shard").applyInPandas(build, "shard int, blob binary")
 
 
-def frequent(hashes: list[bytes], index: dict[int, PerfectHash], bits: int, min_docs: int) -> np.ndarray:
-    """Which of the hashes reach ``min_docs``."""
-    h1, h2 = split_hashes(hashes)
-    shards, out = shard_of(h1, bits), np.zeros(len(hashes), bool)
-    for s in np.unique(shards):
-        if (part := index.get(int(s))) is not None:
-            own = np.flatnonzero(shards == s)
-            out[own] = part.count(h1[own], h2[own]) >= min_docs
-    return out
+def frequent(keys: list[bytes], hot: PerfectHash | None, min_docs: int) -> set[bytes]:
+    """Hashes that the broadcast shard holds with enough documents; it holds no other that it would tell."""
+    if hot is None or not keys:
+        return set()
+    return {keys[i] for i in np.flatnonzero(hot.count(*split_hashes(keys)) >= min_docs)}
 
 
 OUT = [("n_lines", "long"), ("n_dropped", "long"), ("kept_sha256", "string"), ("kept_text", "string")]
 
 
-def dropped(docs: DataFrame, bits: int, min_docs: int, min_points: int, index) -> DataFrame:
-    """Drop lines by a broadcast index, or by the ``hits`` column of each row."""
+def dropped(docs: DataFrame, hot, min_docs: int, min_points: int) -> DataFrame:
+    """docs(doc_id, text, hits) without the lines that the hot shard or their ``hits`` name."""
     kept_type = docs.schema["doc_id"].dataType
     schema = T.StructType([T.StructField("doc_id", kept_type), *(T.StructField(n, {"long": T.LongType(), "string": T.StringType()}[t]) for n, t in OUT)])
-    has_hits = "hits" in docs.columns
-    columns = ["doc_id", F.col("text").cast("binary").alias("text"), *(["hits"] if has_hits else [])]
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = {s: PerfectHash.load(b) for s, b in index.value.items()} if index is not None else {}
+        shard = PerfectHash.load(hot.value) if hot.value else None
         for batch in batches:
             texts = [lines_of(t) for t in batch.column(1).to_pylist()]
             keys = [[line_key(x) for x in lines] for lines in texts]
-            if has_hits:
-                bad = [set(h or ()) for h in batch.column(2).to_pylist()]
-                marks = [[bool(b) and code_points(k) >= min_points and key_hash(k) in b for k in ks] for ks, b in zip(keys, bad)]
-            else:
-                distinct = [k for k in {k for ks in keys for k in ks} if code_points(k) >= min_points]
-                often = frequent([key_hash(k) for k in distinct], parts, bits, min_docs) if distinct else ()
-                drop = {k for k, yes in zip(distinct, often) if yes}
-                marks = [[k in drop for k in ks] for ks in keys]
+            hashes = {k: key_hash(k) for ks in keys for k in ks if code_points(k) >= min_points}
+            often = frequent(list(hashes.values()), shard, min_docs)
+            marks = []
+            for ks, hits in zip(keys, batch.column(2).to_pylist()):
+                own = set(hits or ())
+                marks.append([(h := hashes.get(k)) is not None and (h in often or h in own) for k in ks])
             kept = [b"\n".join([x for x, m in zip(lines, ms) if not m]) for lines, ms in zip(texts, marks)]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -223,79 +227,70 @@ def dropped(docs: DataFrame, bits: int, min_docs: int, min_points: int, index) -
                 ["doc_id", *(n for n, _ in OUT)],
             )
 
-    return docs.select(*columns).mapInArrow(apply, schema)
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text"), "hits").mapInArrow(apply, schema)
 
 
-def routed_hits(docs: DataFrame, index: DataFrame, bits: int, min_docs: int, min_points: int, salts: int) -> DataFrame:
-    """row, hits: the frequent keys of each row, found at the shards."""
+def routed_hits(docs: DataFrame, index: DataFrame, hot, bits: int, min_docs: int, min_points: int) -> DataFrame:
+    """docs(doc_id, k, text) -> doc_id, k, hits: the frequent keys of each row that its shards tell."""
+    asked = T.StructType([T.StructField("shard", T.IntegerType()), docs.schema["doc_id"], T.StructField("k", T.LongType()), T.StructField("data", T.BinaryType())])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = PerfectHash.load(hot.value) if hot.value else None
         for batch in batches:
-            rows, keys = [], []
-            for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            whose, keys = [], []
+            for i, text in enumerate(batch.column(2).to_pylist()):
                 own = [key_hash(k) for k in {line_key(x) for x in lines_of(text)} if code_points(k) >= min_points]
-                rows += [row] * len(own)
+                whose += [i] * len(own)
                 keys += own
+            if keys and shard is not None:
+                often = shard.count(*split_hashes(keys)) >= min_docs  # told where the document is
+                whose, keys = [i for i, x in zip(whose, often) if not x], [k for k, x in zip(keys, often) if not x]
             shards = shard_of(split_hashes(keys)[0], bits) if keys else np.zeros(0, np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(shards, pa.int32()), pa.array(rows, pa.int64()), pa.array(keys, pa.binary())], ["shard", "row", "data"]
-            )
+            at = pa.array(whose, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), batch.column(0).take(at), batch.column(1).take(at), pa.array(keys, pa.binary())], asked.names)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, at = None, None  # one shard in memory at a time; its row comes first
+        part = None  # one shard in memory at a time; its row comes first
         for batch in batches:
-            shards = np.asarray(batch.column(0))
-            rows, data = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            leads = np.flatnonzero(np.asarray(batch.column(4)))
+            data = batch.column(3)
             found: list[int] = []
-            leads = np.asarray(batch.column(1)) == -1  # copies of a shard, one before each salt's keys
-            turns = np.flatnonzero((np.diff(shards) != 0) | leads[1:] | leads[:-1]) + 1
-            edges = [0, *turns.tolist(), len(shards)]
+            edges = [-1, *leads.tolist(), batch.num_rows]
             for lo, hi in zip(edges, edges[1:]):
-                if lo == hi:
-                    continue
-                if leads[lo]:
-                    part, at = PerfectHash.load(data[lo]), shards[lo]
-                    continue
-                if shards[lo] != at:
-                    part, at = None, shards[lo]
-                if part is not None:
-                    h1, h2 = split_hashes(data[lo:hi])
-                    found += (lo + np.flatnonzero(part.count(h1, h2) >= min_docs)).tolist()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([rows[i] for i in found], pa.int64()), pa.array([data[i] for i in found], pa.binary())], ["row", "key"]
-            )
-
-    keys = docs.select("row", F.col("text").cast("binary").alias("text")).mapInArrow(emit, "shard int, row long, data binary")
-    keys = keys.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(salts)).cast("int"))
-    copies = index.select("shard", F.lit(-1).cast("long").alias("row"), F.col("blob").alias("data"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    dealt = keys.unionByName(copies).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "row")
-    # Within a partition a shard may come with several salts, each led by its own copy.
-    hits = dealt.select("shard", "row", "data").mapInArrow(probe, "row long, key binary")
-    return hits.groupBy("row").agg(F.collect_set("key").alias("hits"))
-
-
-def line_dedup(
-    docs: DataFrame,
-    min_docs: int = MIN_DOCS,
-    min_points: int = MIN_POINTS,
-    shard_keys: int = SHARD_KEYS,
-    broadcast_bytes: int = BROADCAST_BYTES,
-    salts: int = SALTS,
-) -> DataFrame:
+                if lo >= 0:
+                    part = PerfectHash.load(data[lo].as_py())
+                if hi - lo > 1:
+                    h1, h2 = split_hashes(data.slice(lo + 1, hi - lo - 1).to_pylist())
+                    found += (lo + 1 + np.flatnonzero(part.count(h1, h2) >= min_docs)).tolist()
+            at = pa.array(found, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(1).take(at), batch.column(2).take(at), data.take(at)], told.names)
+
+    told = T.StructType([docs.schema["doc_id"], T.StructField("k", T.LongType()), T.StructField("key", T.BinaryType())])
+    keys = docs.select("doc_id", "k", F.col("text").cast("binary").alias("text")).mapInArrow(emit, asked).withColumn("lead", F.lit(0))
+    shards = index.select("shard", F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), F.lit(None).cast("long").alias("k"), F.col("blob").alias("data"), F.lit(1).alias("lead"))
+    # Every key asked for is in the index, so each shard's own row leads what was sent to it.
+    dealt = keys.unionByName(shards).repartition("shard").sortWithinPartitions("shard", F.desc("lead"))
+    hits = dealt.select("shard", "doc_id", "k", "data", "lead").mapInArrow(probe, told)
+    return hits.groupBy("doc_id", "k").agg(F.collect_set("key").alias("hits"))
+
+
+def line_dedup(docs: DataFrame, min_docs: int = MIN_DOCS, min_points: int = MIN_POINTS, shard_keys: int = SHARD_KEYS, hot_keys: int = HOT_KEYS) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_lines, n_dropped, kept_sha256, kept_text."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    counts = staged(key_counts(docs, min_points).where(F.col("n") >= min_docs), "line-counts")
-    bits = max(0, (counts.count() // shard_keys).bit_length())
-    index = staged(build_index(counts, bits), "line-index")
-    total = index.agg(F.sum(F.length("blob"))).first()[0] or 0
-    if total <= broadcast_bytes:
-        held = spark.sparkContext.broadcast({r["shard"]: bytes(r["blob"]) for r in index.collect()})
-        return dropped(docs, bits, min_docs, min_points, held)
-    # Rows get a number that is fixed by being written.
-    numbered = staged(docs.withColumn("row", F.monotonically_increasing_id()), "numbered-docs")
-    hits = routed_hits(numbered, index, bits, min_docs, min_points, salts)
-    return dropped(numbered.join(hits, "row", "left"), bits, min_docs, min_points, None)
+    counts = staged(key_counts(docs, min_points), "line-counts")
+    n_keys, n_pairs = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    bits = (n_keys // shard_keys).bit_length()
+    index = staged(build_index(counts, bits, min_docs), "line-index")
+    # At most hot_keys keys can stand in that many documents.
+    often = counts.where(F.col("n") >= max(min_docs, n_pairs // hot_keys + 1))
+    shard = build_index(often, 0, min_docs, np.uint64).first()  # one row; fingerprints that turn other lines away
+    hot = spark.sparkContext.broadcast(bytes(shard["blob"]) if shard else b"")
+    keyed = docs.withColumn("k", F.xxhash64("doc_id", "text"))
+    hits = staged(routed_hits(keyed, index, hot, bits, min_docs, min_points), "line-hits")
+    near = F.broadcast(hits) if fits(hits, HIT_BYTES) else hits
+    joined = keyed.alias("d").join(near.alias("h"), F.col("d.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("d.k") == F.col("h.k")), "left")
+    return dropped(joined.select("d.doc_id", "d.text", "h.hits"), hot, min_docs, min_points)
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
