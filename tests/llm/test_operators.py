@@ -177,6 +177,32 @@ def test_language_id(spark):
     assert {x["lang_pred"] for x in langid.identify(df.withColumn("lang", F.lit(None).cast("string")), langid.default_pieces()).collect()} == {"und"}
 
 
+def test_language_id_on_held_out_rows(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    found = langid.identify(docs, langid.default_pieces()).withColumnRenamed("doc_id", "id")
+    r = found.join(docs, found["id"] == docs["doc_id"]).where("held_out AND lang IS NOT NULL AND lang_pred != 'und'").select("lang", "lang_pred", "score").collect()
+    assert len(r) > 200 and np.mean([x["lang"] == x["lang_pred"] for x in r]) > 0.98
+
+
+def test_language_fit_equals_one_machine(spark):
+    """The fit by tasks against the same rounds over all words at once."""
+    rows = [("en", "the house and the garden"), ("de", "das haus und der garten"), ("en", "a house"), ("de", None), ("en", "x" * 3000)]
+    langs, logp = langid.fit(spark.createDataFrame(rows, "lang string, text string").repartition(3), langid.default_pieces(), 2)
+    counts = [{}, {}]
+    for lang, text in rows:
+        for w in langid.words_of(text or ""):
+            own = counts[langs.index(lang)]
+            own[w] = own.get(w, 0) + 1
+    words = sorted(set(counts[0]) | set(counts[1]))
+    weight = np.array([[c.get(w, 0) for c in counts] for w in words], float)
+    size = langid.pieces(langid.default_pieces()).size + 1
+    want = np.full((size, 2), -np.log(size))
+    for _ in range(2):
+        total = langid.Lattice(words, langid.pieces(langid.default_pieces())).expected(want, weight) + langid.PRIOR
+        want = np.log(total) - np.log(total.sum(axis=0))
+    assert langs == ["de", "en"] and np.allclose(logp, want)
+
+
 def test_forward_sums_all_segmentations():
     vocabulary = langid.Pieces({p: i for i, p in enumerate(["a", "aa", "ab", "b", "▁", "▁a"])}, 2)
     p = np.full((7, 1), 0.1)
@@ -284,6 +310,18 @@ def test_quality(spark):
     assert {x["score"] for x in quality.quality_scores(frame(spark, good), labels.where("quality = 1")).collect()} == {1.0}
 
 
+def test_quality_on_held_out_rows(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    found = quality.quality_scores(docs.select("doc_id", "text"), labels).select("doc_id", "held_out", "score", "predicted")
+    r = found.join(labels, "doc_id").where("held_out AND quality IS NOT NULL").collect()
+    y, p = np.array([x["quality"] for x in r]), np.array([x["score"] for x in r])
+    assert len(r) > 50 and np.mean([x["predicted"] == x["quality"] for x in r]) > 0.9
+    # Calibration: in bins of the score, the mean score is near the share of label 1.
+    bins = np.minimum((p * 5).astype(int), 4)
+    error = sum(abs(p[bins == k].mean() - y[bins == k].mean()) * (bins == k).mean() for k in range(5) if (bins == k).any())
+    assert error < 0.1
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><nav><ul><li><a href="/x">Home</a></li></ul></nav>
 <div class="ad">Buy this now, it is good.</div><article><h1>A  title</h1><p>First &amp; longest paragraph, with\n words; and more of them.<p><b>Open<br><p>Last.</p></article>
 <div id="comments"><p>I liked this article very much, thank you for writing it.</p></div><footer>&copy; me</footer></body></html>"""

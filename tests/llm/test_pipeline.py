@@ -16,7 +16,7 @@ def test_pipeline(spark):
 
     docs, labels, items = (pd.read_parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels", "benchmark"))
     out = corpus_pipeline.run(spark, SF).toPandas()
-    rows = quality.training_rows(*(spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels")), quality.SAMPLE, quality.MAX_CHARS)
+    rows = quality.training_rows(*(spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels")), quality.SAMPLE)
     vectors, net = quality.fit(rows)
     kept = docs[quality.scores_of(list(docs.text), vectors, net, quality.Tokens()) >= quality.THRESHOLD]
     pairs = list(zip(kept.doc_id, kept.text))

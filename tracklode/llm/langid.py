@@ -8,15 +8,18 @@ probabilities, each found by the forward algorithm, so it is marginal over every
 segmentation; pieces never cross a word.
 
 Fitting uses at most ``per_lang`` labelled rows per language (those with the
-smallest hash of their id) with at most ``max_chars`` characters each.  The model
-is a table of pieces by languages, whose size the vocabulary bounds; it is
-broadcast.  Prediction is a map over whole texts with a bounded memo of words.
+smallest hash of their id), whatever their length.  Their words are counted and every
+round of expectation maximisation is run by tasks; the driver gets sums by piece and
+language, never texts.  The model is a table of pieces by languages, whose size the
+vocabulary bounds; it is broadcast.  Prediction is a map over whole texts with a
+bounded memo of words.
 
 Cases: a text that is null or has no letter gets ``und`` and score 0; without
 labelled rows every text does; ties go to the language that sorts first; a row
-with a null id isn't held out and, if labelled, may be learned from; repeated
-rows are predicted each; an empty table gives an empty result; other columns are
-never read.
+with a null id isn't held out and is never learned from; a very long text is one row
+like any other, and a very long word takes time in proportion; repeated rows are
+predicted each, and learned from each if their id is chosen; an empty table gives an
+empty result; other columns are never read.
 """
 
 from __future__ import annotations
@@ -32,12 +35,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracklode.llm.shared import fits, staged
+
 PER_LANG = 500
-MAX_CHARS = 100_000
+#: Groups by hash of the id in which a language's rows are chosen first.
+SALTS = 64
 ROUNDS = 4
 #: Added to the expected count of every piece.
 PRIOR = 0.05
 MEMO = 200_000
+#: The most that the chosen ids may take to be broadcast.
+ID_BYTES = 4 << 20
 UNDEFINED = "und"
 LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*").findall
 
@@ -165,24 +173,54 @@ def words_of(text: str) -> list[str]:
     return LETTERS(text.lower())
 
 
-def fit(texts: list[tuple[str, str]], path: str, rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
-    """(lang, text) pairs -> languages and log probabilities, pieces by languages."""
-    langs = sorted({lang for lang, _ in texts})
-    vocabulary = pieces(path)
-    size = vocabulary.size + 1
-    if not langs:
-        return [], np.zeros((size, 0))
-    counts = [Counter() for _ in langs]
-    for lang, text in texts:
-        counts[langs.index(lang)].update(words_of(text))
-    words = sorted(set().union(*counts))
-    weight = np.array([[c[w] for c in counts] for w in words], float).reshape(len(words), len(langs))
+def word_counts(rows: DataFrame) -> DataFrame:
+    """rows(lang, text) -> lang, word, n."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen: Counter = Counter()
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                seen.update((lang, w) for w in words_of(text or ""))
+            langs, words = zip(*seen) if seen else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(words, pa.string()), pa.array(list(seen.values()), pa.int64())], ["lang", "word", "n"])
+
+    return rows.select("lang", "text").mapInArrow(emit, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+
+
+def expected_uses(counts: DataFrame, langs: list[str], logp: np.ndarray, path: str) -> np.ndarray:
+    """Expected uses of each piece by language over all counted words, summed by Spark."""
+    model = counts.sparkSession.sparkContext.broadcast((langs, logp))
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, table = model.value
+        number = {x: i for i, x in enumerate(names)}
+        total = np.zeros(table.shape)
+        for batch in batches:
+            lang = np.array([number[x] for x in batch.column(0).to_pylist()], np.int64)
+            words, n = batch.column(1).to_pylist(), np.asarray(batch.column(2), float)
+            weight = np.zeros((len(words), len(names)))
+            weight[np.arange(len(words)), lang] = n
+            for at in range(0, len(words), 10_000):
+                total += Lattice(words[at : at + 10_000], pieces(path)).expected(table, weight[at : at + 10_000])
+        piece, lang = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(piece), pa.array(lang), pa.array(total[piece, lang])], ["piece", "lang", "uses"])
+
+    # At most one row a piece and language.
+    found = counts.mapInArrow(emit, "piece long, lang long, uses double").groupBy("piece", "lang").agg(F.sum("uses").alias("uses")).toPandas()
+    model.destroy()
+    out = np.zeros(logp.shape)
+    out[found["piece"].to_numpy(int), found["lang"].to_numpy(int)] = found["uses"]
+    return out
+
+
+def fit(rows: DataFrame, path: str, rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
+    """rows(lang, text) -> languages and log probabilities, pieces by languages."""
+    counts = staged(word_counts(rows), "word-counts")
+    langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
+    size = pieces(path).size + 1
     logp = np.full((size, len(langs)), -np.log(size))
-    step = 10_000
-    for _ in range(rounds):
-        total = np.full((size, len(langs)), PRIOR)
-        for at in range(0, len(words), step):
-            total += Lattice(words[at : at + step], vocabulary).expected(logp, weight[at : at + step])
+    for _ in range(rounds if langs else 0):
+        total = expected_uses(counts, langs, logp, path) + PRIOR
         logp = np.log(total) - np.log(total.sum(axis=0))
     return langs, logp
 
@@ -246,23 +284,26 @@ def id_fold(doc_id: Column, folds: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds))
 
 
-def training_rows(docs: DataFrame, held_out: Column, per_lang: int, max_chars: int) -> list[tuple[str, str]]:
-    """At most ``per_lang`` labelled (lang, text) of each language, not held out."""
-    usable = docs.where(F.col("lang").isNotNull() & (F.length("text") <= max_chars) & ~held_out).select("doc_id", "lang")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = usable.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_lang)
-    ids = [r["doc_id"] for r in chosen.select("doc_id").distinct().collect()]  # at most per_lang a language
-    if not ids:
-        return []
-    keep = docs.sparkSession.createDataFrame([(i,) for i in ids], T.StructType([docs.schema["doc_id"]]))
-    rows = docs.where(F.col("lang").isNotNull() & (F.length("text") <= max_chars)).join(F.broadcast(keep), "doc_id", "left_semi")
-    return [(r["lang"], r["text"]) for r in rows.select("lang", "text", "doc_id").orderBy("doc_id").collect()]
+def training_rows(docs: DataFrame, held_out: Column, per_lang: int) -> DataFrame:
+    """lang, text of at most ``per_lang`` ids of each language, labelled and not held out.
+
+    A language's rows are ranked in groups by hash of their id first, so that one
+    language may hold most of the corpus.
+    """
+    usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out).select("lang", "doc_id", F.xxhash64("doc_id").alias("h"))
+    chosen = usable.withColumn("salt", F.pmod("h", F.lit(SALTS)))
+    for groups in (("lang", "salt"), ("lang",)):
+        order = Window.partitionBy(*groups).orderBy("h", "doc_id")
+        chosen = chosen.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_lang)
+    chosen = staged(chosen.select("lang", "doc_id").distinct(), "chosen-rows")
+    keep = F.broadcast(chosen) if fits(chosen, ID_BYTES) else chosen
+    return docs.select("lang", "doc_id", "text").join(keep, ["lang", "doc_id"], "left_semi")
 
 
-def identify(docs: DataFrame, path: str, folds: int = 3, held: int = 1, per_lang: int = PER_LANG, max_chars: int = MAX_CHARS) -> DataFrame:
+def identify(docs: DataFrame, path: str, folds: int = 3, held: int = 1, per_lang: int = PER_LANG) -> DataFrame:
     """docs(doc_id, text, lang) -> doc_id, held_out, lang_pred, score."""
     held_out = F.coalesce(id_fold(F.col("doc_id"), folds) == held, F.lit(False))
-    langs, logp = fit(training_rows(docs, held_out, per_lang, max_chars), path)
+    langs, logp = fit(training_rows(docs, held_out, per_lang), path)
     model = docs.sparkSession.sparkContext.broadcast((langs, logp.astype(np.float32)))
     schema = T.StructType(
         [docs.schema["doc_id"], T.StructField("held_out", T.BooleanType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]

@@ -9,10 +9,13 @@ the pooled vectors; its logit is divided by a temperature fitted on training row
 that the network hasn't seen.
 
 Fitting uses at most ``sample`` labelled rows (those with the smallest hash of
-their id) with at most ``max_chars`` characters each.  The model's size is fixed by
+their id), whatever their length.  Word vectors are summed, and the sample's documents
+pooled, by tasks; the driver gets at most ``WORDS`` word vectors and one pooled vector a
+sampled row, never texts, and trains the network on them.  The model's size is fixed by
 its constants; it is broadcast.  Scoring is a map over whole texts.
 
-Cases: a null or empty text is scored as a document without words; of several
+Cases: a null or empty text is scored as a document without words; a very long text is
+pooled like any other; equal texts get equal scores; of several
 labels of one doc_id the smallest counts; null labels are left out; without
 labels, or with labels of one kind only, the score is the share of label 1 among
 them (0.5 without any); a row with a null id is never learned from and isn't held
@@ -32,8 +35,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracklode.llm.shared import staged
+
 SAMPLE = 8000
-MAX_CHARS = 100_000
 FOLDS, HELD = 5, 0
 THRESHOLD = 0.3
 #: Buckets that words and shapes are hashed to; more words than buckets share vectors.
@@ -85,9 +89,9 @@ class Tokens:
         return codes // SHAPES, codes % SHAPES
 
 
-def word_vectors(docs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Sums of the index vectors near each word, scaled to length one."""
-    out = np.zeros((WORDS, DIM), np.float32)
+def summed_vectors(docs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Sums of the index vectors near each word."""
+    out = np.zeros((WORDS, DIM), np.float64)
     for words, shapes in docs:
         if not len(words):
             continue
@@ -99,6 +103,28 @@ def word_vectors(docs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         order = np.argsort(words, kind="stable")
         starts = np.flatnonzero(np.diff(words[order], prepend=-1))
         out[words[order][starts]] += np.add.reduceat(near[order], starts, axis=0)
+    return out
+
+
+def word_vectors(rows: DataFrame) -> np.ndarray:
+    """rows(text) -> the vector of every word bucket, scaled to length one.
+
+    Sums are of whole numbers, so their order doesn't matter.
+    """
+    names = [f"v{i}" for i in range(DIM)]
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, total = Tokens(), np.zeros((WORDS, DIM))
+        for batch in batches:
+            for x in batch.column(0):
+                total += summed_vectors([tokens(x.as_py())])
+        used = np.flatnonzero(total.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(used), *(pa.array(total[used, i]) for i in range(DIM))], ["word", *names])
+
+    schema = "word long, " + ", ".join(f"{n} double" for n in names)
+    sums = rows.select("text").mapInArrow(emit, schema).groupBy("word").agg(*(F.sum(n).alias(n) for n in names)).toPandas()  # at most WORDS rows
+    out = np.zeros((WORDS, DIM), np.float32)
+    out[sums["word"].to_numpy(int)] = sums[names].to_numpy(np.float32)
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-6)
 
 
@@ -154,15 +180,29 @@ class Network:
         self.temperature = min(np.geomspace(0.25, 16, 61), key=loss)
 
 
-def fit(rows: list[tuple[str | None, int]]) -> tuple[np.ndarray, Network | float]:
-    """(text, label) -> word vectors and the network, or a constant score."""
-    y = np.array([label for _, label in rows], float)
-    if len(set(y)) < 2:
-        return np.zeros((WORDS, DIM), np.float32), float(y.mean()) if len(y) else 0.5
-    tokens = Tokens()
-    docs = [tokens(text) for text, _ in rows]
-    vectors = word_vectors(docs)
-    x = np.stack([pooled(w, s, vectors) for w, s in docs]).astype(float)
+def pooled_rows(rows: DataFrame, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """rows(h, doc_id, text, quality), a bounded sample -> pooled vectors and labels, in order of h and id."""
+    model = rows.sparkSession.sparkContext.broadcast(vectors)
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = Tokens()
+        for batch in batches:
+            found = [pooled(*tokens(x.as_py()), model.value).tobytes() for x in batch.column(3)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(found, pa.binary())], schema.names)
+
+    schema = T.StructType([*(rows.schema[n] for n in ("h", "doc_id", "quality")), T.StructField("x", T.BinaryType())])
+    held = rows.select("h", "doc_id", "quality", "text").mapInArrow(emit, schema).orderBy("h", "doc_id", "x").collect()
+    model.destroy()
+    return np.array([np.frombuffer(r["x"], np.float32) for r in held], float), np.array([r["quality"] for r in held], float)
+
+
+def fit(rows: DataFrame) -> tuple[np.ndarray, Network | float]:
+    """Sampled rows -> word vectors and the network, or a constant score."""
+    kinds = rows.groupBy("quality").count().collect()  # labels are 0 and 1
+    if len(kinds) < 2:
+        return np.zeros((WORDS, DIM), np.float32), float(kinds[0]["quality"]) if kinds else 0.5
+    vectors = word_vectors(rows)
+    x, y = pooled_rows(rows, vectors)
     kept = np.arange(len(y)) % 5 != 4
     if kept.all() or len(set(y[kept])) < 2:
         return vectors, Network(x, y)
@@ -179,18 +219,20 @@ def scores_of(texts: list[str | None], vectors: np.ndarray, net: Network | float
     return net.scores(np.stack([pooled(*tokens(t), vectors) for t in texts]).astype(float))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, sample: int, max_chars: int) -> list[tuple[str | None, int]]:
+def training_rows(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
+    """h, doc_id, text, quality of the at most ``sample`` labelled ids with the least hashes; one row an id."""
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(FOLDS))
     usable = labels.where(F.col("quality").isNotNull() & (fold != HELD)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    held = F.broadcast(docs.sparkSession.createDataFrame(chosen.collect(), chosen.schema))  # at most ``sample`` rows
-    rows = docs.where(F.coalesce(F.length("text"), F.lit(0)) <= max_chars).select("doc_id", "text").join(held, "doc_id")
-    return [(r["text"], int(r["quality"])) for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()]
+    chosen = usable.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(sample)
+    held = F.broadcast(staged(chosen, "sampled-labels"))  # at most ``sample`` rows of three numbers
+    rows = docs.select("doc_id", "text").join(held, "doc_id")
+    # Repeated ids: the least text that is there.
+    return staged(rows.groupBy("h", "doc_id", "quality").agg(F.min("text").alias("text")), "sampled-rows")
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, max_chars: int = MAX_CHARS, threshold: float = THRESHOLD) -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
     """Every column of docs, with held_out, score and predicted added (or replaced)."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(training_rows(docs, labels.select("doc_id", "quality"), sample, max_chars)))
+    model = docs.sparkSession.sparkContext.broadcast(fit(training_rows(docs, labels.select("doc_id", "quality"), sample)))
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(FOLDS))
     added = [T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
     kept = [c for c in docs.columns if c not in {f.name for f in added}]
