@@ -123,9 +123,9 @@ def test_pii(spark):
     assert a == b != card and pii.luhn(a.replace(" ", "")) and "4111111111111112 4.0. x" in out
     assert pii.pseudonymised(PROSE, f) == (PROSE, {})
     assert pii.pseudonymised(None, f) == (None, {}) and pii.pseudonymised("", f) == ("", {})
-    r = {x["doc_id"]: x for x in pii.pseudonymise(frame(spark, [*DOCS, (20, text), (21, "again " + card)])).collect()}
+    r = {x["doc_id"]: x for x in pii.pseudonymise(frame(spark, [*DOCS, (20, text), (21, "again " + card)]), b"key").collect()}
     assert r[20]["n_found"] == 7 and r[4]["text"] is None and r[12]["text"] == LONG
-    assert pii.pseudonymise(frame(spark, [])).count() == 0
+    assert pii.pseudonymise(frame(spark, []), b"key").count() == 0
 
 
 @pytest.mark.parametrize(
@@ -155,6 +155,69 @@ def test_pii_leaves_numbers_that_fail():
         assert pii.pseudonymised(text, f) == (text, {})
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "gone"),
+    [
+        ("write to 用户@例子.com now", "email", "用户"),
+        ("jürgen.müller@straße.de", "email", "ü"),
+        ("x" * 80 + "@example.org", "email", "x" * 16),
+        ("born 25/12/1990, here", "date", "25/12/1990"),
+        ("born 1990/12/25, here", "date", "1990/12/25"),
+        ("am 25-12-1990 um", "date", "25-12-1990"),
+        ("call 020 7946 0018 now", "phone", "7946"),
+        ("call (030) 1234 5678", "phone", "1234 5678"),
+        ("aws_secret_access_key        =        'abcdef123456'", "secret", "abcdef123456"),
+        ("an-uncommonly-long-name-of-a-service-and-its-token: Zyxw9876543", "secret", "Zyxw9876543"),
+    ],
+)
+def test_pii_of_other_forms(text, kind, gone):
+    out, found = pii.pseudonymised(text, pii.Feistel(b"key"))
+    assert found[kind] == 1 and gone not in out and len(out) == len(text)
+    assert [c.isalnum() for c in out] == [c.isalnum() for c in text]
+
+
+def test_pii_leaves_versions_and_prose():
+    f = pii.Feistel(b"key")
+    for text in ("version 1.2.3.4 of it", "v1.2.3.4", "12.13.14 and 30/30/1990", "the token: a word", "Password:\n\nAnother line", "@ home", "2:1 = two"):
+        assert pii.pseudonymised(text, f) == (text, {})
+
+
+def test_pii_dates_stay_linked_and_apart():
+    f = pii.Feistel(b"key")
+    forms = ("1990-12-25", "25.12.1990", "12/25/1990", "25/12/1990", "1990/12/25")
+    days = {tuple(sorted(x.replace("/", "-").replace(".", "-").split("-"))) for x in (pii.date(t, f) for t in forms)}
+    assert len(days) == 1
+    every = [pii.date((datetime.date(1990, 1, 1) + datetime.timedelta(i)).strftime("%d/%m/%Y"), f) for i in range(366)]
+    assert len(set(every)) == 366
+
+
+def test_pii_leaves_no_planted_value_on_the_table(spark):
+    """A plain search, place by place, finds none of the input's values in the output, and nothing else has changed."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    out = {r["doc_id"]: r for r in pii.pseudonymise(docs, b"key").collect()}
+    n = 0
+    for r in docs.collect():
+        values, new = brute.private(r["text"]), out[r["doc_id"]]["text"]
+        n += len(values)
+        assert all(v not in (new or "") for v in values), r["doc_id"]
+        if not values:
+            assert new == r["text"] and out[r["doc_id"]]["n_found"] == 0
+    assert n > 50
+
+
+def test_pii_key_comes_from_the_session(spark):
+    held = spark.conf.get(pii.KEY_CONF, None)
+    try:
+        spark.conf.set(pii.KEY_CONF, "one")
+        one = pii.session_key(spark)
+        spark.conf.set(pii.KEY_CONF, "two")
+        assert one != pii.session_key(spark)
+        spark.conf.unset(pii.KEY_CONF)
+        assert pii.session_key(spark) == pii.session_key(spark)
+    finally:
+        spark.conf.set(pii.KEY_CONF, held) if held else spark.conf.unset(pii.KEY_CONF)
+
+
 def test_feistel_is_a_permutation():
     f = pii.Feistel(b"key")
     for size in (1, 2, 7, 100, 1000):

@@ -9,24 +9,30 @@ one format get different pseudonyms:
   last are permuted and the last is made to pass again;
 * IBANs with valid check digits, also next to other capitals and digits: the rest is
   permuted letter by letter class, and the check digits are made valid again;
-* US social security numbers and NANP telephone numbers (with or without +1), and
-  other international numbers led by + : digits are permuted;
-* dates (year-month-day, day.month.year, month/day/year) that exist between 1900
-  and 2099: the day's number in that range is permuted, the form stays;
-* IPv4 addresses: the 32-bit number is permuted;
+* US social security numbers and NANP telephone numbers (with or without +1), other
+  international numbers led by + and national ones led by 0: digits are permuted;
+* dates (year, month, day; day, month, year; month, day, year; parted by - . or /) that exist
+  between 1900 and 2099: the day's number in that range is permuted, the form stays.
+  Days beyond the twelfth stay beyond it, so that a day can't be taken for a month;
+* IPv4 addresses, but not after a word for a version: the 32-bit number is permuted;
 * e-mail addresses: local part and domain, but for its last label, are permuted by
-  letters and digits, each on its own, so one domain stays one domain;
-* secrets (key, token, password, secret set to a value; quoted hexadecimal strings
-  of 32 digits or more): permuted by letters and digits.
+  letters and digits of any script, each on its own, so one domain stays one domain;
+* secrets (a name that ends in key, token, password, secret set to a value; quoted
+  hexadecimal strings of 32 digits or more): permuted by letters and digits.
 
 Digits are drawn mixed-radix, so the permutation covers all of a format; where a
 format has forbidden values the network is walked on until the value is allowed.
+Letters beyond ASCII are permuted among those of their kind and block of 256.
 Pseudonyms never depend on the document.  A map: no shuffle, no state.
 
-Cases: a null text stays null with no finds; an empty text stays empty; overlapping
-finds go to the one that starts first, then to the order of ``KINDS``; text without
-finds is returned unchanged; repeated rows are treated alike; an empty table gives
-an empty result; other columns are ignored.
+The key comes from ``KEY_CONF``, or is drawn once for the session: without the key
+nobody inverts the pseudonyms, and with the same key later runs link to earlier ones.
+
+Cases: a null text stays null with no finds; an empty text stays empty; a very long
+text is one row, read in time proportional to it; overlapping finds go to the one that
+starts first, then to the order of ``KINDS``; text without finds is returned unchanged;
+repeated rows are treated alike; an empty table gives an empty result; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -34,8 +40,11 @@ from __future__ import annotations
 import datetime
 import hashlib
 import re
+import secrets
+import unicodedata
 from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -43,7 +52,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 ROUNDS = 8
-KEY = b"tracklode public test key"
+#: Names the key; "secret" in it keeps it out of Spark's listings.
+KEY_CONF = "spark.tracklode.pii.secret"
 FIRST_DAY = datetime.date(1900, 1, 1)
 DAYS = (datetime.date(2100, 1, 1) - FIRST_DAY).days
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -51,11 +61,12 @@ LETTERS = "abcdefghijklmnopqrstuvwxyz"
 #: What numbers look like; each pattern starts with a character that prose seldom has.
 NUMBERS = {
     "ipv4": re.compile(r"(?<![\d.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\d|\.\d)"),
-    "date": re.compile(r"(?<![\d./-])[0-9](?:[0-9]{3}-[0-9]{2}-[0-9]{2}|[0-9]?\.[0-9]{1,2}\.[0-9]{4}|[0-9]?/[0-9]{1,2}/[0-9]{4})(?![\d/-]|\.\d)"),
+    "date": re.compile(r"(?<![\d./-])[0-9](?:[0-9]{3}([./-])[0-9]{1,2}\1[0-9]{1,2}|[0-9]?([./-])[0-9]{1,2}\2[0-9]{4})(?![\d/-]|\.\d)"),
     "ssn": re.compile(r"(?<![\d-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?!\d|-\d)"),
     "phone": re.compile(
         r"(?<![\d+])[0-9(+](?:(?<=\+)1[ .-]?|(?<=1)[ .-]?)?(?:(?<=\()|\()?[0-9]{2,3}\)?[ .-]?[0-9]{3}[ .-][0-9]{4}(?!\d|-\d)"
         r"|(?<![\d+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?!\d|-\d)"
+        r"|(?<![\d+./-])(?<!\d )(?:\(0[1-9][0-9]{1,3}\) ?|0[1-9][0-9]{1,3}[ /-])[0-9]{3,4}[ -]?[0-9]{3,5}(?! ?\d|[/-]|\.\d)"
     ),
 }
 #: Digits that at most a space or hyphen parts, long enough to hold a card.
@@ -73,10 +84,11 @@ IBAN_LENGTH = {c[:2]: int(c[2:]) for c in (
 ).split()}
 DIGIT = re.compile("[0-9]")
 DOMAIN = re.compile(r"@[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{2,}")
-LOCAL = re.compile(r"[\w.+%-]+\Z")
 SETS = re.compile("[:=]")
-NAME = re.compile(r"\b(?:api[_-]?key|access[_-]?key|secret[_-]?key|secret|token|passwd|password|pwd)[\"']?\s{0,4}\Z", re.I)
-VALUE = re.compile(r"\s{0,4}(?:\"[^\"\s]{6,}\"|'[^'\s]{6,}'|[^\s\"',;]{6,})")
+#: What the name of a secret ends in, as a word of its own.
+NAME = re.compile(r"(?:\A|[_-])(?:api[_-]?key|access[_-]?key|secret[_-]?key|private[_-]?key|secret|token|passwd|password|pwd)\Z", re.I)
+VALUE = re.compile(r"[ \t]*(?:\"[^\"\s]{6,}\"|'[^'\s]{6,}'|[^\s\"',;]{6,})")
+VERSION = re.compile(r"\b(?:v|ver|version|release|build|firmware)\.? ?\Z", re.I)
 HEX = re.compile(r"(?<=[\"'])[0-9a-fA-F]{32,}(?=[\"'])")
 KINDS = ("email", "secret", "iban", "ipv4", "date", "card", "ssn", "phone")
 
@@ -119,7 +131,7 @@ class Feistel:
         sets = [(i, s) for i, c in enumerate(text) if (s := alphabet(c))]
         if not sets:
             return text
-        form = "".join("9" if s[0] == "0" else "A" if s[0] == "A" else "a" for _, s in sets)
+        form = "".join("9" if s[0] == "0" else s[0] for _, s in sets)
         half = (len(sets) + 1) // 2
         sizes, values = [], []
         for part in (sets[:half], sets[half:]):
@@ -136,10 +148,17 @@ class Feistel:
         return "".join(out)
 
 
+@lru_cache(maxsize=1 << 16)
 def alphabet(c: str) -> str:
+    """What a character may become: ASCII by digits, small and capital letters, others by kind and block."""
     if "0" <= c <= "9":
         return "0123456789"
-    return LETTERS if "a" <= c <= "z" else LETTERS.upper() if "A" <= c <= "Z" else ""
+    if c.isascii():
+        return LETTERS if "a" <= c <= "z" else LETTERS.upper() if "A" <= c <= "Z" else ""
+    kind, block = unicodedata.category(c), ord(c) & ~0xFF
+    if kind[0] != "L" and kind != "Nd":
+        return ""
+    return "".join(x for x in map(chr, range(max(block, 0x80), block + 0x100)) if unicodedata.category(x) == kind)
 
 
 def luhn(digits: str) -> bool:
@@ -232,20 +251,34 @@ def ipv4(text: str, f: Feistel) -> str | None:
     return ".".join(map(str, x.to_bytes(4, "big")))
 
 
-def date(text: str, f: Feistel) -> str | None:
-    mark = next(c for c in text if not c.isdigit())
-    a, b, c = text.split(mark)
-    y, m, d = (a, b, c) if mark == "-" else (c, b, a) if mark == "." else (c, a, b)
+def day_number(y: str, m: str, d: str) -> int | None:
     try:
         day = (datetime.date(int(y), int(m), int(d)) - FIRST_DAY).days
     except ValueError:
         return None
-    if not 0 <= day < DAYS:
+    return day if 0 <= day < DAYS else None
+
+
+def date(text: str, f: Feistel) -> str | None:
+    mark = next(c for c in text if not c.isdigit())
+    parts = text.split(mark)
+    # Year first; else by the mark, the other way if that is no date: 3/4/1990 is in March, 25/12/1990 in December.
+    orders = ("ymd",) if len(parts[0]) == 4 else ("mdy", "dmy") if mark == "/" else ("dmy", "mdy")
+    for order in orders:
+        y, m, d = (parts[order.index(x)] for x in "ymd")
+        if (day := day_number(y, m, d)) is not None:
+            break
+    else:
         return None
-    new = FIRST_DAY + datetime.timedelta(f.number("date", day, DAYS))
-    wide = max(len(a), len(b)) > 1 and "0" in (a[0], b[0]) or mark == "-"
-    y, m, d = f"{new.year:04d}", *(f"{v:02d}" if wide else str(v) for v in (new.month, new.day))
-    return mark.join((y, m, d) if mark == "-" else (d, m, y) if mark == "." else (m, d, y))
+    late = int(d) > 12
+    while True:  # walk on to a day of the same side
+        day = f.number("date", day, DAYS)
+        new = FIRST_DAY + datetime.timedelta(day)
+        if (new.day > 12) == late:
+            break
+    wide = any(len(p) == 2 and p[0] == "0" for p in (m, d)) or len(m) == len(d) == 2
+    told = {"y": f"{new.year:04d}", "m": f"{new.month:02d}" if wide else str(new.month), "d": f"{new.day:02d}" if wide else str(new.day)}
+    return mark.join(told[x] for x in order)
 
 
 def email(text: str, f: Feistel) -> str:
@@ -285,18 +318,30 @@ MAKERS: dict[str, Callable[[str, Feistel], str | None]] = {
 }
 
 
+def back(text: str, at: int, ok: Callable[[str], bool]) -> int:
+    """The start of the characters before ``at`` that are all ``ok``."""
+    while at and ok(text[at - 1]):
+        at -= 1
+    return at
+
+
 def finds(text: str) -> Iterator[tuple[int, int, str]]:
     """(start, end, kind) of all that looks like a kind; finds may overlap."""
     at = text.find("@")
     while at >= 0:
-        local, domain = LOCAL.search(text, max(0, at - 64), at), DOMAIN.match(text, at)
-        if local and domain:
-            yield local.start(), domain.end(), "email"
+        local = back(text, at, lambda c: c.isalnum() or c in "_.+%-")
+        while local < at and text[local] in ".-":
+            local += 1
+        domain = DOMAIN.match(text, at)
+        if local < at and domain:
+            yield local, domain.end(), "email"
         at = text.find("@", at + 1)
     for m in SETS.finditer(text):
-        name = NAME.search(text, max(0, m.start() - 24), m.start())
-        if name and (value := VALUE.match(text, m.end())):
-            yield name.start(), value.end(), "secret"
+        end = back(text, m.start(), lambda c: c in " \t")
+        end -= text[end - 1 : end] in ("'", '"')
+        start = back(text, end, lambda c: c.isascii() and (c.isalnum() or c in "_-"))
+        if start < end and NAME.search(text[start:end]) and (value := VALUE.match(text, m.end())):
+            yield start, value.end(), "secret"
     if DIGIT.search(text):
         for m in HEX.finditer(text):
             yield m.start(), m.end(), "secret"
@@ -306,7 +351,8 @@ def finds(text: str) -> Iterator[tuple[int, int, str]]:
             yield start, end, "card"
         for kind, pattern in NUMBERS.items():
             for m in pattern.finditer(text):
-                yield m.start(), m.end(), kind
+                if kind != "ipv4" or not VERSION.search(text, max(0, m.start() - 12), m.start()):  # the longest such word and a space
+                    yield m.start(), m.end(), kind
 
 
 def pseudonymised(text: str | None, f: Feistel) -> tuple[str | None, Counter]:
@@ -324,7 +370,16 @@ def pseudonymised(text: str | None, f: Feistel) -> tuple[str | None, Counter]:
     return ("".join(out) + text[at:] if out else text), found
 
 
-def pseudonymise(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+def session_key(spark: SparkSession) -> bytes:
+    """The key that is set, or one drawn for this session."""
+    held = spark.conf.get(KEY_CONF, None) or spark.sparkContext.getConf().get(KEY_CONF, None)
+    if not held:
+        held = secrets.token_hex(32)
+        spark.conf.set(KEY_CONF, held)
+    return hashlib.blake2b(held.encode()).digest()
+
+
+def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
     """docs(doc_id, text) -> doc_id, text, n_found, n_<kind> for every kind."""
     added = ["n_found", *(f"n_{k}" for k in KINDS)]
     schema = T.StructType([docs.schema["doc_id"], T.StructField("text", T.StringType()), *(T.StructField(n, T.LongType()) for n in added)])
@@ -342,7 +397,7 @@ def pseudonymise(docs: DataFrame, key: bytes = KEY) -> DataFrame:
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymise(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return pseudonymise(spark.read.parquet(f"{sf_dir}/documents.parquet"), session_key(spark))
 
 
 QUERIES = {"op4_pii": op4_pii}
