@@ -98,11 +98,24 @@ def test_bpe_equals_the_library(spark):
         want.append((i, len(ids), brute.sha(np.array(ids, "<u4").tobytes()), brute.sha(t.decode(ids, skip_special_tokens=False))))
     coded = bpe.encode_column(frame(spark), path)
     assert got(coded, "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == sorted(want, key=repr)
-    back = bpe.decode_ids(coded.select("doc_id", "ids"), path)
-    assert all(isinstance(r["text"], str) for r in back.collect())
+    back = bpe.decode_ids(coded.select("doc_id", "ids", "decoded_sha256"), path)
+    assert all(brute.sha(r["text"]) == r["decoded_sha256"] for r in back.collect())
     assert bpe.encode_column(frame(spark, []), path).count() == 0
 
 
+def test_bpe_equals_the_library_on_the_table(spark):
+    from tokenizers import Tokenizer
+
+    path = bpe.default_vocabulary()
+    t = Tokenizer.from_file(path)
+    t.no_padding(), t.no_truncation()
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    coded = {r["doc_id"]: r for r in bpe.decode_ids(bpe.encode_column(docs, path), path).collect()}
+    for r in docs.collect():
+        ids = t.encode(r["text"] or "", add_special_tokens=False).ids
+        assert coded[r["doc_id"]]["ids"] == ids and coded[r["doc_id"]]["text"] == t.decode(ids, skip_special_tokens=False)
+
+
 def test_bpe_skips_stale_pairs():
     c = bpe.codec(bpe.default_vocabulary())
     c.ranks = {("a", "a"): 1, ("aa", "aa"): 0, ("a", "b"): 2}

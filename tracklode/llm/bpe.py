@@ -35,6 +35,8 @@ from pyspark.sql import types as T
 
 #: Words whose ids are remembered by a worker at a time.
 MEMO = 300_000
+#: Longer runs aren't remembered, so the memos are bounded in bytes too.
+MEMO_CHARS = 64
 #: Unicode white space.
 SPACE = r"[\t-\r \x85\xa0  -     　]"
 #: White space for str.split() that the pattern above doesn't hold.
@@ -63,6 +65,7 @@ class Codec:
         self.special = special
         self.strings = {i: s for s, i in (self.ids | special).items()}
         self.special_at = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
+        self.special_starts = {c[0] for c in special}
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.pieces = regex.compile(split.replace(r"\s", SPACE[1:-1])).findall
         self.spaces = regex.compile(SPACE + "+").split
@@ -98,9 +101,10 @@ class Codec:
         """The ids, as little-endian unsigned 32-bit integers, of a run without white space."""
         held = self.piece_memo
         out = b"".join([ids if (ids := held.get(p)) is not None else self.piece(p) for p in self.pieces(chunk)])
-        if len(self.memo) >= MEMO:
-            self.memo.clear()
-        self.memo[chunk] = out
+        if len(chunk) <= MEMO_CHARS:
+            if len(self.memo) >= MEMO:
+                self.memo.clear()
+            self.memo[chunk] = out
         return out
 
     def piece(self, piece: str) -> bytes:
@@ -108,9 +112,10 @@ class Codec:
         symbols = [self.symbol[b] for b in piece.encode("utf-8", "surrogatepass")]
         symbols[-1] += self.end
         out = np.array([self.ids[s] for s in self.merge(symbols) if s in self.ids], "<u4").tobytes()
-        if len(self.piece_memo) >= MEMO:
-            self.piece_memo.clear()
-        self.piece_memo[piece] = out
+        if len(piece) <= MEMO_CHARS:
+            if len(self.piece_memo) >= MEMO:
+                self.piece_memo.clear()
+            self.piece_memo[piece] = out
         return out
 
     def plain(self, text: str) -> bytes:
@@ -126,7 +131,7 @@ class Codec:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if self.special_at is None or "<" not in text:
+        if not any(c in text for c in self.special_starts):
             return self.plain(text)
         parts = self.special_at.split(text)
         return b"".join(

@@ -16,8 +16,9 @@ digest and text instead.
 Cases: a null text counts as empty; all empty texts are copies of each other; of
 equal lengths the smallest doc_id stays (null ids come last); repeated rows of one
 doc_id count as separate copies and all get that doc_id's group, ``kept`` being
-true for each row whose doc_id is the group's; an empty table gives an empty
-result; other columns of the input are ignored.
+true for each row whose doc_id is the group's; very long texts are grouped and compared
+whole; an empty table gives an empty result; other columns of the input are ignored,
+unless the caller has them carried along.
 """
 
 from __future__ import annotations
@@ -65,19 +66,19 @@ def clashes(groups: DataFrame) -> DataFrame:
     return groups.groupBy("digest").agg(F.count("*").alias("n_texts")).where("n_texts > 1").select("digest")
 
 
-def exact_dedup(docs: DataFrame, digest=sha256_hex, salts: int = SALTS) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, keep_id, group_size, kept, text_sha256."""
+def exact_dedup(docs: DataFrame, digest=sha256_hex, salts: int = SALTS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, keep_id, group_size, kept, text_sha256, and the columns of docs in ``carry``."""
     groups = copy_groups(docs, digest, salts)
     norm = strip_ascii_space(F.col("text"))
-    rows = docs.select("doc_id", norm.alias("content"))
+    rows = docs.select("doc_id", norm.alias("content"), *carry)
     clashing = clashes(groups)
     out = ["doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept")]
     hashed = rows.withColumn("digest", digest(F.col("content")))
     text_sha = F.col("digest") if digest is sha256_hex else sha256_hex(F.col("content"))
-    slim = hashed.select("doc_id", "digest", text_sha.alias("text_sha256"))
+    slim = hashed.select("doc_id", "digest", text_sha.alias("text_sha256"), *carry)
     if clashing.isEmpty():
-        return slim.join(groups, "digest").select(*out, "text_sha256")
-    clear = slim.join(clashing, "digest", "left_anti").join(groups, "digest").select(*out, "text_sha256")
+        return slim.join(groups, "digest").select(*out, "text_sha256", *carry)
+    clear = slim.join(clashing, "digest", "left_anti").join(groups, "digest").select(*out, "text_sha256", *carry)
     # Colliding digests: the group is found by comparing the texts themselves.
     held = hashed.join(clashing, "digest", "left_semi")
     keepers = (
@@ -87,7 +88,7 @@ def exact_dedup(docs: DataFrame, digest=sha256_hex, salts: int = SALTS) -> DataF
         .select("k.digest", "k.content", "g.keep_id", "g.group_size")
         .distinct()
     )
-    resolved = held.join(keepers, ["digest", "content"]).select(*out, sha256_hex(F.col("content")).alias("text_sha256"))
+    resolved = held.join(keepers, ["digest", "content"]).select(*out, sha256_hex(F.col("content")).alias("text_sha256"), *carry)
     return clear.unionByName(resolved)
 
 

@@ -45,11 +45,13 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def clear(spark: SparkSession) -> None:
-    """Delete the staged tables, once the results that read them are written."""
+def clear(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Delete the tables staged after the first ``since``, but for the last ``keep``, once the results that read them are written."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    while STAGED:
-        path = jvm.org.apache.hadoop.fs.Path(STAGED.pop())
+    gone = STAGED[since : len(STAGED) - keep]
+    del STAGED[since : len(STAGED) - keep]
+    for name in gone:
+        path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(conf).delete(path, True)
 
 

@@ -18,7 +18,8 @@ small-star steps, each written to the shared folder.
 Words: A-Z are lower-cased, runs of ``[^\\x20\\x09-\\x0D]``, shingles of ``SHINGLE`` words
 with repeats; a shingle's hash is XXH64 with seed 42.
 Cases: fewer words than a shingle are one shingle; null, empty and wordless texts
-have fingerprint zero and link like any other; repeated rows are returned each, with
+have fingerprint zero and link like any other; very long texts are hashed in pieces of
+their shingles; repeated rows are returned each, with
 one component; a null doc_id is passed over as component_id unless a component has no
 other; an empty table gives an empty result; other columns are ignored.
 """
@@ -63,16 +64,16 @@ def fingerprint(text: bytes | None) -> int:
     return int.from_bytes(np.packbits(count * 2 > len(begin)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, fp (the fingerprint as a signed long)."""
+def fingerprints(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, fp (the fingerprint as a signed long), and the columns in ``carry``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(t.as_py()) for t in batch.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), *batch.columns[2:]], schema.names)
 
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("fp", T.LongType())])
-    return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, schema)
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("fp", T.LongType()), *(docs.schema[c] for c in carry)])
+    return docs.select("doc_id", F.col("text").cast("binary"), *carry).mapInArrow(run, schema)
 
 
 def table_bits(table: int) -> np.ndarray:
@@ -246,19 +247,23 @@ def components(edges: DataFrame) -> DataFrame:
     return edges
 
 
-def near_dedup(docs: DataFrame, threshold: int = THRESHOLD, home_limit: int = HOME_LIMIT) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, fingerprint (hex), component_id."""
-    fps = staged(fingerprints(docs.select("doc_id", "text")), "fingerprints")
+def near_dedup(docs: DataFrame, threshold: int = THRESHOLD, home_limit: int = HOME_LIMIT, carry: tuple[str, ...] = ()) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, fingerprint (hex), component_id, root (a fingerprint of the component, the same for all of it), and the columns in ``carry``."""
+    fps = staged(fingerprints(docs.select("doc_id", "text", *carry), carry), "fingerprints")
     nodes = staged(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct-fingerprints")
     stars = components(links(nodes, threshold, home_limit)).select(F.col("a").alias("fp"), F.col("b").alias("root"))
-    held = nodes.join(stars, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = held.groupBy("root").agg(F.min("rep").alias("component_id"))
-    found = held.join(least, "root").select("fp", "component_id")
-    return fps.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    held = staged(nodes.join(stars, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted-fingerprints")
+    # Most components are one fingerprint; the larger ones alone are brought together by root.
+    large = held.where("fp != root").groupBy("root").agg(F.min("rep").alias("other"))
+    tops = held.where("fp = root").join(large, "root", "left").select("root", F.least("rep", "other").alias("component_id"))
+    alone = tops.join(large.select("root"), "root", "left_anti").select(F.col("root").alias("fp"), "root", "component_id")
+    several = held.join(tops.join(large.select("root"), "root", "left_semi"), "root").select("fp", "root", "component_id")
+    found = alone.unionByName(several)
+    return fps.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "root", *carry)
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return near_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("root")
 
 
 QUERIES = {"op2_simhash": op2_simhash}
