@@ -218,12 +218,14 @@ def common_prefix(a: np.ndarray, b: np.ndarray, data: np.ndarray, ranks: list[tu
 class RunIndex:
     """Run-length index of grouped contexts, with samples at both ends of every run.
 
-    Holds, by run of the transform: its first row, the row that its first row steps to,
+    A context with copies is held once; at each of its places a copy agrees with it to
+    its end.  Holds, by run of the transform: its first row, the row that its first row steps to,
     and how far the suffixes that its ends step to agree with the suffix before (at the
     head) and after (at the end).  Nothing as long as the text stays.
     """
 
-    def __init__(self, contexts: list[bytes], groups: list[int]) -> None:
+    def __init__(self, contexts: list[bytes], groups: list[int], copied: list[bool]) -> None:
+        self.copied = np.array(copied, bool)
         self.sizes = np.array([len(c) for c in contexts], np.int64)
         ends = np.cumsum(self.sizes + 1)  # an end mark after each context
         data = np.zeros(ends[-1], np.int16)
@@ -257,12 +259,12 @@ class RunIndex:
                 self.target[live] = to
         self.tail = tail
 
-    def statistics(self, which: np.ndarray) -> list[np.ndarray]:
-        """Of each context in ``which``, at each place, the longest match that starts elsewhere in its group."""
-        order = np.argsort(-self.sizes[which], kind="stable")
-        sizes = self.sizes[which[order]]
+    def statistics(self) -> list[np.ndarray]:
+        """Of each context, at each place, the longest match that starts elsewhere in its group."""
+        order = np.argsort(-self.sizes, kind="stable")
+        sizes, copied = self.sizes[order], self.copied[order]
         table = np.zeros((int(sizes.max(initial=0)), len(order)), np.int32)
-        at, above, below = self.start_row[which[order]], np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
+        at, above, below = self.start_row[order], np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
         active = np.searchsorted(-sizes, -np.arange(1, len(table) + 1), side="right")
         for step, n in enumerate(active.tolist()):
             at, above, below = at[:n], above[:n], below[:n]
@@ -270,17 +272,17 @@ class RunIndex:
             above = np.where(at == self.head[run], self.above[run], above + 1)
             below = np.where(at == self.tail[run], self.below[run], below + 1)
             at = self.target[run] + at - self.head[run]
-            table[step, :n] = np.maximum(above, below)
+            table[step, :n] = np.where(copied[:n], step + 1, np.maximum(above, below))
         out = [table[:0, 0]] * len(order)
         for i, (whose, n) in enumerate(zip(order.tolist(), sizes.tolist())):
             out[whose] = table[:n, i][::-1]
         return out
 
 
-def marked(contexts: list[bytes], groups: list[int], which: list[int], length: int) -> list[tuple[int, int, int]]:
-    """(context, first, last) of each run of repeated windows in the contexts of ``which``."""
+def marked(contexts: list[bytes], groups: list[int], copied: list[bool], length: int) -> list[tuple[int, int, int]]:
+    """(context, first, last) of each run of repeated windows."""
     out = []
-    for i, found in zip(which, RunIndex(contexts, groups).statistics(np.array(which, np.int64))):
+    for i, found in enumerate(RunIndex(contexts, groups, copied).statistics()):
         hit = found[: len(found) - length + 1] >= length
         edge = np.flatnonzero(np.diff(np.concatenate(([0], hit.astype(np.int8), [0]))))
         out += [(i, int(a), int(b) - 1) for a, b in zip(edge[::2], edge[1::2])]
@@ -308,23 +310,25 @@ def indexed_repeats(contexts: DataFrame, length: int) -> DataFrame:
     """contexts(g, c, context) -> g, c, lo, hi by the run-length index of each gram."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, bytes]] = []
+        held: list[list] = []  # gram, context hash, context, whether it has copies
         size = 0
 
         def solve() -> pa.RecordBatch:
-            number = {g: i for i, g in enumerate(dict.fromkeys(g for g, _, _ in held))}
-            once = [i for i, x in enumerate(held) if i == 0 or held[i - 1][:2] != x[:2]]  # copies agree
-            hits = marked([t for _, _, t in held], [number[g] for g, _, _ in held], once, length)
+            number = {g: i for i, g in enumerate(dict.fromkeys(x[0] for x in held))}
+            hits = marked([x[2] for x in held], [number[x[0]] for x in held], [x[3] for x in held], length)
             columns = [[held[i][0] for i, _, _ in hits], [held[i][1] for i, _, _ in hits], [a for _, a, _ in hits], [b for _, _, b in hits]]
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["g", "c", "lo", "hi"])
 
         for batch in batches:
             for g, c, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if held and held[-1][0] == g and held[-1][2] == text:
+                    held[-1][3] = True  # a second place, byte for byte
+                    continue
                 if (size > BATCH or len(held) > MOST_GROUPS) and held[-1][0] != g:
                     yield solve()
                     held.clear()
                     size = 0
-                held.append((g, c, text))
+                held.append([g, c, text, False])
                 size += len(text)
         if held:
             yield solve()
