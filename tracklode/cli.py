@@ -13,11 +13,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklode.operators import compare, decimate, digest, filters, merge, stats
+from tracklode.operators import compare, decimate, decode, digest, filters, merge, stats
 from tracklode.operators.filters import Bound, Selection
 from tracklode.sources.recording import RecordingSource, write_recordings
 
-COMMANDS = ("details", "json-description", "list", "print", "record-formats", "copy", "merge", "check", "checksums", "compare", "rage", "hexdump", "fps")
+COMMANDS = ("details", "json-description", "list", "print", "print-json", "record-formats", "copy", "merge", "check", "checksums", "compare", "rage", "hexdump", "fps")
 
 
 @dataclass
@@ -88,7 +88,8 @@ def parse(words: Sequence[str]) -> Command:
 
 def opened(spark: SparkSession, command: Command, table: str = "records") -> DataFrame:
     spark.dataSource.register(RecordingSource)
-    return spark.read.format("recording").option("table", table).load(",".join(command.paths))
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    return spark.read.format("recording").option("pushdown", "true").option("table", table).load(",".join(command.paths))
 
 
 def thinned(records: DataFrame, command: Command) -> DataFrame:
@@ -98,14 +99,59 @@ def thinned(records: DataFrame, command: Command) -> DataFrame:
     return decimate.bucket_decimate(records, command.bucket) if command.bucket else records
 
 
+def renamed(streams: DataFrame, records: DataFrame, instance: str, file: str) -> DataFrame:
+    """Tags of the streams that ``records`` hold under their new instance and file; the first file's tags decide, others are merged."""
+    keys = ["file_id", "type_id", "instance_id"]
+    ids = records.select(*keys, F.col(instance).alias("new")).distinct()
+    rows = streams.join(ids, keys).select(*keys, "new", "user_tags", "private_tags").collect()  # a few thousand streams a file at most
+    out: dict[tuple[int, int], tuple[dict, dict]] = {}
+    for r in sorted(rows, key=lambda r: (r["file_id"], r["type_id"], r["instance_id"])):
+        user, private = out.get((r["type_id"], r["new"]), ({}, {}))
+        out[r["type_id"], r["new"]] = merge.merge_tags(user, r["user_tags"]), merge.merge_tags(private, r["private_tags"], private=True)
+    table = [(file, t, i, user, private) for (t, i), (user, private) in out.items()]
+    return streams.sparkSession.createDataFrame(table, "file_id string, type_id int, instance_id int, user_tags map<string,string>, private_tags map<string,string>")
+
+
+def file_tags(spark: SparkSession, command: Command, joined: bool) -> dict[str, str]:
+    """The tags of the output: of the first file that has one, or merged; the command's own on top."""
+    tags = [dict(r["tags"]) for r in opened(spark, command, "files").orderBy("file_id").collect()]  # one row a file
+    if not merge.related(tags):
+        raise ValueError("these recordings don't belong together")
+    out: dict[str, str] = {}
+    for t in tags:
+        out = merge.merge_tags(out, t) if joined else merge.first_tags([out, t])
+    return merge.with_tags(out, command.tags)
+
+
+def written(spark: SparkSession, command: Command, records: DataFrame) -> DataFrame:
+    """The copy of one file, of several side by side, or merged."""
+    name = "merged" if command.name == "merge" else "copied"
+    if name == "merged":
+        records, instance = merge.merged(records), "fused_instance"
+    elif len(command.paths) > 1:
+        records, instance = merge.with_unique_ids(records), "unique_instance"
+    else:
+        records, instance = records.withColumn("own_instance", F.col("instance_id")), "own_instance"
+    streams = renamed(opened(spark, command, "streams"), records, instance, name)
+    out = records.withColumn("file_id", F.lit(name)).drop("instance_id").withColumnRenamed(instance, "instance_id")
+    return write_recordings(out, command.to, file_tags(spark, command, name == "merged"), streams=streams)
+
+
 def run(spark: SparkSession, words: Sequence[str]) -> DataFrame:
     """The relation that a command shows or writes."""
     command = parse(words)
+    streams = opened(spark, command, "streams")
     if command.name == "record-formats":
-        tags = opened(spark, command, "streams").select("file_id", "stream_id", F.explode("private_tags").alias("name", "format"))
+        tags = streams.select("file_id", "stream_id", F.explode("private_tags").alias("name", "format"))
         return tags.where(F.col("name").startswith("RF:"))
     slim = command.name in ("details", "json-description", "list", "fps")
-    records = opened(spark, command, "index" if slim else "records")
+    records = opened(spark, command, "index" if slim else "checked")
+    if command.chosen.streams:
+        records = filters.with_flavor(records, streams)
+    if command.name == "check":
+        return stats.decode_check(filters.select_records(records, command.chosen))
+    if not slim:
+        records = filters.up_to_damage(records)
     with_context = command.name not in ("list", "details", "json-description")
     out = thinned(filters.select_records(records, command.chosen, with_context), command)
     if command.name == "details":
@@ -118,22 +164,16 @@ def run(spark: SparkSession, words: Sequence[str]) -> DataFrame:
         return stats.fps_estimate(out)
     if command.name == "rage":
         return merge.canonical(filters.first_records(out))
-    if command.name in ("print", "hexdump"):
-        return merge.canonical(out.withColumn("hex", F.hex("payload")).drop("payload"))
-    if command.name == "check":
-        return stats.decode_check(out.withColumn("ok", F.col("payload").isNotNull()))
+    if command.name in ("print", "print-json"):
+        return decode.decoded_blocks(merge.canonical(out), streams)
+    if command.name == "hexdump":
+        return merge.canonical(out.withColumn("hex", F.hex("payload")).withColumn("checksum", digest.bytes_checksum("payload")).drop("payload"))
     if command.name == "checksums":
-        return digest.stream_digests(out)
+        return digest.checksums(out, streams, opened(spark, command, "files"))
     if command.name == "compare":
         left, right = (out.where(F.col("file_id") == p) for p in command.paths)
         return compare.compare_records(left, right)
-    if command.name == "merge":
-        one = merge.merged(out).drop("instance_id").withColumnRenamed("fused_instance", "instance_id")
-        return write_recordings(one.withColumn("file_id", F.lit("merged")), command.to, command.tags)
-    if len(command.paths) > 1:
-        many = merge.with_unique_ids(out).drop("instance_id").withColumnRenamed("unique_instance", "instance_id")
-        return write_recordings(many.withColumn("file_id", F.lit("copied")), command.to, command.tags)
-    return write_recordings(out.withColumn("file_id", F.lit("copied")), command.to, command.tags)
+    return written(spark, command, out)
 
 
 def main() -> None:

@@ -29,21 +29,34 @@ def compare_records(left: DataFrame, right: DataFrame, strict: bool = False) ->
     """
     pairs = stream_pairs(left, right)
     digest = F.sha2(F.coalesce(F.col("payload").cast("binary"), F.lit(b"")), 256)
+    place = ["type_id", "place", "record_type", "ts_us"]
 
     def sided(records: DataFrame, instance: str, name: str) -> DataFrame:
         rows = records.join(pairs.select("type_id", "place", F.col(instance).alias("instance_id")), ["type_id", "instance_id"])
-        return rows.groupBy("type_id", "place", "record_type", "ts_us").agg(F.count("*").alias(f"n_{name}"), F.array_sort(F.collect_list(digest)).alias(f"d_{name}"))
+        return rows.groupBy(*place, digest.alias("digest")).agg(F.count("*").alias(f"n_{name}"))
 
-    met = sided(left, "left_instance", "l").join(sided(right, "right_instance", "r"), ["type_id", "place", "record_type", "ts_us"], "full")
+    # Equal payloads at one place are counted on each side, so repeats match one to one.
+    met = sided(left, "left_instance", "l").join(sided(right, "right_instance", "r"), [*place, "digest"], "full")
     n_l, n_r = F.coalesce("n_l", F.lit(0)), F.coalesce("n_r", F.lit(0))
-    equal = F.size(F.array_intersect("d_l", "d_r"))
-    same = F.when(F.col("d_l") == F.col("d_r"), n_l).when(F.col("d_l").isNotNull() & F.col("d_r").isNotNull(), equal).otherwise(0)
-    different = F.when(F.col("d_l").isNotNull() & F.col("d_r").isNotNull(), n_l - same).otherwise(0)
-    out = met.groupBy("type_id", "place").agg(
-        F.sum(n_l).alias("n_left"),
-        F.sum(same).cast("long").alias("n_matched"),
-        F.sum(different).cast("long").alias("n_different"),
-        F.sum(F.when(F.col("d_r").isNull(), n_l).otherwise(0)).alias("n_missing"),
-        F.sum(F.when(F.col("d_l").isNull(), n_r).otherwise(0)).alias("n_extra"),
+    at = met.groupBy(*place).agg(F.sum(n_l).alias("l"), F.sum(n_r).alias("r"), F.sum(F.least(n_l, n_r)).alias("same"))
+    both = (F.col("l") > 0) & (F.col("r") > 0)
+    out = at.groupBy("type_id", "place").agg(
+        F.sum("l").alias("n_left"),
+        F.sum("same").cast("long").alias("n_matched"),
+        F.sum(F.when(both, F.col("l") - F.col("same")).otherwise(0)).cast("long").alias("n_different"),
+        F.sum(F.when(F.col("r") == 0, F.col("l")).otherwise(0)).alias("n_missing"),
+        F.sum(F.when(F.col("l") == 0, F.col("r")).otherwise(0)).alias("n_extra"),
     )
     return out if strict else out.drop("n_extra")
+
+
+def compare_tags(left: DataFrame, right: DataFrame) -> DataFrame:
+    """streams(type_id, instance_id, user_tags, private_tags) on both sides -> type_id, place, name, left_value, right_value of tags that differ."""
+    pairs = stream_pairs(left, right)
+
+    def sided(streams: DataFrame, instance: str, name: str) -> DataFrame:
+        rows = streams.join(pairs.select("type_id", "place", F.col(instance).alias("instance_id")), ["type_id", "instance_id"])
+        return rows.select("type_id", "place", F.explode(F.map_concat(F.transform_keys("user_tags", lambda k, _: F.concat(F.lit("user/"), k)), F.transform_keys("private_tags", lambda k, _: F.concat(F.lit("private/"), k)))).alias("name", name))
+
+    met = sided(left, "left_instance", "left_value").join(sided(right, "right_instance", "right_value"), ["type_id", "place", "name"], "full")
+    return met.where(~F.col("left_value").eqNullSafe(F.col("right_value")))

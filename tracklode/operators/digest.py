@@ -9,10 +9,12 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator, Mapping
 
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracklode.model import RECORD_TYPE_CODES
 
@@ -48,36 +50,81 @@ def header_bytes(ts: float, version: int, size: int, type_id: int, instance: int
     return struct.pack("<dIIHHB", ts, version, size, type_id, instance, RECORD_TYPE_CODES[kind])
 
 
+@F.pandas_udf(T.StringType())
+def bytes_checksum(data: pd.Series) -> pd.Series:
+    """The digest of each payload."""
+    return pd.Series([Digest().raw(x or b"").hex() for x in data])
+
+
+def tags_checksum(tags: Mapping[str, str]) -> str:
+    """The digest of ``name=value/`` over all tags in order."""
+    return Digest().raw("".join(f"{k}={tags[k]}/" for k in sorted(tags)).encode("utf-8")).hex()
+
+
 def stream_digests(records: DataFrame) -> DataFrame:
-    """Per stream: n and digest of its records' headers and payloads in order.
+    """Per stream: n, and digests of its records' headers and of its payloads, in order.
 
     A digest is sequential by nature: a map over partitions sorted by stream feeds it,
-    one Arrow batch in memory.
+    one Arrow batch in memory.  Without columns timestamp and format_version the time is
+    that of ts_us and the version 0.
     """
     keys = ("file_id", "type_id", "instance_id")
     place = F.dense_rank().over(Window.partitionBy("file_id", "type_id").orderBy("instance_id"))
     streams = records.select(*keys).distinct().withColumn("place", place)
     payload = F.coalesce(F.col("payload").cast("binary"), F.lit(b""))
-    rows = records.join(streams, list(keys)).select(*keys, "place", "record_type", "ts_us", "file_offset", payload.alias("payload"))
-    schema = ", ".join(f"{k} {records.schema[k].dataType.simpleString()}" for k in keys) + ", n long, digest string"
+    time = F.col("timestamp") if "timestamp" in records.columns else F.col("ts_us") / F.lit(1e6)
+    version = F.col("format_version") if "format_version" in records.columns else F.lit(0)
+    rows = records.join(streams, list(keys)).select(*keys, "place", "record_type", time.alias("time"), version.alias("version"), "file_offset", payload.alias("payload"))
+    schema = ", ".join(f"{k} {records.schema[k].dataType.simpleString()}" for k in keys) + ", n long, headers string, payloads string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, digest, n, kinds = None, None, 0, None
+        own, heads, bodies, n, kinds = None, None, None, 0, None
 
         def row() -> pa.RecordBatch:
             arrays = [pa.array([v], t) for v, t in zip(own, kinds)]
-            return pa.RecordBatch.from_arrays([*arrays, pa.array([n], pa.int64()), pa.array([digest.hex()])], [*keys, "n", "digest"])
+            return pa.RecordBatch.from_arrays([*arrays, pa.array([n], pa.int64()), pa.array([heads.hex()]), pa.array([bodies.hex()])], [*keys, "n", "headers", "payloads"])
 
         for batch in batches:
             kinds = [batch.schema.field(i).type for i in range(3)]
-            for f, t, i, place, kind, ts, _, data in zip(*(c.to_pylist() for c in batch.columns)):
+            for f, t, i, place, kind, ts, version, _, data in zip(*(c.to_pylist() for c in batch.columns)):
                 if (f, t, i) != own:
                     if own is not None:
                         yield row()
-                    own, digest, n = (f, t, i), Digest(), 0
-                digest.raw(header_bytes(ts / 1e6, 0, len(data), t, place, kind)).raw(data)
+                    own, heads, bodies, n = (f, t, i), Digest(), Digest(), 0
+                heads.raw(header_bytes(ts, version, len(data), t, place, kind))
+                bodies.raw(data)
                 n += 1
         if own is not None:
             yield row()
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys, "ts_us", "file_offset").mapInArrow(run, schema)
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "time", "file_offset").mapInArrow(run, schema)
+
+
+def checksums(records: DataFrame, streams: DataFrame, files: DataFrame) -> DataFrame:
+    """file_id, name, checksum: of the file's tags, of each stream's tags, headers and payloads, and of all of these (``checksum``).
+
+    Streams that hold no record count with empty digests.  Per file, a few rows a stream meet in one task.
+    """
+    keys = ["file_id", "type_id", "instance_id"]
+    empty = Digest().hex()
+    rows = streams.select(*keys, "user_tags", "private_tags").join(stream_digests(records), keys, "left")
+    rows = rows.join(files.select("file_id", "tags"), "file_id").select(*keys, "user_tags", "private_tags", "tags", F.coalesce("headers", F.lit(empty)).alias("headers"), F.coalesce("payloads", F.lit(empty)).alias("payloads"))
+    kind = streams.schema["file_id"].dataType.simpleString()
+
+    def summed(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["type_id", "instance_id"])
+        tags = tags_checksum(dict(pdf["tags"].iloc[0]))
+        found, total, ids, nth = [("filetags", tags)], Digest().text(tags), "", {}
+        for r in pdf.itertuples():
+            name = f"{r.type_id}-{r.instance_id}"
+            own = [("vrstags", tags_checksum(dict(r.private_tags))), ("usertags", tags_checksum(dict(r.user_tags))), ("headers", r.headers), ("payload", r.payloads)]
+            found += [(f"{name}_{what}", value) for what, value in own]
+            for _, value in own:
+                total.text(value)
+            nth[r.type_id] = nth.get(r.type_id, 0) + 1
+            ids += f"{r.type_id}-{nth[r.type_id]}/"
+        total.text(Digest().raw(ids.encode()).hex())
+        found.append(("checksum", total.hex()))
+        return pd.DataFrame({"file_id": [pdf["file_id"].iloc[0]] * len(found), "name": [n for n, _ in found], "checksum": [c for _, c in found]})
+
+    return rows.groupBy("file_id").applyInPandas(summed, f"file_id {kind}, name string, checksum string")

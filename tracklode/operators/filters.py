@@ -131,11 +131,19 @@ class Selection:
         return " ".join(parts)
 
 
-def stream_list(records: DataFrame) -> list[Stream]:
-    """The streams of a recording; a few thousand at most."""
+def streams_by_file(records: DataFrame) -> dict[object, list[Stream]]:
+    """The streams of each recording; a few thousand at most in one."""
     flavor = F.col("flavor") if "flavor" in records.columns else F.lit("")
-    rows = records.select("type_id", "instance_id", flavor.alias("flavor")).distinct().collect()
-    return [Stream(StreamId(r["type_id"], r["instance_id"]), r["flavor"] or "") for r in rows]
+    file = F.col("file_id") if "file_id" in records.columns else F.lit(0)
+    out: dict[object, list[Stream]] = {}
+    for r in records.select(file.alias("file_id"), "type_id", "instance_id", flavor.alias("flavor")).distinct().collect():
+        out.setdefault(r["file_id"], []).append(Stream(StreamId(r["type_id"], r["instance_id"]), r["flavor"] or ""))
+    return out
+
+
+def with_flavor(records: DataFrame, streams: DataFrame) -> DataFrame:
+    """Adds the flavor of each record's stream, for filters by ``R-flavor``."""
+    return records.join(streams.select("file_id", "type_id", "instance_id", "flavor"), ["file_id", "type_id", "instance_id"], "left")
 
 
 def of_streams(records: DataFrame, ids: set[StreamId]) -> DataFrame:
@@ -149,6 +157,18 @@ def of_streams(records: DataFrame, ids: set[StreamId]) -> DataFrame:
     return records.where(keep)
 
 
+def of_named_streams(records: DataFrame, signed: Iterable[tuple[str, str]]) -> DataFrame:
+    """Rows of the streams that signed names choose; the N-th of a type counts within each file."""
+    signed = list(signed)
+    chosen = {f: fold_streams(signed, streams) for f, streams in streams_by_file(records).items()}
+    if len({frozenset(x) for x in chosen.values()}) <= 1:
+        return of_streams(records, next(iter(chosen.values()), set()))
+    kinds = {c: records.schema[c].dataType.simpleString() for c in ("file_id", "type_id", "instance_id")}
+    table = [(f, s.type_id, s.instance_id) for f, ids in chosen.items() for s in ids]
+    keep = records.sparkSession.createDataFrame(table, ", ".join(f"{c} {t}" for c, t in kinds.items()))
+    return records.join(keep, list(kinds), "left_semi")
+
+
 def of_types(records: DataFrame, types: set[str]) -> DataFrame:
     return records.where(F.col("record_type").isin(sorted(types))) if len(types) < len(RECORD_TYPES) else records
 
@@ -182,6 +202,22 @@ def time_bounds(chosen: Selection, records: DataFrame) -> tuple[int | None, int
     return after and after.resolved(first, last), before and before.resolved(first, last)
 
 
+def constrained_range(chosen: Selection, records: DataFrame) -> tuple[int, int] | None:
+    """The range of the data that a selection leaves: the data's own, cut at the bounds; None without data."""
+    found = data_range(records)
+    if found is None:
+        return None
+    after, before = time_bounds(chosen, records)
+    return found[0] if after is None else max(found[0], after), found[1] if before is None else min(found[1], before)
+
+
+def up_to_damage(checked: DataFrame) -> DataFrame:
+    """Rows of ``checked`` (with ok) before the first damaged one of each file, in reading order."""
+    here = F.struct(*ORDER)
+    bad = checked.where(~F.col("ok")).groupBy("file_id").agg(F.min(here).alias("_bad"))
+    return checked.join(bad, "file_id", "left").where(F.col("_bad").isNull() | (here < F.col("_bad"))).drop("_bad", "ok")
+
+
 def first_records(records: DataFrame, keys: Iterable[str] = ("file_id", "type_id", "instance_id", "record_type")) -> DataFrame:
     """The first record of each stream and type.
 
@@ -221,7 +257,7 @@ def select_records(records: DataFrame, chosen: Selection, with_context: bool = T
     Time, then streams and types, then first-only, then the skip predicate.
     """
     if chosen.streams:
-        records = of_streams(records, fold_streams(chosen.streams, stream_list(records)))
+        records = of_named_streams(records, chosen.streams)
     after, before = time_bounds(chosen, records)
     records_of = of_types(records, fold_types(chosen.types))
     if after is not None and before is not None and after > before:

@@ -13,12 +13,27 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Width of a bucket in microseconds: a day.
-DAY_US = 86_400_000_000
+#: Rows that a bucket of the densest stream is meant to hold.
+BUCKET_ROWS = 500_000
 
 
-def bucketed(df: DataFrame, ts: str, width: int) -> DataFrame:
-    return df.withColumn("_bucket", F.floor(F.col(ts) / F.lit(width)))
+def bucket_width(df: DataFrame, keys: Sequence[str], ts: str) -> int:
+    """Width of a bucket in the unit of ``ts``, from counts and spans of all keys.
+
+    A stream of minutes at a high rate and one of years at a low rate both come in
+    buckets of about ``BUCKET_ROWS``; a stream with fewer rows is one bucket.
+    """
+    per_key = df.groupBy(*keys).agg(F.count("*").alias("n"), (F.max(ts) - F.min(ts) + 1).alias("span"))
+    # Rows per unit of time in the densest stream that needs more than one bucket.
+    dense = F.max(F.when(F.col("n") > BUCKET_ROWS, F.col("n") / F.col("span")))
+    found = per_key.agg(dense.alias("dense"), F.max("span").alias("span")).first()
+    if found["dense"] is None:
+        return 1 << 62
+    return max(1, int(BUCKET_ROWS / found["dense"]))
+
+
+def bucketed(df: DataFrame, keys: Sequence[str], ts: str, width: int | None) -> DataFrame:
+    return df.withColumn("_bucket", F.floor(F.col(ts) / F.lit(width or bucket_width(df, keys, ts))))
 
 
 def joined_back(df: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -29,9 +44,9 @@ def joined_back(df: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFra
     return df.join(right, on, "left").drop(*(f"_r_{k}" for k in names))
 
 
-def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, ts: str = "ts_us", width: int = DAY_US) -> DataFrame:
+def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, ts: str = "ts_us", width: int | None = None) -> DataFrame:
     """Adds the 0-based place of each row in ``order`` among its ``keys``."""
-    rows = bucketed(df, ts, width)
+    rows = bucketed(df, keys, ts, width)
     sizes = rows.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     carry = sizes.withColumn("_carry", F.coalesce(F.sum("_n").over(before), F.lit(0)))
@@ -40,9 +55,9 @@ def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str
     return placed.withColumn(name, F.col("_carry") + F.col("_own") - 1).drop("_bucket", "_own", "_carry")
 
 
-def previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str, ts: str = "ts_us", width: int = DAY_US) -> DataFrame:
+def previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str, ts: str = "ts_us", width: int | None = None) -> DataFrame:
     """Adds ``value`` of the row just before, null for the first of its keys."""
-    rows = bucketed(df, ts, width).withColumn("_value", value)
+    rows = bucketed(df, keys, ts, width).withColumn("_value", value)
     ends = rows.groupBy(*keys, "_bucket").agg(F.max(F.struct(*order, "_value")).alias("_end"))
     over = Window.partitionBy(*keys).orderBy("_bucket")
     carry = ends.withColumn("_carry", F.lag(F.col("_end")["_value"]).over(over))
@@ -52,9 +67,9 @@ def previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Co
     return placed.withColumn(name, F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_own"))).drop("_bucket", "_value", "_own", "_first", "_carry")
 
 
-def last_known(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str, ts: str = "ts_us", width: int = DAY_US) -> DataFrame:
+def last_known(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str, ts: str = "ts_us", width: int | None = None) -> DataFrame:
     """Adds the last value that isn't null at or before each row, in ``order``."""
-    rows = bucketed(df, ts, width).withColumn("_value", value)
+    rows = bucketed(df, keys, ts, width).withColumn("_value", value)
     known = F.when(F.col("_value").isNotNull(), F.struct(*order, "_value"))
     ends = rows.groupBy(*keys, "_bucket").agg(F.max(known).alias("_end"))
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -64,9 +79,9 @@ def last_known(df: DataFrame, keys: Sequence[str], order: Sequence[str], value:
     return placed.withColumn(name, F.coalesce("_own", "_carry")).drop("_bucket", "_value", "_own", "_carry")
 
 
-def next_known(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str, ts: str = "ts_us", width: int = DAY_US) -> DataFrame:
+def next_known(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str, ts: str = "ts_us", width: int | None = None) -> DataFrame:
     """Adds the first value that isn't null at or after each row, in ``order``."""
-    rows = bucketed(df, ts, width).withColumn("_value", value)
+    rows = bucketed(df, keys, ts, width).withColumn("_value", value)
     known = F.when(F.col("_value").isNotNull(), F.struct(*order, "_value"))
     starts = rows.groupBy(*keys, "_bucket").agg(F.min(known).alias("_start"))
     after = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(1, Window.unboundedFollowing)
@@ -76,9 +91,9 @@ def next_known(df: DataFrame, keys: Sequence[str], order: Sequence[str], value:
     return placed.withColumn(name, F.coalesce("_own", "_carry")).drop("_bucket", "_value", "_own", "_carry")
 
 
-def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str, ts: str = "ts_us", width: int = DAY_US) -> DataFrame:
+def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str, ts: str = "ts_us", width: int | None = None) -> DataFrame:
     """Adds the sum of ``value`` up to and with each row."""
-    rows = bucketed(df, ts, width).withColumn("_value", value)
+    rows = bucketed(df, keys, ts, width).withColumn("_value", value)
     sums = rows.groupBy(*keys, "_bucket").agg(F.sum("_value").alias("_sum"))
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     carry = sums.withColumn("_carry", F.coalesce(F.sum("_sum").over(before), F.lit(0)))

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracklode.model import CONFIGURATION, DATA, STATE, stream_name
-from tracklode.operators.ordered import numbered, previous, running_sum
+from tracklode.operators.ordered import previous, running_sum
 
 FILE_STREAM = ("file_id", "type_id", "instance_id")
 
@@ -116,18 +117,18 @@ def rate_from_gaps(gaps: list[float]) -> float:
     return n / total if total > 0 else 0.0
 
 
-def fps_estimate(records: DataFrame) -> DataFrame:
-    """Per stream: fps from its first data records; streams are cut before they are gathered."""
-    data = records.where(F.col("record_type") == DATA)
-    first = numbered(data, FILE_STREAM, ("ts_us", "file_offset"), "_k").where(F.col("_k") <= MOST_GAPS)
+@F.pandas_udf(T.DoubleType())
+def rate_of(times: pd.Series) -> pd.Series:
+    """Rates of arrays of times in microseconds."""
+    return pd.Series([rate_from_gaps([(b - a) / 1e6 for a, b in zip(ts, ts[1:])]) for ts in (sorted(x.tolist()) for x in times)])
 
-    def estimate(pdf: pd.DataFrame) -> pd.DataFrame:
-        ts = sorted(pdf["ts_us"].tolist())
-        row = pdf.iloc[0]
-        return pd.DataFrame({**{k: [row[k]] for k in FILE_STREAM}, "fps": [rate_from_gaps([(b - a) / 1e6 for a, b in zip(ts, ts[1:])])]})
 
-    kinds = {k: records.schema[k].dataType.simpleString() for k in FILE_STREAM}
-    return first.select(*FILE_STREAM, "ts_us").groupBy(*FILE_STREAM).applyInPandas(estimate, ", ".join(f"{k} {t}" for k, t in kinds.items()) + ", fps double")
+def fps_estimate(records: DataFrame) -> DataFrame:
+    """Per stream: fps from its first data records; tasks cut their streams before any shuffle."""
+    place = F.row_number().over(Window.partitionBy(*FILE_STREAM).orderBy("ts_us", "file_offset"))
+    data = records.where(F.col("record_type") == DATA).select(*FILE_STREAM, "ts_us", "file_offset", place.alias("_k"))
+    first = data.where(F.col("_k") <= MOST_GAPS + 1)
+    return first.groupBy(*FILE_STREAM).agg(F.collect_list("ts_us").alias("_ts")).select(*FILE_STREAM, rate_of("_ts").alias("fps"))
 
 
 def audio_summary(blocks: DataFrame, rate_hz: int) -> DataFrame:

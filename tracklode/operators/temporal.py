@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracklode.model import CONFIGURATION, DATA, ORDER
-from tracklode.operators.ordered import last_known, next_known, numbered, previous
+from tracklode.operators.ordered import bucket_width, last_known, next_known, numbered, previous
 
 FILE_STREAM = ("file_id", "type_id", "instance_id")
 
@@ -54,8 +54,9 @@ def lower_bound_join(probes: DataFrame, records: DataFrame, keys: Sequence[str]
 def nearest_join(probes: DataFrame, records: DataFrame, epsilon_us: int, keys: Sequence[str] = FILE_STREAM) -> DataFrame:
     """Like lower_bound_join, for the nearest record within epsilon; the earlier side on a tie."""
     order = ["ts_us", "side", *(c for c in ORDER[1:] if c not in keys)]
-    after = next_known(mixed(probes, records, keys, late=False), keys, order, F.col("hit"), "right")
-    both = last_known(after, keys, order, F.col("hit"), "left").where(F.col("probe").isNotNull())
+    width = bucket_width(records, keys, "ts_us")
+    after = next_known(mixed(probes, records, keys, late=False), keys, order, F.col("hit"), "right", width=width)
+    both = last_known(after, keys, order, F.col("hit"), "left", width=width).where(F.col("probe").isNotNull())
     left, right = F.col("ts_us") - F.col("left.ts_us"), F.col("right.ts_us") - F.col("ts_us")
     take_right = F.col("left").isNull() | (right < left)
     hit = F.when(take_right, F.col("right")).otherwise(F.col("left"))
@@ -92,7 +93,7 @@ def record_gaps(records: DataFrame) -> DataFrame:
 def record_limits(records: DataFrame) -> DataFrame:
     """Adds next_offset: where the next record of the file starts, whatever its time."""
     turned = records.withColumn("_neg", -F.col("file_offset"))
-    return previous(turned, ("file_id",), ("_neg",), F.col("file_offset"), "next_offset", ts="_neg", width=1 << 20).drop("_neg")
+    return previous(turned, ("file_id",), ("_neg",), F.col("file_offset"), "next_offset", ts="_neg").drop("_neg")
 
 
 def streams_of_type(streams: DataFrame, type_id: int | None = None, flavor: str = "") -> DataFrame:

@@ -1,10 +1,16 @@
 """Binary recordings as a Spark data source and sink.
 
 A file is a header, a description record (tags), records, and an index record.  The
-reader's driver side reads header, description and index; its tasks read ranges of
-records of about ``SPLIT`` bytes, so one file of many terabytes feeds many tasks.  A file
-without a usable index is walked once, record header by record header.  Paths are
-opened through pyarrow's file systems, so stores work as well as local folders.
+reader's driver side reads header, description and index, as arrays of numbers; its tasks
+read ranges of records of about ``SPLIT`` bytes, neighbours by one read, so one file of
+many terabytes feeds many tasks.  Filters on time, type, instance and record type are held
+against the index, and records that they leave out are never read, with option
+``pushdown`` and ``spark.sql.python.filterPushdown.enabled`` set.  A file without a usable index is walked once,
+record header by record header.  Paths are opened through pyarrow's file systems, so
+stores work as well as local folders.
+
+Table ``records`` fails at a damaged record; ``checked`` has the same columns and ``ok``,
+false where a record isn't the one of the index or can't be unpacked.
 
     spark.dataSource.register(RecordingSource)
     spark.read.format("recording").load("/data/*.rec")
@@ -21,12 +27,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from decimal import Decimal
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
 # Fixed values of the file format.
 MAGIC = (0x69736956, 0x65526E6F, 0x64726F63)
@@ -62,7 +69,7 @@ STREAMS = T.StructType(
     ]
 )
 FILES = T.StructType([T.StructField("file_id", T.StringType()), T.StructField("total_size", T.LongType()), T.StructField("creation_id", T.DecimalType(20, 0)), T.StructField("tags", TAGS), T.StructField("has_index", T.BooleanType())])
-TABLES = {"records": RECORDS, "index": T.StructType([f for f in RECORDS if f.name != "payload"]), "streams": STREAMS, "files": FILES}
+TABLES = {"records": RECORDS, "checked": T.StructType([*RECORDS, T.StructField("ok", T.BooleanType())]), "index": T.StructType([f for f in RECORDS if f.name != "payload"]), "streams": STREAMS, "files": FILES}
 
 
 class Damaged(ValueError):
@@ -183,7 +190,17 @@ def packed(data: bytes, kind: int, level: int = 3) -> tuple[bytes, int]:
     return (out, kind) if len(out) < len(data) else (data, NONE)
 
 
-Entry = tuple[float, int, int, int, int, int]  # time, offset, size, type, instance, kind
+#: An index entry as it is stored, and with the place of its record.
+STORED = np.dtype([("ts", "<f8"), ("size", "<u4"), ("kind", "u1"), ("type_id", "<i4"), ("instance_id", "<u2")])
+ENTRY = np.dtype([*STORED.descr, ("at", "<i8")])
+#: The most that one read takes in.
+READ = 8 << 20
+#: Columns whose filters the index can answer, and how.
+ANSWERED = {
+    "ts_us": lambda e: np.rint(e["ts"] * 1e6).astype(np.int64), "timestamp": lambda e: e["ts"], "type_id": lambda e: e["type_id"].astype(np.int64),
+    "instance_id": lambda e: e["instance_id"].astype(np.int64), "record_type": lambda e: np.array([KINDS.get(k, "") for k in range(256)])[e["kind"]],
+}
+TESTS = {EqualTo: np.equal, GreaterThan: np.greater, GreaterThanOrEqual: np.greater_equal, LessThan: np.less, LessThanOrEqual: np.less_equal}
 
 
 class Recording:
@@ -210,7 +227,7 @@ class Recording:
             raise Damaged(f"no record at {at}")
         return head, self.file.read_at(n, at + self.header.record_header_size)
 
-    def index(self) -> list[Entry] | None:
+    def index(self) -> np.ndarray | None:
         """Entries of the index record in file order; None if there is no usable one."""
         try:
             if self.header.index_at <= 0:
@@ -222,18 +239,21 @@ class Recording:
             at = 4 + n * STREAM_ID.size
             count = struct.unpack_from("<I", payload, at)[0]
             data = unpacked(payload[at + 4 :], head[7], count * INDEX_ENTRY.size)
-            out, offset = [], self.first
-            for ts, size, kind, type_id, instance in INDEX_ENTRY.iter_unpack(data[: count * INDEX_ENTRY.size]):
-                if offset + size > self.size:
-                    break  # records past the end of a cut file
-                out.append((ts, offset, size, type_id, instance, kind))
-                offset += size
-            return out
-        except (Damaged, struct.error, OSError):
+            return self.placed(np.frombuffer(data, STORED, count))
+        except (Damaged, struct.error, OSError, ValueError):
             return None
 
-    def walk(self) -> list[Entry]:
-        """Entries found by walking record headers; stops where the chain breaks."""
+    def placed(self, stored: np.ndarray) -> np.ndarray:
+        """Entries with their offsets, up to the end of a cut file."""
+        out = np.zeros(len(stored), ENTRY)
+        for name in STORED.names:
+            out[name] = stored[name]
+        ends = self.first + np.cumsum(stored["size"], dtype=np.int64)
+        out["at"] = ends - stored["size"]
+        return out[: np.searchsorted(ends, self.size, side="right")]
+
+    def walk(self) -> np.ndarray:
+        """Entries found by walking record headers, in order of time; stops where the chain breaks."""
         out, at, before = [], self.first, None
         while at + self.header.record_header_size <= self.size:
             head = RECORD.unpack_from(self.file.read_at(self.header.record_header_size, at))
@@ -243,15 +263,16 @@ class Recording:
             if type_id not in (INDEX_TYPE, DESCRIPTION_TYPE):
                 if kind not in KINDS:
                     break
-                out.append((ts, at, size, type_id, instance, kind))
+                out.append((ts, size, kind, type_id, instance, at))
             before, at = size, at + size
-        return out
+        found = np.array(out, ENTRY)
+        return found[np.lexsort((found["at"], found["instance_id"], found["type_id"], found["ts"]))]
 
 
 @dataclass
 class Range(InputPartition):
     path: str
-    entries: list[Entry]
+    entries: np.ndarray
     record_header_size: int
 
 
@@ -263,29 +284,30 @@ class Rows(InputPartition):
 class RecordingReader(DataSourceReader):
     def __init__(self, paths: list[str], table: str, rebuild: bool) -> None:
         self.paths, self.table, self.rebuild = paths, table, rebuild
+        self.asked: list[tuple[str, type, object]] = []
+
+    def wanted(self, entries: np.ndarray) -> np.ndarray:
+        keep = np.isin(entries["kind"], [k for k, name in KINDS.items() if name != "tags"])
+        for name, kind, value in self.asked:
+            own = ANSWERED[name](entries)
+            keep &= np.isin(own, list(value)) if kind is In else TESTS[kind](own, value)
+        return entries[keep]
 
     def partitions(self) -> list[InputPartition]:
         out: list[InputPartition] = []
         for path in self.paths:
             r = Recording(path)
+            if self.table == "streams":
+                out.append(Rows([(path, t, i, f"{t}-{i}", s.private_tag(ORIGINAL_NAME), s.private_tag(FLAVOR), s.private_tag(SERIAL), s.user, s.private) for (t, i), s in sorted(r.streams.items())]))
+                continue
             entries = None if self.rebuild else r.index()
             if self.table == "files":
                 out.append(Rows([(path, r.size, Decimal(r.header.creation_id), r.tags, entries is not None)]))
                 continue
-            if self.table == "streams":
-                out.append(Rows([(path, t, i, f"{t}-{i}", s.private_tag(ORIGINAL_NAME), s.private_tag(FLAVOR), s.private_tag(SERIAL), s.user, s.private) for (t, i), s in sorted(r.streams.items())]))
-                continue
-            own, size = [], 0
-            for e in entries if entries is not None else r.walk():
-                if KINDS.get(e[5]) == "tags":
-                    continue
-                own.append(e)
-                size += e[2]
-                if size >= SPLIT:
-                    out.append(Range(path, own, r.header.record_header_size))
-                    own, size = [], 0
-            if own:
-                out.append(Range(path, own, r.header.record_header_size))
+            own = self.wanted(entries if entries is not None else r.walk())
+            part = np.cumsum(own["size"], dtype=np.int64) // SPLIT
+            cuts = np.flatnonzero(np.diff(part)) + 1
+            out += [Range(path, x, r.header.record_header_size) for x in np.split(own, cuts) if len(x)]
         return out or [Rows([])]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
@@ -293,19 +315,49 @@ class RecordingReader(DataSourceReader):
             yield from partition.rows
             return
         fs, p = opened(partition.path)
-        head_size = partition.record_header_size
+        head_size, entries = partition.record_header_size, partition.entries
+        slim = self.table == "index"
         with fs.open_input_file(p) as f:
-            for ts, at, size, type_id, instance, kind in partition.entries:
-                whole = f.read_at(head_size if self.table == "index" else size, at)
-                head = RECORD.unpack_from(whole)
-                if (head[0], head[2], head[5], head[6]) != (size, type_id, instance, kind):
-                    raise Damaged(f"{partition.path}: the record at {at} isn't the one of the index")
-                row = (partition.path, type_id, instance, f"{type_id}-{instance}", KINDS[kind], head[3], ts, round(ts * 1e6), at, size, head[7])
-                yield row if self.table == "index" else (*row, unpacked(whole[head_size:], head[7], head[8]))
+            # Neighbours are read together; headers alone where records are large.
+            ends = entries["at"] + entries["size"]
+            apart = np.concatenate(([True], (entries["at"][1:] != ends[:-1]) | (slim and entries["size"].mean() > 4096)))
+            lo = 0
+            while lo < len(entries):
+                hi = lo + 1
+                while hi < len(entries) and not apart[hi] and ends[hi] - entries["at"][lo] <= READ:
+                    hi += 1
+                base = int(entries["at"][lo])
+                block = f.read_at(head_size if slim and hi == lo + 1 else int(ends[hi - 1]) - base, base)
+                for ts, size, kind, type_id, instance, at in entries[lo:hi].tolist():
+                    yield self.row(partition.path, block[at - base : at - base + size], head_size, ts, size, kind, type_id, instance, at)
+                lo = hi
+
+    def row(self, path: str, whole: bytes, head_size: int, ts: float, size: int, kind: int, type_id: int, instance: int, at: int) -> tuple:
+        try:
+            head = RECORD.unpack_from(whole)
+            if (head[0], head[2], head[5], head[6]) != (size, type_id, instance, kind):
+                raise Damaged(f"{path}: the record at {at} isn't the one of the index")
+            payload = None if self.table == "index" else unpacked(whole[head_size:], head[7], head[8])
+        except Exception:
+            if self.table != "checked":
+                raise
+            head, payload = None, None
+        row = (path, type_id, instance, f"{type_id}-{instance}", KINDS[kind], head and head[3], ts, round(ts * 1e6), at, size, head and head[7])
+        return row if self.table == "index" else (*row, payload, head is not None) if self.table == "checked" else (*row, payload)
+
+
+class FilteringReader(RecordingReader):
+    """A reader that holds filters against the index; Spark takes one only where its pushdown is enabled."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        for f in filters:
+            if self.table in ("records", "index", "checked") and type(f) in (*TESTS, In) and len(f.attribute) == 1 and f.attribute[0] in ANSWERED and f.value is not None:
+                self.asked.append((f.attribute[0], type(f), f.value))
+            yield f  # Spark asks again
 
 
 class RecordingSource(DataSource):
-    """``spark.read.format("recording")``; options: path, table, rebuild."""
+    """``spark.read.format("recording")``; options: path, table, rebuild, pushdown."""
 
     @classmethod
     def name(cls) -> str:
@@ -317,7 +369,8 @@ class RecordingSource(DataSource):
     def reader(self, schema: T.StructType) -> RecordingReader:
         path = self.options["path"]
         paths = sorted(glob.glob(path)) if "://" not in path and any(c in path for c in "*?[") else path.split(",")
-        return RecordingReader(paths, self.options.get("table", "records"), self.options.get("rebuild", "false").lower() == "true")
+        kind = FilteringReader if self.options.get("pushdown", "false").lower() == "true" else RecordingReader
+        return kind(paths, self.options.get("table", "records"), self.options.get("rebuild", "false").lower() == "true")
 
 
 def tags_bytes(tags: dict[str, str]) -> bytes:
@@ -360,17 +413,23 @@ class RecordingWriter:
         self.fs.move(self.place + ".part", self.place)
 
 
-def write_recordings(records: DataFrame, folder: str, tags: dict[str, str] | None = None, compression: int = ZSTD) -> DataFrame:
+def write_recordings(records: DataFrame, folder: str, tags: dict[str, str] | None = None, compression: int = ZSTD, streams: DataFrame | None = None) -> DataFrame:
     """One file per file_id, in canonical order: file_id, path, n.
 
+    ``streams``(file_id, type_id, instance_id, user_tags, private_tags) gives the streams
+    their tags, those without records too.  Times are those of ``timestamp`` and formats
+    those of ``format_version`` where records have them; else ts_us and 1.
+
     Payloads are packed by all tasks; their sizes, summed per file, tell where its index
     will stand, so the file is written in one go by one task, as its format asks.
     """
     keys = ["file_id", "type_id", "instance_id"]
     tags = dict(tags or {})
-    streams: dict[str, list[tuple[int, int]]] = {}
+    held: dict[str, dict[tuple[int, int], Stream]] = {}
     for r in records.select(*keys).distinct().collect():  # a few thousand streams a file at most
-        streams.setdefault(str(r[0]), []).append((r[1], r[2]))
+        held.setdefault(str(r[0]), {})[r[1], r[2]] = Stream()
+    for r in streams.select(*keys, "user_tags", "private_tags").collect() if streams is not None else ():
+        held.setdefault(str(r[0]), {})[r[1], r[2]] = Stream(dict(r[3] or {}), dict(r[4] or {}))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -379,13 +438,15 @@ def write_recordings(records: DataFrame, folder: str, tags: dict[str, str] | Non
             new = [pa.array([b for b, _ in bodies], pa.binary()), pa.array([c for _, c in bodies], pa.int32()), pa.array([len(x) if c else 0 for x, (_, c) in zip(payloads, bodies)], pa.int64())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], [*batch.schema.names[:-1], "body", "compression", "full"])
 
-    names = [*keys, "record_type", "ts_us", "file_offset"]
-    source = records.select(*names, F.col("payload").cast("binary").alias("payload"))
+    names = [*keys, "record_type", "time", "version", "file_offset"]
+    time = F.col("timestamp") if "timestamp" in records.columns else F.col("ts_us") / F.lit(1e6)
+    version = F.col("format_version") if "format_version" in records.columns else F.lit(1)
+    source = records.select(*keys, "record_type", time.cast("double").alias("time"), version.cast("long").alias("version"), "file_offset", F.col("payload").cast("binary").alias("payload"))
     schema = T.StructType([*(source.schema[n] for n in names), T.StructField("body", T.BinaryType()), T.StructField("compression", T.IntegerType()), T.StructField("full", T.LongType())])
     rows = source.mapInArrow(pack, schema)
     totals = rows.groupBy("file_id").agg(F.sum(F.length("body") + RECORD.size).alias("total"))
-    columns = [*names[:5], "body", "compression", "full", "total"]
-    dealt = rows.join(totals, "file_id").repartition("file_id").sortWithinPartitions("file_id", "ts_us", "type_id", "instance_id", "file_offset").select(*columns)
+    columns = [*names[:6], "body", "compression", "full", "total"]
+    dealt = rows.join(totals, "file_id").repartition("file_id").sortWithinPartitions("file_id", "time", "type_id", "instance_id", "file_offset").select(*columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, writer, n = None, None, 0
@@ -395,13 +456,13 @@ def write_recordings(records: DataFrame, folder: str, tags: dict[str, str] | Non
             return pa.RecordBatch.from_arrays([pa.array([str(own)]), pa.array([writer.path]), pa.array([n], pa.int64())], ["file_id", "path", "n"])
 
         for batch in batches:
-            for file_id, type_id, instance, kind, ts, body, how, full, total in zip(*(c.to_pylist() for c in batch.columns)):
+            for file_id, type_id, instance, kind, ts, version, body, how, full, total in zip(*(c.to_pylist() for c in batch.columns)):
                 if writer is None or file_id != own:
                     if writer is not None:
                         yield done()
                     own, n = file_id, 0
-                    writer = RecordingWriter(f"{folder}/{os.path.basename(str(own))}.rec", {k: Stream() for k in streams[str(own)]}, tags, total)
-                writer.add(type_id, instance, ts / 1e6, 1, kind, body, how, full)
+                    writer = RecordingWriter(f"{folder}/{os.path.basename(str(own))}.rec", held[str(own)], tags, total)
+                writer.add(type_id, instance, ts, version, kind, body, how, full)
                 n += 1
         if writer is not None:
             yield done()
