@@ -7,7 +7,7 @@ import os
 
 import pytest
 
-from tracklode.plans import catalog, catalog_more  # noqa: F401
+from tracklode.plans import catalog, catalog_more, catalog_source  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
