@@ -343,6 +343,47 @@ def test_recording_round_trip(spark, tmp_path):
     assert {r["n_missing"] for r in cli.run(spark, ["compare", out[0]["path"], out[0]["path"]]).collect()} <= {0}
 
 
+@pytest.mark.parametrize("split", [False, True])
+def test_chunks_are_read_as_one(spark, tmp_path, split):
+    import os
+
+    rows = [(0, 1201, 1 + i % 2, ("configuration", "data")[i > 1], i * 1000, i, f"payload {i} " * (i * 9)) for i in range(40)]
+    r = records(spark, rows).withColumn("file_id", F.lit("a"))
+    write = lambda size: recording.write_recordings(r, str(tmp_path), {"k": "v"}, recording.NONE, chunk_size=size, split=split).first()["path"]
+    write(1 << 10)
+    many = len(os.listdir(tmp_path))
+    path = write(4 << 10)
+    names = sorted(n for n in os.listdir(tmp_path) if "crc" not in n)
+    assert 3 < len(names) < many and names == sorted(["a.rec", *(f"a.rec_{k}" for k in range(1, len(names)))])
+    assert all(os.path.getsize(tmp_path / n) <= 5 << 10 for n in names[1:])
+    spark.dataSource.register(recording.RecordingSource)
+    for rebuild in ("false", "true"):
+        back = spark.read.format("recording").option("rebuild", rebuild).load(str(tmp_path / "*")).orderBy("ts_us").collect()
+        assert [(b["instance_id"], b["record_type"], b["ts_us"], b["payload"].decode()) for b in back] == [(x[2], x[3], x[4], x[6]) for x in rows]
+    assert spark.read.format("recording").option("table", "files").load(path).first()["has_index"]
+    os.rename(tmp_path / names[-1], tmp_path / "away")
+    assert 0 < spark.read.format("recording").option("table", "index").load(path).count() < 40
+
+
+def test_index_of_an_unclosed_recording(tmp_path):
+    """An index in front that wasn't closed: its size and the records' start are not told, its last entry is cut."""
+    import struct
+
+    def record(size, type_id, version, kind, ts=0.0, before=0):
+        return struct.pack("<IIiIdHBBI", size, before, type_id, version, ts, 1, kind, 0, 0)
+
+    description = struct.pack("<I", 0) * 2
+    entries = b"".join(struct.pack("<dIBiH", float(i), 40, 3, 998, 1) for i in range(4))
+    magic = struct.pack("<II", 0x69736956, 0x65526E6F)
+    at = 80 + 32 + len(description)
+    header = magic + struct.pack("<QIIqqqQQQII", 0, 80, 32, at, 80, 0, 0, 0, 0, 0x64726F63, recording.VERSIONS[1])
+    head = header + record(32 + len(description), 2, 2, 1) + description + record(32, 1, 3, 1) + entries[:-5]
+    (tmp_path / "x.rec").write_bytes(head)
+    (tmp_path / "x.rec_1").write_bytes(b"".join(record(40, 998, 1, 3, float(i), 40) + b"abcdefgh" for i in range(3)))
+    found = recording.Recording(str(tmp_path / "x.rec")).index()
+    assert found["ts"].tolist() == [0, 1, 2] and found["at"].tolist() == [len(head) + 40 * i for i in range(3)]
+
+
 def test_command_line():
     c = cli.parse(["copy", "a", "b", "+", "1201", "-", "data", "--range", "+1", "-2", "--decimate", "1202", "0.01", "--to", "x"])
     assert c.paths == ["a", "b"] and c.chosen.streams == [("+", "1201")] and c.chosen.types == [("-", "data")] and c.intervals == {1202: 10_000}

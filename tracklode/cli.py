@@ -28,6 +28,8 @@ class Command:
     intervals: dict[int, int] = field(default_factory=dict)
     bucket: int = 0
     to: str = ""
+    chunk_size: int = 0
+    split: bool = False
     tags: dict[str, str] = field(default_factory=dict)
 
 
@@ -70,6 +72,10 @@ def parse(words: Sequence[str]) -> Command:
             command.bucket = round(float(take(w)) * 1e6)
         elif w == "--to":
             command.to = take(w)
+        elif w == "--chunk-size":  # in MB
+            command.chunk_size = int(take(w)) << 20
+        elif w == "--index-first":
+            command.split = True
         elif w == "--file-tag":
             name, value = take(w), take(w)
             command.tags[name] = value
@@ -134,7 +140,7 @@ def written(spark: SparkSession, command: Command, records: DataFrame) -> DataFr
         records, instance = records.withColumn("own_instance", F.col("instance_id")), "own_instance"
     streams = renamed(opened(spark, command, "streams"), records, instance, name)
     out = records.withColumn("file_id", F.lit(name)).drop("instance_id").withColumnRenamed(instance, "instance_id")
-    return write_recordings(out, command.to, file_tags(spark, command, name == "merged"), streams=streams)
+    return write_recordings(out, command.to, file_tags(spark, command, name == "merged"), streams=streams, chunk_size=command.chunk_size, split=command.split)
 
 
 def run(spark: SparkSession, words: Sequence[str]) -> DataFrame:

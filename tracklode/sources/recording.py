@@ -6,7 +6,8 @@ read ranges of records of about ``SPLIT`` bytes, neighbours by one read, so one
 many terabytes feeds many tasks.  Filters on time, type, instance and record type are held
 against the index, and records that they leave out are never read, with option
 ``pushdown`` and ``spark.sql.python.filterPushdown.enabled`` set.  A file without a usable index is walked once,
-record header by record header.  Paths are opened through pyarrow's file systems, so
+record header by record header.  A recording may be cut into chunks, ``name``, ``name_1``,
+``name_2`` …, and its index may stand before the records.  Paths are opened through pyarrow's file systems, so
 stores work as well as local folders.
 
 Table ``records`` fails at a damaged record; ``checked`` has the same columns and ``ok``,
@@ -22,8 +23,10 @@ from __future__ import annotations
 import glob
 import json
 import os
+import re
 import struct
 from collections.abc import Iterator
+from contextlib import closing
 from dataclasses import dataclass, field
 from decimal import Decimal
 
@@ -80,6 +83,54 @@ def opened(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), os.path.abspath(path))
 
 
+def following(place: str, n: int) -> str:
+    """The place of chunk ``n``, from 1, of the recording that starts at ``place``."""
+    return f"{place[:-1] if place.endswith('_0') else place + '_'}{n}"
+
+
+def starts(places: list[str]) -> list[str]:
+    """The places without those that are later chunks of another one."""
+    known = set(places)
+
+    def later(place: str) -> bool:
+        m = re.fullmatch(r"(.+)_([1-9]\d*)", place)
+        return m is not None and (m[1] in known or m[1] + "_0" in known)
+
+    return [p for p in places if not later(p)]
+
+
+class Chunks:
+    """The chunks of a recording, read as one file."""
+
+    def __init__(self, path: str) -> None:
+        self.fs, first = opened(path)
+        self.parts = [(0, self.fs.get_file_info(first).size, first)]  # start, size, place
+        while True:
+            info = self.fs.get_file_info(following(first, len(self.parts)))
+            if info.type != pafs.FileType.File:
+                break
+            self.parts.append((self.size, info.size, info.path))
+        self.files: dict[str, pa.NativeFile] = {}
+
+    @property
+    def size(self) -> int:
+        return self.parts[-1][0] + self.parts[-1][1]
+
+    def read_at(self, n: int, at: int) -> bytes:
+        out = []
+        for start, size, place in self.parts:
+            lo, hi = max(at, start), min(at + n, start + size)
+            if lo < hi:
+                if place not in self.files:
+                    self.files[place] = self.fs.open_input_file(place)
+                out.append(self.files[place].read_at(hi - lo, lo - start))
+        return out[0] if len(out) == 1 else b"".join(out)
+
+    def close(self) -> None:
+        for f in self.files.values():
+            f.close()
+
+
 @dataclass
 class Header:
     creation_id: int
@@ -208,9 +259,8 @@ class Recording:
 
     def __init__(self, path: str) -> None:
         self.path = path
-        fs, p = opened(path)
-        self.size = fs.get_file_info(p).size
-        self.file = fs.open_input_file(p)
+        self.file = Chunks(path)
+        self.size = self.file.size
         self.header = Header.read(self.file.read_at(HEADER.size, 0))
         at = self.header.description_at or self.header.header_size
         head, payload = self.record(at)
@@ -233,6 +283,8 @@ class Recording:
             if self.header.index_at <= 0:
                 return None
             head, payload = self.record(self.header.index_at)
+            if head[2] == INDEX_TYPE and head[3] == SPLIT_INDEX_VERSION:
+                return self.split_index(head)
             if head[2] != INDEX_TYPE or head[3] != INDEX_VERSION:
                 return None
             n = struct.unpack_from("<I", payload)[0]
@@ -243,6 +295,31 @@ class Recording:
         except (Damaged, struct.error, OSError, ValueError):
             return None
 
+    def split_index(self, head: tuple) -> np.ndarray | None:
+        """Entries of an index that stands before the records, as far as it was written.
+
+        A recording that wasn't closed tells neither the index's size nor where records
+        start; the end of the first chunk then tells both.
+        """
+        begin = self.header.index_at + self.header.record_header_size
+        size, end = head[0] - self.header.record_header_size, self.file.parts[0][1]
+        first = self.header.first_record_at
+        if begin > end or (size == 0 and first == 0 and len(self.file.parts) == 1):
+            return None
+        self.first = min(first, end) if first else end
+        last = min(begin + size if size else end, self.first)
+        data = self.file.read_at(max(last - begin, 0), begin)
+        if head[7] == ZSTD:  # frames, one after the other
+            import zstandard
+
+            data = zstandard.ZstdDecompressor().stream_reader(data, read_across_frames=True).read()
+        elif head[7] != NONE:
+            data = unpacked(data, head[7], head[8])
+        stored = np.frombuffer(data, STORED, len(data) // STORED.itemsize)
+        if (stored["size"] < self.header.record_header_size).any() or not np.isin(stored["kind"], list(KINDS)).all():
+            return None
+        return self.placed(stored)
+
     def placed(self, stored: np.ndarray) -> np.ndarray:
         """Entries with their offsets, up to the end of a cut file."""
         out = np.zeros(len(stored), ENTRY)
@@ -314,10 +391,9 @@ class RecordingReader(DataSourceReader):
         if isinstance(partition, Rows):
             yield from partition.rows
             return
-        fs, p = opened(partition.path)
         head_size, entries = partition.record_header_size, partition.entries
         slim = self.table == "index"
-        with fs.open_input_file(p) as f:
+        with closing(Chunks(partition.path)) as f:
             # Neighbours are read together; headers alone where records are large.
             ends = entries["at"] + entries["size"]
             apart = np.concatenate(([True], (entries["at"][1:] != ends[:-1]) | (slim and entries["size"].mean() > 4096)))
@@ -368,7 +444,7 @@ class RecordingSource(DataSource):
 
     def reader(self, schema: T.StructType) -> RecordingReader:
         path = self.options["path"]
-        paths = sorted(glob.glob(path)) if "://" not in path and any(c in path for c in "*?[") else path.split(",")
+        paths = starts(sorted(glob.glob(path))) if "://" not in path and any(c in path for c in "*?[") else path.split(",")
         kind = FilteringReader if self.options.get("pushdown", "false").lower() == "true" else RecordingReader
         return kind(paths, self.options.get("table", "records"), self.options.get("rebuild", "false").lower() == "true")
 
@@ -382,20 +458,40 @@ def tags_bytes(tags: dict[str, str]) -> bytes:
 
 
 class RecordingWriter:
-    """Writes one file from front to back; ``body_size`` is what all records will take."""
+    """Writes one recording from front to back; ``body_size`` is what all records will take.
 
-    def __init__(self, path: str, streams: dict[tuple[int, int], Stream], tags: dict[str, str], body_size: int, creation_id: int = 0) -> None:
+    ``chunk_size`` starts a new chunk before a record that would pass it.  With ``split``
+    the first chunk holds header, tags and index, written last, and all records follow in
+    chunks of their own.
+    """
+
+    def __init__(self, path: str, streams: dict[tuple[int, int], Stream], tags: dict[str, str], body_size: int, creation_id: int = 0, chunk_size: int = 0, split: bool = False) -> None:
         self.path, self.entries, self.before, self.ids = path, [], 0, sorted(streams)
         self.fs, self.place = opened(path)
+        self.chunk_size, self.split, self.n_chunks, self.held = chunk_size, split, 1, 0
         self.fs.create_dir(os.path.dirname(self.place), recursive=True)
-        self.out = self.fs.open_output_stream(self.place + ".part")
+        self.out = pa.BufferOutputStream() if split else self.fs.open_output_stream(self.place + ".part")
         body = struct.pack("<I", len(streams)) + b"".join(STREAM_ID.pack(*k) + tags_bytes(s.user) + tags_bytes(s.private) for k, s in sorted(streams.items())) + tags_bytes(tags)
         first = HEADER.size + RECORD.size + len(body)
-        self.out.write(HEADER.pack(*MAGIC[:2], creation_id, HEADER.size, RECORD.size, first + body_size, HEADER.size, first, 0, 0, 0, MAGIC[2], VERSIONS[1]))
+        self.header = [*MAGIC[:2], creation_id, HEADER.size, RECORD.size, first if split else first + body_size, HEADER.size, first, 0, 0, 0, MAGIC[2], VERSIONS[1]]
+        if not split:
+            self.out.write(HEADER.pack(*self.header))
+        self.held = HEADER.size
         self.put(DESCRIPTION_TYPE, 0, 0.0, DESCRIPTION_VERSION, 1, body, NONE, 0)
+        if split:
+            self.head, self.head_before, self.before = self.out, self.before, 0
+            self.next_chunk()
+
+    def next_chunk(self) -> None:
+        self.out, self.held = self.fs.open_output_stream(following(self.place, self.n_chunks) + ".part"), 0
+        self.n_chunks += 1
 
     def put(self, type_id: int, instance: int, ts: float, version: int, kind: int, body: bytes, compression: int, full: int) -> None:
         size = RECORD.size + len(body)
+        if self.chunk_size and self.held and self.held + size > self.chunk_size and type_id != DESCRIPTION_TYPE:
+            self.out.close()
+            self.next_chunk()
+        self.held += size
         self.out.write(RECORD.pack(size, self.before, type_id, version, ts, instance, kind, compression, full))
         self.out.write(body)
         self.before = size
@@ -406,19 +502,35 @@ class RecordingWriter:
         self.entries.append(INDEX_ENTRY.pack(ts, RECORD.size + len(body), CODES[kind], type_id, instance))
 
     def close(self) -> None:
-        """Writes the index, then moves the file to its place."""
-        ids = struct.pack("<I", len(self.ids)) + b"".join(STREAM_ID.pack(*i) for i in self.ids)
-        self.put(INDEX_TYPE, 0, 0.0, INDEX_VERSION, 1, ids + struct.pack("<I", len(self.entries)) + b"".join(self.entries), NONE, 0)
-        self.out.close()
-        self.fs.move(self.place + ".part", self.place)
-
-
-def write_recordings(records: DataFrame, folder: str, tags: dict[str, str] | None = None, compression: int = ZSTD, streams: DataFrame | None = None) -> DataFrame:
+        """Writes the index, then moves the chunks to their places, the first one last."""
+        stored = b"".join(self.entries)
+        if self.split:
+            self.out.close()
+            self.header[7] += RECORD.size + len(stored)  # where the records start
+            with self.fs.open_output_stream(self.place + ".part") as out:
+                out.write(HEADER.pack(*self.header))
+                out.write(self.head.getvalue())
+                out.write(RECORD.pack(RECORD.size + len(stored), self.head_before, INDEX_TYPE, SPLIT_INDEX_VERSION, 0.0, 0, 1, NONE, 0))
+                out.write(stored)
+        else:
+            ids = struct.pack("<I", len(self.ids)) + b"".join(STREAM_ID.pack(*i) for i in self.ids)
+            self.put(INDEX_TYPE, 0, 0.0, INDEX_VERSION, 1, ids + struct.pack("<I", len(self.entries)) + stored, NONE, 0)
+            self.out.close()
+        n = self.n_chunks
+        while self.fs.get_file_info(following(self.place, n)).type == pafs.FileType.File:  # of an earlier, longer recording
+            self.fs.delete_file(following(self.place, n))
+            n += 1
+        for place in [*(following(self.place, k) for k in range(1, self.n_chunks)), self.place]:
+            self.fs.move(place + ".part", place)
+
+
+def write_recordings(records: DataFrame, folder: str, tags: dict[str, str] | None = None, compression: int = ZSTD, streams: DataFrame | None = None, chunk_size: int = 0, split: bool = False) -> DataFrame:
     """One file per file_id, in canonical order: file_id, path, n.
 
     ``streams``(file_id, type_id, instance_id, user_tags, private_tags) gives the streams
     their tags, those without records too.  Times are those of ``timestamp`` and formats
-    those of ``format_version`` where records have them; else ts_us and 1.
+    those of ``format_version`` where records have them; else ts_us and 1.  ``chunk_size``
+    (bytes) and ``split`` are those of ``RecordingWriter``.
 
     Payloads are packed by all tasks; their sizes, summed per file, tell where its index
     will stand, so the file is written in one go by one task, as its format asks.
@@ -461,7 +573,7 @@ def write_recordings(records: DataFrame, folder: str, tags: dict[str, str] | Non
                     if writer is not None:
                         yield done()
                     own, n = file_id, 0
-                    writer = RecordingWriter(f"{folder}/{os.path.basename(str(own))}.rec", held[str(own)], tags, total)
+                    writer = RecordingWriter(f"{folder}/{os.path.basename(str(own))}.rec", held[str(own)], tags, total, chunk_size=chunk_size, split=split)
                 writer.add(type_id, instance, ts, version, kind, body, how, full)
                 n += 1
         if writer is not None:
