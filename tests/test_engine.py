@@ -307,6 +307,64 @@ def test_text(spark):
     assert text.path_spec("store://a/b%20c?x=1") == {"handler": "store", "chunks": ["a/b c"], "extras": {"x": "1"}}
 
 
+def test_text_columns(spark):
+    names = ["b10", "a2", "a10", "A1", "a02x"]
+    rows = spark.createDataFrame([(x,) for x in names], "s string")
+    assert [r["s"] for r in rows.orderBy(text.natural_order(F.col("s"))).collect()] == ["A1", "a2", "a02x", "a10", "b10"]
+    r = spark.range(1).select(
+        text.query_values(F.lit("s://p/q?a=1&b=x%20y&a=2&c&d=e%3Df+g")).alias("q"), text.query_values(F.lit("s://p/q")).alias("none"),
+        text.split_trimmed(F.lit(" a, ,b ,"), ",").alias("p"), text.split_trimmed(F.lit("a,,b"), ",", skip_empty=False).alias("all"),
+        text.leading_number(F.lit("17x")).alias("n"), text.leading_number(F.lit("4294967296")).alias("big"), text.leading_number(F.lit("x1")).alias("no"),
+        text.readable_duration(F.lit(3723.5)).alias("d"), text.readable_text(F.lit("a\tb\u00e9")).alias("t"), text.readable_datetime(F.lit(86400.9)).alias("at"),
+    ).first()
+    assert r["q"] == {"a": "2", "b": "x y", "c": "", "d": "e=f g"} and r["none"] == {}
+    assert (r["p"], r["all"]) == (["a", "b"], ["a", "", "b"]) and (r["n"], r["big"], r["no"]) == (17, None, None)
+    assert (r["d"], r["t"], r["at"]) == (text.duration_text(3723.5), text.printable("a\tb\u00e9"), "1970-01-02 00:00:00")
+
+
+def test_specs(spark):
+    """The order in which specs are told, key frames, sizes from the next block's layout, and what can't be told."""
+    import json
+    import struct
+
+    from tracklode.operators import decode, specs
+
+    def layout(*names):
+        return json.dumps({"data_layout": [{"name": n, "type": "DataPieceValue<uint32_t>", "offset": 4 * i} for i, n in enumerate(names)]})
+
+    image = layout("image_width", "image_height", "image_pixel_format")
+    tags = {
+        "RF:Configuration:1": "data_layout+data_layout", "DL:Configuration:1:0": image, "DL:Configuration:1:1": layout("other"),
+        "RF:Data:1": "image/raw", "RF:Data:2": "data_layout+image/raw", "DL:Data:2:0": image, "RF:Data:3": "image/raw/8x2/pixel=grey8",
+        "RF:Data:4": "data_layout+image/video/codec=h+custom", "DL:Data:4:0": layout("next_content_block_size", "image_key_frame_index"),
+    }
+    rows = [
+        ("data", 0, 0, 1, b"xxxx"), ("configuration", 1, 1, 1, struct.pack("<4I", 4, 1, 1, 9)), ("data", 2, 2, 1, b"abcd"), ("data", 3, 3, 2, struct.pack("<3I", 2, 1, 4) + b"rgbrgb"),
+        ("data", 4, 4, 3, b"." * 16), ("data", 5, 5, 4, struct.pack("<2I", 3, 7) + b"key" + b"rest"), ("configuration", 6, 6, 1, struct.pack("<4I", 0, 0, 0, 9)), ("data", 7, 7, 1, b"zz"),
+    ]
+    r = spark.createDataFrame([(0, 1, 1, *x) for x in rows], "file_id int, type_id int, instance_id int, record_type string, ts_us long, file_offset long, format_version int, payload binary")
+    streams = spark.createDataFrame([(0, 1, 1, tags)], "file_id int, type_id int, instance_id int, private_tags map<string,string>")
+    blocks = decode.decoded_blocks(r, streams)
+    got = [(b["ts_us"], b["told_by"], b["pixel"], b["width"], b["size"], b["key_frame_index"]) for b in specs.block_specs(blocks).orderBy("ts_us").collect()]
+    assert got == [
+        (0, None, None, None, 4, None), (2, "configuration", "grey8", 4, 4, None), (3, "record", "rgb8", 2, 6, None),
+        (4, "format", "grey8", 8, 16, None), (5, "configuration", "grey8", 4, 3, 7), (7, None, None, None, 2, None),
+    ]
+    assert specs.decode_status(blocks).first()[1:] == (8, 8, 6, 0)
+
+
+def test_verbatim(spark, tmp_path):
+    from tracklode.sources import export
+
+    data = bytes(range(256)) * 40_000
+    for name, x in (("a", data), ("b", data[:9_000_000] + b"?" + data[9_000_001:]), ("c", data[:-1])):
+        (tmp_path / name).write_bytes(x)
+    (tmp_path / "d").write_bytes(data[:1000])
+    (tmp_path / "d_1").write_bytes(data[1000:])
+    got = {n: tuple(export.compare_verbatim(spark, str(tmp_path / "a"), str(tmp_path / n)).first()[2:]) for n in "abcd"}
+    assert got == {"a": (True, None), "b": (False, 9_000_000), "c": (False, None), "d": (True, None)}
+
+
 def test_media():
     rng = np.random.default_rng(0)
     for shape, kind in (((5, 7), np.uint8), ((5, 7), np.uint16), ((5, 7, 3), np.uint8)):

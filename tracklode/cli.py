@@ -13,11 +13,12 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklode.operators import compare, decimate, decode, digest, filters, merge, stats
+from tracklode.operators import compare, decimate, decode, digest, filters, merge, specs, stats
 from tracklode.operators.filters import Bound, Selection
+from tracklode.sources import export
 from tracklode.sources.recording import RecordingSource, write_recordings
 
-COMMANDS = ("details", "json-description", "list", "print", "print-json", "record-formats", "copy", "merge", "check", "checksums", "compare", "rage", "hexdump", "fps")
+COMMANDS = ("details", "json-description", "list", "print", "print-json", "record-formats", "copy", "merge", "check", "decode", "checksums", "compare", "compare-verbatim", "rage", "hexdump", "fps")
 
 
 @dataclass
@@ -87,8 +88,8 @@ def parse(words: Sequence[str]) -> Command:
         raise ValueError("which file?")
     if command.name in ("copy", "merge") and not command.to:
         raise ValueError(f"{command.name} needs --to")
-    if command.name == "compare" and len(command.paths) != 2:
-        raise ValueError("compare needs two files")
+    if command.name.startswith("compare") and len(command.paths) != 2:
+        raise ValueError(f"{command.name} needs two files")
     return command
 
 
@@ -146,6 +147,8 @@ def written(spark: SparkSession, command: Command, records: DataFrame) -> DataFr
 def run(spark: SparkSession, words: Sequence[str]) -> DataFrame:
     """The relation that a command shows or writes."""
     command = parse(words)
+    if command.name == "compare-verbatim":
+        return export.compare_verbatim(spark, *command.paths)
     streams = opened(spark, command, "streams")
     if command.name == "record-formats":
         tags = streams.select("file_id", "stream_id", F.explode("private_tags").alias("name", "format"))
@@ -172,6 +175,8 @@ def run(spark: SparkSession, words: Sequence[str]) -> DataFrame:
         return merge.canonical(filters.first_records(out))
     if command.name in ("print", "print-json"):
         return decode.decoded_blocks(merge.canonical(out), streams)
+    if command.name == "decode":
+        return specs.decode_status(decode.decoded_blocks(out, streams))
     if command.name == "hexdump":
         return merge.canonical(out.withColumn("hex", F.hex("payload")).withColumn("checksum", digest.bytes_checksum("payload")).drop("payload"))
     if command.name == "checksums":

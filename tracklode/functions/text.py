@@ -5,8 +5,10 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 KIB = 1024
 BYTE_SIZE = re.compile(r"\s*(\d+(?:\.\d+)?)\s*([kmgtpe]?)(?:i?b)?\s*", re.I)
@@ -119,6 +121,63 @@ def natural_key(name: str) -> tuple:
     return tuple((0, int(p), "") if p.isdigit() else (1, 0, p) for p in re.split(r"(\d+)", name.lower()) if p)
 
 
+# --- columns of the above, and more -------------------------------------------------
+
+
+@F.pandas_udf(T.StringType())
+def readable_duration(seconds: pd.Series) -> pd.Series:
+    """``duration_text`` of a column."""
+    return seconds.map(duration_text, na_action="ignore").astype(object)
+
+
+@F.pandas_udf(T.StringType())
+def readable_text(text: pd.Series) -> pd.Series:
+    """``printable`` of a column."""
+    return text.map(printable, na_action="ignore").astype(object)
+
+
+def natural_order(name: Column) -> Column:
+    """A text that sorts as ``natural_key``, for numbers of up to 20 digits."""
+    parts = F.regexp_extract_all(F.lower(name), F.lit(r"(\d+|\D+)"), F.lit(0))
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.lpad(F.ltrim(p, F.lit("0")), 20, "0")).otherwise(p)), "")
+
+
+def readable_datetime(seconds: Column) -> Column:
+    """Seconds since 1970 as date and time of the session's zone."""
+    return F.date_format(F.timestamp_seconds(F.floor(seconds)), "yyyy-MM-dd HH:mm:ss")
+
+
+def split_trimmed(text: Column, mark: str, trim: bool = True, skip_empty: bool = True) -> Column:
+    """Parts between marks, trimmed, without empty ones."""
+    parts = F.split(text, re.escape(mark))
+    parts = F.transform(parts, lambda p: F.trim(p, F.lit(" \t\n\r"))) if trim else parts
+    return F.filter(parts, lambda p: p != "") if skip_empty else parts
+
+
+def same_text(a: Column, b: Column) -> Column:
+    """Whether two texts are equal but for case."""
+    return F.lower(a) == F.lower(b)
+
+
+def leading_number(text: Column) -> Column:
+    """The number below 2^32 that a text starts with; null if there is none."""
+    n = F.regexp_extract(text, r"^(\d+)", 1).try_cast("decimal(38,0)")
+    return F.when(n < 1 << 32, n).cast("long")
+
+
+def url_text(text: Column) -> Column:
+    """A text with its percent codes and pluses decoded; null where a code is broken."""
+    return F.try_url_decode(text)
+
+
+def query_values(url: Column) -> Column:
+    """The decoded name=value pairs of a URL's query, the last of a name deciding."""
+    query = F.regexp_extract(url, r"\?([^#]*)", 1)
+    pairs = F.transform(F.filter(F.split(query, "&"), lambda p: p != ""), lambda p: F.struct(url_text(F.substring_index(p, "=", 1)).alias("k"), F.when(p.contains("="), url_text(F.substring(p, F.instr(p, "=") + 1, F.length(p)))).otherwise("").alias("v")))
+    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.greatest(F.size(pairs) - i - 1, F.lit(0))), lambda q: q["k"] == p["k"]))
+    return F.map_from_entries(last)
+
+
 def path_spec(text: str) -> dict[str, object]:
     """A path, a URI or a JSON object as handler, path chunks and extras."""
     import json

@@ -20,6 +20,8 @@ from tracklode.functions.layouts import Layout
 from tracklode.operators.streams import layouts, record_formats
 
 FILE_STREAM = ("file_id", "type_id", "instance_id")
+#: The piece of a layout that tells the size of the next block.
+NEXT_SIZE = "next_content_block_size"
 KIND = (*FILE_STREAM, "record_type", "format_version")
 
 
@@ -42,12 +44,13 @@ def plain(value: object) -> object:
 def blocks_of(payload: bytes, texts: list[str], by_block: dict[str, Layout]) -> list[tuple[int, Block, int | None, int | None, str | None]]:
     """(number, block, start, size, JSON of a layout) of each block of a record.
 
-    A layout without a given size is as long as its own index says; the one other block
-    without a size takes what is left.  A block whose start can't be told is given up,
+    A layout without a given size is as long as its own index says, and may tell the size
+    of the block behind it; the one other block without a size takes what is left.  A block whose start can't be told is given up,
     and so is what follows it.
     """
     parsed = parse_format("+".join(texts))
     sizes = [0 if b.kind == "empty" else b.size for b in parsed]
+    layouts_at = {i for i in range(len(parsed)) if str(i) in by_block}
     out, at = [], 0
     for i, block in enumerate(parsed):
         layout = by_block.get(str(i))
@@ -58,14 +61,17 @@ def blocks_of(payload: bytes, texts: list[str], by_block: dict[str, Layout]) ->
             size = None
         value = None
         if layout is not None and size is not None:
-            value = json.dumps(plain(layout.read(payload[at : at + size])), sort_keys=True)
+            held = layout.read(payload[at : at + size])
+            value = json.dumps(plain(held), sort_keys=True)
+            if i + 1 < len(sizes) and sizes[i + 1] is None and i + 1 not in layouts_at:
+                sizes[i + 1] = held.get(NEXT_SIZE) or None
         out.append((i, block, at, size, value))
         at = None if at is None or size is None else at + size
     return out
 
 
 def decoded_blocks(records: DataFrame, streams: DataFrame) -> DataFrame:
-    """One row a block: FILE_STREAM, record_type, ts_us, file_offset, block, kind, format, start, size, content (JSON of a layout).
+    """One row a block: FILE_STREAM, record_type, ts_us, file_offset, block, kind, format, spec (the block's text), start, size, n_bytes (of the record), content (JSON of a layout).
 
     Records of a stream without a format are one block of kind ``custom``.  A map: records
     meet formats by a join on a table of a few rows a stream.
@@ -73,7 +79,7 @@ def decoded_blocks(records: DataFrame, streams: DataFrame) -> DataFrame:
     keys = [*FILE_STREAM, "record_type", "ts_us", "file_offset"]
     rows = with_formats(records, streams).select(*keys, "payload", "blocks", "layouts")
     kinds = {k: rows.schema[k].dataType for k in keys}
-    added = {"block": T.IntegerType(), "kind": T.StringType(), "format": T.StringType(), "start": T.LongType(), "size": T.LongType(), "content": T.StringType()}
+    added = {"block": T.IntegerType(), "kind": T.StringType(), "format": T.StringType(), "spec": T.StringType(), "start": T.LongType(), "size": T.LongType(), "n_bytes": T.LongType(), "content": T.StringType()}
     schema = T.StructType([T.StructField(n, t) for n, t in (kinds | added).items()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,9 +90,9 @@ def decoded_blocks(records: DataFrame, streams: DataFrame) -> DataFrame:
                 held = {b: known.setdefault(t, Layout.parse(t)) if t not in known else known[t] for b, t in (by_block or [])}
                 found = blocks_of(payload or b"", texts or ["custom"], held)
                 whose += [i] * len(found)
-                out += [(n, b.kind, b.format, start, size, value) for n, b, start, size, value in found]
+                out += [(n, b.kind, b.format, b.text(), start, size, len(payload or b""), value) for n, b, start, size, value in found]
             at = pa.array(whose, pa.int64())
-            new = [pa.array(x, t) for x, t in zip(zip(*out) if out else [()] * 6, (pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()))]
+            new = [pa.array(x, t) for x, t in zip(zip(*out) if out else [()] * len(added), (pa.int32(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()))]
             yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in range(len(keys))), *new], schema.names)
 
     return rows.mapInArrow(run, schema)

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from tracklode import cli
 from tracklode.functions import formats, layouts, text
-from tracklode.operators import decode, filters, streams
+from tracklode.operators import decode, filters, specs, streams
 from tracklode.operators.filters import Bound, Selection
 from tracklode.plans.catalog import DAY_US, KEY, STREAM, K, S, query
 from tracklode.plans.catalog_more import TAGGED, tagged_streams
@@ -195,6 +195,67 @@ def block_places(spark, d):
     return decode.decoded_blocks(packed_records(spark, d), packed_streams(spark, d)).where("block = 1").select(*KEY, "block", "kind", "format", "start", "size")
 
 
+CAMERA = json.dumps({"data_layout": [{"name": f"image_{n}", "type": "DataPieceValue<uint32_t>", "offset": 4 * i} for i, n in enumerate(("width", "height", "pixel_format"))]})
+SOUND = json.dumps({"data_layout": [{"name": f"audio_{n}", "type": "DataPieceValue<uint32_t>", "offset": 4 * i} for i, n in enumerate(("sample_format", "channel_count", "sample_rate", "sample_count"))]})
+
+
+@F.pandas_udf(T.BinaryType())
+def packed_numbers(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
+    import struct
+
+    return pd.Series([struct.pack("<4I", *x) for x in zip(a, b, c, d)])
+
+
+def spec_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Configurations tell the size of raw images; data records hold an image, a layout and sound that it tells."""
+    r = event_records(spark, d).where("record_type != 'state'")
+    n = F.col("file_offset")
+    camera = F.substring(packed_numbers(n % 50 + 1, F.lit(2), n % 3, F.lit(0)), 1, 12)
+    sound = F.concat(F.lit(b"1234"), packed_numbers(F.lit(5), n % 2 + 1, F.lit(48000), n % 9))
+    r = r.withColumn("payload", F.when(F.col("record_type") == "configuration", camera).otherwise(sound)).withColumn("format_version", F.lit(1))
+    tags = {"RF:Configuration:1": "data_layout", "DL:Configuration:1:0": CAMERA, "RF:Data:1": "image/raw/size=4+data_layout+audio", "DL:Data:1:1": SOUND}
+    private = F.create_map(*(F.lit(x) for pair in tags.items() for x in pair))
+    return specs.block_specs(decode.decoded_blocks(r, event_records(spark, d).select(*STREAM).distinct().withColumn("private_tags", private)))
+
+
+LAST_CONFIGURATION = f"c AS (SELECT *, last_value(CASE WHEN record_type = 'configuration' THEN file_offset END IGNORE NULLS) OVER (PARTITION BY {S} ORDER BY ts_us, file_offset) AS n FROM rec)"
+
+
+@query(
+    "image_specs",
+    f""", {LAST_CONFIGURATION} SELECT {K}, CASE n % 3 WHEN 1 THEN 'grey8' WHEN 2 THEN 'bgr8' ELSE '' END AS pixel, CASE WHEN n % 3 > 0 THEN n % 50 + 1 ELSE -1 END AS width,
+    CASE WHEN n % 3 > 0 THEN 'configuration' ELSE '' END AS told_by FROM c WHERE record_type = 'data'""",
+)
+def image_specs(spark, d):
+    b = spec_blocks(spark, d).where("kind = 'image'")
+    return b.select(*KEY, F.coalesce("pixel", F.lit("")).alias("pixel"), F.coalesce("width", F.lit(-1)).alias("width"), F.coalesce("told_by", F.lit("")).alias("told_by"))
+
+
+@query("audio_specs", f"SELECT {K}, 'int16le' AS sample, CAST(file_offset % 2 + 1 AS INT) AS channels, CAST(48000 AS BIGINT) AS rate, CAST(file_offset % 9 AS BIGINT) AS samples, 'record' AS told_by FROM rec WHERE record_type = 'data'")
+def audio_specs(spark, d):
+    return spec_blocks(spark, d).where("kind = 'audio'").select(*KEY, "sample", "channels", "rate", "samples", "told_by")
+
+
+@query("decode_status", "SELECT file_id, count(*) AS n_records, count(*) AS n_decoded, count(*) AS n_images, CAST(0 AS BIGINT) AS n_audio FROM rec GROUP BY file_id")
+def decode_status(spark, d):
+    return specs.decode_status(decode.decoded_blocks(packed_records(spark, d), packed_streams(spark, d)))
+
+
+@query("chunked_copy", "SELECT file_id, true AS has_index, CAST(count(*) AS BIGINT) AS n, CAST(sum(record_size) AS BIGINT) AS size, CAST(count_if(record_type = 'data') AS BIGINT) AS n_data FROM rec WHERE file_id = 0 GROUP BY file_id")
+def chunked_copy(spark, d):
+    to = scratch(spark)
+    recording.write_recordings(named(event_records(spark, d).where("file_id = 0")), to, {}, recording.NONE, chunk_size=16 << 10, split=True).collect()
+    held = back(spark, f"{to}/*", "index").groupBy("file_id").agg(F.count("*").alias("n"), F.sum("record_size").alias("size"), F.count_if(F.col("record_type") == "data").alias("n_data"))
+    return back(spark, f"{to}/*", "files").select("file_id", "has_index").join(held, "file_id")
+
+
+@query("compare_verbatim", "SELECT 'itself' AS against, true AS same, true AS agrees UNION ALL SELECT 'another', false, false", base="unused AS (SELECT 1)")
+def compare_verbatim(spark, d):
+    a, b = (f"{made(spark, d)}/f{i}.rec" for i in (0, 1))
+    rows = [cli.run(spark, ["compare-verbatim", a, x]).select(F.lit(name).alias("against"), "same", F.col("first_difference").isNull().alias("agrees")) for name, x in (("itself", a), ("another", b))]
+    return rows[0].unionByName(rows[1])
+
+
 @query("layout_evolution", f"SELECT {K}, file_offset AS n, 2.5::DOUBLE AS gain, true AS v_missing, coalesce(payload, '') AS s FROM rec")
 def layout_evolution(spark, d):
     old, new = layouts.Layout.parse(LAYOUT), layouts.Layout.parse(EXPECTED)
@@ -284,6 +345,25 @@ def tag_lists(spark, d):
     return c.select("c_custkey", held[0].alias("first"), held[1].alias("second"), F.size(held).alias("n"))
 
 
+@query(
+    "text_columns",
+    """SELECT o_orderkey, strftime(make_timestamp(o_orderkey * 86399 * 1000000), '%Y-%m-%d %H:%M:%S') AS at, CAST(left(o_orderpriority, 1) AS BIGINT) AS priority, o_orderpriority AS q, o_orderstatus = 'O' AS is_open,
+    list_aggregate([trim(x) FOR x IN string_split(o_orderpriority, 'I') IF trim(x) <> ''], 'string_agg', '|') AS parts FROM orders""",
+    base="unused AS (SELECT 1)",
+)
+def text_columns(spark, d):
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    url = F.concat(F.lit("http://x/y?a=1&c="), F.url_encode("o_orderpriority"), F.lit("&b"))
+    return o.select(
+        "o_orderkey",
+        F.date_format(F.to_utc_timestamp(text.readable_datetime(F.col("o_orderkey") * 86399).cast("timestamp"), F.current_timezone()), "yyyy-MM-dd HH:mm:ss").alias("at"),
+        F.array_join(text.split_trimmed(F.col("o_orderpriority"), "I"), "|").alias("parts"),
+        text.leading_number(F.col("o_orderpriority")).alias("priority"),
+        text.query_values(url)["c"].alias("q"),
+        text.same_text(F.col("o_orderstatus"), F.lit("o")).alias("is_open"),
+    )
+
+
 @query("checksums")
 def checksums(spark, d):
     return cli.run(spark, ["checksums", f"{made(spark, d)}/f0.rec"]).select("name", "checksum")

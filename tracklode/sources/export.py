@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import time
 from collections.abc import Iterator
+from contextlib import closing
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracklode.functions import media
-from tracklode.sources.recording import LZ4, NONE, ZSTD, opened, packed
+from tracklode.sources.recording import LZ4, NONE, ZSTD, Chunks, opened, packed
 
 
 def put_file(path: str, data: bytes) -> None:
@@ -105,6 +107,33 @@ def file_checksums(paths: DataFrame) -> DataFrame:
     return paths.select("path").repartition("path").mapInPandas(run, "path string, size long, digest string")
 
 
+def compare_verbatim(spark: SparkSession, left: str, right: str) -> DataFrame:
+    """One row: left_size, right_size, same, first_difference (null where the bytes agree as far as both go).
+
+    Tasks read blocks of READ_UNIT bytes of both recordings, all their chunks.
+    """
+    a, b = Chunks(left), Chunks(right)
+    sizes, shared = (a.size, b.size), min(a.size, b.size)
+    a.close()
+    b.close()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with closing(Chunks(left)) as x, closing(Chunks(right)) as y:
+            for batch in batches:
+                found = []
+                for k in batch.column(0).to_pylist():
+                    at = k * READ_UNIT
+                    n = min(READ_UNIT, shared - at)
+                    p, q = (np.frombuffer(f.read_at(n, at), np.uint8) for f in (x, y))
+                    if (other := np.flatnonzero(p != q)).size:
+                        found.append(at + int(other[0]))
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], ["at"])
+
+    first = spark.range(-(-shared // READ_UNIT)).mapInArrow(run, "at long").agg(F.min("at").alias("first_difference"))
+    same = F.col("first_difference").isNull() & F.lit(sizes[0] == sizes[1])
+    return first.select(F.lit(sizes[0]).cast("long").alias("left_size"), F.lit(sizes[1]).cast("long").alias("right_size"), same.alias("same"), "first_difference")
+
+
 # Compression presets by name, as (kind, level).
 PRESETS = {"none": (NONE, 0), "lz4": (LZ4, 0), "zstd-faster": (ZSTD, -1), "zstd-light": (ZSTD, 1), "zstd-medium": (ZSTD, 3), "zstd-high": (ZSTD, 7), "zstd-12": (ZSTD, 12), "zstd-15": (ZSTD, 15), "zstd-18": (ZSTD, 18), "zstd-tight": (ZSTD, 20)}
 
