@@ -497,3 +497,15 @@ def test_streams_and_edits(spark, tmp_path):
     frames = spark.createDataFrame([("200-1", 1, 0.5, "grey8", 2, 2, 0, b"\1\2\3\4")], "stream_id string, number int, timestamp double, pixel string, width int, height int, stride int, payload binary")
     png = export.export_images(frames, str(tmp_path / "png")).first()["path"]
     assert media.png_pixels(open(png, "rb").read()).tolist() == [[1, 2], [3, 4]]
+
+
+def test_many_taken_instances_are_passed_at_once():
+    import time
+
+    by_file = [(f, [StreamId(200, i) for i in range(1, 4001)]) for f in range(3)]
+    start = time.perf_counter()
+    ids = merge.unique_ids(by_file)
+    assert time.perf_counter() - start < 5  # a walk over every taken instance needs a minute
+    assert ids[0, StreamId(200, 7)] == StreamId(200, 7) and ids[1, StreamId(200, 7)] == StreamId(200, 4007) and ids[2, StreamId(200, 4000)] == StreamId(200, 12_000)
+    gaps = merge.unique_ids([(0, [StreamId(1, i) for i in (1, 2, 5)]), (1, [StreamId(1, i) for i in (1, 5)]), (2, [StreamId(1, 1)])])
+    assert [gaps[1, StreamId(1, 1)].instance_id, gaps[1, StreamId(1, 5)].instance_id, gaps[2, StreamId(1, 1)].instance_id] == [3, 6, 4]

@@ -19,15 +19,18 @@ def unique_ids(streams_by_file: Sequence[tuple[int, Iterable[StreamId]]]) -> dic
 
     Files are served in their order, streams in theirs.
     """
-    taken: set[StreamId] = set()
+    later: dict[int, dict[int, int]] = {}  # by type: a taken instance and one at or before the next free one
     out = {}
     for file_id, streams in streams_by_file:
         for s in sorted(streams):
-            own = s
-            while own in taken:
-                own = StreamId(own.type_id, own.instance_id + 1)
-            taken.add(own)
-            out[file_id, s] = own
+            links, n, passed = later.setdefault(s.type_id, {}), s.instance_id, []
+            while n in links:
+                passed.append(n)
+                n = links[n]
+            # All that led here now lead past it, so a run of taken instances isn't walked again.
+            for k in (*passed, n):
+                links[k] = n + 1
+            out[file_id, s] = StreamId(s.type_id, n)
     return out
 
 
