@@ -509,3 +509,28 @@ def test_many_taken_instances_are_passed_at_once():
     assert ids[0, StreamId(200, 7)] == StreamId(200, 7) and ids[1, StreamId(200, 7)] == StreamId(200, 4007) and ids[2, StreamId(200, 4000)] == StreamId(200, 12_000)
     gaps = merge.unique_ids([(0, [StreamId(1, i) for i in (1, 2, 5)]), (1, [StreamId(1, i) for i in (1, 5)]), (2, [StreamId(1, 1)])])
     assert [gaps[1, StreamId(1, 1)].instance_id, gaps[1, StreamId(1, 5)].instance_id, gaps[2, StreamId(1, 1)].instance_id] == [3, 6, 4]
+
+
+@pytest.fixture
+def late_broadcast(spark):
+    """Joins are planned as shuffles; then adaptive execution broadcasts their small side and reads the other one mapper by mapper."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "20KB", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield spark
+    for k in conf:
+        spark.conf.unset(k)
+
+
+def test_a_file_and_a_stream_are_one_task_whatever_the_joins(late_broadcast, tmp_path):
+    spark = late_broadcast
+    r = spark.range(0, 4000, 1, 8).select(
+        F.concat(F.lit("f"), (F.col("id") % 2).cast("string")).alias("file_id"), (F.col("id") % 3 + 200).cast("int").alias("type_id"), F.lit(1).alias("instance_id"), F.lit("data").alias("record_type"),
+        (F.col("id") * 1000).alias("ts_us"), F.col("id").alias("file_offset"), F.col("id").cast("string").cast("binary").alias("payload"),
+    )
+    done = recording.write_recordings(r, str(tmp_path), compression=recording.NONE).collect()
+    assert sorted((d["file_id"], d["n"]) for d in done) == [("f0", 2000), ("f1", 2000)]
+    spark.dataSource.register(recording.RecordingSource)
+    assert spark.read.format("recording").load(f"{tmp_path}/*.rec").count() == 4000
+    digests = digest.stream_digests(r).collect()
+    assert len(digests) == 6 and sum(d["n"] for d in digests) == 4000

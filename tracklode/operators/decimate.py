@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracklode.model import DATA, ORDER
+from tracklode.operators.ordered import dealt
 
 DELTA_US = 33_333
 WIDTH_OF_GRACE = 1.2
@@ -67,7 +68,7 @@ def interval_decimate(records: DataFrame, intervals_us: dict[int, int] | int) ->
                 i = end
             yield batch.filter(pa.array(keep))
 
-    walked = records.where(due).repartition(*keys).sortWithinPartitions(*keys, "ts_us", "file_offset").mapInArrow(walk, records.schema)
+    walked = dealt(records.where(due), *keys).sortWithinPartitions(*keys, "ts_us", "file_offset").mapInArrow(walk, records.schema)
     return records.where(~due).unionByName(walked)
 
 
@@ -106,5 +107,5 @@ def bucket_decimate(records: DataFrame, interval_us: int, delta_us: int = DELTA_
         yield from (row for _, row in held.values())
 
     due = F.col("record_type") == DATA
-    walked = records.where(due).repartition("file_id").sortWithinPartitions("file_id", *ORDER).mapInArrow(walk, records.schema)
+    walked = dealt(records.where(due), "file_id").sortWithinPartitions("file_id", *ORDER).mapInArrow(walk, records.schema)
     return records.where(~due).unionByName(walked)

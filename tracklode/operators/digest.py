@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracklode.model import RECORD_TYPE_CODES
+from tracklode.operators.ordered import dealt
 
 # Fixed value of the format: what a map's digest starts with.
 MAP_SIGNATURE = b"map<string, string>"
@@ -97,7 +98,7 @@ def stream_digests(records: DataFrame) -> DataFrame:
         if own is not None:
             yield row()
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys, "time", "file_offset").mapInArrow(run, schema)
+    return dealt(rows, *keys).sortWithinPartitions(*keys, "time", "file_offset").mapInArrow(run, schema)
 
 
 def checksums(records: DataFrame, streams: DataFrame, files: DataFrame) -> DataFrame:

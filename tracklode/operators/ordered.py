@@ -17,6 +17,16 @@ from pyspark.sql import functions as F
 BUCKET_ROWS = 500_000
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows with equal keys in one task, for maps over partitions.
+
+    Spark drops a plain repartition where a join or an aggregation below deals by the same
+    keys, and adaptive execution, which sees no need of the map, may then read that join's
+    parts piecemeal.  No step below deals by this hash, so the shuffle stays.
+    """
+    return df.repartition(F.xxhash64(*keys))
+
+
 def bucket_width(df: DataFrame, keys: Sequence[str], ts: str) -> int:
     """Width of a bucket in the unit of ``ts``, from counts and spans of all keys.
 

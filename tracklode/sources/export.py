@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracklode.functions import media
+from tracklode.operators.ordered import dealt
 from tracklode.sources.recording import LZ4, NONE, ZSTD, Chunks, opened, packed
 
 
@@ -82,7 +83,7 @@ def export_audio(blocks: DataFrame, folder: str) -> DataFrame:
             yield done()
 
     rows = blocks.select("stream_id", "segment", "ts_us", "sample", "channels", "rate", "payload")
-    return rows.repartition("stream_id", "segment").sortWithinPartitions("stream_id", "segment", "ts_us").mapInArrow(run, "path string, n long")
+    return dealt(rows, "stream_id", "segment").sortWithinPartitions("stream_id", "segment", "ts_us").mapInArrow(run, "path string, n long")
 
 
 READ_UNIT = 4 << 20

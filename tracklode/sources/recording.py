@@ -38,6 +38,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
+from tracklode.operators.ordered import dealt
+
 # Fixed values of the file format.
 MAGIC = (0x69736956, 0x65526E6F, 0x64726F63)
 VERSIONS = (0x31535256, 0x32535256, 0x33535256)
@@ -556,9 +558,9 @@ def write_recordings(records: DataFrame, folder: str, tags: dict[str, str] | Non
     source = records.select(*keys, "record_type", time.cast("double").alias("time"), version.cast("long").alias("version"), "file_offset", F.col("payload").cast("binary").alias("payload"))
     schema = T.StructType([*(source.schema[n] for n in names), T.StructField("body", T.BinaryType()), T.StructField("compression", T.IntegerType()), T.StructField("full", T.LongType())])
     rows = source.mapInArrow(pack, schema)
-    totals = rows.groupBy("file_id").agg(F.sum(F.length("body") + RECORD.size).alias("total"))
-    columns = [*names[:6], "body", "compression", "full", "total"]
-    dealt = rows.join(totals, "file_id").repartition("file_id").sortWithinPartitions("file_id", "time", "type_id", "instance_id", "file_offset").select(*columns)
+    totals = {r[0]: r[1] for r in rows.groupBy("file_id").agg(F.sum(F.length("body") + RECORD.size)).collect()}  # one row a file
+    columns = [*names[:6], "body", "compression", "full"]
+    placed = dealt(rows, "file_id").sortWithinPartitions("file_id", "time", "type_id", "instance_id", "file_offset").select(*columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, writer, n = None, None, 0
@@ -568,15 +570,15 @@ def write_recordings(records: DataFrame, folder: str, tags: dict[str, str] | Non
             return pa.RecordBatch.from_arrays([pa.array([str(own)]), pa.array([writer.path]), pa.array([n], pa.int64())], ["file_id", "path", "n"])
 
         for batch in batches:
-            for file_id, type_id, instance, kind, ts, version, body, how, full, total in zip(*(c.to_pylist() for c in batch.columns)):
+            for file_id, type_id, instance, kind, ts, version, body, how, full in zip(*(c.to_pylist() for c in batch.columns)):
                 if writer is None or file_id != own:
                     if writer is not None:
                         yield done()
                     own, n = file_id, 0
-                    writer = RecordingWriter(f"{folder}/{os.path.basename(str(own))}.rec", held[str(own)], tags, total, chunk_size=chunk_size, split=split)
+                    writer = RecordingWriter(f"{folder}/{os.path.basename(str(own))}.rec", held[str(own)], tags, totals[own], chunk_size=chunk_size, split=split)
                 writer.add(type_id, instance, ts, version, kind, body, how, full)
                 n += 1
         if writer is not None:
             yield done()
 
-    return dealt.mapInArrow(run, "file_id string, path string, n long")
+    return placed.mapInArrow(run, "file_id string, path string, n long")
