@@ -64,3 +64,14 @@ def test_sizes_beyond_a_gib_are_those_of_the_sql(spark, tmp_path):
     con.execute(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet/*.parquet'")
     want = dict(con.execute(catalog.ORACLE["readable_sizes"]).fetchall())
     assert {r["c_custkey"]: r["size"] for r in catalog.QUERIES["readable_sizes"](spark, str(tmp_path)).collect()} == want
+
+
+def test_years_beyond_9999_are_those_of_the_sql(spark, tmp_path):
+    import duckdb
+
+    keys = [0, 2_932_930, 2_932_931, 2_933_000, 9_000_000, 54_000_000]
+    spark.createDataFrame([(k, "1-URGENT", "O") for k in keys], "o_orderkey long, o_orderpriority string, o_orderstatus string").write.parquet(f"{tmp_path}/orders.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    want = {r[0]: r[1] for r in con.execute(catalog.ORACLE["text_columns"]).fetchall()}
+    assert {r["o_orderkey"]: r["at"] for r in catalog.QUERIES["text_columns"](spark, str(tmp_path)).collect()} == want

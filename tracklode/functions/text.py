@@ -144,7 +144,12 @@ def natural_order(name: Column) -> Column:
 
 def readable_datetime(seconds: Column) -> Column:
     """Seconds since 1970 as date and time of the session's zone."""
-    return F.date_format(F.timestamp_seconds(F.floor(seconds)), "yyyy-MM-dd HH:mm:ss")
+    return datetime_text(F.timestamp_seconds(F.floor(seconds)))
+
+
+def datetime_text(at: Column) -> Column:
+    """Date and time; years of more than four figures have no sign before them."""
+    return F.ltrim(F.date_format(at, "yyyy-MM-dd HH:mm:ss"), F.lit("+"))
 
 
 def split_trimmed(text: Column, mark: str, trim: bool = True, skip_empty: bool = True) -> Column:

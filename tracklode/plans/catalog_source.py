@@ -356,7 +356,7 @@ def text_columns(spark, d):
     url = F.concat(F.lit("http://x/y?a=1&c="), F.url_encode("o_orderpriority"), F.lit("&b"))
     return o.select(
         "o_orderkey",
-        F.date_format(F.to_utc_timestamp(text.readable_datetime(F.col("o_orderkey") * 86399).cast("timestamp"), F.current_timezone()), "yyyy-MM-dd HH:mm:ss").alias("at"),
+        text.datetime_text(F.to_utc_timestamp(text.readable_datetime(F.col("o_orderkey") * 86399).cast("timestamp"), F.current_timezone())).alias("at"),
         F.array_join(text.split_trimmed(F.col("o_orderpriority"), "I"), "|").alias("parts"),
         text.leading_number(F.col("o_orderpriority")).alias("priority"),
         text.query_values(url)["c"].alias("q"),
