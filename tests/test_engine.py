@@ -534,3 +534,16 @@ def test_a_file_and_a_stream_are_one_task_whatever_the_joins(late_broadcast, tmp
     assert spark.read.format("recording").load(f"{tmp_path}/*.rec").count() == 4000
     digests = digest.stream_digests(r).collect()
     assert len(digests) == 6 and sum(d["n"] for d in digests) == 4000
+
+
+def test_formats_and_layouts_are_read_once(monkeypatch):
+    from tracklode.operators import decode
+
+    layout = layouts.Layout.parse('{"data_layout": [{"name": "n", "type": "DataPieceValue<int64_t>", "offset": 0}, {"name": "m", "type": "DataPieceValue<Matrix2Dd>", "offset": 8}, {"name": "s", "type": "DataPieceString", "index": 0}]}')
+    payload = layout.pack({"n": 7, "m": [[1.0, 2.0], [3.0, 4.0]], "s": "x"}) + b"1234"
+    seen = []
+    monkeypatch.setattr(decode, "parse_format", lambda text: seen.append(text) or formats.parse_format(text))
+    for _ in range(100):
+        first, second = decode.blocks_of(payload, ["data_layout", "image/raw/once=1"], {"0": layout})
+        assert first[4] == '{"m": [[1.0, 2.0], [3.0, 4.0]], "n": 7, "s": "x"}' and second[2:4] == (len(payload) - 4, 4)
+    assert len(seen) == 1

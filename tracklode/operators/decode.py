@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from decimal import Decimal
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,6 +42,12 @@ def plain(value: object) -> object:
     return [plain(v) for v in value] if isinstance(value, list) else value
 
 
+@lru_cache(maxsize=4096)
+def parsed_format(text: str) -> tuple[tuple[Block, str], ...]:
+    """The blocks of a format and their texts; streams share a few formats, records all of them."""
+    return tuple((b, b.text()) for b in parse_format(text))
+
+
 def blocks_of(payload: bytes, texts: list[str], by_block: dict[str, Layout]) -> list[tuple[int, Block, int | None, int | None, str | None]]:
     """(number, block, start, size, JSON of a layout) of each block of a record.
 
@@ -48,7 +55,7 @@ def blocks_of(payload: bytes, texts: list[str], by_block: dict[str, Layout]) ->
     of the block behind it; the one other block without a size takes what is left.  A block whose start can't be told is given up,
     and so is what follows it.
     """
-    parsed = parse_format("+".join(texts))
+    parsed = [b for b, _ in parsed_format("+".join(texts))]
     sizes = [0 if b.kind == "empty" else b.size for b in parsed]
     layouts_at = {i for i in range(len(parsed)) if str(i) in by_block}
     out, at = [], 0
@@ -87,10 +94,11 @@ def decoded_blocks(records: DataFrame, streams: DataFrame) -> DataFrame:
         for batch in batches:
             whose, out = [], []
             for i, (payload, texts, by_block) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(len(keys), len(keys) + 3)))):
-                held = {b: known.setdefault(t, Layout.parse(t)) if t not in known else known[t] for b, t in (by_block or [])}
+                held = {b: known.setdefault(t, Layout.parse(t)) if t not in known else known[t] for b, t in (by_block or ())}
                 found = blocks_of(payload or b"", texts or ["custom"], held)
+                shown = parsed_format("+".join(texts or ["custom"]))
                 whose += [i] * len(found)
-                out += [(n, b.kind, b.format, b.text(), start, size, len(payload or b""), value) for n, b, start, size, value in found]
+                out += [(n, b.kind, b.format, shown[n][1], start, size, len(payload or b""), value) for n, b, start, size, value in found]
             at = pa.array(whose, pa.int64())
             new = [pa.array(x, t) for x, t in zip(zip(*out) if out else [()] * len(added), (pa.int32(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()))]
             yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in range(len(keys))), *new], schema.names)
