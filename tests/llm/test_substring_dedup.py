@@ -55,3 +55,33 @@ def test_periodic_text_is_a_few_rows():
     grams = substring_dedup.Grams(48)
     assert len(list(substring_dedup.runs(b"a" * 50_000, 400, grams))) <= 3
     assert len(list(substring_dedup.runs(b"abcdefghij" * 5000, 400, grams))) <= 4
+
+
+def test_index_steps_seldom_search_for_their_run(monkeypatch):
+    rng = np.random.default_rng(5)
+    base = bytes(rng.integers(0, 256, 3000).astype(np.uint8))
+    texts = [base[a : a + 500] for a in rng.integers(0, 2500, 60).tolist()] + [bytes(rng.integers(97, 101, 400).astype(np.uint8)) for _ in range(20)]
+    groups = [0] * 40 + [1] * 20 + [2] * 20
+    searched, search = [0], np.searchsorted
+
+    def counted(a, v, *args, **named):
+        searched[0] += np.size(v)
+        return search(a, v, *args, **named)
+
+    index = substring_dedup.RunIndex(texts, groups, [False] * 80)
+    monkeypatch.setattr(np, "searchsorted", counted)
+    found = index.statistics()
+    monkeypatch.undo()
+    # A step leads to the run that its own run's head leads to, or seldom to one behind it.
+    assert searched[0] < sum(map(len, texts)) // 4
+    place = [(i, p) for i, t in enumerate(texts) for p in range(len(t))]
+    for i, p in (place[k] for k in rng.integers(0, len(place), 40).tolist()):
+        assert found[i][p] == max(common(texts[i][p:], texts[j][q:]) for j, q in place if (j, q) != (i, p) and groups[j] == groups[i])
+
+
+def test_marks_are_told_apart_by_context():
+    texts = [b"abcab", b"abcab", b"zabcz"]
+    assert substring_dedup.marked(texts[:2], [0, 0], [False] * 2, 3) == [(0, 0, 2), (1, 0, 2)]
+    assert substring_dedup.marked(texts, [0, 1, 1], [False] * 3, 3) == [(1, 0, 0), (2, 1, 1)]
+    assert substring_dedup.marked(texts[:1], [0], [True], 3) == [(0, 0, 2)]
+    assert substring_dedup.marked([b"aa", b"aa"], [0, 0], [False] * 2, 1) == [(0, 0, 1), (1, 0, 1)]
