@@ -547,3 +547,56 @@ def test_formats_and_layouts_are_read_once(monkeypatch):
         first, second = decode.blocks_of(payload, ["data_layout", "image/raw/once=1"], {"0": layout})
         assert first[4] == '{"m": [[1.0, 2.0], [3.0, 4.0]], "n": 7, "s": "x"}' and second[2:4] == (len(payload) - 4, 4)
     assert len(seen) == 1
+
+
+def test_a_recording_is_made_by_many_tasks(spark, tmp_path):
+    rows = [(0, 1201, 1 + i % 3, "data", i // 2 * 1000, i, f"payload {i}") for i in range(400)]
+    r = records(spark, rows).withColumn("file_id", F.lit("a")).repartition(3)
+    encoded = recording.encoded_records(r.select("file_id", "type_id", "instance_id", "record_type", (F.col("ts_us") / 1e6).alias("time"), F.lit(1).cast("long").alias("version"), "file_offset", F.col("payload").cast("binary").alias("payload")), recording.NONE)
+    made = encoded.where(F.col("what") == recording.BODIES).orderBy("part", "nth").collect()
+    assert sum(len(x["sizes"]) // 4 for x in made) == 400 and all(sum(np.frombuffer(x["sizes"], "<u4")) == len(x["data"]) for x in made)
+    path = recording.write_recordings(r, str(tmp_path), {"k": "v"}, recording.NONE).first()["path"]
+    spark.dataSource.register(recording.RecordingSource)
+    back = spark.read.format("recording").option("rebuild", "true").load(path).orderBy("file_offset").collect()
+    want = sorted(rows, key=lambda x: (x[4], x[2], x[5]))
+    assert [(b["instance_id"], b["ts_us"], b["payload"].decode()) for b in back] == [(x[2], x[4], x[6]) for x in want]
+
+
+def test_writer_holds_no_index(tmp_path):
+    import tracemalloc
+
+    n, size = 400_000, recording.RECORD.size
+    body = b"".join(recording.RECORD.pack(size, size, 1201, 1, 0.0, 1, 3, 0, 0) for _ in range(1000))
+    entries = recording.INDEX_ENTRY.pack(0.0, size, 3, 1201, 1) * 1000
+    writer = recording.RecordingWriter(str(tmp_path / "a.rec"), {}, 1, 14, n, n * size)
+    writer.add(recording.DESCRIBED, recording.STREAM_ID.pack(1201, 1) + recording.tags_bytes({}) * 2, None)
+    tracemalloc.start()
+    for _ in range(n // 1000):
+        writer.add(recording.BODIES, body, np.full(1000, size, "<u4").tobytes())
+    writer.add(recording.IDS, recording.STREAM_ID.pack(1201, 1), None)
+    for _ in range(n // 1000):
+        writer.add(recording.ENTRIES, entries, None)
+    writer.close()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1 << 20
+    found = recording.Recording(str(tmp_path / "a.rec"))
+    assert len(found.index()) == len(found.walk()) == n
+
+
+def test_small_records_and_streams_are_read_by_many_tasks(tmp_path, monkeypatch):
+    monkeypatch.setattr(recording, "SPLIT_RECORDS", 16)
+    monkeypatch.setattr(recording, "STREAM_ROWS", 2)
+    writer = recording.RecordingWriter(str(tmp_path / "a.rec"), {}, 5, 5 * 14, 50, 50 * recording.RECORD.size)
+    ids = [recording.STREAM_ID.pack(1201, k) for k in range(5)]
+    writer.add(recording.DESCRIBED, b"".join(i + recording.tags_bytes({}) * 2 for i in ids), None)
+    writer.add(recording.BODIES, b"".join(recording.RECORD.pack(recording.RECORD.size, recording.RECORD.size, 1201, 1, float(k), k % 5, 3, 0, 0) for k in range(50)), np.full(50, recording.RECORD.size, "<u4").tobytes())
+    writer.add(recording.IDS, b"".join(ids), None)
+    writer.add(recording.ENTRIES, b"".join(recording.INDEX_ENTRY.pack(float(k), recording.RECORD.size, 3, 1201, k % 5) for k in range(50)), None)
+    writer.close()
+    read = {}
+    for table in ("records", "streams"):
+        reader = recording.RecordingReader([writer.path], table, False)
+        read[table] = [list(reader.read(p)) for p in reader.partitions()]
+    assert [len(x) for x in read["records"]] == [16, 16, 16, 2] and [len(x) for x in read["streams"]] == [2, 2, 1]
+    assert [x[6] for part in read["records"] for x in part] == [float(k) for k in range(50)]

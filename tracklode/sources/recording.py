@@ -33,6 +33,7 @@ from decimal import Decimal
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,6 +56,10 @@ NONE, LZ4, ZSTD = 0, 1, 2
 #: Ends of the names of private tags.
 FLAVOR, ORIGINAL_NAME, SERIAL = "_Recordable_Flavor", "_Original_Recordable_Name", "_Serial_Number"
 SPLIT = 64 << 20
+#: Records that one task reads at most, however small.
+SPLIT_RECORDS = 1 << 17
+#: Streams that one task reads.
+STREAM_ROWS = 8192
 #: Payloads below this many bytes are never compressed.
 LEAST_COMPRESSED = 250
 
@@ -377,7 +382,8 @@ class RecordingReader(DataSourceReader):
         for path in self.paths:
             r = Recording(path)
             if self.table == "streams":
-                out.append(Rows([(path, t, i, f"{t}-{i}", s.private_tag(ORIGINAL_NAME), s.private_tag(FLAVOR), s.private_tag(SERIAL), s.user, s.private) for (t, i), s in sorted(r.streams.items())]))
+                rows = [(path, t, i, f"{t}-{i}", s.private_tag(ORIGINAL_NAME), s.private_tag(FLAVOR), s.private_tag(SERIAL), s.user, s.private) for (t, i), s in sorted(r.streams.items())]
+                out += [Rows(rows[k : k + STREAM_ROWS]) for k in range(0, len(rows), STREAM_ROWS)]
                 continue
             entries = None if self.rebuild else r.index()
             if self.table == "files":
@@ -385,7 +391,7 @@ class RecordingReader(DataSourceReader):
                 continue
             own = self.wanted(entries if entries is not None else r.walk())
             part = np.cumsum(own["size"], dtype=np.int64) // SPLIT
-            cuts = np.flatnonzero(np.diff(part)) + 1
+            cuts = np.flatnonzero(np.diff(part) | np.diff(np.arange(len(own)) // SPLIT_RECORDS)) + 1
             out += [Range(path, x, r.header.record_header_size) for x in np.split(own, cuts) if len(x)]
         return out or [Rows([])]
 
@@ -459,65 +465,92 @@ def tags_bytes(tags: dict[str, str]) -> bytes:
     return struct.pack("<I", len(tags)) + b"".join(text(k) + text(v) for k, v in sorted(tags.items()))
 
 
+#: Bytes and records of a recording that a task makes at a time.
+PIECE_BYTES, PIECE_RECORDS = 4 << 20, 1 << 15
+#: What a piece holds, in the order in which a recording is written.
+DESCRIBED, BODIES, IDS, ENTRIES = range(4)
+PIECES = T.StructType([T.StructField("file_id", T.StringType()), T.StructField("what", T.IntegerType()), T.StructField("part", T.IntegerType()), T.StructField("nth", T.LongType()), T.StructField("data", T.BinaryType()), T.StructField("sizes", T.BinaryType())])
+
+
 class RecordingWriter:
-    """Writes one recording from front to back; ``body_size`` is what all records will take.
+    """Writes one recording from front to back, from pieces that come as it is laid out.
 
-    ``chunk_size`` starts a new chunk before a record that would pass it.  With ``split``
-    the first chunk holds header, tags and index, written last, and all records follow in
-    chunks of their own.
+    ``described`` and ``body_size`` are the bytes that the descriptions of all streams and all
+    records will take.  ``chunk_size`` starts a new chunk before a record that would pass it.
+    With ``split`` the first chunk holds header, tags and index, and all records follow in
+    chunks of their own.  Nothing but the piece at hand is held.
     """
 
-    def __init__(self, path: str, streams: dict[tuple[int, int], Stream], tags: dict[str, str], body_size: int, creation_id: int = 0, chunk_size: int = 0, split: bool = False) -> None:
-        self.path, self.entries, self.before, self.ids = path, [], 0, sorted(streams)
+    def __init__(self, path: str, tags: dict[str, str], n_streams: int, described: int, n: int, body_size: int, creation_id: int = 0, chunk_size: int = 0, split: bool = False) -> None:
+        self.path, self.n, self.n_streams, self.what = path, n, n_streams, DESCRIBED
         self.fs, self.place = opened(path)
-        self.chunk_size, self.split, self.n_chunks, self.held = chunk_size, split, 1, 0
+        self.chunk_size, self.split, self.n_chunks = chunk_size, split, 1
         self.fs.create_dir(os.path.dirname(self.place), recursive=True)
-        self.out = pa.BufferOutputStream() if split else self.fs.open_output_stream(self.place + ".part")
-        body = struct.pack("<I", len(streams)) + b"".join(STREAM_ID.pack(*k) + tags_bytes(s.user) + tags_bytes(s.private) for k, s in sorted(streams.items())) + tags_bytes(tags)
-        first = HEADER.size + RECORD.size + len(body)
-        self.header = [*MAGIC[:2], creation_id, HEADER.size, RECORD.size, first if split else first + body_size, HEADER.size, first, 0, 0, 0, MAGIC[2], VERSIONS[1]]
-        if not split:
-            self.out.write(HEADER.pack(*self.header))
-        self.held = HEADER.size
-        self.put(DESCRIPTION_TYPE, 0, 0.0, DESCRIPTION_VERSION, 1, body, NONE, 0)
-        if split:
-            self.head, self.head_before, self.before = self.out, self.before, 0
-            self.next_chunk()
+        self.out = self.top = self.fs.open_output_stream(self.place + ".part")
+        self.tags = tags_bytes(tags)
+        self.before = RECORD.size + 4 + described + len(self.tags)
+        first = self.held = HEADER.size + self.before
+        at = first + RECORD.size + n * INDEX_ENTRY.size if split else first
+        self.out.write(HEADER.pack(*MAGIC[:2], creation_id, HEADER.size, RECORD.size, first if split else first + body_size, HEADER.size, at, 0, 0, 0, MAGIC[2], VERSIONS[1]))
+        self.out.write(RECORD.pack(self.before, 0, DESCRIPTION_TYPE, DESCRIPTION_VERSION, 0.0, 0, 1, NONE, 0) + struct.pack("<I", n_streams))
 
     def next_chunk(self) -> None:
+        if self.out is not self.top or not self.split:
+            self.out.close()
         self.out, self.held = self.fs.open_output_stream(following(self.place, self.n_chunks) + ".part"), 0
         self.n_chunks += 1
 
-    def put(self, type_id: int, instance: int, ts: float, version: int, kind: int, body: bytes, compression: int, full: int) -> None:
-        size = RECORD.size + len(body)
-        if self.chunk_size and self.held and self.held + size > self.chunk_size and type_id != DESCRIPTION_TYPE:
-            self.out.close()
-            self.next_chunk()
-        self.held += size
-        self.out.write(RECORD.pack(size, self.before, type_id, version, ts, instance, kind, compression, full))
-        self.out.write(body)
-        self.before = size
-
-    def add(self, type_id: int, instance: int, ts: float, version: int, kind: str, body: bytes, compression: int, full: int) -> None:
-        """A record whose body is packed already."""
-        self.put(type_id, instance, ts, version, CODES[kind], body, compression, full)
-        self.entries.append(INDEX_ENTRY.pack(ts, RECORD.size + len(body), CODES[kind], type_id, instance))
+    def reach(self, what: int) -> None:
+        """Writes what stands between the pieces before and those of ``what``."""
+        while self.what < what:
+            self.what += 1
+            if self.what == BODIES:
+                self.out.write(self.tags)
+                if self.split:
+                    size = RECORD.size + self.n * INDEX_ENTRY.size
+                    self.out.write(RECORD.pack(size, self.before, INDEX_TYPE, SPLIT_INDEX_VERSION, 0.0, 0, 1, NONE, 0))
+                    self.before = 0
+                    self.next_chunk()
+            elif self.what == IDS and not self.split:
+                size = RECORD.size + 8 + self.n_streams * STREAM_ID.size + self.n * INDEX_ENTRY.size
+                if self.chunk_size and self.held and self.held + size > self.chunk_size:
+                    self.next_chunk()
+                self.out.write(RECORD.pack(size, self.before, INDEX_TYPE, INDEX_VERSION, 0.0, 0, 1, NONE, 0) + struct.pack("<I", self.n_streams))
+            elif self.what == ENTRIES and not self.split:
+                self.out.write(struct.pack("<I", self.n))
+
+    def add(self, what: int, data: bytes, sizes: bytes | None) -> None:
+        self.reach(what)
+        if what == BODIES:
+            self.add_records(data, np.frombuffer(sizes, "<u4"))
+        elif what == DESCRIBED or not self.split:
+            self.out.write(data)
+        elif what == ENTRIES:
+            self.top.write(data)
+
+    def add_records(self, data: bytes, sizes: np.ndarray) -> None:
+        """Records one after the other; the first one is told the size of the one before it."""
+        data = memoryview(data[:4] + struct.pack("<I", self.before) + data[8:])
+        self.before = int(sizes[-1])
+        ends = np.cumsum(sizes, dtype=np.int64)
+        k, at = 0, 0
+        while k < len(ends):
+            upto = len(ends)
+            if self.chunk_size:
+                upto = int(np.searchsorted(ends, at + self.chunk_size - self.held, side="right"))
+                if upto <= k and self.held:
+                    self.next_chunk()
+                    continue
+                upto = max(upto, k + 1)
+            self.out.write(data[at : ends[upto - 1]])
+            self.held += int(ends[upto - 1]) - at
+            k, at = upto, int(ends[upto - 1])
 
     def close(self) -> None:
-        """Writes the index, then moves the chunks to their places, the first one last."""
-        stored = b"".join(self.entries)
-        if self.split:
-            self.out.close()
-            self.header[7] += RECORD.size + len(stored)  # where the records start
-            with self.fs.open_output_stream(self.place + ".part") as out:
-                out.write(HEADER.pack(*self.header))
-                out.write(self.head.getvalue())
-                out.write(RECORD.pack(RECORD.size + len(stored), self.head_before, INDEX_TYPE, SPLIT_INDEX_VERSION, 0.0, 0, 1, NONE, 0))
-                out.write(stored)
-        else:
-            ids = struct.pack("<I", len(self.ids)) + b"".join(STREAM_ID.pack(*i) for i in self.ids)
-            self.put(INDEX_TYPE, 0, 0.0, INDEX_VERSION, 1, ids + struct.pack("<I", len(self.entries)) + stored, NONE, 0)
-            self.out.close()
+        """Moves the chunks to their places, the first one last."""
+        self.reach(ENTRIES)
+        for out in {id(x): x for x in (self.out, self.top)}.values():
+            out.close()
         n = self.n_chunks
         while self.fs.get_file_info(following(self.place, n)).type == pafs.FileType.File:  # of an earlier, longer recording
             self.fs.delete_file(following(self.place, n))
@@ -526,6 +559,86 @@ class RecordingWriter:
             self.fs.move(place + ".part", place)
 
 
+def pieces(own: str, rows: list[tuple]) -> pa.RecordBatch:
+    """Rows (what, part, nth, data, sizes) of one recording."""
+    columns = [[own] * len(rows), *zip(*rows)]
+    kinds = (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], PIECES.names)
+
+
+def stream_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    part, nth, own, held, ids, size = TaskContext.get().partitionId(), 0, None, [], [], 0
+
+    def done() -> pa.RecordBatch:
+        return pieces(own, [(DESCRIBED, part, nth, b"".join(held), None), (IDS, part, nth, b"".join(ids), None)])
+
+    for batch in batches:
+        for file_id, type_id, instance, user, private in zip(*(c.to_pylist() for c in batch.columns)):
+            if held and (file_id != own or size > PIECE_BYTES):
+                yield done()
+                nth, held, ids, size = nth + 1, [], [], 0
+            own = file_id
+            ids.append(STREAM_ID.pack(type_id, instance))
+            held.append(ids[-1] + tags_bytes(dict(user or ())) + tags_bytes(dict(private or ())))
+            size += len(held[-1])
+    if held:
+        yield done()
+
+
+def described_streams(streams: DataFrame) -> DataFrame:
+    """streams(file_id, type_id, instance_id, user_tags, private_tags), one row each -> pieces DESCRIBED and IDS."""
+
+    keys = ("file_id", "type_id", "instance_id")
+    return streams.select(*keys, "user_tags", "private_tags").repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(stream_pieces, PIECES)
+
+
+def record_pieces(batches: Iterator[pa.RecordBatch], compression: int) -> Iterator[pa.RecordBatch]:
+    part, nth, own, held, entries, sizes, size, before = TaskContext.get().partitionId(), 0, None, [], [], [], 0, 0
+
+    def done() -> pa.RecordBatch:
+        return pieces(own, [(BODIES, part, nth, b"".join(held), np.array(sizes, "<u4").tobytes()), (ENTRIES, part, nth, b"".join(entries), None)])
+
+    for batch in batches:
+        for file_id, type_id, instance, kind, ts, version, payload in zip(*(c.to_pylist() for c in batch.columns)):
+            if held and (file_id != own or size > PIECE_BYTES or len(sizes) >= PIECE_RECORDS):
+                yield done()
+                nth, held, entries, sizes, size, before = nth + 1, [], [], [], 0, 0
+            own, payload, code = file_id, payload or b"", CODES[kind]
+            body, how = packed(payload, compression)
+            n = RECORD.size + len(body)
+            held += (RECORD.pack(n, before, type_id, version, ts, instance, code, how, len(payload) if how else 0), body)
+            entries.append(INDEX_ENTRY.pack(ts, n, code, type_id, instance))
+            sizes.append(n)
+            size, before = size + n, n
+    if held:
+        yield done()
+
+
+def encoded_records(rows: DataFrame, compression: int) -> DataFrame:
+    """rows(file_id, type_id, instance_id, record_type, time, version, file_offset, payload) -> pieces BODIES and ENTRIES.
+
+    Rows are dealt by ranges of their order, so that all tasks make records of one recording.
+    """
+
+    order = ("file_id", "time", "type_id", "instance_id", "file_offset")
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    return placed.select("file_id", "type_id", "instance_id", "record_type", "time", "version", "payload").mapInArrow(lambda batches: record_pieces(batches, compression), PIECES)
+
+
+def packed_sizes(rows: DataFrame, compression: int) -> DataFrame:
+    """file_id, size of each record as it will be written."""
+    head = RECORD.size
+    if compression == NONE:
+        return rows.select("file_id", (F.coalesce(F.length("payload"), F.lit(0)) + head).cast("long").alias("size"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = [head + len(packed(x.as_py() or b"", compression)[0]) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], ["file_id", "size"])
+
+    return rows.select("file_id", "payload").mapInArrow(run, "file_id string, size long")
+
+
 def write_recordings(records: DataFrame, folder: str, tags: dict[str, str] | None = None, compression: int = ZSTD, streams: DataFrame | None = None, chunk_size: int = 0, split: bool = False) -> DataFrame:
     """One file per file_id, in canonical order: file_id, path, n.
 
@@ -534,51 +647,44 @@ def write_recordings(records: DataFrame, folder: str, tags: dict[str, str] | Non
     those of ``format_version`` where records have them; else ts_us and 1.  ``chunk_size``
     (bytes) and ``split`` are those of ``RecordingWriter``.
 
-    Payloads are packed by all tasks; their sizes, summed per file, tell where its index
-    will stand, so the file is written in one go by one task, as its format asks.
+    Descriptions, records and index entries are made by all tasks, as pieces of a few MB.  Their
+    sizes, summed per file, tell where its index will stand; so one task writes a file in one
+    go, as its format asks, and only copies pieces.
     """
     keys = ["file_id", "type_id", "instance_id"]
     tags = dict(tags or {})
-    held: dict[str, dict[tuple[int, int], Stream]] = {}
-    for r in records.select(*keys).distinct().collect():  # a few thousand streams a file at most
-        held.setdefault(str(r[0]), {})[r[1], r[2]] = Stream()
-    for r in streams.select(*keys, "user_tags", "private_tags").collect() if streams is not None else ():
-        held.setdefault(str(r[0]), {})[r[1], r[2]] = Stream(dict(r[3] or {}), dict(r[4] or {}))
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            payloads = [x.as_py() or b"" for x in batch.column(batch.num_columns - 1)]
-            bodies = [packed(x, compression) for x in payloads]
-            new = [pa.array([b for b, _ in bodies], pa.binary()), pa.array([c for _, c in bodies], pa.int32()), pa.array([len(x) if c else 0 for x, (_, c) in zip(payloads, bodies)], pa.int64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], [*batch.schema.names[:-1], "body", "compression", "full"])
-
-    names = [*keys, "record_type", "time", "version", "file_offset"]
+    file_id = F.coalesce(F.col("file_id").cast("string"), F.lit("None")).alias("file_id")
     time = F.col("timestamp") if "timestamp" in records.columns else F.col("ts_us") / F.lit(1e6)
     version = F.col("format_version") if "format_version" in records.columns else F.lit(1)
-    source = records.select(*keys, "record_type", time.cast("double").alias("time"), version.cast("long").alias("version"), "file_offset", F.col("payload").cast("binary").alias("payload"))
-    schema = T.StructType([*(source.schema[n] for n in names), T.StructField("body", T.BinaryType()), T.StructField("compression", T.IntegerType()), T.StructField("full", T.LongType())])
-    rows = source.mapInArrow(pack, schema)
-    totals = {r[0]: r[1] for r in rows.groupBy("file_id").agg(F.sum(F.length("body") + RECORD.size)).collect()}  # one row a file
-    columns = [*names[:6], "body", "compression", "full"]
-    placed = dealt(rows, "file_id").sortWithinPartitions("file_id", "time", "type_id", "instance_id", "file_offset").select(*columns)
+    source = records.select(file_id, *keys[1:], "record_type", time.cast("double").alias("time"), version.cast("long").alias("version"), "file_offset", F.col("payload").cast("binary").alias("payload"))
+    found = source.select(*keys).distinct().withColumn("user_tags", F.lit(None).cast(TAGS)).withColumn("private_tags", F.lit(None).cast(TAGS))
+    if streams is not None:
+        given = streams.select(file_id, *keys[1:], F.col("user_tags").cast(TAGS).alias("user_tags"), F.col("private_tags").cast(TAGS).alias("private_tags"))
+        found = found.unionByName(given).groupBy(*keys).agg(*(F.last(c, ignorenulls=True).alias(c) for c in ("user_tags", "private_tags")))
+    described = described_streams(found)
+    # One row a file.
+    totals = {r[0]: (r[1], r[2]) for r in packed_sizes(source, compression).groupBy("file_id").agg(F.count("*"), F.sum("size")).collect()}
+    heads = {r[0]: (r[1] // STREAM_ID.size, r[2]) for r in described.groupBy("file_id").agg(*(F.sum(F.when(F.col("what") == k, F.length("data"))) for k in (IDS, DESCRIBED))).collect()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, writer, n = None, None, 0
+        own, writer = None, None
 
         def done() -> pa.RecordBatch:
             writer.close()
-            return pa.RecordBatch.from_arrays([pa.array([str(own)]), pa.array([writer.path]), pa.array([n], pa.int64())], ["file_id", "path", "n"])
+            return pa.RecordBatch.from_arrays([pa.array([own]), pa.array([writer.path]), pa.array([writer.n], pa.int64())], ["file_id", "path", "n"])
 
         for batch in batches:
-            for file_id, type_id, instance, kind, ts, version, body, how, full in zip(*(c.to_pylist() for c in batch.columns)):
-                if writer is None or file_id != own:
+            for i in range(batch.num_rows):
+                name, what, _, _, data, sizes = (c[i].as_py() for c in batch.columns)
+                if name not in totals:  # streams of a file without records
+                    continue
+                if name != own:
                     if writer is not None:
                         yield done()
-                    own, n = file_id, 0
-                    writer = RecordingWriter(f"{folder}/{os.path.basename(str(own))}.rec", held[str(own)], tags, totals[own], chunk_size=chunk_size, split=split)
-                writer.add(type_id, instance, ts, version, kind, body, how, full)
-                n += 1
+                    own, writer = name, RecordingWriter(f"{folder}/{os.path.basename(name)}.rec", tags, *heads[name], *totals[name], chunk_size=chunk_size, split=split)
+                writer.add(what, data, sizes)
         if writer is not None:
             yield done()
 
+    placed = dealt(described.unionByName(encoded_records(source, compression)), "file_id").sortWithinPartitions("file_id", "what", "part", "nth")
     return placed.mapInArrow(run, "file_id string, path string, n long")
