@@ -600,3 +600,19 @@ def test_small_records_and_streams_are_read_by_many_tasks(tmp_path, monkeypatch)
         read[table] = [list(reader.read(p)) for p in reader.partitions()]
     assert [len(x) for x in read["records"]] == [16, 16, 16, 2] and [len(x) for x in read["streams"]] == [2, 2, 1]
     assert [x[6] for part in read["records"] for x in part] == [float(k) for k in range(50)]
+
+
+def test_checksums_hold_no_file_at_once(spark, tmp_path):
+    rows = [(0, 1201 + i % 2, 1 + i % 5, "data", i * 1000, i, f"payload {i}") for i in range(60)]
+    r = records(spark, rows).withColumn("file_id", F.lit("a"))
+    path = recording.write_recordings(r, str(tmp_path), {"k": "v"}, recording.NONE).first()["path"]
+    found = cli.run(spark, ["checksums", path])
+    assert "FlatMapGroups" not in found._jdf.queryExecution().executedPlan().toString()
+    held = {x["name"]: x["checksum"] for x in found.collect()}
+    total = digest.Digest().text(held["filetags"])
+    for t in (1201, 1202):
+        for i in range(1, 6):
+            for what in ("vrstags", "usertags", "headers", "payload"):
+                total.text(held[f"{t}-{i}_{what}"])
+    ids = "".join(f"{t}-{n}/" for t in (1201, 1202) for n in range(1, 6))
+    assert held["checksum"] == total.text(digest.Digest().raw(ids.encode()).hex()).hex() and len(held) == 42

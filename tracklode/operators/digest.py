@@ -104,7 +104,8 @@ def stream_digests(records: DataFrame) -> DataFrame:
 def checksums(records: DataFrame, streams: DataFrame, files: DataFrame) -> DataFrame:
     """file_id, name, checksum: of the file's tags, of each stream's tags, headers and payloads, and of all of these (``checksum``).
 
-    Streams that hold no record count with empty digests.  Per file, a few rows a stream meet in one task.
+    Streams that hold no record count with empty digests.  Per file, one row a stream comes to one
+    task in order, which holds one Arrow batch and running digests.
     """
     keys = ["file_id", "type_id", "instance_id"]
     empty = Digest().hex()
@@ -112,20 +113,35 @@ def checksums(records: DataFrame, streams: DataFrame, files: DataFrame) -> DataF
     rows = rows.join(files.select("file_id", "tags"), "file_id").select(*keys, "user_tags", "private_tags", "tags", F.coalesce("headers", F.lit(empty)).alias("headers"), F.coalesce("payloads", F.lit(empty)).alias("payloads"))
     kind = streams.schema["file_id"].dataType.simpleString()
 
-    def summed(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["type_id", "instance_id"])
-        tags = tags_checksum(dict(pdf["tags"].iloc[0]))
-        found, total, ids, nth = [("filetags", tags)], Digest().text(tags), "", {}
-        for r in pdf.itertuples():
-            name = f"{r.type_id}-{r.instance_id}"
-            own = [("vrstags", tags_checksum(dict(r.private_tags))), ("usertags", tags_checksum(dict(r.user_tags))), ("headers", r.headers), ("payload", r.payloads)]
-            found += [(f"{name}_{what}", value) for what, value in own]
-            for _, value in own:
-                total.text(value)
-            nth[r.type_id] = nth.get(r.type_id, 0) + 1
-            ids += f"{r.type_id}-{nth[r.type_id]}/"
-        total.text(Digest().raw(ids.encode()).hex())
-        found.append(("checksum", total.hex()))
-        return pd.DataFrame({"file_id": [pdf["file_id"].iloc[0]] * len(found), "name": [n for n, _ in found], "checksum": [c for _, c in found]})
-
-    return rows.groupBy("file_id").applyInPandas(summed, f"file_id {kind}, name string, checksum string")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, total, ids, nth, of_type, kinds = None, None, None, 0, None, None
+
+        def table(found: list[tuple[str, str]], whose: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(whose, kinds), pa.array([n for n, _ in found], pa.string()), pa.array([c for _, c in found], pa.string())], ["file_id", "name", "checksum"])
+
+        def done() -> pa.RecordBatch:
+            return table([("checksum", total.text(ids.hex()).hex())], [own])
+
+        for batch in batches:
+            kinds, found, whose = batch.schema.field(0).type, [], []
+            for f, t, i, user, private, tags, headers, payloads in zip(*(c.to_pylist() for c in batch.columns)):
+                if total is None or f != own:
+                    if total is not None:
+                        yield done()
+                    own, ids, of_type = f, Digest(), None
+                    found.append(("filetags", tags_checksum(dict(tags))))
+                    whose.append(f)
+                    total = Digest().text(found[-1][1])
+                mine = [("vrstags", tags_checksum(dict(private))), ("usertags", tags_checksum(dict(user))), ("headers", headers), ("payload", payloads)]
+                for what, value in mine:
+                    found.append((f"{t}-{i}_{what}", value))
+                    whose.append(f)
+                    total.text(value)
+                nth = nth + 1 if t == of_type else 1
+                of_type = t
+                ids.raw(f"{t}-{nth}/".encode())
+            yield table(found, whose)
+        if total is not None:
+            yield done()
+
+    return dealt(rows, "file_id").sortWithinPartitions("file_id", "type_id", "instance_id").mapInArrow(run, f"file_id {kind}, name string, checksum string")
