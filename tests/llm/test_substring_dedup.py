@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm import brute
 from tests.llm.cases import DOCS, frame, got
@@ -85,3 +86,32 @@ def test_marks_are_told_apart_by_context():
     assert substring_dedup.marked(texts, [0, 1, 1], [False] * 3, 3) == [(1, 0, 0), (2, 1, 1)]
     assert substring_dedup.marked(texts[:1], [0], [True], 3) == [(0, 0, 2)]
     assert substring_dedup.marked([b"aa", b"aa"], [0, 0], [False] * 2, 1) == [(0, 0, 1), (1, 0, 1)]
+
+
+@pytest.mark.parametrize("budget", [4 << 20, 0])
+def test_a_large_gram_is_shared_by_tasks(spark, monkeypatch, budget):
+    rng = np.random.default_rng(6)
+    passage = "".join(map(chr, rng.integers(97, 123, 60)))
+    rows = [(i, "".join(map(chr, rng.integers(97, 123, 30))) + passage + "".join(map(chr, rng.integers(97, 123, 30)))) for i in range(200)]
+    spread, read = [], substring_dedup.contexts_of
+
+    def counted(docs, kinds, length):
+        parts = kinds.groupBy("g", F.spark_partition_id().alias("p")).count().groupBy("g").agg(F.sum("count").alias("m"), F.count("*").alias("tasks"))
+        spread.append(parts.orderBy(F.desc("m")).first())
+        return read(docs, kinds, length)
+
+    monkeypatch.setattr(substring_dedup, "BROADCAST_BYTES", budget)
+    monkeypatch.setattr(substring_dedup, "contexts_of", counted)
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    held = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        out = substring_dedup.substring_dedup(frame(spark, rows), 50, 8)
+        found = got(out, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert found == sorted(((i, *w) for (i, _), w in zip(rows, brute.repeats([t.encode() for _, t in rows], 50))), key=repr)
+    # Every row has a context of its own around the passage's gram; no join gathers them.
+    assert spread[0]["m"] > 100 and spread[0]["tasks"] > 1
