@@ -616,3 +616,63 @@ def test_checksums_hold_no_file_at_once(spark, tmp_path):
                 total.text(held[f"{t}-{i}_{what}"])
     ids = "".join(f"{t}-{n}/" for t in (1201, 1202) for n in range(1, 6))
     assert held["checksum"] == total.text(digest.Digest().raw(ids.encode()).hex()).hex() and len(held) == 42
+
+
+def test_instances_beyond_16_bits(spark, tmp_path):
+    ids = [(200, 1), (200, 65535), (200, 65536), (200, 65537), (201, 108_001), (65_000, 2**31 - 1)]
+    rows = [(0, *ids[i % 6], ("configuration", "data")[i > 5], i * 1000, i, f"payload {i}") for i in range(36)]
+    r = records(spark, rows).withColumn("file_id", F.lit("a"))
+    tags = r.select("file_id", "type_id", "instance_id", F.create_map(F.lit("side"), F.col("instance_id").cast("string")).alias("user_tags"), F.create_map(F.lit("x_Recordable_Flavor"), F.lit("f")).alias("private_tags")).dropDuplicates(["type_id", "instance_id"])
+    path = recording.write_recordings(r, str(tmp_path), {"k": "v"}, recording.NONE, tags).first()["path"]
+    spark.dataSource.register(recording.RecordingSource)
+    for rebuild in ("false", "true"):
+        back = spark.read.format("recording").option("rebuild", rebuild).load(path).orderBy("ts_us").collect()
+        assert [(b["type_id"], b["instance_id"], b["stream_id"], b["payload"].decode()) for b in back] == [(x[1], x[2], f"{x[1]}-{x[2]}", x[6]) for x in rows]
+    copied = cli.run(spark, ["copy", path, "--to", str(tmp_path / "c"), "+", "200", "+", "201-108001", "-", "200-65535", "--after", "0.0065"]).first()
+    streams = spark.read.format("recording").option("table", "streams").load(copied["path"]).collect()
+    kept = [(200, 1), (200, 65536), (200, 65537), (201, 108_001)]
+    assert sorted((s["type_id"], s["instance_id"], s["user_tags"]["side"], s["flavor"]) for s in streams) == [(t, i, str(i), "f") for t, i in kept]
+    back = spark.read.format("recording").load(copied["path"]).orderBy("ts_us").collect()
+    assert [b["payload"].decode() for b in back] == [x[6] for x in rows if (x[1], x[2]) in kept and (x[4] > 6500 or x[3] == "configuration")]
+    with pytest.raises(ValueError, match="70000-70000"):
+        recording.stored_id(70_000, 70_000)
+    keys = np.array([recording.stored_id(t, i) for t, i in [*ids, (70_000, 5)]])
+    assert [recording.stream_key(*k) for k in keys.tolist()] == [*ids, (70_000, 5)] == list(zip(*(x.tolist() for x in recording.stream_keys(keys[:, 0], keys[:, 1]))))
+
+
+def test_tasks_are_told_a_place_not_the_index(tmp_path, monkeypatch):
+    import pickle
+
+    n, size = 300_000, recording.RECORD.size
+    writer = recording.RecordingWriter(str(tmp_path / "a.rec"), {"k": "v"}, 20_000, 20_000 * 14, n, n * size)
+    ids = b"".join(recording.STREAM_ID.pack(1201, k) for k in range(20_000))
+    writer.add(recording.DESCRIBED, b"".join(recording.STREAM_ID.pack(1201, k) + recording.tags_bytes({}) * 2 for k in range(20_000)), None)
+    writer.add(recording.BODIES, b"".join(recording.RECORD.pack(size, size, 1201, 1, k / 1e3, k % 5, 3, 0, 0) for k in range(n)), np.full(n, size, "<u4").tobytes())
+    writer.add(recording.IDS, ids, None)
+    writer.add(recording.ENTRIES, b"".join(recording.INDEX_ENTRY.pack(k / 1e3, size, 3, 1201, k % 5) for k in range(n)), None)
+    writer.close()
+    for table in ("records", "index", "streams", "files"):
+        parts = recording.RecordingReader([writer.path], table, False).partitions()
+        assert len(pickle.dumps(parts)) < 4000 and (table == "files" or len(parts) == 3)
+    # Blocks of the index, reads and batches may end anywhere.
+    for name, value in (("INDEX_ROWS", 70_000), ("BATCH_ROWS", 999), ("READ", 5000)):
+        monkeypatch.setattr(recording, name, value)
+    reader = recording.FilteringReader([writer.path], "records", False)
+    list(reader.pushFilters([recording.EqualTo(("instance_id",), 2), recording.GreaterThan(("ts_us",), 50_000_000)]))
+    parts = reader.partitions()
+    assert len(parts) == 5
+    assert [x[7] for p in parts for x in reader.read(p)] == [k * 1000 for k in range(n) if k % 5 == 2 and k > 50_000]
+
+
+def test_chosen_streams_and_their_tags_stay_with_the_executors(spark, tmp_path, monkeypatch):
+    rows = [(0, 200 + i % 2, 1 + i, "data", i * 1000, i, f"payload {i}") for i in range(20)]
+    r = records(spark, rows).withColumn("file_id", F.lit("a"))
+    path = recording.write_recordings(r, str(tmp_path)).first()["path"]
+    c = cli.parse(["copy", path, "--to", "x"])
+    held, streams = cli.opened(spark, c).withColumn("own", F.col("instance_id")), cli.opened(spark, c, "streams")
+    with monkeypatch.context() as m:
+        m.setattr(type(held), "collect", None)
+        out = filters.select_records(held, Selection(streams=[("+", "200"), ("+", "201+2"), ("-", "200-3"), ("+", "x")]))
+        tags = cli.renamed(streams, out, "own", "b", False)
+    want = sorted((x[1], x[2]) for x in rows if x[1] == 200 and x[2] != 3 or x[2] == 4)
+    assert sorted((x["type_id"], x["instance_id"]) for x in out.collect()) == sorted((x["type_id"], x["instance_id"]) for x in tags.collect()) == want

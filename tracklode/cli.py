@@ -10,13 +10,15 @@ import sys
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracklode.operators import compare, decimate, decode, digest, filters, merge, specs, stats
 from tracklode.operators.filters import Bound, Selection
 from tracklode.sources import export
-from tracklode.sources.recording import RecordingSource, write_recordings
+from tracklode.sources.recording import TAGS, RecordingSource, write_recordings
 
 COMMANDS = ("details", "json-description", "list", "print", "print-json", "record-formats", "copy", "merge", "check", "decode", "checksums", "compare", "compare-verbatim", "rage", "hexdump", "fps")
 
@@ -93,10 +95,12 @@ def parse(words: Sequence[str]) -> Command:
     return command
 
 
-def opened(spark: SparkSession, command: Command, table: str = "records") -> DataFrame:
+def opened(spark: SparkSession, command: Command, table: str = "records", pushdown: bool = False) -> DataFrame:
+    """A table of the command's files; ``pushdown`` only where it is scanned once, as Spark holds the filters pushed last against all scans."""
     spark.dataSource.register(RecordingSource)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    return spark.read.format("recording").option("pushdown", "true").option("table", table).load(",".join(command.paths))
+    if pushdown:
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    return spark.read.format("recording").option("pushdown", str(pushdown).lower()).option("table", table).load(",".join(command.paths))
 
 
 def thinned(records: DataFrame, command: Command) -> DataFrame:
@@ -106,17 +110,24 @@ def thinned(records: DataFrame, command: Command) -> DataFrame:
     return decimate.bucket_decimate(records, command.bucket) if command.bucket else records
 
 
-def renamed(streams: DataFrame, records: DataFrame, instance: str, file: str) -> DataFrame:
-    """Tags of the streams that ``records`` hold under their new instance and file; the first file's tags decide, others are merged."""
+def merged_tags(parts: list) -> tuple[dict[str, str], dict[str, str]]:
+    """Tags of streams that become one, in the order of their files."""
+    user: dict[str, str] = {}
+    private: dict[str, str] = {}
+    for p in parts:
+        user, private = merge.merge_tags(user, dict(p["user"])), merge.merge_tags(private, dict(p["private"]), private=True)
+    return user, private
+
+
+def renamed(streams: DataFrame, records: DataFrame, instance: str, file: str, joined: bool) -> DataFrame:
+    """Tags of the streams that ``records`` hold under their new instance and file; where streams are ``joined`` the first file's tags decide, others are merged."""
     keys = ["file_id", "type_id", "instance_id"]
-    ids = records.select(*keys, F.col(instance).alias("new")).distinct()
-    rows = streams.join(ids, keys).select(*keys, "new", "user_tags", "private_tags").collect()  # a few thousand streams a file at most
-    out: dict[tuple[int, int], tuple[dict, dict]] = {}
-    for r in sorted(rows, key=lambda r: (r["file_id"], r["type_id"], r["instance_id"])):
-        user, private = out.get((r["type_id"], r["new"]), ({}, {}))
-        out[r["type_id"], r["new"]] = merge.merge_tags(user, r["user_tags"]), merge.merge_tags(private, r["private_tags"], private=True)
-    table = [(file, t, i, user, private) for (t, i), (user, private) in out.items()]
-    return streams.sparkSession.createDataFrame(table, "file_id string, type_id int, instance_id int, user_tags map<string,string>, private_tags map<string,string>")
+    rows = streams.join(records.select(*keys, F.col(instance).alias("new")).distinct(), keys)
+    if joined:
+        part = F.struct("file_id", "instance_id", F.map_entries("user_tags").alias("user"), F.map_entries("private_tags").alias("private"))
+        rows = rows.groupBy("type_id", "new").agg(F.sort_array(F.collect_list(part)).alias("parts"))
+        rows = rows.withColumn("tags", F.udf(lambda parts: merged_tags(parts), T.StructType([T.StructField("user", TAGS), T.StructField("private", TAGS)]))("parts")).select("type_id", "new", F.col("tags.user").alias("user_tags"), F.col("tags.private").alias("private_tags"))
+    return rows.select(F.lit(file).alias("file_id"), "type_id", F.col("new").alias("instance_id"), "user_tags", "private_tags")
 
 
 def file_tags(spark: SparkSession, command: Command, joined: bool) -> dict[str, str]:
@@ -131,7 +142,10 @@ def file_tags(spark: SparkSession, command: Command, joined: bool) -> dict[str,
 
 
 def written(spark: SparkSession, command: Command, records: DataFrame) -> DataFrame:
-    """The copy of one file, of several side by side, or merged."""
+    """The copy of one file, of several side by side, or merged: written at once, one row a file.
+
+    Records are chosen once and kept on the executors' disks, as writing goes through them several times.
+    """
     name = "merged" if command.name == "merge" else "copied"
     if name == "merged":
         records, instance = merge.merged(records), "fused_instance"
@@ -139,9 +153,14 @@ def written(spark: SparkSession, command: Command, records: DataFrame) -> DataFr
         records, instance = merge.with_unique_ids(records), "unique_instance"
     else:
         records, instance = records.withColumn("own_instance", F.col("instance_id")), "own_instance"
-    streams = renamed(opened(spark, command, "streams"), records, instance, name)
-    out = records.withColumn("file_id", F.lit(name)).drop("instance_id").withColumnRenamed(instance, "instance_id")
-    return write_recordings(out, command.to, file_tags(spark, command, name == "merged"), streams=streams, chunk_size=command.chunk_size, split=command.split)
+    records = records.persist(StorageLevel.DISK_ONLY)
+    try:
+        streams = renamed(opened(spark, command, "streams"), records, instance, name, name == "merged")
+        out = records.withColumn("file_id", F.lit(name)).drop("instance_id").withColumnRenamed(instance, "instance_id")
+        done = write_recordings(out, command.to, file_tags(spark, command, name == "merged"), streams=streams, chunk_size=command.chunk_size, split=command.split)
+        return spark.createDataFrame(done.collect(), done.schema)
+    finally:
+        records.unpersist()
 
 
 def run(spark: SparkSession, words: Sequence[str]) -> DataFrame:
@@ -154,7 +173,9 @@ def run(spark: SparkSession, words: Sequence[str]) -> DataFrame:
         tags = streams.select("file_id", "stream_id", F.explode("private_tags").alias("name", "format"))
         return tags.where(F.col("name").startswith("RF:"))
     slim = command.name in ("details", "json-description", "list", "fps")
-    records = opened(spark, command, "index" if slim else "checked")
+    counted = any("+" in name for _, name in command.chosen.streams)  # the N-th of a type needs a scan more
+    once = command.name in ("details", "json-description", "list") and not counted
+    records = opened(spark, command, "index" if slim else "checked", once)
     if command.chosen.streams:
         records = filters.with_flavor(records, streams)
     if command.name == "check":

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracklode.model import CONFIGURATION, DATA, ORDER, RECORD_TYPES, STATE, StreamId
@@ -30,16 +30,18 @@ def split_signed(text: str) -> list[tuple[str, str]]:
     return out
 
 
+def name_parts(name: str) -> tuple[str, str, str]:
+    """Type, mark and rest of a stream's name."""
+    for i, c in enumerate(name):
+        if not c.isdigit():
+            return name[:i], c, name[i + 1 :]
+    return name, "", ""
+
+
 def matching(name: str, streams: Iterable[Stream]) -> set[StreamId]:
     """Streams that ``R-N``, ``R+N`` (N-th from 1), ``R`` or ``R-flavor`` names."""
     streams = sorted(streams, key=lambda s: s.id)
-    head = name
-    for i, c in enumerate(name):
-        if not c.isdigit():
-            head, mark, rest = name[:i], c, name[i + 1 :]
-            break
-    else:
-        mark, rest = "", ""
+    head, mark, rest = name_parts(name)
     if not head:
         return set()
     own = [s for s in streams if s.id.type_id == int(head)]
@@ -131,42 +133,50 @@ class Selection:
         return " ".join(parts)
 
 
-def streams_by_file(records: DataFrame) -> dict[object, list[Stream]]:
-    """The streams of each recording; a few thousand at most in one."""
-    flavor = F.col("flavor") if "flavor" in records.columns else F.lit("")
-    file = F.col("file_id") if "file_id" in records.columns else F.lit(0)
-    out: dict[object, list[Stream]] = {}
-    for r in records.select(file.alias("file_id"), "type_id", "instance_id", flavor.alias("flavor")).distinct().collect():
-        out.setdefault(r["file_id"], []).append(Stream(StreamId(r["type_id"], r["instance_id"]), r["flavor"] or ""))
-    return out
-
-
 def with_flavor(records: DataFrame, streams: DataFrame) -> DataFrame:
     """Adds the flavor of each record's stream, for filters by ``R-flavor``."""
     return records.join(streams.select("file_id", "type_id", "instance_id", "flavor"), ["file_id", "type_id", "instance_id"], "left")
 
 
-def of_streams(records: DataFrame, ids: set[StreamId]) -> DataFrame:
-    """Rows of these streams, as one pushed-down predicate on the two id columns."""
-    by_type: dict[int, list[int]] = {}
-    for s in sorted(ids):
-        by_type.setdefault(s.type_id, []).append(s.instance_id)
-    keep = F.lit(False)
-    for type_id, instances in by_type.items():
-        keep = keep | ((F.col("type_id") == type_id) & F.col("instance_id").isin(instances))
-    return records.where(keep)
+def named(name: str) -> Column:
+    """``matching`` for one row; ``_nth`` is its stream's place among those of its type and file."""
+    head, mark, rest = name_parts(name)
+    if not head:
+        return F.lit(False)
+    own = F.col("type_id") == int(head)
+    if mark == "+" and rest.isdigit():
+        return own & F.col("_nth").eqNullSafe(F.lit(int(rest)))
+    if mark == "-" and rest.isdigit():
+        return own & (F.col("instance_id") == int(rest))
+    if mark == "-" and rest:
+        return own & F.col("flavor").eqNullSafe(F.lit(rest))
+    return own if mark in ("", "-") else F.lit(False)
 
 
 def of_named_streams(records: DataFrame, signed: Iterable[tuple[str, str]]) -> DataFrame:
-    """Rows of the streams that signed names choose; the N-th of a type counts within each file."""
-    signed = list(signed)
-    chosen = {f: fold_streams(signed, streams) for f, streams in streams_by_file(records).items()}
-    if len({frozenset(x) for x in chosen.values()}) <= 1:
-        return of_streams(records, next(iter(chosen.values()), set()))
-    kinds = {c: records.schema[c].dataType.simpleString() for c in ("file_id", "type_id", "instance_id")}
-    table = [(f, s.type_id, s.instance_id) for f, ids in chosen.items() for s in ids]
-    keep = records.sparkSession.createDataFrame(table, ", ".join(f"{c} {t}" for c, t in kinds.items()))
-    return records.join(keep, list(kinds), "left_semi")
+    """Rows of the streams that signed names choose; the N-th of a type counts within each file.
+
+    ``fold_streams`` as a predicate on each row: no list of streams comes to the driver or into
+    the plan.
+    """
+    signed, names = list(signed), records.columns
+    parts = [name_parts(name) for _, name in signed]
+    if signed and signed[0][0] == "+":  # a condition that the source can answer
+        records = records.where(F.col("type_id").isin(sorted({int(head) for (sign, _), (head, _, _) in zip(signed, parts) if sign == "+" and head})))
+    keep = F.lit(not signed or signed[0][0] != "+")
+    if wanted := [(int(head), int(rest)) for head, mark, rest in parts if head and mark == "+" and rest.isdigit()]:
+        file = ["file_id"] if "file_id" in names else []
+        keys = [*file, "type_id", "instance_id"]
+        nth = F.row_number().over(Window.partitionBy(*file, "type_id").orderBy("instance_id"))
+        placed = records.where(F.col("type_id").isin(sorted({t for t, _ in wanted}))).select(*keys).distinct().withColumn("_nth", nth).where(F.col("_nth").isin(sorted({n for _, n in wanted})))
+        placed = placed.select(*(F.col(k).alias(f"_r_{k}") for k in keys), "_nth")  # a row a file and name
+        on = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
+        records = records.join(placed, on, "left")
+    if "flavor" not in names:
+        records = records.withColumn("flavor", F.lit(""))
+    for sign, name in signed:
+        keep = keep | named(name) if sign == "+" else keep & ~named(name)
+    return records.where(keep).select(*names)
 
 
 def of_types(records: DataFrame, types: set[str]) -> DataFrame:

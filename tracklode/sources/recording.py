@@ -1,12 +1,17 @@
 """Binary recordings as a Spark data source and sink.
 
 A file is a header, a description record (tags), records, and an index record.  The
-reader's driver side reads header, description and index, as arrays of numbers; its tasks
+reader's driver side goes through header, description and index, a block at a time, and
+keeps only where a task's part of them stands; its tasks
 read ranges of records of about ``SPLIT`` bytes, neighbours by one read, so one file of
-many terabytes feeds many tasks.  Filters on time, type, instance and record type are held
+many terabytes feeds many tasks.  A compressed index is held whole.  Filters on time, type, instance and record type are held
 against the index, and records that they leave out are never read, with option
-``pushdown`` and ``spark.sql.python.filterPushdown.enabled`` set.  A file without a usable index is walked once,
-record header by record header.  A recording may be cut into chunks, ``name``, ``name_1``,
+``pushdown`` and ``spark.sql.python.filterPushdown.enabled`` set; Spark keeps the filters pushed last for
+all scans of one ``load``, so the option is for a load that is scanned once.  A file without a usable index is walked once,
+record header by record header.
+
+The format has 16 bits for an instance.  A stream with a larger one is stored with a negative
+type, which no stream of the format has, that holds the upper bits (``stored_id``).  A recording may be cut into chunks, ``name``, ``name_1``,
 ``name_2`` …, and its index may stand before the records.  Paths are opened through pyarrow's file systems, so
 stores work as well as local folders.
 
@@ -58,6 +63,8 @@ FLAVOR, ORIGINAL_NAME, SERIAL = "_Recordable_Flavor", "_Original_Recordable_Name
 SPLIT = 64 << 20
 #: Records that one task reads at most, however small.
 SPLIT_RECORDS = 1 << 17
+#: Entries of an index that are read at a time, and records of an Arrow batch at most.
+INDEX_ROWS, BATCH_ROWS = 1 << 20, 1 << 15
 #: Streams that one task reads.
 STREAM_ROWS = 8192
 #: Payloads below this many bytes are never compressed.
@@ -169,6 +176,34 @@ def is_recording(path: str) -> bool:
     return True
 
 
+def stored_id(type_id: int, instance: int) -> tuple[int, int]:
+    """A stream's type and instance as the 32 and 16 bits that a file has for them.
+
+    Of the 32 a type takes 16.  An instance beyond 65535 has its upper 15 bits above these, and the sign is set.
+    """
+    if instance <= 0xFFFF:
+        return type_id, instance
+    if not 0 <= type_id <= 0xFFFF:
+        raise ValueError(f"a file can't hold stream {type_id}-{instance}")
+    return (instance >> 16 << 16 | type_id) - (1 << 31), instance & 0xFFFF
+
+
+def stream_key(type_id: int, instance: int) -> tuple[int, int]:
+    """Type and instance of a stored id."""
+    if type_id >= 0:
+        return type_id, instance
+    wide = type_id + (1 << 31)
+    return wide & 0xFFFF, wide >> 16 << 16 | instance
+
+
+def stream_keys(types: np.ndarray, instances: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``stream_key`` of arrays."""
+    if not (types < 0).any():
+        return types.astype("<i4"), instances.astype("<i4")
+    wide = types.astype(np.int64) + (1 << 31)
+    return np.where(types < 0, wide & 0xFFFF, types).astype("<i4"), (np.where(types < 0, wide >> 16 << 16, 0) | instances).astype("<i4")
+
+
 class Cursor:
     """Counted strings and maps of a description."""
 
@@ -191,9 +226,16 @@ class Cursor:
     def tags(self) -> dict[str, str]:
         return {self.text(): self.text() for _ in range(self.number())}
 
+    def pass_tags(self) -> None:
+        for _ in range(2 * self.number()):
+            n = self.number()
+            self.at += n
+
     def stream(self) -> tuple[int, int]:
+        if self.at + STREAM_ID.size > len(self.data):
+            raise Damaged("a description that ends early")
         self.at += STREAM_ID.size
-        return STREAM_ID.unpack_from(self.data, self.at - STREAM_ID.size)
+        return stream_key(*STREAM_ID.unpack_from(self.data, self.at - STREAM_ID.size))
 
 
 @dataclass
@@ -250,7 +292,9 @@ def packed(data: bytes, kind: int, level: int = 3) -> tuple[bytes, int]:
 
 #: An index entry as it is stored, and with the place of its record.
 STORED = np.dtype([("ts", "<f8"), ("size", "<u4"), ("kind", "u1"), ("type_id", "<i4"), ("instance_id", "<u2")])
-ENTRY = np.dtype([*STORED.descr, ("at", "<i8")])
+ENTRY = np.dtype([*STORED.descr[:-1], ("instance_id", "<i4"), ("at", "<i8")])
+#: ``RECORD`` for arrays.
+HEAD = np.dtype([("size", "<u4"), ("before", "<u4"), ("type_id", "<i4"), ("version", "<u4"), ("ts", "<f8"), ("instance_id", "<u2"), ("kind", "u1"), ("how", "u1"), ("unpacked", "<u4")])
 #: The most that one read takes in.
 READ = 8 << 20
 #: Columns whose filters the index can answer, and how.
@@ -261,6 +305,39 @@ ANSWERED = {
 TESTS = {EqualTo: np.equal, GreaterThan: np.greater, GreaterThanOrEqual: np.greater_equal, LessThan: np.less, LessThanOrEqual: np.less_equal}
 
 
+def placed(stored: np.ndarray, first: int) -> np.ndarray:
+    """Stored entries with the ids of their streams and their offsets, the first of which is ``first``."""
+    out = np.zeros(len(stored), ENTRY)
+    for name in ("ts", "size", "kind"):
+        out[name] = stored[name]
+    out["type_id"], out["instance_id"] = stream_keys(stored["type_id"], stored["instance_id"])
+    out["at"] = first + np.cumsum(stored["size"], dtype=np.int64) - stored["size"]
+    return out
+
+
+def chosen(entries: np.ndarray, asked: list[tuple[str, type, object]]) -> np.ndarray:
+    """Which entries are records that filters leave."""
+    keep = np.isin(entries["kind"], [k for k, name in KINDS.items() if name != "tags"])
+    for name, kind, value in asked:
+        own = ANSWERED[name](entries)
+        keep &= np.isin(own, list(value)) if kind is In else TESTS[kind](own, value)
+    return keep
+
+
+def cuts(entries: np.ndarray) -> np.ndarray:
+    """Where the entries of another task begin."""
+    part = np.cumsum(entries["size"], dtype=np.int64) // SPLIT
+    return np.flatnonzero(np.diff(part) | np.diff(np.arange(len(entries)) // SPLIT_RECORDS)) + 1
+
+
+@dataclass
+class Place:
+    """Where uncompressed entries of an index stand, and how many."""
+
+    at: int
+    n: int
+
+
 class Recording:
     """The catalog side of one file."""
 
@@ -269,41 +346,70 @@ class Recording:
         self.file = Chunks(path)
         self.size = self.file.size
         self.header = Header.read(self.file.read_at(HEADER.size, 0))
-        at = self.header.description_at or self.header.header_size
-        head, payload = self.record(at)
-        self.streams, self.tags = read_description(payload, head[3])
-        self.first = self.header.first_record_at or at + head[0]
+        self.described_at = self.header.description_at or self.header.header_size
+        self.described = self.head(self.described_at)
+        self.first = self.header.first_record_at or self.described_at + self.described[0]
 
-    def record(self, at: int) -> tuple[tuple, bytes]:
+    def head(self, at: int) -> tuple:
         raw = self.file.read_at(self.header.record_header_size, at)
         if len(raw) < self.header.record_header_size:
             raise Damaged(f"no record at {at}")
         head = RECORD.unpack_from(raw)
-        n = head[0] - self.header.record_header_size
-        if n < 0:
+        if head[0] < self.header.record_header_size:
             raise Damaged(f"no record at {at}")
-        return head, self.file.read_at(n, at + self.header.record_header_size)
+        return head
 
-    def index(self) -> np.ndarray | None:
-        """Entries of the index record in file order; None if there is no usable one."""
+    def description(self) -> bytes:
+        return self.file.read_at(self.described[0] - self.header.record_header_size, self.described_at + self.header.record_header_size)
+
+    def parts(self) -> tuple[list[InputPartition], dict[str, str]]:
+        """The streams, in parts of ``STREAM_ROWS``, and the file's tags.
+
+        Streams in order of their ids are left in the file for the tasks.
+        """
+        payload, begin = self.description(), self.described_at + self.header.record_header_size
+        if self.described[3] == DESCRIPTION_VERSION:
+            c, out, before = Cursor(payload), [], (-1, -1)
+            n = c.number()
+            for k in range(n):
+                if k % STREAM_ROWS == 0:
+                    out.append(c.at)
+                key = c.stream()
+                if key <= before:
+                    break
+                before = key
+                c.pass_tags()
+                c.pass_tags()
+            else:
+                ends = [*out[1:], c.at]
+                return [Described(self.path, begin + lo, hi - lo, min(STREAM_ROWS, n - k * STREAM_ROWS)) for k, (lo, hi) in enumerate(zip(out, ends))], c.tags()
+        streams, tags = read_description(payload, self.described[3])
+        rows = [stream_row(self.path, key, s) for key, s in sorted(streams.items())]
+        return [Rows(rows[k : k + STREAM_ROWS]) for k in range(0, len(rows), STREAM_ROWS)], tags
+
+    def found_index(self) -> Place | np.ndarray | None:
+        """Where the entries of the index stand, or these, in file order, where they are compressed; None if there is no usable one."""
         try:
             if self.header.index_at <= 0:
                 return None
-            head, payload = self.record(self.header.index_at)
+            head = self.head(self.header.index_at)
             if head[2] == INDEX_TYPE and head[3] == SPLIT_INDEX_VERSION:
                 return self.split_index(head)
             if head[2] != INDEX_TYPE or head[3] != INDEX_VERSION:
                 return None
-            n = struct.unpack_from("<I", payload)[0]
-            at = 4 + n * STREAM_ID.size
-            count = struct.unpack_from("<I", payload, at)[0]
-            data = unpacked(payload[at + 4 :], head[7], count * INDEX_ENTRY.size)
-            return self.placed(np.frombuffer(data, STORED, count))
+            begin = self.header.index_at + self.header.record_header_size
+            end = min(self.header.index_at + head[0], self.size)
+            at = begin + 4 + struct.unpack("<I", self.file.read_at(4, begin))[0] * STREAM_ID.size
+            count, at = struct.unpack("<I", self.file.read_at(4, at))[0], at + 4
+            if head[7] == NONE:
+                return Place(at, count) if at + count * STORED.itemsize <= end else None
+            data = unpacked(self.file.read_at(max(end - at, 0), at), head[7], count * STORED.itemsize)
+            return self.within(np.frombuffer(data, STORED, count))
         except (Damaged, struct.error, OSError, ValueError):
             return None
 
-    def split_index(self, head: tuple) -> np.ndarray | None:
-        """Entries of an index that stands before the records, as far as it was written.
+    def split_index(self, head: tuple) -> Place | np.ndarray | None:
+        """The index that stands before the records, as far as it was written.
 
         A recording that wasn't closed tells neither the index's size nor where records
         start; the end of the first chunk then tells both.
@@ -314,27 +420,51 @@ class Recording:
         if begin > end or (size == 0 and first == 0 and len(self.file.parts) == 1):
             return None
         self.first = min(first, end) if first else end
-        last = min(begin + size if size else end, self.first)
-        data = self.file.read_at(max(last - begin, 0), begin)
+        last = max(min(begin + size if size else end, self.first), begin)
+
+        def usable(stored: np.ndarray) -> bool:
+            return not (stored["size"] < self.header.record_header_size).any() and bool(np.isin(stored["kind"], list(KINDS)).all())
+
+        if head[7] == NONE:
+            place = Place(begin, (last - begin) // STORED.itemsize)
+            return place if all(usable(stored) for _, stored in self.stored(place)) else None
+        data = self.file.read_at(last - begin, begin)
         if head[7] == ZSTD:  # frames, one after the other
             import zstandard
 
             data = zstandard.ZstdDecompressor().stream_reader(data, read_across_frames=True).read()
-        elif head[7] != NONE:
+        else:
             data = unpacked(data, head[7], head[8])
         stored = np.frombuffer(data, STORED, len(data) // STORED.itemsize)
-        if (stored["size"] < self.header.record_header_size).any() or not np.isin(stored["kind"], list(KINDS)).all():
-            return None
-        return self.placed(stored)
+        return self.within(stored) if usable(stored) else None
 
-    def placed(self, stored: np.ndarray) -> np.ndarray:
+    def within(self, stored: np.ndarray) -> np.ndarray:
         """Entries with their offsets, up to the end of a cut file."""
-        out = np.zeros(len(stored), ENTRY)
-        for name in STORED.names:
-            out[name] = stored[name]
-        ends = self.first + np.cumsum(stored["size"], dtype=np.int64)
-        out["at"] = ends - stored["size"]
-        return out[: np.searchsorted(ends, self.size, side="right")]
+        out = placed(stored, self.first)
+        return out[: np.searchsorted(out["at"] + out["size"], self.size, side="right")]
+
+    def stored(self, place: Place) -> Iterator[tuple[int, np.ndarray]]:
+        """Number of the first one and entries as they are stored, a block at a time."""
+        for lo in range(0, place.n, INDEX_ROWS):
+            n = min(INDEX_ROWS, place.n - lo)
+            yield lo, np.frombuffer(self.file.read_at(n * STORED.itemsize, place.at + lo * STORED.itemsize), STORED)
+
+    def blocks(self, place: Place) -> Iterator[tuple[int, np.ndarray]]:
+        """Number of the first one and entries of the index with their offsets, a block at a time, up to the end of a cut file."""
+        first = self.first
+        for lo, stored in self.stored(place):
+            out = placed(stored, first)
+            ends = out["at"] + out["size"]
+            n = int(np.searchsorted(ends, self.size, side="right"))
+            yield lo, out[:n]
+            if n < len(out):
+                return
+            first = int(ends[-1])
+
+    def index(self) -> np.ndarray | None:
+        """All entries of the index in file order; None if there is no usable one."""
+        found = self.found_index()
+        return np.concatenate([np.zeros(0, ENTRY), *(e for _, e in self.blocks(found))]) if isinstance(found, Place) else found
 
     def walk(self) -> np.ndarray:
         """Entries found by walking record headers, in order of time; stops where the chain breaks."""
@@ -347,7 +477,7 @@ class Recording:
             if type_id not in (INDEX_TYPE, DESCRIPTION_TYPE):
                 if kind not in KINDS:
                     break
-                out.append((ts, size, kind, type_id, instance, at))
+                out.append((ts, size, kind, *stream_key(type_id, instance), at))
             before, at = size, at + size
         found = np.array(out, ENTRY)
         return found[np.lexsort((found["at"], found["instance_id"], found["type_id"], found["ts"]))]
@@ -355,9 +485,32 @@ class Recording:
 
 @dataclass
 class Range(InputPartition):
+    """Records that one task reads: the place of their entries in an index with the offset of the first one, or the entries."""
+
     path: str
-    entries: np.ndarray
     record_header_size: int
+    asked: list[tuple[str, type, object]]
+    place: Place | None = None
+    first: int = 0
+    held: np.ndarray | None = None
+
+    @property
+    def entries(self) -> np.ndarray:
+        if self.place is None:
+            return self.held
+        with closing(Chunks(self.path)) as f:
+            found = placed(np.frombuffer(f.read_at(self.place.n * STORED.itemsize, self.place.at), STORED), self.first)
+        return found[chosen(found, self.asked)]
+
+
+@dataclass
+class Described(InputPartition):
+    """Streams of a description that one task reads."""
+
+    path: str
+    at: int
+    size: int
+    n: int
 
 
 @dataclass
@@ -365,69 +518,116 @@ class Rows(InputPartition):
     rows: list[tuple]
 
 
+def stream_row(path: str, key: tuple[int, int], s: Stream) -> tuple:
+    return (path, *key, f"{key[0]}-{key[1]}", s.private_tag(ORIGINAL_NAME), s.private_tag(FLAVOR), s.private_tag(SERIAL), s.user, s.private)
+
+
 class RecordingReader(DataSourceReader):
-    def __init__(self, paths: list[str], table: str, rebuild: bool) -> None:
-        self.paths, self.table, self.rebuild = paths, table, rebuild
-        self.asked: list[tuple[str, type, object]] = []
+    """Reads a table; Spark takes records in Arrow batches (``batched``), else they come as tuples."""
 
-    def wanted(self, entries: np.ndarray) -> np.ndarray:
-        keep = np.isin(entries["kind"], [k for k, name in KINDS.items() if name != "tags"])
-        for name, kind, value in self.asked:
-            own = ANSWERED[name](entries)
-            keep &= np.isin(own, list(value)) if kind is In else TESTS[kind](own, value)
-        return entries[keep]
+    def __init__(self, paths: list[str], table: str, rebuild: bool, batched: bool = False) -> None:
+        self.paths, self.table, self.rebuild, self.batched = paths, table, rebuild, batched
+        self.asked: list[tuple[str, type, object]] = []
 
     def partitions(self) -> list[InputPartition]:
         out: list[InputPartition] = []
         for path in self.paths:
             r = Recording(path)
             if self.table == "streams":
-                rows = [(path, t, i, f"{t}-{i}", s.private_tag(ORIGINAL_NAME), s.private_tag(FLAVOR), s.private_tag(SERIAL), s.user, s.private) for (t, i), s in sorted(r.streams.items())]
-                out += [Rows(rows[k : k + STREAM_ROWS]) for k in range(0, len(rows), STREAM_ROWS)]
+                out += r.parts()[0]
                 continue
-            entries = None if self.rebuild else r.index()
+            found = None if self.rebuild else r.found_index()
             if self.table == "files":
-                out.append(Rows([(path, r.size, Decimal(r.header.creation_id), r.tags, entries is not None)]))
+                out.append(Rows([(path, r.size, Decimal(r.header.creation_id), r.parts()[1], found is not None)]))
+                continue
+            if isinstance(found, Place):
+                for lo, entries in r.blocks(found):
+                    own = np.flatnonzero(chosen(entries, self.asked))
+                    for x in np.split(own, cuts(entries[own])):
+                        if len(x):
+                            place = Place(found.at + (lo + int(x[0])) * STORED.itemsize, int(x[-1] - x[0]) + 1)
+                            out.append(Range(path, r.header.record_header_size, self.asked, place, int(entries["at"][x[0]])))
                 continue
-            own = self.wanted(entries if entries is not None else r.walk())
-            part = np.cumsum(own["size"], dtype=np.int64) // SPLIT
-            cuts = np.flatnonzero(np.diff(part) | np.diff(np.arange(len(own)) // SPLIT_RECORDS)) + 1
-            out += [Range(path, x, r.header.record_header_size) for x in np.split(own, cuts) if len(x)]
+            found = r.walk() if found is None else found
+            own = found[chosen(found, self.asked)]
+            out += [Range(path, r.header.record_header_size, self.asked, held=x) for x in np.split(own, cuts(own)) if len(x)]
         return out or [Rows([])]
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
+    def read(self, partition: InputPartition) -> Iterator[tuple] | Iterator[pa.RecordBatch]:
         if isinstance(partition, Rows):
             yield from partition.rows
-            return
+        elif isinstance(partition, Described):
+            with closing(Chunks(partition.path)) as f:
+                c = Cursor(f.read_at(partition.size, partition.at))
+            for _ in range(partition.n):
+                yield stream_row(partition.path, c.stream(), Stream(c.tags(), c.tags()))
+        elif self.batched:
+            yield from self.batches(partition)
+        else:
+            for batch in self.batches(partition):
+                yield from zip(*(c.to_pylist() for c in batch.columns))
+
+    def batches(self, partition: Range) -> Iterator[pa.RecordBatch]:
         head_size, entries = partition.record_header_size, partition.entries
+        if not len(entries):
+            return
         slim = self.table == "index"
+        sizes = entries["size"].astype(np.int64)
+        ends = entries["at"] + sizes
+        # Neighbours are read together; headers alone where records are large.
+        heads_only = slim and entries["size"].mean() > 4096
+        begins = np.flatnonzero(np.concatenate(([True], (entries["at"][1:] != ends[:-1]) | heads_only, [True])))
         with closing(Chunks(partition.path)) as f:
-            # Neighbours are read together; headers alone where records are large.
-            ends = entries["at"] + entries["size"]
-            apart = np.concatenate(([True], (entries["at"][1:] != ends[:-1]) | (slim and entries["size"].mean() > 4096)))
-            lo = 0
+            lo, held, since, n_bytes = 0, [], 0, 0
             while lo < len(entries):
-                hi = lo + 1
-                while hi < len(entries) and not apart[hi] and ends[hi] - entries["at"][lo] <= READ:
-                    hi += 1
-                base = int(entries["at"][lo])
-                block = f.read_at(head_size if slim and hi == lo + 1 else int(ends[hi - 1]) - base, base)
-                for ts, size, kind, type_id, instance, at in entries[lo:hi].tolist():
-                    yield self.row(partition.path, block[at - base : at - base + size], head_size, ts, size, kind, type_id, instance, at)
-                lo = hi
-
-    def row(self, path: str, whole: bytes, head_size: int, ts: float, size: int, kind: int, type_id: int, instance: int, at: int) -> tuple:
-        try:
-            head = RECORD.unpack_from(whole)
-            if (head[0], head[2], head[5], head[6]) != (size, type_id, instance, kind):
-                raise Damaged(f"{path}: the record at {at} isn't the one of the index")
-            payload = None if self.table == "index" else unpacked(whole[head_size:], head[7], head[8])
-        except Exception:
-            if self.table != "checked":
-                raise
-            head, payload = None, None
-        row = (path, type_id, instance, f"{type_id}-{instance}", KINDS[kind], head and head[3], ts, round(ts * 1e6), at, size, head and head[7])
-        return row if self.table == "index" else (*row, payload, head is not None) if self.table == "checked" else (*row, payload)
+                stop = min(int(begins[np.searchsorted(begins, lo, side="right")]), since + BATCH_ROWS)
+                hi = max(lo + 1, lo + int(np.searchsorted(ends[lo:stop], entries["at"][lo] + READ, side="right")))
+                n = head_size if heads_only else int(ends[hi - 1] - entries["at"][lo])
+                held.append(f.read_at(n, int(entries["at"][lo])))
+                if len(held[-1]) < n:
+                    raise Damaged(f"{partition.path}: no {n} bytes at {entries['at'][lo]}")
+                lo, n_bytes = hi, n_bytes + n
+                if n_bytes >= READ or lo - since >= BATCH_ROWS or lo == len(entries):
+                    own = slice(since, lo)
+                    yield self.batch(partition.path, head_size, entries[own], b"".join(held), np.full(lo - since, head_size) if heads_only else sizes[own])
+                    held, since, n_bytes = [], lo, 0
+
+    def batch(self, path: str, head_size: int, entries: np.ndarray, data: bytes, lengths: np.ndarray) -> pa.RecordBatch:
+        """Records that stand in ``data`` one after the other, ``lengths`` bytes of each."""
+        raw = np.frombuffer(data + bytes(RECORD.size), np.uint8)
+        starts = np.cumsum(lengths) - lengths
+        heads = raw[starts[:, None] + np.arange(RECORD.size)].view(HEAD)[:, 0]
+        types, instances = stream_keys(heads["type_id"], heads["instance_id"])
+        ok = (heads["size"] == entries["size"]) & (types == entries["type_id"]) & (instances == entries["instance_id"]) & (heads["kind"] == entries["kind"]) & (entries["size"] >= head_size)
+        payloads = None
+        if self.table != "index" and ok.all() and (heads["how"] == NONE).all():
+            inside = np.ones(len(data), bool)
+            inside[starts[:, None] + np.arange(head_size)] = False
+            offsets = np.concatenate(([0], np.cumsum(lengths - head_size))).astype("<i4")
+            payloads = pa.Array.from_buffers(pa.binary(), len(entries), [None, pa.py_buffer(offsets), pa.py_buffer(raw[: len(data)][inside])])
+        elif self.table != "index":
+            found: list[bytes | None] = []
+            for k, (start, n) in enumerate(zip(starts.tolist(), lengths.tolist())):
+                try:
+                    found.append(unpacked(data[start + head_size : start + n], int(heads["how"][k]), int(heads["unpacked"][k])) if ok[k] else None)
+                except Exception:
+                    if self.table != "checked":
+                        raise
+                    ok[k] = False
+                    found.append(None)
+            payloads = pa.array(found, pa.binary())
+        if self.table != "checked" and not ok.all():
+            raise Damaged(f"{path}: the record at {entries['at'][~ok][0]} isn't the one of the index")
+        streams, of = np.unique(entries["type_id"].astype(np.int64) << 32 | entries["instance_id"], return_inverse=True)
+        kinds = pa.array([KINDS.get(k) for k in range(256)], pa.string())
+        columns = [
+            pa.repeat(pa.scalar(path, pa.string()), len(entries)), pa.array(np.ascontiguousarray(entries["type_id"])), pa.array(np.ascontiguousarray(entries["instance_id"])),
+            pa.array([f"{k >> 32}-{k & 0xFFFFFFFF}" for k in streams.tolist()], pa.string()).take(pa.array(of)), kinds.take(pa.array(np.ascontiguousarray(entries["kind"]))),
+            pa.array(heads["version"].astype(np.int64), mask=~ok), pa.array(np.ascontiguousarray(entries["ts"])), pa.array(ANSWERED["ts_us"](entries)),
+            pa.array(np.ascontiguousarray(entries["at"])), pa.array(entries["size"].astype(np.int64)), pa.array(heads["how"].astype(np.int32), mask=~ok),
+        ]
+        columns += [] if self.table == "index" else [payloads] if self.table == "records" else [payloads, pa.array(ok)]
+        return pa.RecordBatch.from_arrays(columns, TABLES[self.table].names)
 
 
 class FilteringReader(RecordingReader):
@@ -454,7 +654,7 @@ class RecordingSource(DataSource):
         path = self.options["path"]
         paths = starts(sorted(glob.glob(path))) if "://" not in path and any(c in path for c in "*?[") else path.split(",")
         kind = FilteringReader if self.options.get("pushdown", "false").lower() == "true" else RecordingReader
-        return kind(paths, self.options.get("table", "records"), self.options.get("rebuild", "false").lower() == "true")
+        return kind(paths, self.options.get("table", "records"), self.options.get("rebuild", "false").lower() == "true", batched=True)
 
 
 def tags_bytes(tags: dict[str, str]) -> bytes:
@@ -578,7 +778,7 @@ def stream_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 yield done()
                 nth, held, ids, size = nth + 1, [], [], 0
             own = file_id
-            ids.append(STREAM_ID.pack(type_id, instance))
+            ids.append(STREAM_ID.pack(*stored_id(type_id, instance)))
             held.append(ids[-1] + tags_bytes(dict(user or ())) + tags_bytes(dict(private or ())))
             size += len(held[-1])
     if held:
@@ -604,6 +804,7 @@ def record_pieces(batches: Iterator[pa.RecordBatch], compression: int) -> Iterat
                 yield done()
                 nth, held, entries, sizes, size, before = nth + 1, [], [], [], 0, 0
             own, payload, code = file_id, payload or b"", CODES[kind]
+            type_id, instance = stored_id(type_id, instance)
             body, how = packed(payload, compression)
             n = RECORD.size + len(body)
             held += (RECORD.pack(n, before, type_id, version, ts, instance, code, how, len(payload) if how else 0), body)
