@@ -676,3 +676,17 @@ def test_chosen_streams_and_their_tags_stay_with_the_executors(spark, tmp_path,
         tags = cli.renamed(streams, out, "own", "b", False)
     want = sorted((x[1], x[2]) for x in rows if x[1] == 200 and x[2] != 3 or x[2] == 4)
     assert sorted((x["type_id"], x["instance_id"]) for x in out.collect()) == sorted((x["type_id"], x["instance_id"]) for x in tags.collect()) == want
+
+
+def test_compare_reads_each_file_by_its_own_load(spark, tmp_path):
+    rows = [(0, 200, 65_530 + i % 9, "data", i * 1000, i, f"payload {i}") for i in range(45)]
+    paths = [recording.write_recordings(records(spark, [*rows, *more]).withColumn("file_id", F.lit(name)), str(tmp_path)).first()["path"] for name, more in (("a", []), ("b", [(0, 200, 65_530, "data", 99_000, 99, "")]))]
+    found = cli.run(spark, ["compare", *paths])
+    assert sorted((x["place"], x["n_left"], x["n_matched"], x["n_different"], x["n_missing"]) for x in found.collect()) == [(k, 5, 5, 0, 0) for k in range(1, 10)]
+    back = cli.run(spark, ["compare", *paths[::-1]])
+    assert sorted((x["place"], x["n_left"], x["n_matched"], x["n_missing"]) for x in back.collect()) == [(1, 6, 5, 1), *((k, 5, 5, 0) for k in range(2, 10))]
+    # Times count from an end of both files' data.
+    cut = cli.run(spark, ["compare", *paths, "--before", "-0.06"])
+    assert {(x["n_left"], x["n_matched"]) for x in cut.collect()} == {(5, 5), (4, 4)}
+    scans = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in scans

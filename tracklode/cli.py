@@ -6,9 +6,10 @@
 
 from __future__ import annotations
 
+import functools
 import sys
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -103,6 +104,12 @@ def opened(spark: SparkSession, command: Command, table: str = "records", pushdo
     return spark.read.format("recording").option("pushdown", str(pushdown).lower()).option("table", table).load(",".join(command.paths))
 
 
+def undamaged(spark: SparkSession, command: Command) -> DataFrame:
+    """Records up to the first damaged one of each file, by a load for each, so that a filter by file_id leaves the others out of the plan."""
+    loads = [filters.up_to_damage(opened(spark, replace(command, paths=[p]), "checked")).withColumn("file_id", F.lit(p)) for p in command.paths]
+    return functools.reduce(DataFrame.unionByName, loads)
+
+
 def thinned(records: DataFrame, command: Command) -> DataFrame:
     """Interval decimation; the bucket grid applies only where no interval is asked for."""
     if command.intervals:
@@ -175,12 +182,12 @@ def run(spark: SparkSession, words: Sequence[str]) -> DataFrame:
     slim = command.name in ("details", "json-description", "list", "fps")
     counted = any("+" in name for _, name in command.chosen.streams)  # the N-th of a type needs a scan more
     once = command.name in ("details", "json-description", "list") and not counted
-    records = opened(spark, command, "index" if slim else "checked", once)
+    records = undamaged(spark, command) if command.name == "compare" else opened(spark, command, "index" if slim else "checked", once)
     if command.chosen.streams:
         records = filters.with_flavor(records, streams)
     if command.name == "check":
         return stats.decode_check(filters.select_records(records, command.chosen))
-    if not slim:
+    if not slim and command.name != "compare":
         records = filters.up_to_damage(records)
     with_context = command.name not in ("list", "details", "json-description")
     out = thinned(filters.select_records(records, command.chosen, with_context), command)
