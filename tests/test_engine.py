@@ -690,3 +690,16 @@ def test_compare_reads_each_file_by_its_own_load(spark, tmp_path):
     assert {(x["n_left"], x["n_matched"]) for x in cut.collect()} == {(5, 5), (4, 4)}
     scans = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Union" not in scans
+
+
+def test_damage_doesnt_gather_a_file(spark):
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        r = spark.range(0, 400, 1, 4).select(F.lit("a").alias("file_id"), F.lit(200).alias("type_id"), F.lit(1).alias("instance_id"), F.lit("state").alias("record_type"), F.col("id").alias("ts_us"), F.col("id").alias("file_offset"), (F.col("id") != 399).alias("ok"))
+        out = filters.up_to_damage(r)
+        assert out.count() == 399 and out.select(F.spark_partition_id()).distinct().count() == 4
+    finally:
+        for k in conf:
+            spark.conf.unset(k)

@@ -222,10 +222,13 @@ def constrained_range(chosen: Selection, records: DataFrame) -> tuple[int, int]
 
 
 def up_to_damage(checked: DataFrame) -> DataFrame:
-    """Rows of ``checked`` (with ok) before the first damaged one of each file, in reading order."""
+    """Rows of ``checked`` (with ok) before the first damaged one of each file, in reading order.
+
+    One row a damaged file is broadcast, so a file's records aren't dealt to one task.
+    """
     here = F.struct(*ORDER)
     bad = checked.where(~F.col("ok")).groupBy("file_id").agg(F.min(here).alias("_bad"))
-    return checked.join(bad, "file_id", "left").where(F.col("_bad").isNull() | (here < F.col("_bad"))).drop("_bad", "ok")
+    return checked.join(F.broadcast(bad), "file_id", "left").where(F.col("_bad").isNull() | (here < F.col("_bad"))).drop("_bad", "ok")
 
 
 def first_records(records: DataFrame, keys: Iterable[str] = ("file_id", "type_id", "instance_id", "record_type")) -> DataFrame:
@@ -258,7 +261,7 @@ def preroll(records: DataFrame, after: int | None) -> DataFrame:
         return records.limit(0)
     context = records.where((F.col("ts_us") <= after) & F.col("record_type").isin(CONFIGURATION, STATE))
     later = records.where(F.col("ts_us") > after).select("file_id").distinct()
-    return last_records(context).join(later, "file_id", "left_semi")
+    return last_records(context).join(F.broadcast(later), "file_id", "left_semi")  # a row a file
 
 
 def select_records(records: DataFrame, chosen: Selection, with_context: bool = True) -> DataFrame:
